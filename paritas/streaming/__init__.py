@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source project is batch only: it has no streams, watermarks, windows over
+event time or stateful stream operators, so nothing is built here. Its
+append-only logs (attempt and call logs) are plain append writes in
+:mod:`paritas.operators.state`.
+"""
