@@ -192,3 +192,225 @@ t AS (
   FROM li)
 SELECT 'p_tpch' AS program_id, *, (min(CAST(passed AS INTEGER)) OVER () = 1) AS program_passed
 FROM t"""
+
+
+# ---------------------------------------------------------------- phase 3
+
+_DAY = "CAST(datediff('day', DATE '1960-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE)"
+
+
+def _iso(x: str) -> str:
+    return f"strftime(DATE '1960-01-01' + CAST(trunc({x}) AS INTEGER), '%Y-%m-%d')"
+
+
+ORACLE["sas_dates"] = f"""
+WITH d AS (SELECT o_orderkey AS k, {_DAY} AS day FROM orders),
+s AS (
+  SELECT k,
+         CASE WHEN k % 13 = 0 THEN NULL WHEN k % 7 = 0 THEN day + 0.75
+              WHEN k % 11 = 0 THEN -day - 0.5 ELSE day END AS sas_day,
+         CASE WHEN k % 5 = 0 THEN 'n/a'
+              WHEN k % 3 = 0 THEN ' ' || CAST(CAST(day AS BIGINT) AS VARCHAR) || ' '
+              ELSE CAST(CAST(day AS BIGINT) AS VARCHAR) END AS sas_text
+  FROM d)
+SELECT k AS o_orderkey, {_iso('sas_day')} AS iso_date,
+       {_iso('TRY_CAST(sas_text AS DOUBLE)')} AS iso_from_text,
+       CAST(datediff('day', DATE '1960-01-01',
+                     DATE '1960-01-01' + CAST(trunc(sas_day) AS INTEGER)) AS INTEGER) AS back_day
+FROM s"""
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _norm_text(x: str) -> str:
+    return (f"CASE WHEN rtrim({x}, {_WS}) IN ('', '.') THEN NULL "
+            f"ELSE rtrim({x}, {_WS}) END")
+
+
+ORACLE["normalized_customer"] = f"""
+WITH r AS (
+  SELECT c_custkey,
+         CASE WHEN c_custkey % 13 = 0 THEN '.' WHEN c_custkey % 17 = 0 THEN ''
+              WHEN c_custkey % 5 = 0 THEN c_name || '   '
+              WHEN c_custkey % 19 = 0 THEN c_name || chr(9) || ' ' || chr(10)
+              ELSE c_name END AS c_name,
+         c_nationkey,
+         CASE WHEN c_custkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE c_acctbal END AS c_acctbal,
+         CASE WHEN c_custkey % 7 = 0 THEN ' .' WHEN c_custkey % 23 = 0 THEN '   '
+              ELSE c_mktsegment END AS c_mktsegment
+  FROM customer)
+SELECT c_custkey, {_norm_text('c_name')} AS c_name, c_nationkey,
+       CASE WHEN isnan(c_acctbal) THEN NULL ELSE c_acctbal END AS c_acctbal,
+       {_norm_text('c_mktsegment')} AS c_mktsegment
+FROM r"""
+
+
+def _digest_sql(table: str, cols: list[str]) -> str:
+    line = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
+    header = ",".join(cols)
+    return f"""
+SELECT '{table}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(h) AS VARCHAR) AS hash_sum,
+       substr(sha256('{header}' || '|' || CAST(count(*) AS VARCHAR) || '|' || CAST(sum(h) AS VARCHAR)),
+              1, 12) AS digest
+FROM (SELECT ('0x' || substr(sha256({line}), 1, 15))::BIGINT AS h FROM {table})"""
+
+
+# Same projections as the Spark query (kept here to avoid an import cycle).
+DIGEST_TABLES = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
+                 "l_linestatus"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+ORACLE["content_digest"] = "\nUNION ALL\n".join(_digest_sql(t, c) for t, c in DIGEST_TABLES.items())
+
+
+# ---------------------------------------------------------------- phase 4
+
+ORACLE["first_last"] = """
+SELECT event_id, user_id,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS first_user_id,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS last_user_id
+FROM events"""
+
+ORACLE["first_last_2level"] = """
+SELECT event_id,
+  row_number() OVER (PARTITION BY event_type ORDER BY user_id, ts, event_id) = 1 AS first_event_type,
+  row_number() OVER (PARTITION BY event_type ORDER BY user_id DESC, ts DESC, event_id DESC) = 1
+    AS last_event_type,
+  row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1 AS first_user_id,
+  row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1
+    AS last_user_id
+FROM events"""
+
+ORACLE["retain_locf"] = """
+WITH e AS (SELECT event_id, ts, user_id,
+                  CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value_in FROM events)
+SELECT event_id, user_id, value_in,
+       last_value(value_in IGNORE NULLS) OVER w AS retained,
+       round(sum(coalesce(value_in, 0)) OVER w, 6) AS running_total
+FROM e
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+ORACLE["nodupkey"] = """
+SELECT * FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+        l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1"""
+
+ORACLE["proc_means_types"] = """
+SELECT c_mktsegment, c_nationkey,
+       CAST(3 - grouping(c_mktsegment, c_nationkey) AS INTEGER) AS _TYPE_,
+       count(*) AS _FREQ_, count(c_acctbal) AS n_acctbal,
+       round(avg(c_acctbal), 6) AS mean_acctbal, round(stddev_samp(c_acctbal), 6) AS std_acctbal,
+       min(c_acctbal) AS min_acctbal, max(c_acctbal) AS max_acctbal
+FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)"""
+
+ORACLE["proc_means_table"] = """
+SELECT l_returnflag,
+       count(l_quantity) AS l_quantity_n, round(avg(l_quantity), 6) AS l_quantity_mean,
+       round(stddev_samp(l_quantity), 6) AS l_quantity_std,
+       min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max,
+       count(l_extendedprice) AS l_extendedprice_n, round(avg(l_extendedprice), 6) AS l_extendedprice_mean,
+       round(stddev_samp(l_extendedprice), 6) AS l_extendedprice_std,
+       min(l_extendedprice) AS l_extendedprice_min, max(l_extendedprice) AS l_extendedprice_max
+FROM lineitem GROUP BY l_returnflag"""
+
+ORACLE["freq_oneway"] = """
+WITH f AS (SELECT o_custkey, count(*) AS frequency FROM orders
+           WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
+c AS (SELECT o_custkey, frequency,
+             sum(frequency) OVER (ORDER BY o_custkey ROWS UNBOUNDED PRECEDING) AS cum,
+             sum(frequency) OVER () AS total
+      FROM f)
+SELECT o_custkey, frequency,
+       round(CAST(frequency AS DOUBLE) * 100.0 / CAST(total AS DOUBLE), 6) AS percent,
+       CAST(cum AS BIGINT) AS cum_frequency,
+       round(CAST(cum AS DOUBLE) * 100.0 / CAST(total AS DOUBLE), 6) AS cum_percent
+FROM c"""
+
+ORACLE["freq_twoway"] = """
+WITH f AS (SELECT l_returnflag, l_linestatus, count(*) AS frequency FROM lineitem
+           WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, frequency,
+  round(CAST(frequency AS DOUBLE) * 100.0 / CAST(sum(frequency) OVER () AS DOUBLE), 6) AS percent,
+  round(CAST(frequency AS DOUBLE) * 100.0
+        / CAST(sum(frequency) OVER (PARTITION BY l_returnflag) AS DOUBLE), 6) AS row_percent,
+  round(CAST(frequency AS DOUBLE) * 100.0
+        / CAST(sum(frequency) OVER (PARTITION BY l_linestatus) AS DOUBLE), 6) AS col_percent
+FROM f"""
+
+ORACLE["transpose_wide"] = "SELECT l_orderkey, 'l_quantity' AS _NAME_, " + ", ".join(
+    f"max(l_quantity) FILTER (WHERE l_linenumber = {v}) AS _{v}" for v in range(1, 8)) + \
+    " FROM lineitem GROUP BY l_orderkey"
+
+ORACLE["transpose_long"] = """
+SELECT o_orderkey, 'o_totalprice' AS _NAME_, CAST(o_totalprice AS DOUBLE) AS COL1 FROM orders
+UNION ALL
+SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders"""
+
+ORACLE["merge_by"] = """
+SELECT CASE WHEN o.orderkey IS NOT NULL THEN o.orderkey ELSE l.orderkey END AS orderkey,
+       CASE WHEN l.orderkey IS NOT NULL THEN l.status ELSE o.status END AS status,
+       o.o_totalprice, l.l_linenumber, l.l_quantity,
+       o.orderkey IS NOT NULL AS in_left, l.orderkey IS NOT NULL AS in_right
+FROM (SELECT o_orderkey AS orderkey, o_orderstatus AS status, o_totalprice FROM orders) o
+FULL OUTER JOIN (SELECT l_orderkey AS orderkey, l_linestatus AS status, l_linenumber, l_quantity
+                 FROM lineitem) l
+ON o.orderkey = l.orderkey"""
+
+ORDERS_MISSING = """
+orders_m AS (
+  SELECT o_orderkey, o_orderstatus,
+         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS price_m,
+         CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS prio_m,
+         CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderdate END AS date_m,
+         CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority || '  ' ELSE o_orderpriority END
+           AS prio_padded,
+         o_orderpriority, o_totalprice
+  FROM orders)"""
+
+ORACLE["sas_sort_rank"] = f"""
+WITH {ORDERS_MISSING}
+SELECT o_orderkey,
+       row_number() OVER (ORDER BY prio_m ASC NULLS FIRST, price_m DESC NULLS LAST, o_orderkey)
+         AS sort_position
+FROM orders_m"""
+
+
+def _lt(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} IS NULL THEN false WHEN {a} IS NULL THEN true ELSE {a} < {b} END)"
+
+
+def _le(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} IS NULL THEN true WHEN {b} IS NULL THEN false ELSE {a} <= {b} END)"
+
+
+ORACLE["sas_predicates"] = f"""
+WITH {ORDERS_MISSING}
+SELECT o_orderstatus,
+  count(*) FILTER (WHERE {_lt('price_m', '250000.0')}) AS n_lt,
+  count(*) FILTER (WHERE {_le('price_m', '250000.0')}) AS n_le,
+  count(*) FILTER (WHERE {_lt('250000.0', 'price_m')}) AS n_gt,
+  count(*) FILTER (WHERE {_le('250000.0', 'price_m')}) AS n_ge,
+  count(*) FILTER (WHERE price_m IS NOT DISTINCT FROM NULL) AS n_eq_missing,
+  count(*) FILTER (WHERE price_m IS DISTINCT FROM NULL) AS n_ne_missing,
+  count(*) FILTER (WHERE {_lt('prio_m', "'2'")}) AS n_prio_lt_2,
+  count(*) FILTER (WHERE rtrim(coalesce(prio_padded, ''), ' ') = rtrim(coalesce(o_orderpriority, ''), ' '))
+    AS n_text_eq,
+  count(*) FILTER (WHERE prio_padded = o_orderpriority) AS n_plain_eq,
+  count(*) FILTER (WHERE o_orderkey % 6 <> 0) AS n_numeric
+FROM orders_m GROUP BY o_orderstatus"""
+
+_ETL_FILTERED = f"""{ORDERS_MISSING},
+filtered AS (SELECT * FROM orders_m WHERE {_le("TIMESTAMP '1995-01-01 00:00:00'", 'date_m')})"""
+
+ORACLE["etl_summary"] = f"""
+WITH {_ETL_FILTERED}
+SELECT o_orderpriority, count(*) AS n FROM filtered GROUP BY o_orderpriority"""
+
+ORACLE["etl_stats"] = f"""
+WITH {_ETL_FILTERED}
+SELECT 0 AS _TYPE_, count(*) AS _FREQ_, round(avg(price_m), 6) AS avg_totalprice FROM filtered"""

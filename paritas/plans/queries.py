@@ -110,3 +110,240 @@ def program_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("p_tpch").alias("program_id"), "*",
                        F.min(F.col("passed").cast("int")).over(prog).cast("boolean")
                         .alias("program_passed"))
+
+
+# ---------------------------------------------------------------- phase 3
+# landing: SAS dates, missing values, fingerprints
+
+from paritas.functions import sas as S  # noqa: E402
+from paritas.operators import sas as SO  # noqa: E402
+from paritas.sources.landing import normalize_frame  # noqa: E402
+from paritas.sources.snapshot import content_digest as _digest  # noqa: E402
+
+
+def _sas_day_inputs(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    day = S.sas_day_from_date("o_orderdate").cast("double")
+    whole = day.cast("long").cast("string")
+    return orders.select(
+        k.alias("o_orderkey"),
+        F.when(k % 13 == 0, F.lit(None)).when(k % 7 == 0, day + 0.75)
+         .when(k % 11 == 0, -day - 0.5).otherwise(day).alias("sas_day"),
+        F.when(k % 5 == 0, F.lit("n/a")).when(k % 3 == 0, F.concat(F.lit(" "), whole, F.lit(" ")))
+         .otherwise(whole).alias("sas_text"))
+
+
+@register("sas_dates")
+def sas_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAS day numbers (with fractions, negatives, missing, text and junk
+    injected by key) to ISO dates, and back to day numbers."""
+    d = _sas_day_inputs(I.table(spark, sf_dir, "orders"))
+    iso = S.sas_date_to_iso("sas_day")
+    return d.select("o_orderkey", iso.alias("iso_date"),
+                    S.sas_date_to_iso("sas_text").alias("iso_from_text"),
+                    S.sas_day_from_date(F.to_date(iso)).alias("back_day"))
+
+
+def _customer_raw(customer: DataFrame) -> DataFrame:
+    k = F.col("c_custkey")
+    return customer.select(
+        "c_custkey",
+        F.when(k % 13 == 0, F.lit(".")).when(k % 17 == 0, F.lit(""))
+         .when(k % 5 == 0, F.concat("c_name", F.lit("   ")))
+         .when(k % 19 == 0, F.concat("c_name", F.lit("\t \n"))).otherwise(F.col("c_name")).alias("c_name"),
+        "c_nationkey",
+        F.when(k % 11 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(k % 7 == 0, F.lit(" .")).when(k % 23 == 0, F.lit("   "))
+         .otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+
+
+@register("normalized_customer")
+def normalized_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded, blank, '.' and NaN values injected by key, then landed."""
+    return normalize_frame(_customer_raw(I.table(spark, sf_dir, "customer")))
+
+
+from paritas.plans.oracle import DIGEST_TABLES  # noqa: E402,F401
+
+
+@register("content_digest")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 (scalable mode): order-insensitive fingerprint per table projection."""
+    out = None
+    for name, cols in DIGEST_TABLES.items():
+        d = _digest(I.table(spark, sf_dir, name).select(*cols)).select(
+            F.lit(name).alias("table_name"), "*")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+# ---------------------------------------------------------------- phase 4
+# SAS DATA step and PROC operators
+
+EVENT_ORDER = ["ts", "event_id"]
+
+
+@register("first_last")
+def first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIRST./LAST. flags of events BY user_id in time order."""
+    ev = I.table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return SO.first_last(ev, ["user_id"], EVENT_ORDER).select(
+        "event_id", "user_id", "first_user_id", "last_user_id")
+
+
+@register("first_last_2level")
+def first_last_2level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 with two BY variables: FIRST./LAST. of event_type and of user_id within it."""
+    ev = I.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return SO.first_last(ev, ["event_type", "user_id"], EVENT_ORDER).select(
+        "event_id", "first_event_type", "last_event_type", "first_user_id", "last_user_id")
+
+
+@register("retain_locf")
+def retain_locf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RETAIN of the last non-missing value and a sum statement, BY user_id."""
+    ev = I.table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id",
+        F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("value")).alias("value_in"))
+    out = SO.running_total(SO.retain(ev, ["user_id"], EVENT_ORDER, {"retained": "value_in"}),
+                           ["user_id"], EVENT_ORDER, {"running_total": F.col("value_in")})
+    return out.select("event_id", "user_id", "value_in", "retained",
+                      F.round("running_total", 6).alias("running_total"))
+
+
+@register("nodupkey")
+def nodupkey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PROC SORT NODUPKEY BY l_orderkey, first by l_linenumber."""
+    return SO.nodupkey(I.table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber"])
+
+
+MEANS_OUT = {"n_acctbal": ("n", "c_acctbal"), "mean_acctbal": ("mean", "c_acctbal"),
+             "std_acctbal": ("std", "c_acctbal"), "min_acctbal": ("min", "c_acctbal"),
+             "max_acctbal": ("max", "c_acctbal")}
+
+
+@register("proc_means_types")
+def proc_means_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PROC MEANS OUTPUT with _TYPE_/_FREQ_ over CLASS c_mktsegment c_nationkey."""
+    out = SO.proc_means_output(I.table(spark, sf_dir, "customer"),
+                               ["c_mktsegment", "c_nationkey"], MEANS_OUT)
+    return out.withColumn("mean_acctbal", F.round("mean_acctbal", 6)) \
+              .withColumn("std_acctbal", F.round("std_acctbal", 6))
+
+
+@register("proc_means_table")
+def proc_means_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default statistics n, mean, std, min, max of two variables by class."""
+    li = I.table(spark, sf_dir, "lineitem")
+    out = SO.proc_means(li, ["l_quantity", "l_extendedprice"], ["l_returnflag"])
+    for c in out.columns:
+        if c.endswith("_mean") or c.endswith("_std"):
+            out = out.withColumn(c, F.round(c, 6))
+    return out
+
+
+@register("freq_oneway")
+def freq_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-way frequency table of o_custkey with cumulative columns."""
+    f = SO.proc_freq(I.table(spark, sf_dir, "orders"), "o_custkey")
+    return f.select("o_custkey", "frequency", F.round("percent", 6).alias("percent"),
+                    "cum_frequency", F.round("cum_percent", 6).alias("cum_percent"))
+
+
+@register("freq_twoway")
+def freq_twoway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-way table l_returnflag x l_linestatus."""
+    f = SO.proc_freq_2way(I.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+    return f.select("l_returnflag", "l_linestatus", "frequency",
+                    *[F.round(c, 6).alias(c) for c in ("percent", "row_percent", "col_percent")])
+
+
+@register("transpose_wide")
+def transpose_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: PROC TRANSPOSE BY l_orderkey ID l_linenumber VAR l_quantity."""
+    return SO.transpose_wide(I.table(spark, sf_dir, "lineitem"), ["l_orderkey"],
+                             "l_linenumber", "l_quantity")
+
+
+@register("transpose_long")
+def transpose_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: wide to long, BY o_orderkey VAR o_totalprice o_custkey."""
+    return SO.transpose_long(I.table(spark, sf_dir, "orders"), ["o_orderkey"],
+                             ["o_totalprice", "o_custkey"])
+
+
+@register("merge_by")
+def merge_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MERGE orders (one) lineitem (many) BY orderkey; status from the right."""
+    o = I.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    li = I.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("orderkey"), F.col("l_linestatus").alias("status"),
+        "l_linenumber", "l_quantity")
+    return SO.merge_by(o, li, ["orderkey"])
+
+
+def _orders_with_missing(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    return orders.select(
+        "o_orderkey", "o_orderstatus",
+        F.when(k % 9 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("price_m"),
+        F.when(k % 10 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("prio_m"),
+        F.when(k % 8 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("date_m"),
+        F.when(k % 4 == 0, F.concat("o_orderpriority", F.lit("  "))).otherwise(F.col("o_orderpriority"))
+         .alias("prio_padded"), "o_orderpriority",
+        F.when(k % 6 == 0, F.lit("x")).otherwise(F.col("o_totalprice").cast("string")).alias("price_text"))
+
+
+@register("sas_sort_rank")
+def sas_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: position of every order in PROC SORT order
+    ``BY prio_m DESCENDING price_m o_orderkey`` (missing lowest)."""
+    m = _orders_with_missing(I.table(spark, sf_dir, "orders")).select(
+        "o_orderkey", "prio_m",
+        F.col("price_m").isNull().cast("int").alias("_price_missing"),
+        (-F.col("price_m")).alias("_neg_price"))
+    from paritas.operators.scan import ordered_scan
+    ranked = ordered_scan(m, [], ["prio_m", "_price_missing", "_neg_price", "o_orderkey"],
+                          position="sort_position")
+    return ranked.select("o_orderkey", "sort_position")
+
+
+@register("sas_predicates")
+def sas_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing-aware comparisons, blank-insensitive text equality and
+    explicit numeric conversion, counted per o_orderstatus."""
+    m = _orders_with_missing(I.table(spark, sf_dir, "orders"))
+    t = F.lit(250000.0)
+    nul = F.lit(None).cast("double")
+    return m.groupBy("o_orderstatus").agg(
+        F.count_if(S.sas_lt("price_m", t)).alias("n_lt"),
+        F.count_if(S.sas_le("price_m", t)).alias("n_le"),
+        F.count_if(S.sas_gt("price_m", t)).alias("n_gt"),
+        F.count_if(S.sas_ge("price_m", t)).alias("n_ge"),
+        F.count_if(S.sas_eq("price_m", nul)).alias("n_eq_missing"),
+        F.count_if(S.sas_ne("price_m", nul)).alias("n_ne_missing"),
+        F.count_if(S.sas_lt("prio_m", F.lit("2"))).alias("n_prio_lt_2"),
+        F.count_if(S.sas_text_eq("prio_padded", "o_orderpriority")).alias("n_text_eq"),
+        F.count_if(F.col("prio_padded") == F.col("o_orderpriority")).alias("n_plain_eq"),
+        F.count(S.to_sas_num("price_text")).alias("n_numeric"))
+
+
+def _etl_filtered(spark, sf_dir) -> DataFrame:
+    m = _orders_with_missing(I.table(spark, sf_dir, "orders"))
+    # data work.filtered; set orders; where date_m >= "1995-01-01"d; run;
+    return SO.data_step_where(m, S.sas_ge("date_m", F.lit("1995-01-01").cast("timestamp_ntz")))
+
+
+@register("etl_summary")
+def etl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 + A6: the DATA step WHERE then PROC SQL count by priority."""
+    return SO.proc_sql_count(_etl_filtered(spark, sf_dir), ["o_orderpriority"], "n")
+
+
+@register("etl_stats")
+def etl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PROC MEANS NOPRINT; VAR price; OUTPUT OUT=stats MEAN=avg_totalprice."""
+    out = SO.proc_means_output(_etl_filtered(spark, sf_dir), [],
+                               {"avg_totalprice": ("mean", "price_m")})
+    return out.withColumn("avg_totalprice", F.round("avg_totalprice", 6))
