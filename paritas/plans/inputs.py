@@ -47,3 +47,46 @@ def lineitem_shuffled(lineitem: DataFrame) -> DataFrame:
     """The same multiset of rows in another physical order and column order."""
     cols = list(reversed(lineitem.columns))
     return lineitem.select(*cols).repartition(7, F.col("l_partkey"))
+
+
+# Call log, attempt log and status updates derived from events: one program
+# per user, the event type as call purpose, value as token cost.
+CALL_CAP = 50_000            # per-program token cap
+BATCH_CAP = 20_000_000       # per-batch token cap
+BREAKER_THRESHOLD = 3        # consecutive failures that open the breaker
+
+EVENT_STATUS = {"signup": "registered", "view": "landed", "click": "translated",
+                "purchase": "parity_pass", "error": "triage"}
+
+
+def call_log(events: DataFrame) -> DataFrame:
+    err = F.when(F.col("event_type") == "error",
+                 F.when(F.col("event_id") % 5 == 0, F.lit("circuit_open"))
+                  .otherwise(F.lit("retries_exhausted")))
+    return events.select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("program_id"),
+        "user_id", "event_id", "ts", F.lit("m1").alias("model"),
+        F.col("event_type").alias("purpose"),
+        F.round(F.col("value") * 100).cast("long").alias("input_tokens"),
+        (F.col("event_id") % 50).alias("output_tokens"),
+        F.round(F.col("value") / 10, 3).alias("latency_s"),
+        err.alias("error"))
+
+
+def attempt_log(events: DataFrame) -> DataFrame:
+    loop = F.when(F.col("event_type").isin("purchase", "error"), F.lit("match")).otherwise(F.lit("run"))
+    return events.select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("program_id"),
+        "event_id", "ts", loop.alias("loop"),
+        F.when(loop == "match", F.lit(-1)).otherwise(F.col("event_id") % 3).cast("int").alias("step_index"),
+        (F.col("event_id") % 5 + 1).cast("int").alias("outer_attempt"),
+        (F.col("event_type") != "error").alias("ok"))
+
+
+def status_updates(events: DataFrame) -> DataFrame:
+    """Key/value rows: key = program, payload = {"status", "event_id"}, at ts."""
+    status = F.create_map(*[x for k, v in EVENT_STATUS.items() for x in (F.lit(k), F.lit(v))])
+    return events.select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("key"),
+        F.to_json(F.struct(status[F.col("event_type")].alias("status"), "event_id")).alias("payload"),
+        F.col("ts").cast("timestamp").alias("updated_at"))

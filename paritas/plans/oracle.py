@@ -414,3 +414,173 @@ SELECT o_orderpriority, count(*) AS n FROM filtered GROUP BY o_orderpriority"""
 ORACLE["etl_stats"] = f"""
 WITH {_ETL_FILTERED}
 SELECT 0 AS _TYPE_, count(*) AS _FREQ_, round(avg(price_m), 6) AS avg_totalprice FROM filtered"""
+
+
+# ---------------------------------------------------------------- phase 5
+
+_STATUS_CASE = ("CASE event_type WHEN 'signup' THEN 'registered' WHEN 'view' THEN 'landed' "
+                "WHEN 'click' THEN 'translated' WHEN 'purchase' THEN 'parity_pass' "
+                "WHEN 'error' THEN 'triage' END")
+
+STATE = f"""
+upd AS (
+  SELECT 'p' || CAST(user_id AS VARCHAR) AS key,
+         json_object('status', {_STATUS_CASE}, 'event_id', event_id)::VARCHAR AS payload, ts
+  FROM events),
+state AS (SELECT key, arg_max(payload, ts) AS payload, max(ts) AS updated_at FROM upd GROUP BY key),
+status AS (SELECT key, json_extract_string(payload, '$.status') AS status FROM state)"""
+
+ORACLE["latest_state"] = f"""
+WITH {STATE}
+SELECT key, payload, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM state"""
+
+ORACLE["pending"] = f"""
+WITH {STATE}
+SELECT key, status FROM status WHERE status IS DISTINCT FROM 'parity_pass'"""
+
+ORACLE["funnel"] = f"""
+WITH {STATE}
+SELECT status, count(*) AS n FROM status GROUP BY status"""
+
+CALLS = """
+calls AS (
+  SELECT 'p' || CAST(user_id AS VARCHAR) AS program_id, user_id, event_id, ts, 'm1' AS model,
+         event_type AS purpose, CAST(round(value * 100) AS BIGINT) AS input_tokens,
+         event_id % 50 AS output_tokens, round(value / 10, 3) AS latency_s,
+         CASE WHEN event_type = 'error' THEN
+              CASE WHEN event_id % 5 = 0 THEN 'circuit_open' ELSE 'retries_exhausted' END END AS error
+  FROM events)"""
+
+ORACLE["usage_summary"] = f"""
+WITH {CALLS}
+SELECT program_id, count(*) AS calls, count(error) AS errors,
+       count(*) FILTER (WHERE error = 'circuit_open') AS refusals,
+       CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+       round(avg(latency_s), 6) AS avg_latency_s
+FROM calls GROUP BY program_id"""
+
+ORACLE["migration_metrics"] = f"""
+WITH {STATE}, {CALLS}
+SELECT CAST(count(*) AS BIGINT) AS programs,
+       round(count(*) FILTER (WHERE status = 'parity_pass') / count(*), 6) AS pass_rate,
+       round(count(*) FILTER (WHERE status = 'triage') / count(*), 6) AS triage_rate,
+       round((SELECT count(*) FROM calls) / count(*), 6) AS calls_per_program
+FROM status"""
+
+TRIPS = f"""
+run_used AS (
+  SELECT program_id, event_id,
+         sum(input_tokens + output_tokens) OVER (PARTITION BY program_id ORDER BY ts, event_id
+                                                 ROWS UNBOUNDED PRECEDING) AS used,
+         row_number() OVER (PARTITION BY program_id ORDER BY ts, event_id) AS call_no
+  FROM calls),
+trips AS (
+  SELECT program_id, call_no AS trip_call_no, CAST(used AS BIGINT) AS used_at_trip,
+         event_id AS trip_event_id
+  FROM run_used WHERE used > {I.CALL_CAP}
+  QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY call_no) = 1)"""
+
+ORACLE["budget_trips"] = f"WITH {CALLS}, {TRIPS}\nSELECT * FROM trips"
+
+ORACLE["batch_budget"] = f"""
+WITH {CALLS},
+per AS (SELECT program_id, user_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens
+        FROM calls GROUP BY program_id, user_id),
+c AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY user_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
+                  AS cum_tokens FROM per)
+SELECT program_id, tokens, cum_tokens,
+       CASE WHEN cum_tokens - tokens <= {I.BATCH_CAP} THEN 'processed' ELSE 'pending' END
+         AS batch_status
+FROM c"""
+
+ORACLE["failure_runs"] = f"""
+WITH {CALLS},
+s AS (SELECT *, sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY program_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+                  AS island
+      FROM calls)
+SELECT program_id, CAST(island AS BIGINT) AS successes_before, CAST(count(*) AS BIGINT) AS failures,
+       arg_min(event_id, ts) AS first_event_id, arg_max(event_id, ts) AS last_event_id
+FROM s WHERE error IS NOT NULL AND error <> 'circuit_open'
+GROUP BY program_id, island HAVING count(*) >= {I.BREAKER_THRESHOLD}"""
+
+ORACLE["outcomes"] = f"""
+WITH {CALLS}, {TRIPS},
+att AS (
+  SELECT 'p' || CAST(user_id AS VARCHAR) AS program_id, event_id, ts,
+         CASE WHEN event_type IN ('purchase', 'error') THEN 'match' ELSE 'run' END AS loop,
+         CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE event_id % 3 END AS step_index,
+         event_id % 5 + 1 AS outer_attempt, event_type <> 'error' AS ok
+  FROM events),
+per AS (SELECT program_id, arg_max(loop, ts) AS last_loop, arg_max(ok, ts) AS last_ok,
+               CAST(max(outer_attempt) AS BIGINT) AS outer_attempts FROM att GROUP BY program_id),
+rr AS (SELECT program_id, CAST(sum(n - 1) AS BIGINT) AS run_repairs
+       FROM (SELECT program_id, outer_attempt, step_index, count(*) AS n FROM att
+             WHERE loop = 'run' GROUP BY ALL) GROUP BY program_id),
+m AS (
+  SELECT per.program_id, outer_attempts, coalesce(run_repairs, 0) AS run_repairs,
+         CASE WHEN t.program_id IS NOT NULL THEN 'budget'
+              WHEN last_loop = 'match' AND last_ok THEN NULL
+              WHEN last_loop = 'run' AND NOT last_ok THEN 'never_ran'
+              WHEN last_loop = 'match' THEN 'diverged' ELSE 'never_ran' END AS failure_mode
+  FROM per LEFT JOIN rr USING (program_id) LEFT JOIN trips t USING (program_id))
+SELECT program_id, CASE WHEN failure_mode IS NULL THEN 'parity_pass' ELSE 'triage' END AS status,
+       failure_mode, outer_attempts, CAST(run_repairs AS BIGINT) AS run_repairs
+FROM m"""
+
+_GROUP = "coalesce(g_o_orderpriority, b_o_orderpriority)"
+_G_CELLS = " + ".join(f"count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)})"
+                      for c, f in ORDER_VALS)
+GROUPED = f"""
+grouped AS (
+  SELECT {_GROUP} AS program_id,
+         CAST(count(*) FILTER (WHERE gk IS NOT NULL) AS BIGINT) AS gt_rows,
+         CAST(count(*) FILTER (WHERE bk IS NOT NULL) AS BIGINT) AS out_rows,
+         CAST(count(*) FILTER (WHERE gk IS NOT NULL AND bk IS NULL) AS BIGINT) AS missing_rows,
+         CAST(count(*) FILTER (WHERE bk IS NOT NULL AND gk IS NULL) AS BIGINT) AS extra_rows,
+         CAST({_G_CELLS} AS BIGINT) AS mismatched_cells
+  FROM orders_j GROUP BY {_GROUP})"""
+
+ORACLE["grouped_parity"] = f"""
+WITH {ORDERS_BAD}, {ORDERS_JOIN}, {GROUPED}
+SELECT *, (gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND mismatched_cells = 0)
+          AS passed
+FROM grouped"""
+
+_G_COLS = "\nUNION ALL\n".join(
+    f"""SELECT {_GROUP} AS program_id, '{c}' AS column_name,
+       count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)}) AS mismatches,
+       count(*) FILTER (WHERE {_MATCHED}) AS total
+FROM orders_j GROUP BY {_GROUP}""" for c, f in ORDER_VALS)
+_G_BAD = "\nUNION ALL\n".join(
+    f"""SELECT g_o_orderpriority AS program_id, '{c}' AS column_name, gk AS o_orderkey,
+       CAST(g_{c} AS VARCHAR) AS gt_value, CAST(b_{c} AS VARCHAR) AS out_value
+FROM orders_j WHERE {_MATCHED} AND NOT {_orders_match(c, f)}""" for c, f in ORDER_VALS)
+
+ORACLE["diff_text"] = f"""
+WITH {ORDERS_BAD}, {ORDERS_JOIN}, {GROUPED},
+gcols AS ({_G_COLS}),
+gbad AS ({_G_BAD}),
+gsamp AS (
+  SELECT *, row_number() OVER (PARTITION BY program_id, column_name ORDER BY o_orderkey) AS sample_no
+  FROM gbad),
+lines AS (
+  SELECT program_id, 0 AS c, '' AS n, 0 AS s,
+         printf('[%s] table orders: ground_truth=%d rows, output=%d rows, missing=%d, extra=%d',
+                CASE WHEN gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0
+                          AND mismatched_cells = 0 THEN 'PASS' ELSE 'FAIL' END,
+                gt_rows, out_rows, missing_rows, extra_rows) AS line
+  FROM grouped
+  UNION ALL
+  SELECT program_id, 2, column_name, 0,
+         printf('  column %s: %d/%d mismatched (%.2f%%)', column_name, mismatches, total,
+                CAST(mismatches AS DOUBLE) * 100.0 / CAST(total AS DOUBLE))
+  FROM gcols WHERE mismatches > 0
+  UNION ALL
+  SELECT program_id, 2, column_name, sample_no,
+         '    sample: o_orderkey=' || CAST(o_orderkey AS VARCHAR) || ': ' || column_name || ' '
+         || coalesce(gt_value, 'None') || ' != ' || coalesce(out_value, 'None')
+  FROM gsamp WHERE sample_no <= 5)
+SELECT program_id, string_agg(line, chr(10) ORDER BY c, n, s) AS text
+FROM lines GROUP BY program_id"""

@@ -347,3 +347,136 @@ def etl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SO.proc_means_output(_etl_filtered(spark, sf_dir), [],
                                {"avg_totalprice": ("mean", "price_m")})
     return out.withColumn("avg_totalprice", F.round("avg_totalprice", 6))
+
+
+# ---------------------------------------------------------------- phase 5
+# state tables and reports over logs derived from events
+
+from paritas.operators import reports as R  # noqa: E402
+from paritas.operators import state as ST  # noqa: E402
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+STATE_SPLIT = "2024-01-15 00:00:00"
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    """Latest state per program after two upsert batches (before/after a cut-off)."""
+    upd = I.status_updates(I.table(spark, sf_dir, "events"))
+    cut = F.lit(STATE_SPLIT).cast("timestamp")
+    first = ST.upsert(None, upd.filter(F.col("updated_at") < cut))
+    return ST.upsert(first, upd.filter(F.col("updated_at") >= cut))
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    return _state(spark, sf_dir).select(
+        "key", F.get_json_object("payload", "$.status").alias("status"))
+
+
+@register("latest_state")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1/K2/O3: batch upserts of JSON payloads, latest row per key."""
+    return _state(spark, sf_dir).select(
+        "key", "payload", F.date_format("updated_at", TS_FMT).alias("updated_at"))
+
+
+@register("pending")
+def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: programs whose latest status is not parity_pass."""
+    return ST.pending(_status(spark, sf_dir))
+
+
+@register("funnel")
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs per status."""
+    return ST.funnel(_status(spark, sf_dir))
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    return I.call_log(I.table(spark, sf_dir, "events"))
+
+
+@register("usage_summary")
+def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, errors, refusals, tokens and latency per program."""
+    u = R.usage_summary(_calls(spark, sf_dir), ["program_id"])
+    return u.withColumn("avg_latency_s", F.round("avg_latency_s", 6))
+
+
+@register("migration_metrics")
+def migration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass rate, triage rate and calls per program."""
+    m = R.migration_metrics(_status(spark, sf_dir), _calls(spark, sf_dir))
+    return m.select("programs", *[F.round(c, 6).alias(c) for c in
+                                  ("pass_rate", "triage_rate", "calls_per_program")])
+
+
+def _trips(spark, sf_dir) -> DataFrame:
+    return R.budget_trips(_calls(spark, sf_dir), I.CALL_CAP, EVENT_ORDER, ident="event_id")
+
+
+@register("budget_trips")
+def budget_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First call per program whose cumulative tokens exceed the cap."""
+    return _trips(spark, sf_dir)
+
+
+@register("batch_budget")
+def batch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 batch form: programs in order charge one batch cap."""
+    per = _calls(spark, sf_dir).groupBy("program_id", "user_id").agg(
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).cast("long").alias("tokens"))
+    return R.batch_budget(per, I.BATCH_CAP, ["user_id"]).select(
+        "program_id", "tokens", "cum_tokens", "batch_status")
+
+
+@register("failure_runs")
+def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of consecutive failed calls reaching the breaker threshold."""
+    return R.failure_runs(_calls(spark, sf_dir), I.BREAKER_THRESHOLD, EVENT_ORDER)
+
+
+@register("outcomes")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, failure mode, outer attempts and run repairs per program."""
+    att = I.attempt_log(I.table(spark, sf_dir, "events"))
+    return R.outcomes(att, EVENT_ORDER, trips=_trips(spark, sf_dir))
+
+
+def _grouped(spark, sf_dir):
+    a = _orders_pair(spark, sf_dir)
+    return a, C.grouped_keyed_stats(a, ["o_orderkey"], "o_orderpriority")
+
+
+@register("grouped_parity")
+def grouped_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 at scale: keyed parity of many programs (here: one per order
+    priority) from one join and one aggregation."""
+    a, s = _grouped(spark, sf_dir)
+    vals = C.value_columns(a, ["o_orderkey"])
+    cells = sum((F.col("mm__" + n) for n in vals), F.lit(0))
+    gt = F.col("matched_rows") + F.col("missing_rows")
+    out = F.col("matched_rows") + F.col("extra_rows")
+    return s.select(F.col("o_orderpriority").alias("program_id"),
+                    gt.cast("long").alias("gt_rows"), out.cast("long").alias("out_rows"),
+                    F.col("missing_rows").cast("long").alias("missing_rows"),
+                    F.col("extra_rows").cast("long").alias("extra_rows"),
+                    cells.cast("long").alias("mismatched_cells"),
+                    ((gt == out) & (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0)
+                     & (cells == 0)).alias("passed"))
+
+
+@register("diff_text")
+def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: per-program diff text (header, mismatching columns, five samples each)."""
+    a, s = _grouped(spark, sf_dir)
+    keys = ["o_orderkey"]
+    tables = grouped_parity(spark, sf_dir).select(
+        "program_id", F.lit("orders").alias("table"), "gt_rows", "out_rows", "missing_rows",
+        "extra_rows", "passed")
+    cols = C.grouped_columns(s, a, keys, "o_orderpriority").select(
+        F.col("o_orderpriority").alias("program_id"), F.lit("orders").alias("table"),
+        "column_name", "mismatches", "total")
+    samples = C.grouped_samples(a, keys, "o_orderpriority").select(
+        F.col("o_orderpriority").alias("program_id"), F.lit("orders").alias("table"),
+        "column_name", "sample_no", "sample")
+    return R.diff_text(tables, cols, samples, by="program_id")
