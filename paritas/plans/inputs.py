@@ -90,3 +90,114 @@ def status_updates(events: DataFrame) -> DataFrame:
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("key"),
         F.to_json(F.struct(status[F.col("event_type")].alias("status"), "event_id")).alias("payload"),
         F.col("ts").cast("timestamp").alias("updated_at"))
+
+
+# ---------------------------------------------------------------- script corpus
+# One SAS program per customer, built by Spark from the customer row; every
+# third program carries a whole document text in a comment block. Include
+# files come from the market segments and the region table.
+
+CORPUS_ROOT = "/corpus/progs"
+NL = "\n"
+
+
+def _opt(cond, text):
+    return F.when(cond, text)
+
+
+def sas_programs(customer: DataFrame, documents: DataFrame) -> DataFrame:
+    k = F.col("c_custkey")
+    ks = k.cast("string")
+    seg = F.lower(F.col("c_mktsegment"))
+    docs = documents.select(F.col("doc_id"), F.col("text").alias("_doc"))
+    c = customer.join(docs, k == F.col("doc_id"), "left")
+    text = F.concat_ws(
+        NL,
+        F.concat(F.lit("/* program for "), F.col("c_name"), F.lit(" */")),
+        _opt((k % 3 == 0) & F.col("_doc").isNotNull(), F.concat(F.lit("/* notes:\n"), F.col("_doc"), F.lit("\n*/"))),
+        F.lit("options nodate;"),
+        F.lit("libname mylib '/data/mylib';"),
+        F.concat(F.lit("%let seg = "), F.col("c_mktsegment"), F.lit(";")),
+        F.concat(F.lit("%let cutoff = 199"), (k % 10).cast("string"), F.lit("-01-01;")),
+        _opt(k % 2 == 0, F.concat(F.lit("%include 'macros/"), seg, F.lit(".sas';"))),
+        _opt(k % 10 == 0, F.lit("%include 'missing/nothing.sas';")),
+        F.concat(F.lit("data work.c"), ks, F.lit(";")),
+        F.lit("  set mylib.orders;"),
+        F.concat(F.lit("  where o_custkey = "), ks,
+                 F.lit(' and o_orderdate >= "&cutoff."d and seg = "&seg" and code = "&segment_code";')),
+        F.lit("run;"),
+        _opt(k % 4 == 0, F.lit("%let cutoff = 2000-01-01;")),
+        F.lit("proc sql;"),
+        F.concat(F.lit("  create table work.s"), ks, F.lit(" as")),
+        F.lit("  select o_orderpriority, count(*) as n"),
+        F.concat(F.lit("  from work.c"), ks, F.lit(" /* inline */")),
+        F.lit("  group by o_orderpriority;"),
+        F.lit("quit;"),
+        _opt(k % 4 != 0, F.concat(F.lit("proc means data=work.c"), ks, F.lit(" noprint;\n  var o_totalprice;\n"
+                                  "  output out=work.m"), ks, F.lit(" mean=avg_price;\nrun;"))),
+        _opt(k % 5 == 0, F.concat(F.lit("data work.flag"), ks, F.lit("; set work.c"), ks,
+                                  F.lit(";\nproc print data=work.flag"), ks, F.lit("; run;"))),
+        _opt(k % 7 == 0, F.concat(F.lit("%macro report"), ks, F.lit("(tbl);\n  proc print data=&tbl; run;\n"
+                                  "  data x; set y; run;\n%mend;\n%report"), ks,
+                                  F.lit("(work.s"), ks, F.lit(");"))))
+    return c.select(F.concat(F.lit("c"), ks).alias("program_id"),
+                    F.concat(F.lit(f"{CORPUS_ROOT}/c"), ks, F.lit(".sas")).alias("path"),
+                    text.alias("source"))
+
+
+def sas_include_files(customer: DataFrame, region: DataFrame) -> DataFrame:
+    seg = F.lower(F.col("c_mktsegment"))
+    macros = customer.select(seg.alias("seg")).distinct().select(
+        F.concat(F.lit(f"{CORPUS_ROOT}/macros/"), F.col("seg"), F.lit(".sas")).alias("path"),
+        F.concat(F.lit("%macro dedupe_"), F.col("seg"),
+                 F.lit("(tbl);\n  proc sort data=&tbl nodupkey; by id; run;\n%mend;\n"
+                       "%include 'common/util.sas';\n")).alias("source"))
+    util = region.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(f"{CORPUS_ROOT}/macros/common/util.sas").alias("path"),
+        F.concat(F.lit("/* shared utilities */\n%let util_version = "), F.col("n").cast("string"),
+                 F.lit(";\n")).alias("source"))
+    return macros.unionByName(util)
+
+
+def step_code(orders: DataFrame) -> DataFrame:
+    """Generated step code to scan for writes outside the sandbox."""
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    sandbox = F.concat(F.lit("sandbox_p"), (k % 7).cast("string"))
+    m = k % 6
+    code = (F.when(m == 0, F.concat(F.lit("CREATE TABLE "), sandbox, F.lit(".t"), ks,
+                                    F.lit(" AS SELECT * FROM ground_truth.gt")))
+             .when(m == 1, F.concat(F.lit("CREATE TABLE IF NOT EXISTS ground_truth.t"), ks, F.lit(" AS SELECT 1")))
+             .when(m == 2, F.concat(F.lit('df.write.saveAsTable(f"staging_inputs.x'), ks, F.lit('")')))
+             .when(m == 3, F.concat(F.lit("INSERT INTO `"), sandbox, F.lit("` . `t"), ks, F.lit("` SELECT 1")))
+             .when(m == 4, F.concat(F.lit("DROP TABLE -- note\nground_truth.t"), ks))
+             .otherwise(F.lit("USE staging_inputs")))
+    code = F.when(k % 5 == 0, F.concat(code, F.lit('\nspark.catalog.setCurrentDatabase("x")'))).otherwise(code)
+    return orders.select(F.concat(F.lit("s"), ks).alias("step_id"), sandbox.alias("sandbox"),
+                         code.alias("code"))
+
+
+def sql_scripts(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    tail = (F.when(k % 3 == 0, F.concat(F.lit("INSERT INTO t VALUES ('O''Brien; "), ks, F.lit("');")))
+             .when(k % 3 == 1, F.lit(" ; ;SELECT 2"))
+             .otherwise(F.concat(F.lit("SELECT 'open; "), ks)))
+    return orders.select(F.concat(F.lit("q"), ks).alias("script_id"), F.concat(
+        F.lit("SELECT '"), F.col("o_orderpriority"), F.lit(";"), ks, F.lit("' AS p; "), tail).alias("code"))
+
+
+def responses(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    lang = F.when(k % 7 == 0, "python").when(k % 2 == 1, "pyspark").otherwise("sql")
+    header = (F.when(k % 11 == 0, F.lit(""))
+               .when(k % 13 == 0, F.lit("```json\n{language: sql\n```\n"))
+               .otherwise(F.concat(F.lit('```json\n{"language": "'), lang, F.lit('", "inputs": ["in'), ks,
+                                   F.lit('"], "outputs": ["out'), ks, F.lit('"]}\n```\n'))))
+    fence = F.when(lang == "sql", "sql").otherwise("python")
+    code = F.when(k % 17 == 0, F.lit("no code here")).otherwise(
+        F.concat(F.lit("```"), fence, F.lit("\n  SELECT * FROM in"), ks, F.lit(";  \n```")))
+    return orders.select(F.concat(F.lit("r"), ks).alias("response_id"),
+                         (k % 9).cast("int").alias("step_index"),
+                         F.concat(F.lit("Here is the step.\n"), header, code).alias("text"))

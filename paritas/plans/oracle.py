@@ -584,3 +584,202 @@ lines AS (
   FROM gsamp WHERE sample_no <= 5)
 SELECT program_id, string_agg(line, chr(10) ORDER BY c, n, s) AS text
 FROM lines GROUP BY program_id"""
+
+
+# ---------------------------------------------------------------- phase 6
+
+_K = "c_custkey"
+_KS = "CAST(c_custkey AS VARCHAR)"
+_NL = "chr(10)"
+
+PROGRAMS = f"""
+programs AS (
+  SELECT 'c' || {_KS} AS program_id, '/corpus/progs/c' || {_KS} || '.sas' AS path,
+  concat_ws({_NL},
+    '/* program for ' || c_name || ' */',
+    CASE WHEN {_K} % 3 = 0 AND d.text IS NOT NULL THEN '/* notes:' || {_NL} || d.text || {_NL} || '*/' END,
+    'options nodate;',
+    'libname mylib ''/data/mylib'';',
+    '%let seg = ' || c_mktsegment || ';',
+    '%let cutoff = 199' || CAST({_K} % 10 AS VARCHAR) || '-01-01;',
+    CASE WHEN {_K} % 2 = 0 THEN '%include ''macros/' || lower(c_mktsegment) || '.sas'';' END,
+    CASE WHEN {_K} % 10 = 0 THEN '%include ''missing/nothing.sas'';' END,
+    'data work.c' || {_KS} || ';',
+    '  set mylib.orders;',
+    '  where o_custkey = ' || {_KS} || ' and o_orderdate >= "&cutoff."d and seg = "&seg" and code = "&segment_code";',
+    'run;',
+    CASE WHEN {_K} % 4 = 0 THEN '%let cutoff = 2000-01-01;' END,
+    'proc sql;',
+    '  create table work.s' || {_KS} || ' as',
+    '  select o_orderpriority, count(*) as n',
+    '  from work.c' || {_KS} || ' /* inline */',
+    '  group by o_orderpriority;',
+    'quit;',
+    CASE WHEN {_K} % 4 <> 0 THEN 'proc means data=work.c' || {_KS} || ' noprint;' || {_NL}
+         || '  var o_totalprice;' || {_NL} || '  output out=work.m' || {_KS} || ' mean=avg_price;'
+         || {_NL} || 'run;' END,
+    CASE WHEN {_K} % 5 = 0 THEN 'data work.flag' || {_KS} || '; set work.c' || {_KS} || ';' || {_NL}
+         || 'proc print data=work.flag' || {_KS} || '; run;' END,
+    CASE WHEN {_K} % 7 = 0 THEN '%macro report' || {_KS} || '(tbl);' || {_NL}
+         || '  proc print data=&tbl; run;' || {_NL} || '  data x; set y; run;' || {_NL} || '%mend;'
+         || {_NL} || '%report' || {_KS} || '(work.s' || {_KS} || ');' END
+  ) AS source
+  FROM customer LEFT JOIN documents d ON c_custkey = d.doc_id)"""
+
+_COMMENT = r"(?s)/\*.*?\*/"
+
+ORACLE["stripped_comments"] = f"""
+WITH {PROGRAMS},
+s AS (SELECT program_id, string_split_regex(source, '{_COMMENT}') AS pieces,
+             regexp_extract_all(source, '{_COMMENT}') AS comments FROM programs)
+SELECT program_id,
+       pieces[1] || array_to_string(list_transform(generate_series(1, len(comments)),
+         lambda i: repeat(chr(10), length(comments[i]) - length(replace(comments[i], chr(10), '')))
+                   || pieces[i + 1]), '') AS source
+FROM s"""
+
+_LET = r"(?im)^\s*%let\s+(\w+)\s*=\s*([^;]*);\s*$"
+_PYWS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE["expanded_lets"] = f"""
+WITH {PROGRAMS},
+s AS (SELECT program_id, source, regexp_extract_all(source, '{_LET}', 1) AS names,
+             regexp_extract_all(source, '{_LET}', 2) AS vals FROM programs),
+d AS (SELECT program_id, source,
+        list_sort(list_filter(list_transform(generate_series(1, len(names)), lambda i: {{
+            'neg_len': -length(names[i]), 'i': i, 'name': names[i],
+            'value': vals[len(names) - list_position(list_reverse(names), names[i]) + 1]}}),
+          lambda x: NOT list_contains(names[1:x.i - 1], x.name))) AS defs
+      FROM s)
+SELECT program_id,
+       list_reduce(defs, lambda acc, x: regexp_replace(acc, '(?i)&' || x.name || '\\.?',
+                   replace(trim(x.value, {_PYWS}), '\\', '\\\\'), 'g'),
+                   regexp_replace(source, '{_LET}', '', 'g')) AS source
+FROM d"""
+
+_FORB = (r"(?i)\b(?:use\s+(?:catalog\s+|schema\s+|database\s+)?\w|"
+         r"(?:drop|create)\s+(?:schema|database)\b|"
+         r"insert\s+overwrite\s+(?:local\s+)?directory\b)")
+_PYFORB = r"\.set(?:CurrentDatabase|CurrentCatalog)\s*\("
+_SQLW = (r"(?i)\b(?:create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)"
+         r"(?:\s+if\s+not\s+exists)?|replace\s+table|insert\s+(?:into|overwrite)"
+         r"(?:\s+table)?|merge\s+into|update|delete\s+from|alter\s+table"
+         r"|drop\s+table(?:\s+if\s+exists)?|truncate\s+table)"
+         r"\s+([\w.]+)")
+_PYW = r"""\.(?:saveAsTable|insertInto|writeTo)\(\s*[rbfuRBFU]{0,2}['"]([^'"]+)['"]"""
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+STEP_CODE = """
+steps AS (
+  SELECT 's' || CAST(o_orderkey AS VARCHAR) AS step_id,
+         'sandbox_p' || CAST(o_orderkey % 7 AS VARCHAR) AS sandbox, o_orderkey AS k
+  FROM orders),
+code0 AS (
+  SELECT step_id, sandbox, k,
+    CASE k % 6
+      WHEN 0 THEN 'CREATE TABLE ' || sandbox || '.t' || CAST(k AS VARCHAR) || ' AS SELECT * FROM ground_truth.gt'
+      WHEN 1 THEN 'CREATE TABLE IF NOT EXISTS ground_truth.t' || CAST(k AS VARCHAR) || ' AS SELECT 1'
+      WHEN 2 THEN 'df.write.saveAsTable(f"staging_inputs.x' || CAST(k AS VARCHAR) || '")'
+      WHEN 3 THEN 'INSERT INTO `' || sandbox || '` . `t' || CAST(k AS VARCHAR) || '` SELECT 1'
+      WHEN 4 THEN 'DROP TABLE -- note' || chr(10) || 'ground_truth.t' || CAST(k AS VARCHAR)
+      ELSE 'USE staging_inputs' END AS code
+  FROM steps),
+code AS (
+  SELECT step_id, sandbox,
+         CASE WHEN k % 5 = 0 THEN code || chr(10) || 'spark.catalog.setCurrentDatabase("x")'
+              ELSE code END AS code
+  FROM code0)"""
+
+ORACLE["write_targets"] = f"""
+WITH {STEP_CODE},
+x AS (
+  SELECT step_id, sandbox, code, replace(code, '`', '') AS raw,
+         regexp_replace(regexp_replace(regexp_replace(replace(code, '`', ''), '--[^\\n]*', ' ', 'g'),
+                        '(?s)/\\*.*?\\*/', ' ', 'g'), '\\s*\\.\\s*', '.', 'g') AS norm
+  FROM code),
+hits AS (
+  SELECT step_id, 'context' AS kind,
+         unnest(list_distinct(regexp_extract_all(raw, {_q(_FORB)}, 0)
+                || regexp_extract_all(norm, {_q(_FORB)}, 0)
+                || regexp_extract_all(code, {_q(_PYFORB)}, 0))) AS detail
+  FROM x
+  UNION ALL
+  SELECT step_id, 'write', t FROM (
+    SELECT step_id, sandbox,
+           unnest(list_distinct(regexp_extract_all(raw, {_q(_SQLW)}, 1)
+                  || regexp_extract_all(norm, {_q(_SQLW)}, 1)
+                  || list_transform(regexp_extract_all(code, {_q(_PYW)}, 1),
+                                    lambda t: replace(t, '`', '')))) AS t
+    FROM x)
+  WHERE contains(t, '.') AND NOT starts_with(lower(t), lower(sandbox) || '.'))
+SELECT DISTINCT step_id, kind, detail FROM hits"""
+
+_STMT = r"(?:[^';]|'(?:[^']|'')*'|'(?:[^']|'')*$)+"
+
+ORACLE["sql_statements"] = f"""
+WITH s AS (
+  SELECT 'q' || CAST(o_orderkey AS VARCHAR) AS script_id,
+         'SELECT ''' || o_orderpriority || ';' || CAST(o_orderkey AS VARCHAR) || ''' AS p; ' ||
+         CASE o_orderkey % 3
+           WHEN 0 THEN 'INSERT INTO t VALUES (''O''''Brien; ' || CAST(o_orderkey AS VARCHAR) || ''');'
+           WHEN 1 THEN ' ; ;SELECT 2'
+           ELSE 'SELECT ''open; ' || CAST(o_orderkey AS VARCHAR) END AS code
+  FROM orders),
+p AS (SELECT script_id, list_filter(list_transform(regexp_extract_all(code, {_q(_STMT)}, 0),
+                                                   lambda x: trim(x, {_PYWS})), lambda x: x <> '') AS l
+      FROM s)
+SELECT script_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS stmt_no,
+       unnest(l) AS statement
+FROM p"""
+
+ORACLE["parsed_responses"] = f"""
+WITH r0 AS (
+  SELECT o_orderkey AS k,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'python' WHEN o_orderkey % 2 = 1 THEN 'pyspark'
+              ELSE 'sql' END AS lang
+  FROM orders),
+r AS (
+  SELECT 'r' || CAST(k AS VARCHAR) AS response_id, CAST(k % 9 AS INTEGER) AS step_index,
+         'Here is the step.' || chr(10) ||
+         CASE WHEN k % 11 = 0 THEN ''
+              WHEN k % 13 = 0 THEN '```json' || chr(10) || '{{language: sql' || chr(10) || '```' || chr(10)
+              ELSE '```json' || chr(10) || '{{"language": "' || lang || '", "inputs": ["in' || CAST(k AS VARCHAR)
+                   || '"], "outputs": ["out' || CAST(k AS VARCHAR) || '"]}}' || chr(10) || '```' || chr(10) END ||
+         CASE WHEN k % 17 = 0 THEN 'no code here'
+              ELSE '```' || CASE WHEN lang = 'sql' THEN 'sql' ELSE 'python' END || chr(10)
+                   || '  SELECT * FROM in' || CAST(k AS VARCHAR) || ';  ' || chr(10) || '```' END AS text
+  FROM r0),
+x AS (
+  SELECT response_id, step_index, text,
+         regexp_matches(text, '(?s)```json\\s*\\n.*?```') AS has_header,
+         regexp_extract(text, '(?s)```json\\s*\\n(.*?)```(.*)', 1) AS header,
+         regexp_extract(text, '(?s)```json\\s*\\n(.*?)```(.*)', 2) AS rest
+  FROM r),
+y AS (
+  SELECT *, coalesce(json_valid(header) AND starts_with(trim(header), '{{'), false) AS valid,
+         regexp_matches(rest, '(?s)```(sql|python|pyspark)\\s*\\n(.*?)```') AS has_code
+  FROM x),
+z AS (
+  SELECT *, CASE WHEN valid THEN coalesce(json_extract_string(header, '$.language'), '') ELSE '' END AS lang,
+         CASE WHEN NOT has_header THEN 'missing ```json header block'
+              WHEN NOT valid THEN 'bad json header'
+              WHEN NOT has_code THEN 'missing code block after header'
+              WHEN coalesce(json_extract_string(header, '$.language'), '') NOT IN ('sql', 'pyspark')
+                THEN 'language must be sql|pyspark, got ''' ||
+                     coalesce(json_extract_string(header, '$.language'), '') || ''''
+         END AS error
+  FROM y)
+SELECT response_id, step_index,
+       CASE WHEN error IS NULL THEN lang END AS language,
+       CASE WHEN error IS NULL THEN trim(regexp_extract(rest, '(?s)```(sql|python|pyspark)\\s*\\n(.*?)```', 2),
+                                        {_PYWS}) END AS code,
+       CASE WHEN error IS NULL THEN array_to_string(CAST(json_extract(header, '$.inputs') AS VARCHAR[]), ',') END
+         AS inputs,
+       CASE WHEN error IS NULL THEN array_to_string(CAST(json_extract(header, '$.outputs') AS VARCHAR[]), ',') END
+         AS outputs,
+       error
+FROM z"""

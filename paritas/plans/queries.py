@@ -480,3 +480,65 @@ def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("program_id"), F.lit("orders").alias("table"),
         "column_name", "sample_no", "sample")
     return R.diff_text(tables, cols, samples, by="program_id")
+
+
+# ---------------------------------------------------------------- phase 6
+# bulk jobs over a corpus of scripts derived from the tables
+
+from paritas.operators import corpus as T  # noqa: E402
+
+
+def _programs(spark, sf_dir) -> DataFrame:
+    return I.sas_programs(I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "documents"))
+
+
+@register("stripped_comments")
+def stripped_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block comments removed, the newlines they spanned kept."""
+    return _programs(spark, sf_dir).select(
+        "program_id", T.strip_block_comments("source").alias("source"))
+
+
+@register("expanded_lets")
+def expanded_lets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """%let variables expanded (last definition wins, longest name first)."""
+    return _programs(spark, sf_dir).select("program_id", T.expand_lets("source").alias("source"))
+
+
+@register("resolved_includes")
+def resolved_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """%include inlined recursively; missing files flagged."""
+    files = I.sas_include_files(I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "region"))
+    r = T.resolve_includes(_programs(spark, sf_dir), files)
+    return r.select("program_id", "source", "include_error")
+
+
+@register("script_steps")
+def script_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 (with T2, T3, T1 first): programs split into ordered typed steps."""
+    files = I.sas_include_files(I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "region"))
+    steps, _ = T.preprocess(_programs(spark, sf_dir), files)
+    return steps
+
+
+@register("write_targets")
+def write_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: writes outside each step's sandbox schema and context changes."""
+    code = I.step_code(I.table(spark, sf_dir, "orders"))
+    return T.sandbox_violations(code, "step_id", "code", "sandbox").distinct()
+
+
+@register("sql_statements")
+def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts split into statements at semicolons outside quotes."""
+    s = I.sql_scripts(I.table(spark, sf_dir, "orders"))
+    return s.select("script_id", F.posexplode(T.split_sql("code")).alias("stmt_no", "statement"))
+
+
+@register("parsed_responses")
+def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored translation responses parsed into language, code, tables or an error."""
+    p = T.parse_responses(I.responses(I.table(spark, sf_dir, "orders")))
+    return p.select("response_id", "step_index", "language", "code",
+                    F.array_join("inputs", ",").alias("inputs"),
+                    F.array_join("outputs", ",").alias("outputs"), "error")
