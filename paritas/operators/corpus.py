@@ -116,21 +116,24 @@ def resolve_includes(programs: DataFrame, files: DataFrame, id_col: str = "progr
     file's folder. ``files`` has ``path, source`` for every includable file.
 
     One join of include targets against the file table per nesting level,
-    at most ``max_depth - 1`` levels (the program itself is the first);
-    the loop stops as soon as no text has an include left. Adds
+    at most ``max_depth - 1`` levels (the program itself is the first).
+    Texts without includes leave the loop at once; the texts still open
+    after a level are checkpointed, so the next level (and its emptiness
+    check) reads them instead of recomputing earlier levels. Adds
     ``include_error``: a missing file, or includes nested too deep.
     """
     f = files.select(F.col(path_col).alias("_fpath"), F.col(text_col).alias("_ftext"))
-    cur = programs.select(F.col(id_col).alias("_id"), F.col(path_col).alias("_base_path"),
-                          F.col(text_col).alias("_text"), F.lit(None).cast("string").alias("_err"))
-    # Absolute include paths, so inlined text keeps its own folder.
-    cur = cur.withColumn("_text", _absolutize(F.col("_text"), _dirname(F.col("_base_path"))))
+    cur = programs.select(F.col(id_col).alias("_id"),
+                          # Absolute include paths, so inlined text keeps its own folder.
+                          _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text"),
+                          F.lit(None).cast("string").alias("_err"))
+    open_ = F.col("_text").rlike(INCLUDE_RE) & F.col("_err").isNull()
     ensure_checkpoint_dir(programs.sparkSession)
-    for level in range(max_depth - 1):
-        has = F.col("_text").rlike(INCLUDE_RE) & F.col("_err").isNull()
-        if not cur.filter(has).limit(1).count():
+    finished = [cur.filter(~open_)]
+    todo = cur.filter(open_).checkpoint(eager=True)
+    for _ in range(max_depth - 1):
+        if todo.isEmpty():
             break
-        todo, done = cur.filter(has), cur.filter(~has)
         targets = todo.select("_id", F.posexplode(
             F.regexp_extract_all("_text", F.lit(INCLUDE_RE), 1)).alias("_pos", "_target"))
         got = (targets.join(f, F.col("_target") == F.col("_fpath"), "left")
@@ -139,20 +142,20 @@ def resolve_includes(programs: DataFrame, files: DataFrame, id_col: str = "progr
                        "_pos", _absolutize(F.col("_ftext"), _dirname(F.col("_fpath"))).alias("t"))))
                     .alias("_fills"),
                    F.min(F.when(F.col("_fpath").isNull(), F.col("_target"))).alias("_missing")))
-        step = todo.join(got, "_id")
         inlined = _splice(F.split("_text", INCLUDE_RE, -1), F.transform("_fills", lambda x: x["t"]))
-        step = step.select(
-            "_id", "_base_path",
+        step = todo.join(got, "_id").select(
+            "_id",
             F.when(F.col("_missing").isNull(), inlined).otherwise(F.col("_text")).alias("_text"),
             F.when(F.col("_missing").isNotNull(),
                    F.concat(F.lit("include not found: "), F.col("_missing"))).alias("_err"))
-        cur = done.unionByName(step)
-        if level % 3 == 2:
-            cur = cur.checkpoint(eager=True)   # keep the plan short over many levels
-    err = F.coalesce(F.col("_err"), F.when(
-        F.col("_text").rlike(INCLUDE_RE), F.lit("%include nesting exceeds max depth")))
-    return cur.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col),
-                      err.alias("include_error"))
+        step = step.checkpoint(eager=True)
+        finished.append(step.filter(~open_))
+        todo = step.filter(open_)
+    out = todo.withColumn("_err", F.lit("%include nesting exceeds max depth"))
+    for part in finished:
+        out = out.unionByName(part)
+    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col),
+                      F.col("_err").alias("include_error"))
 
 
 def _absolutize(text: Column, folder: Column) -> Column:

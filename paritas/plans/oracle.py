@@ -783,3 +783,159 @@ SELECT response_id, step_index,
          AS outputs,
        error
 FROM z"""
+
+# Every code point Python's str.isspace() accepts (what str.strip() removes).
+_WS_ALL = " || ".join(f"chr({c})" for c in (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197,
+    8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288))
+
+_INC = r"""(?i)%include\s+['"]([^'"]+)['"]\s*;"""
+
+FILES = """
+files AS (
+  SELECT DISTINCT '/corpus/progs/macros/' || lower(c_mktsegment) || '.sas' AS fpath,
+         '%macro dedupe_' || lower(c_mktsegment) || '(tbl);' || chr(10)
+         || '  proc sort data=&tbl nodupkey; by id; run;' || chr(10) || '%mend;' || chr(10)
+         || '%include ''common/util.sas'';' || chr(10) AS ftext
+  FROM customer
+  UNION ALL
+  SELECT '/corpus/progs/macros/common/util.sas',
+         '/* shared utilities */' || chr(10) || '%let util_version = ' || CAST(count(*) AS VARCHAR)
+         || ';' || chr(10)
+  FROM region)"""
+
+
+def _abs_sql(text: str, folder: str) -> str:
+    return (f"CASE WHEN coalesce({folder}, '') = '' THEN {text} ELSE "
+            f"regexp_replace({text}, '(?i)(%include\\s+[''\"])([^/''\"])', "
+            f"'\\1' || {folder} || '/\\2', 'g') END")
+
+
+def _dir_sql(p: str) -> str:
+    return f"regexp_extract({p}, '^(.*)/[^/]*$', 1)"
+
+
+def _include_round(src: str, dst: str) -> str:
+    """One nesting level: inline every include of texts that have one."""
+    return f"""
+{dst}_t AS (
+  SELECT program_id, i AS pos, targets[i] AS target
+  FROM (SELECT program_id, regexp_extract_all(source, {_q(_INC)}, 1) AS targets
+        FROM {src} WHERE err IS NULL AND regexp_matches(source, {_q(_INC)})),
+       LATERAL (SELECT unnest(generate_series(1, len(targets))) AS i)),
+{dst}_g AS (
+  SELECT t.program_id, list(CASE WHEN f.fpath IS NULL THEN NULL
+                                 ELSE {_abs_sql('f.ftext', _dir_sql('f.fpath'))} END ORDER BY t.pos) AS fills,
+         min(CASE WHEN f.fpath IS NULL THEN t.target END) AS missing
+  FROM {dst}_t t LEFT JOIN files f ON t.target = f.fpath GROUP BY t.program_id),
+{dst} AS (
+  SELECT s.program_id,
+         CASE WHEN g.program_id IS NULL OR g.missing IS NOT NULL THEN s.source
+              ELSE string_split_regex(s.source, {_q(_INC)})[1]
+                   || array_to_string(list_transform(generate_series(1, len(g.fills)),
+                        lambda i: g.fills[i] || string_split_regex(s.source, {_q(_INC)})[i + 1]), '')
+         END AS source,
+         coalesce(s.err, CASE WHEN g.missing IS NOT NULL THEN 'include not found: ' || g.missing END) AS err
+  FROM {src} s LEFT JOIN {dst}_g g USING (program_id))"""
+
+
+RESOLVED = f"""{PROGRAMS}, {FILES},
+inc0 AS (SELECT program_id, {_abs_sql('source', _dir_sql('path'))} AS source,
+                CAST(NULL AS VARCHAR) AS err FROM programs),
+{_include_round('inc0', 'inc1')},
+{_include_round('inc1', 'inc2')},
+{_include_round('inc2', 'inc3')},
+resolved AS (
+  SELECT program_id, source,
+         coalesce(err, CASE WHEN regexp_matches(source, {_q(_INC)})
+                            THEN '%include nesting exceeds max depth' END) AS include_error
+  FROM inc3)"""
+
+ORACLE["resolved_includes"] = f"WITH {RESOLVED}\nSELECT program_id, source, include_error FROM resolved"
+
+
+def _lets_sql(src: str, dst: str) -> str:
+    return f"""
+{dst}_s AS (SELECT program_id, source, regexp_extract_all(source, '{_LET}', 1) AS names,
+                   regexp_extract_all(source, '{_LET}', 2) AS vals FROM {src}),
+{dst}_d AS (SELECT program_id, source,
+        list_sort(list_filter(list_transform(generate_series(1, len(names)), lambda i: {{
+            'neg_len': -length(names[i]), 'i': i, 'name': names[i],
+            'value': vals[len(names) - list_position(list_reverse(names), names[i]) + 1]}}),
+          lambda x: NOT list_contains(names[1:x.i - 1], x.name))) AS defs
+      FROM {dst}_s),
+{dst} AS (SELECT program_id,
+       list_reduce(defs, lambda acc, x: regexp_replace(acc, '(?i)&' || x.name || '\\.?',
+                   replace(trim(x.value, {_WS_ALL}), '\\', '\\\\'), 'g'),
+                   regexp_replace(source, '{_LET}', '', 'g')) AS source
+      FROM {dst}_d)"""
+
+
+_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+ORACLE["script_steps"] = f"""
+WITH {RESOLVED},
+{_lets_sql('resolved', 'expanded')},
+stripped AS (
+  SELECT program_id,
+         string_split_regex(source, '{_COMMENT}')[1]
+         || array_to_string(list_transform(generate_series(1, len(regexp_extract_all(source, '{_COMMENT}'))),
+              lambda i: repeat(chr(10), length(regexp_extract_all(source, '{_COMMENT}')[i])
+                                        - length(replace(regexp_extract_all(source, '{_COMMENT}')[i], chr(10), '')))
+                        || string_split_regex(source, '{_COMMENT}')[i + 1]), '') AS source
+  FROM expanded),
+lines0 AS (SELECT program_id, string_split_regex(source, {_q(_LINE_BREAK)}) AS l FROM stripped),
+lines AS (SELECT program_id, unnest(generate_series(0, len(l) - 1)) AS line_no, unnest(l) AS line
+          FROM lines0),
+f AS (
+  SELECT program_id, line_no, line,
+         lower(regexp_extract(line, '(?i)^\\s*(data\\b|proc\\s+\\w+|%macro\\b)', 1)) AS tok0,
+         regexp_matches(line, '(?i)^\\s*data\\s*=') AS data_eq,
+         regexp_matches(line, '(?i)^\\s*%mend\\b.*;') AS mend,
+         regexp_matches(line, '(?i)^\\s*(run|quit)\\s*;') AS rq
+  FROM lines),
+f2 AS (
+  SELECT *, tok0 <> '' AND NOT (tok0 = 'data' AND data_eq) AS is_start,
+         CASE WHEN starts_with(tok0, '%macro') THEN 'macro' WHEN starts_with(tok0, 'data') THEN 'data'
+              ELSE 'proc' END AS tok
+  FROM f),
+w1 AS (
+  SELECT *,
+    max(CASE WHEN is_start AND tok = 'macro' THEN line_no END) OVER prev AS mac_prev,
+    max(CASE WHEN mend THEN line_no END) OVER prev AS mend_prev,
+    max(CASE WHEN rq THEN line_no END) OVER prev AS rq_prev
+  FROM f2
+  WINDOW prev AS (PARTITION BY program_id ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w2 AS (
+  SELECT *, is_start AND NOT (mac_prev IS NOT NULL AND (mend_prev IS NULL OR mend_prev < mac_prev)) AS eff
+  FROM w1),
+w3 AS (
+  SELECT *,
+    max(CASE WHEN eff THEN line_no END) OVER upto AS s,
+    last_value(CASE WHEN eff THEN tok END IGNORE NULLS) OVER upto AS sk
+  FROM w2
+  WINDOW upto AS (PARTITION BY program_id ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+w4 AS (
+  SELECT *,
+    CASE WHEN s IS NULL THEN 'global'
+         WHEN coalesce(CASE WHEN sk = 'macro' THEN mend_prev >= s ELSE rq_prev >= s END, false) THEN 'global'
+         ELSE sk END AS kind
+  FROM w3),
+w5 AS (SELECT *, (kind = 'macro' AND mend) OR (kind IN ('data', 'proc') AND rq) AS ends FROM w4),
+w5b AS (
+  SELECT *, eff OR coalesce(lag(ends) OVER (PARTITION BY program_id ORDER BY line_no), false) AS boundary
+  FROM w5),
+w6 AS (
+  SELECT *, sum(CAST(boundary AS INTEGER))
+              OVER (PARTITION BY program_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS step
+  FROM w5b),
+steps AS (
+  SELECT program_id, step, arg_min(kind, line_no) AS kind,
+         trim(string_agg(line, chr(10) ORDER BY line_no), {_WS_ALL}) AS code
+  FROM w6 GROUP BY program_id, step)
+SELECT program_id, CAST(row_number() OVER (PARTITION BY program_id ORDER BY step) - 1 AS INTEGER)
+         AS step_index, kind, code
+FROM steps WHERE code <> ''"""
