@@ -307,3 +307,16 @@ def parse_responses(df: DataFrame, text_col: str = "text",
         F.when(ok, F.coalesce(h["inputs"], F.array().cast("array<string>"))).alias("inputs"),
         F.when(ok, F.coalesce(h["outputs"], F.array().cast("array<string>"))).alias("outputs"),
         error.alias("error"))
+
+
+# ---------------------------------------------------------------- reading a corpus
+
+def read_corpus(spark, pattern: str, id_from_name: bool = True) -> DataFrame:
+    """Read script files whole: ``program_id`` (file name without suffix),
+    ``path`` (scheme-less) and ``source``. One row per file."""
+    df = spark.read.text(pattern, wholetext=True).select(
+        F.regexp_replace(F.input_file_name(), r"^file:(//)?", "").alias("path"),
+        F.col("value").alias("source"))
+    if id_from_name:
+        df = df.withColumn("program_id", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
+    return df
