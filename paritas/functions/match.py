@@ -48,28 +48,52 @@ def values_match(a: Column, b: Column, rel_tol: float | None = 1e-9) -> Column:
     return exact | F.coalesce(close, F.lit(False))
 
 
-def _field(c: Column, as_float: bool) -> Column:
+def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
     if as_float:
         # +0.0 folds -0.0 into 0.0; ten significant digits is the tolerance proxy.
-        text = F.format_string("%.9e", c.cast("double") + F.lit(0.0))
-    else:
-        text = c.cast("string")
+        return F.format_string("%.9e", c.cast("double") + F.lit(0.0))
+    # Cheap injective renderings where a string cast would be slow.
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("string")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(c)
+    return c.cast("string")
+
+
+def _field(c: Column, as_float: bool, dtype: T.DataType | None = None) -> Column:
     # Length prefix keeps the encoding injective whatever the text contains.
-    return F.when(c.isNull(), F.lit(NULL_MARK)).otherwise(
-        F.concat(F.length(text).cast("string"), F.lit(":"), text))
-
-
-def row_line(columns: list[tuple[str, bool]], prefix: str = "") -> Column:
-    """Encode a row as text: fields by column-name order, floats as ``%.9e``.
-
-    ``columns`` is ``[(name, as_float), ...]``; names are sorted here so two
-    tables with the same columns in another order encode alike.
+    # No conditional branch: the text is computed once (shared subexpression)
+    # and a NULL value makes the concat NULL, which becomes the NULL marker.
+    text = _text(c, dtype, as_float)
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit(NULL_MARK))
+
+
+def row_line(columns: list[tuple], prefix: str = "") -> Column:
+    """Encode a row as text; equal rows (floats to 10 significant digits)
+    encode alike, different rows differ.
+
+    ``columns`` is ``[(name, as_float[, dtype]), ...]``, in any order (names
+    are sorted here). Float columns are rendered together by one
+    ``%.9e|%.9e|...`` format call (one formatter per row instead of one per
+    cell); a float renders as ``null`` or an ``%e`` text, never with ``|``, so
+    the float part stays unambiguous. Other columns get a length prefix.
+    Both sides of a comparison must pass the same column list (see ``align``).
     """
-    parts = [_field(F.col(f"`{prefix}{name}`"), as_float) for name, as_float in sorted(columns)]
+    cols = sorted(columns, key=lambda c: c[0])
+    floats = [c for c in cols if c[1]]
+    parts = [_field(F.col(f"`{prefix}{c[0]}`"), False, c[2] if len(c) > 2 else None)
+             for c in cols if not c[1]]
+    if floats:
+        # +0.0 folds -0.0 into 0.0; ten significant digits is the tolerance proxy.
+        parts.append(F.format_string("|".join(["%.9e"] * len(floats)),
+                                     *[F.col(f"`{prefix}{c[0]}`").cast("double") + F.lit(0.0)
+                                       for c in floats]))
     return F.concat_ws(FIELD_SEP, *parts)
 
 
-def row_hash(columns: list[tuple[str, bool]], prefix: str = "") -> Column:
+def row_hash(columns: list[tuple], prefix: str = "") -> Column:
     """32-byte SHA-256 of :func:`row_line` (binary, half the shuffle bytes of hex)."""
     return F.unhex(F.sha2(row_line(columns, prefix), 256))
 

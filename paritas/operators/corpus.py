@@ -285,28 +285,39 @@ def parse_responses(df: DataFrame, text_col: str = "text",
                     step_col: str = "step_index") -> DataFrame:
     """Parse stored translation responses: the first json header block, then
     the first sql/python/pyspark block after it. Adds language, code,
-    inputs, outputs and ``error`` (NULL when the response parsed)."""
+    inputs, outputs and ``error`` (NULL when the response parsed).
+
+    Regex results are computed once per row in a first projection, which the
+    optimizer keeps separate because they are referenced several times.
+    """
     t = F.col(text_col)
-    has_header = t.rlike(r"(?s)```json\s*\n.*?```")
-    header = F.regexp_extract(t, JSON_BLOCK_RE, 1)
-    rest = F.regexp_extract(t, JSON_BLOCK_RE, 2)
-    valid = F.try_parse_json(header).isNotNull() & F.trim(header).startswith("{")
-    h = F.from_json(header, HEADER_SCHEMA)
-    has_code = rest.rlike(CODE_BLOCK_RE)
-    lang = F.coalesce(h["language"], F.lit(""))
-    error = (F.when(~has_header, F.lit("missing ```json header block"))
-              .when(~valid, F.lit("bad json header"))
-              .when(~has_code, F.lit("missing code block after header"))
+    cols = df.columns
+    base = df.select(
+        "*",
+        t.rlike(r"(?s)```json\s*\n.*?```").alias("_has_header"),
+        F.regexp_extract(t, JSON_BLOCK_RE, 1).alias("_header"),
+        F.regexp_extract(t, JSON_BLOCK_RE, 2).alias("_rest"))
+    parsed = base.select(
+        "*",
+        (F.try_parse_json("_header").isNotNull() & F.trim("_header").startswith("{")).alias("_valid"),
+        F.from_json("_header", HEADER_SCHEMA).alias("_h"),
+        F.regexp_extract("_rest", CODE_BLOCK_RE, 1).alias("_fence"),
+        F.regexp_extract("_rest", CODE_BLOCK_RE, 2).alias("_code"))
+    lang = F.coalesce(F.col("_h.language"), F.lit(""))
+    error = (F.when(~F.col("_has_header"), F.lit("missing ```json header block"))
+              .when(~F.col("_valid"), F.lit("bad json header"))
+              .when(F.col("_fence") == "", F.lit("missing code block after header"))
               .when(~lang.isin("sql", "pyspark"),
                     F.concat(F.lit("language must be sql|pyspark, got '"), lang, F.lit("'"))))
-    ok = error.isNull()
-    return df.select(
-        "*",
+    checked = parsed.select("*", error.alias("error"))
+    ok = F.col("error").isNull()
+    return checked.select(
+        *[F.col(f"`{c}`") for c in cols],
         F.when(ok, lang).alias("language"),
-        F.when(ok, _strip(F.regexp_extract(rest, CODE_BLOCK_RE, 2))).alias("code"),
-        F.when(ok, F.coalesce(h["inputs"], F.array().cast("array<string>"))).alias("inputs"),
-        F.when(ok, F.coalesce(h["outputs"], F.array().cast("array<string>"))).alias("outputs"),
-        error.alias("error"))
+        F.when(ok, _strip(F.col("_code"))).alias("code"),
+        F.when(ok, F.coalesce(F.col("_h.inputs"), F.array().cast("array<string>"))).alias("inputs"),
+        F.when(ok, F.coalesce(F.col("_h.outputs"), F.array().cast("array<string>"))).alias("outputs"),
+        "error")
 
 
 # ---------------------------------------------------------------- reading a corpus
