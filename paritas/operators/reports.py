@@ -41,13 +41,17 @@ def usage_summary(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def migration_metrics(status: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row of sizing metrics: programs, pass rate, triage rate, calls per program."""
+    """One row of sizing metrics: programs, pass rate, triage rate, calls per program.
+
+    Both inputs are reduced to one partial row each, stacked and reduced again
+    (no join between the two aggregates)."""
+    n = F.lit(None).cast("long")
     s = status.agg(F.count(F.lit(1)).alias("programs"),
                    F.count_if(F.col("status") == "parity_pass").alias("passed"),
-                   F.count_if(F.col("status") == "triage").alias("triaged"))
-    c = calls.agg(F.count(F.lit(1)).alias("calls"))
-    # Both sides are single-row aggregates: a broadcast of one row.
-    j = s.withColumn("_one", F.lit(1)).join(F.broadcast(c.withColumn("_one", F.lit(1))), "_one")
+                   F.count_if(F.col("status") == "triage").alias("triaged")).withColumn("calls", n)
+    c = calls.agg(F.count(F.lit(1)).alias("calls")).select(
+        n.alias("programs"), n.alias("passed"), n.alias("triaged"), "calls")
+    j = s.unionByName(c).agg(*[F.max(x).alias(x) for x in ("programs", "passed", "triaged", "calls")])
     return j.select(
         F.col("programs").cast("long").alias("programs"),
         (F.col("passed") / F.col("programs")).alias("pass_rate"),

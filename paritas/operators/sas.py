@@ -164,23 +164,24 @@ def proc_freq(df: DataFrame, var: str, missing: bool = False,
 
 
 def proc_freq_2way(df: DataFrame, row_var: str, col_var: str) -> DataFrame:
-    """Two-way PROC FREQ cells: frequency, percent of total, row and column percent."""
+    """Two-way PROC FREQ cells: frequency, percent of total, row and column percent.
+
+    Row and column totals come from one cube over the cell table and are
+    joined on their level; the grand total is a single number read with one
+    small aggregation (no cross join)."""
     src = df.filter(F.col(f"`{row_var}`").isNotNull() & F.col(f"`{col_var}`").isNotNull())
     cells = src.groupBy(F.col(f"`{row_var}`"), F.col(f"`{col_var}`")).agg(
         F.count(F.lit(1)).alias("frequency"))
-    # Row, column and grand totals from one cube over the (small) cell table.
     tot = cells.cube(F.col(f"`{row_var}`"), F.col(f"`{col_var}`")).agg(
         F.grouping_id().alias("_gid"), F.sum("frequency").alias("_t"))
     rows = tot.filter("_gid = 1").select(F.col(f"`{row_var}`").alias("_rv"), F.col("_t").alias("_row_total"))
     cols = tot.filter("_gid = 2").select(F.col(f"`{col_var}`").alias("_cv"), F.col("_t").alias("_col_total"))
-    grand = tot.filter("_gid = 3").select(F.lit(1).alias("_one"), F.col("_t").alias("_total"))
-    out = (cells.withColumn("_one", F.lit(1))
-                .join(F.broadcast(grand), "_one")          # exactly one row
-                .join(rows, F.col(f"`{row_var}`") == F.col("_rv"))
+    total = cells.agg(F.sum("frequency")).first()[0] or 0
+    out = (cells.join(rows, F.col(f"`{row_var}`") == F.col("_rv"))
                 .join(cols, F.col(f"`{col_var}`") == F.col("_cv")))
     return out.select(
         F.col(f"`{row_var}`"), F.col(f"`{col_var}`"), F.col("frequency").cast("long").alias("frequency"),
-        (F.col("frequency") * 100.0 / F.col("_total")).alias("percent"),
+        (F.col("frequency") * 100.0 / F.lit(float(total))).alias("percent"),
         (F.col("frequency") * 100.0 / F.col("_row_total")).alias("row_percent"),
         (F.col("frequency") * 100.0 / F.col("_col_total")).alias("col_percent"))
 
