@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritas.functions.sas import sas_sort_order
-from paritas.operators.scan import ordered_scan
+from paritas.operators.scan import CHUNK, chunk, ordered_scan, scan_chunked
 
 MAX_TRANSPOSE_COLUMNS = 10_000
 
@@ -46,27 +46,37 @@ def first_last(df: DataFrame, by: list[str], order: list[str],
     """Add ``first_<v>`` / ``last_<v>`` flags for every BY variable ``v``.
 
     FIRST.v is true on the first row of the group formed by the BY variables
-    up to and including ``v`` (SAS semantics for several BY variables).
+    up to and including ``v`` (SAS semantics for several BY variables). All
+    levels share one chunking of the rows in (BY, order) order.
     """
-    out = df
+    x = chunk(df, by + order, num_chunks)
     for i, v in enumerate(by):
-        level = by[: i + 1]
-        out = ordered_scan(out, level, by[i + 1:] + order, first=f"first_{v}",
-                           last=f"last_{v}", num_chunks=num_chunks)
-    return out
+        x = scan_chunked(x, by[: i + 1], by[i + 1:] + order, first=f"first_{v}", last=f"last_{v}")
+    return x.drop(CHUNK)
+
+
+def data_step(df: DataFrame, by: list[str], order: list[str], *,
+              retain: dict[str, str] | None = None, sums: dict[str, Column] | None = None,
+              flags: bool = False, num_chunks: int | None = None) -> DataFrame:
+    """One BY-group pass of a DATA step: RETAIN carries (``{out: col}``), sum
+    statements (``{out: expr}``) and, with ``flags``, FIRST./LAST. of the
+    innermost BY variable, from a single chunking of the rows."""
+    inner = by[-1] if by else "all"
+    return ordered_scan(df, by, order, locf={o: F.col(f"`{c}`") for o, c in (retain or {}).items()},
+                        sums=sums, first=f"first_{inner}" if flags else None,
+                        last=f"last_{inner}" if flags else None, num_chunks=num_chunks)
 
 
 def retain(df: DataFrame, by: list[str], order: list[str], columns: dict[str, str],
            num_chunks: int | None = None) -> DataFrame:
     """RETAIN: ``{out: col}`` carries the last non-missing ``col`` down the group."""
-    return ordered_scan(df, by, order, locf={o: F.col(f"`{c}`") for o, c in columns.items()},
-                        num_chunks=num_chunks)
+    return data_step(df, by, order, retain=columns, num_chunks=num_chunks)
 
 
 def running_total(df: DataFrame, by: list[str], order: list[str], totals: dict[str, Column],
                   num_chunks: int | None = None) -> DataFrame:
     """Sum statement (``total + x;``): running sum per group, missing adds 0."""
-    return ordered_scan(df, by, order, sums=totals, num_chunks=num_chunks)
+    return data_step(df, by, order, sums=totals, num_chunks=num_chunks)
 
 
 # ---------------------------------------------------------------- W3

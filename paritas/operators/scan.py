@@ -48,6 +48,16 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
+def chunk(df: DataFrame, sort_cols: list[str], num_chunks: int | None = None) -> DataFrame:
+    """Rows cut into contiguous chunks of ``sort_cols`` order, with a ``_chunk``
+    id, materialized once (reliable checkpoint in the shared folder)."""
+    n = num_chunks or default_chunks(df)
+    x = (df.repartitionByRange(n, *[F.col(f"`{c}`") for c in sort_cols])
+           .withColumn(CHUNK, F.spark_partition_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    return x.checkpoint(eager=True)
+
+
 def ordered_scan(df: DataFrame, by: list[str], order: list[str], *,
                  sums: dict[str, Column] | None = None,
                  locf: dict[str, Column] | None = None,
@@ -65,23 +75,35 @@ def ordered_scan(df: DataFrame, by: list[str], order: list[str], *,
     last      name of a LAST.-flag column (last row of the group)
     """
     sums, locf = sums or {}, locf or {}
-    n = num_chunks or default_chunks(df)
-    keys = list(by) + [CHUNK]
-    base_cols = df.columns
     x = df
     for name, e in sums.items():
         x = x.withColumn(f"_s_{name}", F.coalesce(e, F.lit(0)))
     for name, e in locf.items():
         x = x.withColumn(f"_l_{name}", e)
-    x = (x.repartitionByRange(n, *[F.col(f"`{c}`") for c in by + order])
-          .withColumn(CHUNK, F.spark_partition_id()))
-    ensure_checkpoint_dir(df.sparkSession)
-    x = x.checkpoint(eager=True)
-
+    x = chunk(x, by + order, num_chunks)
+    out = scan_chunked(x, by, order, sums=list(sums), locf=list(locf), totals=totals,
+                       position=position, first=first, last=last)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      *[c for c in out.columns if c not in x.columns])
+
+
+def scan_chunked(x: DataFrame, by: list[str], order: list[str], *,
+                 sums: list[str] = (), locf: list[str] = (), totals: list[str] | None = None,
+                 position: str | None = None, first: str | None = None,
+                 last: str | None = None) -> DataFrame:
+    """The scan on rows already cut by :func:`chunk` on ``by + order`` (or on
+    any sort key list that starts with ``by`` and then ``order``, so one
+    chunking serves every BY level). Inputs ``_s_<name>`` / ``_l_<name>``
+    must exist for the named sums and carries; all input columns are kept.
+    """
+    keys = list(by) + [CHUNK]
+    base_cols = x.columns
     wpart = Window.partitionBy(*[F.col(f"`{c}`") for c in keys]).orderBy(
         *[F.col(f"`{c}`").asc_nulls_first() for c in order])
     wrun = wpart.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_lrn", F.row_number().over(wpart))
+    tag = "_".join(by) or "all"
+    lrn = f"_lrn_{tag}"
+    x = x.withColumn(lrn, F.row_number().over(wpart))
     for name in sums:
         x = x.withColumn(f"_ls_{name}", F.sum(f"_s_{name}").over(wrun))
     for name in locf:
@@ -115,10 +137,10 @@ def ordered_scan(df: DataFrame, by: list[str], order: list[str], *,
     for name in locf:
         out.append(F.coalesce(F.col(f"_ll_{name}"), F.col(f"_cil_{name}")).alias(name))
     if position:
-        out.append((F.col("_lrn") + F.col("_ci_n")).cast("long").alias(position))
+        out.append((F.col(lrn) + F.col("_ci_n")).cast("long").alias(position))
     if first:
-        out.append(((F.col(CHUNK) == F.col("_first_chunk")) & (F.col("_lrn") == 1)).alias(first))
+        out.append(((F.col(CHUNK) == F.col("_first_chunk")) & (F.col(lrn) == 1)).alias(first))
     if last:
-        out.append(((F.col(CHUNK) == F.col("_last_chunk")) & (F.col("_lrn") == F.col("_cn")))
+        out.append(((F.col(CHUNK) == F.col("_last_chunk")) & (F.col(lrn) == F.col("_cn")))
                    .alias(last))
     return j.select(*out)

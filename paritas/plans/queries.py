@@ -206,8 +206,8 @@ def retain_locf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = I.table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id",
         F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("value")).alias("value_in"))
-    out = SO.running_total(SO.retain(ev, ["user_id"], EVENT_ORDER, {"retained": "value_in"}),
-                           ["user_id"], EVENT_ORDER, {"running_total": F.col("value_in")})
+    out = SO.data_step(ev, ["user_id"], EVENT_ORDER, retain={"retained": "value_in"},
+                       sums={"running_total": F.col("value_in")})
     return out.select("event_id", "user_id", "value_in", "retained",
                       F.round("running_total", 6).alias("running_total"))
 
