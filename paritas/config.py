@@ -1,0 +1,23 @@
+"""Defaults shared by the parity drivers and the log analyses."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class ParityConfig:
+    float_rel_tol: float = 1e-9          # relative tolerance of keyed float compares
+    sample_limit: int = 5                # mismatch samples kept per column
+    report_max_chars: int = 6000         # diff text is cut here
+    sandbox_prefix: str = "sandbox_"     # output schema of a program: <prefix><program_id>
+    per_program_token_cap: int = 500_000
+    per_batch_token_cap: int = 20_000_000
+    breaker_threshold: int = 5           # consecutive failures that open the breaker
+    exact_hash_row_limit: int = 1_000_000
+
+    def sandbox_schema(self, program_id: str) -> str:
+        return f"{self.sandbox_prefix}{program_id}"
+
+
+DEFAULT = ParityConfig()

@@ -140,15 +140,27 @@ class VersionedTable:
         return f"{self.path}/v{v:08d}"
 
     def read(self) -> DataFrame | None:
-        """All rows (logs: every appended version; key/value: the newest version)."""
+        """All rows (logs: every appended version; key/value: the newest
+        version); ``None`` when nothing was written yet. A folder written with
+        the other shape raises ``ValueError``."""
         vs = self._versions()
         if not vs:
             return None
+        stored = tuple(self.spark.read.parquet(self._version_path(vs[-1])).columns)
+        expected = KV_COLS if self.kind == "kv" else LOG_COLS
+        if stored != expected:
+            raise ValueError(f"table {self.path} has columns {stored}, expected {expected} "
+                             f"for {self.kind} usage")
         schema = KV_SCHEMA if self.kind == "kv" else LOG_SCHEMA
         if self.kind == "kv":
             return self.spark.read.schema(schema).parquet(self._version_path(vs[-1]))
         return self.spark.read.schema(schema).parquet(*[self._version_path(v) for v in vs])
 
+    def read_or_empty(self) -> DataFrame:
+        df = self.read()
+        return df if df is not None else self.spark.createDataFrame(
+            [], KV_SCHEMA if self.kind == "kv" else LOG_SCHEMA)
+
     def upsert(self, updates: DataFrame) -> int:
         if self.kind != "kv":
             raise ValueError(f"table {self.path} is a log table; cannot upsert")

@@ -61,6 +61,14 @@ def content_digest(df: DataFrame) -> DataFrame:
         "|", F.lit(header), F.col("n_rows").cast("string"), F.col("hash_sum")), 256), 1, 12))
 
 
+def _complete(spark, path: str) -> bool:
+    """True when ``path`` holds a finished write (its ``_SUCCESS`` marker)."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))
+
+
 def snapshot(df: DataFrame, name: str, root: str | None = None) -> tuple[str, str]:
     """Write ``df`` once under ``<root>/<name>_<digest>`` (skipped when that
     folder already holds a complete snapshot). Returns (path, digest)."""
@@ -68,9 +76,6 @@ def snapshot(df: DataFrame, name: str, root: str | None = None) -> tuple[str, st
     digest = content_digest(df).first()["digest"]
     root = root or shared_dir(spark, "snapshots")
     path = f"{root.rstrip('/')}/{name}_{digest}"
-    try:
-        spark.read.parquet(path).limit(0).count()
-        return path, digest                      # already frozen
-    except Exception:  # noqa: BLE001 - absent or incomplete: (re)write it
-        df.write.mode("overwrite").parquet(path)
+    if not _complete(spark, path):
+        df.write.mode("overwrite").parquet(path)   # absent or unfinished: (re)write
     return path, digest

@@ -187,3 +187,30 @@ def test_certificate_and_triage_text(spark):
     rep = {r["program_id"]: r["report"] for r in R.triage_reports(progs_df, outcome, ev, steps).collect()}
     assert "never_ran" in rep["p2"] and "AnalysisException" in rep["p2"] and "SELECT broken" in rep["p2"]
     assert "```python\ndf.show()" in rep["p2"] and "(no error text)" in rep["p1"]
+
+
+def test_program_table_pairs_and_validate_inventory(spark):
+    from paritas.operators import compare as C
+    spark.sql("CREATE SCHEMA IF NOT EXISTS gt_s")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS sandbox_p9")
+    spark.createDataFrame([(1, 1.0), (2, 2.0)], "id INT, v DOUBLE").write.mode("overwrite").saveAsTable("gt_s.p9_out")
+    spark.createDataFrame([(1, 1.0), (2, 2.5)], "id INT, v DOUBLE").write.mode("overwrite").saveAsTable("sandbox_p9.out")
+    inv = spark.createDataFrame([("p9", {"work.out": "gt_s.p9_out", "work.gone": "gt_s.p9_out"},
+                                  {"work.out": ["id"]}, None)],
+                                "program_id STRING, ground_truth MAP<STRING,STRING>, "
+                                "keys MAP<STRING,ARRAY<STRING>>, float_rel_tol DOUBLE")
+    pairs = {r["output_name"]: (r["out_table"], r["keys"]) for r in C.program_table_pairs(inv).collect()}
+    assert pairs == {"work.out": ("sandbox_p9.out", ["id"]), "work.gone": ("sandbox_p9.gone", None)}
+    [res] = C.validate_inventory(spark, inv)
+    by_table = {t.table: t for t in res.tables}
+    assert by_table["sandbox_p9.gone"].method == "error"
+    assert by_table["sandbox_p9.out"].columns[0].mismatches == 1 and not res.passed
+
+
+def test_versioned_table_shape_check(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "shared")
+    ST.VersionedTable(spark, path, "log").append(
+        ST.to_log(spark.createDataFrame([("x",)], "purpose STRING")))
+    with pytest.raises(ValueError):
+        ST.VersionedTable(spark, path, "kv").read()
+    assert ST.VersionedTable(spark, os.path.join(tmpdir_path, "none"), "kv").read_or_empty().count() == 0
