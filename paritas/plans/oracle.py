@@ -505,8 +505,7 @@ SELECT program_id, CAST(island AS BIGINT) AS successes_before, CAST(count(*) AS
 FROM s WHERE error IS NOT NULL AND error <> 'circuit_open'
 GROUP BY program_id, island HAVING count(*) >= {I.BREAKER_THRESHOLD}"""
 
-ORACLE["outcomes"] = f"""
-WITH {CALLS}, {TRIPS},
+OUTCOMES = """
 att AS (
   SELECT 'p' || CAST(user_id AS VARCHAR) AS program_id, event_id, ts,
          CASE WHEN event_type IN ('purchase', 'error') THEN 'match' ELSE 'run' END AS loop,
@@ -524,10 +523,13 @@ m AS (
               WHEN last_loop = 'match' AND last_ok THEN NULL
               WHEN last_loop = 'run' AND NOT last_ok THEN 'never_ran'
               WHEN last_loop = 'match' THEN 'diverged' ELSE 'never_ran' END AS failure_mode
-  FROM per LEFT JOIN rr USING (program_id) LEFT JOIN trips t USING (program_id))
-SELECT program_id, CASE WHEN failure_mode IS NULL THEN 'parity_pass' ELSE 'triage' END AS status,
-       failure_mode, outer_attempts, CAST(run_repairs AS BIGINT) AS run_repairs
-FROM m"""
+  FROM per LEFT JOIN rr USING (program_id) LEFT JOIN trips t USING (program_id)),
+outcomes AS (
+  SELECT program_id, CASE WHEN failure_mode IS NULL THEN 'parity_pass' ELSE 'triage' END AS status,
+         failure_mode, outer_attempts, CAST(run_repairs AS BIGINT) AS run_repairs
+  FROM m)"""
+
+ORACLE["outcomes"] = f"WITH {CALLS}, {TRIPS}, {OUTCOMES}\nSELECT * FROM outcomes"
 
 _GROUP = "coalesce(g_o_orderpriority, b_o_orderpriority)"
 _G_CELLS = " + ".join(f"count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)})"
@@ -939,3 +941,60 @@ steps AS (
 SELECT program_id, CAST(row_number() OVER (PARTITION BY program_id ORDER BY step) - 1 AS INTEGER)
          AS step_index, kind, code
 FROM steps WHERE code <> ''"""
+
+
+# ---------------------------------------------------------------- R1 / R3 text
+
+ORACLE["certificates"] = f"""
+WITH cj AS (
+  SELECT coalesce(a.c_mktsegment, b.c_mktsegment) AS program_id,
+         count(a.c_custkey) AS gt_rows, count(b.c_custkey) AS out_rows,
+         count(*) FILTER (WHERE b.c_custkey IS NULL) AS missing_rows,
+         count(*) FILTER (WHERE a.c_custkey IS NULL) AS extra_rows,
+         {_CUST_CELLS} AS cells
+  FROM customer a FULL OUTER JOIN customer b ON a.c_custkey IS NOT DISTINCT FROM b.c_custkey
+  GROUP BY 1),
+progs AS (SELECT c_mktsegment AS program_id, count(*) AS n, count(DISTINCT c_nationkey) AS nations
+          FROM customer GROUP BY 1),
+dg AS (
+  SELECT c_mktsegment AS program_id, count(*) AS n_rows, sum(h) AS hash_sum
+  FROM (SELECT c_mktsegment, ('0x' || substr(sha256(concat_ws(chr(31), coalesce(CAST(c_custkey AS VARCHAR), ''),
+                coalesce(c_name, ''), coalesce(CAST(c_nationkey AS VARCHAR), ''))), 1, 15))::BIGINT AS h
+        FROM customer)
+  GROUP BY 1),
+snaps AS (SELECT program_id, substr(sha256('c_custkey,c_name,c_nationkey' || '|' || CAST(n_rows AS VARCHAR)
+                 || '|' || CAST(hash_sum AS VARCHAR)), 1, 12) AS digest FROM dg)
+SELECT p.program_id, concat_ws(chr(10),
+  '# Parity certificate: ' || p.program_id, '',
+  '- program: `/corpus/progs/seg_' || lower(p.program_id) || '.sas` (owner team_' || lower(p.program_id) || ')',
+  '- certified at: 2026-01-01T00:00:00',
+  '- outer attempts: ' || CAST(p.n % 3 + 1 AS VARCHAR) || ' (run repairs: ' || CAST(p.nations % 4 AS VARCHAR) || ')',
+  '- float relative tolerance: ' || printf('%.1e', 1e-9),
+  '  (keyless comparisons round floats to 10 significant digits before hashing)', '',
+  '| output table | ground-truth rows | output rows | result | method |', '|---|---|---|---|---|',
+  '| sandbox_' || lower(p.program_id) || '.customer | ' || CAST(cj.gt_rows AS VARCHAR) || ' | '
+    || CAST(cj.out_rows AS VARCHAR) || ' | '
+    || CASE WHEN cj.gt_rows = cj.out_rows AND cj.missing_rows = 0 AND cj.extra_rows = 0 AND cj.cells = 0
+            THEN 'PASS' ELSE 'FAIL' END || ' | keyed rel_tol=1e-09 |', '',
+  '## Input snapshots', '- `staging.customer`: `' || s.digest || '`') AS certificate
+FROM progs p JOIN cj USING (program_id) JOIN snaps s USING (program_id)"""
+
+ORACLE["triage_reports"] = f"""
+WITH {CALLS}, {TRIPS}, {OUTCOMES},
+failing AS (SELECT * FROM outcomes WHERE status = 'triage'),
+evidence AS (SELECT program_id, arg_max('call ' || CAST(event_id AS VARCHAR) || ': ' || error, ts) AS ev
+             FROM calls WHERE error IS NOT NULL GROUP BY program_id),
+steps AS (SELECT program_id, step_index, arg_max(event_id, ts) AS e FROM att WHERE loop = 'run'
+          GROUP BY program_id, step_index),
+code AS (SELECT program_id, string_agg('### Step ' || CAST(step_index AS VARCHAR) || ' (sql)' || chr(10) || '```sql'
+                  || chr(10) || 'SELECT * FROM attempt_' || CAST(e AS VARCHAR) || chr(10) || '```', chr(10)
+                  ORDER BY step_index) AS code
+         FROM steps GROUP BY program_id)
+SELECT f.program_id, concat_ws(chr(10),
+  '# Triage report: ' || f.program_id, '',
+  '- program: `/corpus/progs/' || f.program_id || '.sas` (owner migration)',
+  '- failure mode: ' || coalesce(f.failure_mode, 'unknown'),
+  '- outer attempts: ' || CAST(f.outer_attempts AS VARCHAR) || ' (run repairs: ' || CAST(f.run_repairs AS VARCHAR) || ')',
+  '', '## Evidence', '```', coalesce(e.ev, '(no error text)'), '```', '',
+  '## Closest attempt', coalesce(c.code, '(no steps were translated)')) AS report
+FROM failing f LEFT JOIN evidence e USING (program_id) LEFT JOIN code c USING (program_id)"""

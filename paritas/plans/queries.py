@@ -543,3 +543,68 @@ def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("response_id", "step_index", "language", "code",
                     F.array_join("inputs", ",").alias("inputs"),
                     F.array_join("outputs", ",").alias("outputs"), "error")
+
+
+# ---------------------------------------------------------------- R1 / R3 reports
+
+CERTIFIED_AT = "2026-01-01T00:00:00"
+
+
+def _segment_programs(spark, sf_dir):
+    """One program per market segment: its customers compared with a
+    reshuffled copy of themselves (keyed), plus a snapshot digest."""
+    from paritas.sources.snapshot import grouped_content_digest
+    cust = I.table(spark, sf_dir, "customer")
+    seg = F.col("c_mktsegment")
+    a = C.align(cust, cust.select(*reversed(cust.columns)).repartition(5, "c_nationkey"))
+    s = C.grouped_keyed_stats(a, ["c_custkey"], "c_mktsegment")
+    vals = C.value_columns(a, ["c_custkey"])
+    cells = sum((F.col("mm__" + n) for n in vals), F.lit(0))
+    gt, out = F.col("matched_rows") + F.col("missing_rows"), F.col("matched_rows") + F.col("extra_rows")
+    tables = s.select(
+        seg.alias("program_id"), F.concat(F.lit("sandbox_"), F.lower(seg), F.lit(".customer")).alias("table"),
+        gt.cast("long").alias("gt_rows"), out.cast("long").alias("out_rows"),
+        ((gt == out) & (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0) & (cells == 0)).alias("passed"),
+        F.lit("keyed rel_tol=1e-09").alias("method"))
+    programs = cust.groupBy(seg.alias("program_id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("c_nationkey").alias("_nations"))
+    outcome = programs.select("program_id", (F.col("_n") % 3 + 1).cast("long").alias("outer_attempts"),
+                              (F.col("_nations") % 4).cast("long").alias("run_repairs"))
+    records = programs.select(
+        "program_id", F.concat(F.lit("/corpus/progs/seg_"), F.lower("program_id"), F.lit(".sas")).alias("sas_path"),
+        F.concat(F.lit("team_"), F.lower("program_id")).alias("owner"),
+        F.lit(None).cast("double").alias("float_rel_tol"))
+    snaps = grouped_content_digest(cust.select("c_mktsegment", "c_custkey", "c_name", "c_nationkey"),
+                                   "c_mktsegment").select(
+        F.col("c_mktsegment").alias("program_id"), F.lit("staging.customer").alias("table"),
+        F.col("digest").alias("hash"))
+    return records, outcome, tables, snaps
+
+
+@register("certificates")
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parity certificate text per passing program (one per segment)."""
+    records, outcome, tables, snaps = _segment_programs(spark, sf_dir)
+    return R.certificates(records, outcome, tables, snaps, 1e-9, F.lit(CERTIFIED_AT))
+
+
+@register("triage_reports")
+def triage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triage report per failing program of the attempt log: failure mode,
+    last error as evidence, and the latest attempt of each step."""
+    ev = I.table(spark, sf_dir, "events")
+    att = I.attempt_log(ev)
+    out = R.outcomes(att, EVENT_ORDER, trips=_trips(spark, sf_dir)).filter(F.col("status") == "triage")
+    calls = I.call_log(ev)
+    evidence = calls.filter(F.col("error").isNotNull()).groupBy("program_id").agg(
+        F.max_by(F.concat(F.lit("call "), F.col("event_id").cast("string"), F.lit(": "), F.col("error")),
+                 F.struct(*EVENT_ORDER)).alias("text"))
+    runs = att.filter(F.col("loop") == "run")
+    steps = runs.groupBy("program_id", "step_index").agg(
+        F.max_by(F.col("event_id"), F.struct(*EVENT_ORDER)).alias("_e")).select(
+        "program_id", "step_index", F.lit("sql").alias("language"),
+        F.concat(F.lit("SELECT * FROM attempt_"), F.col("_e").cast("string")).alias("code"))
+    records = out.select("program_id", F.concat(F.lit("/corpus/progs/"), F.col("program_id"),
+                                                F.lit(".sas")).alias("sas_path"),
+                         F.lit("migration").alias("owner"))
+    return R.triage_reports(records, out.drop("status"), evidence, steps)

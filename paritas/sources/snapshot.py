@@ -69,6 +69,19 @@ def _complete(spark, path: str) -> bool:
     return bool(fs.exists(marker))
 
 
+def grouped_content_digest(df: DataFrame, group: str) -> DataFrame:
+    """:func:`content_digest` of every ``group`` value's rows in one
+    aggregation (the group column itself is not part of the row text)."""
+    cols = [c for c in df.columns if c != group]
+    header = ",".join(cols)
+    body = df.select(*cols)
+    h = F.conv(F.substring(F.sha2(row_text(body), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    s = df.select(F.col(f"`{group}`"), h.alias("h")).groupBy(f"`{group}`").agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum("h").cast("string").alias("hash_sum"))
+    return s.withColumn("digest", F.substring(F.sha2(F.concat_ws(
+        "|", F.lit(header), F.col("n_rows").cast("string"), F.col("hash_sum")), 256), 1, 12))
+
+
 def snapshot(df: DataFrame, name: str, root: str | None = None) -> tuple[str, str]:
     """Write ``df`` once under ``<root>/<name>_<digest>`` (skipped when that
     folder already holds a complete snapshot). Returns (path, digest)."""
