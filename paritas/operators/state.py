@@ -64,10 +64,13 @@ def to_kv(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
                      stamp.alias("updated_at"))
 
 
-def to_log(df: DataFrame, ts: str | None = None) -> DataFrame:
+def to_log(df: DataFrame, ts: str | None = None, keep_nulls: bool = False) -> DataFrame:
+    """Rows -> log shape: every other column goes into the JSON payload
+    (NULL fields written as ``null`` with ``keep_nulls``)."""
     rest = [c for c in df.columns if c != ts]
     stamp = F.col(ts).cast("timestamp") if ts else F.current_timestamp()
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("payload"),
+    opts = {"ignoreNullFields": "false"} if keep_nulls else None
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]), opts).alias("payload"),
                      stamp.alias("ts"))
 
 

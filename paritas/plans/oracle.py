@@ -875,8 +875,7 @@ def _lets_sql(src: str, dst: str) -> str:
 
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
-ORACLE["script_steps"] = f"""
-WITH {RESOLVED},
+STEPS_CTES = f"""{RESOLVED},
 {_lets_sql('resolved', 'expanded')},
 stripped AS (
   SELECT program_id,
@@ -937,10 +936,13 @@ w6 AS (
 steps AS (
   SELECT program_id, step, arg_min(kind, line_no) AS kind,
          trim(string_agg(line, chr(10) ORDER BY line_no), {_WS_ALL}) AS code
-  FROM w6 GROUP BY program_id, step)
-SELECT program_id, CAST(row_number() OVER (PARTITION BY program_id ORDER BY step) - 1 AS INTEGER)
-         AS step_index, kind, code
-FROM steps WHERE code <> ''"""
+  FROM w6 GROUP BY program_id, step),
+stepped AS (
+  SELECT program_id, CAST(row_number() OVER (PARTITION BY program_id ORDER BY step) - 1 AS INTEGER)
+           AS step_index, kind, code
+  FROM steps WHERE code <> '')"""
+
+ORACLE["script_steps"] = f"WITH {STEPS_CTES}\nSELECT program_id, step_index, kind, code FROM stepped"
 
 
 # ---------------------------------------------------------------- R1 / R3 text
@@ -998,3 +1000,35 @@ SELECT f.program_id, concat_ws(chr(10),
   '', '## Evidence', '```', coalesce(e.ev, '(no error text)'), '```', '',
   '## Closest attempt', coalesce(c.code, '(no steps were translated)')) AS report
 FROM failing f LEFT JOIN evidence e USING (program_id) LEFT JOIN code c USING (program_id)"""
+
+
+# ---------------------------------------------------------------- R5 / K4
+
+_STEP_OUT = r"(?i)\b(?:data|create\s+table|out\s*=)\s*([\w.]+)"
+
+ORACLE["implicated_steps"] = f"""
+WITH {STEPS_CTES}
+, outs AS (SELECT program_id, step_index, unnest(regexp_extract_all(code, {_q(_STEP_OUT)}, 1)) AS out
+           FROM stepped),
+failed AS (
+  SELECT DISTINCT program_id, lower(t) AS t FROM (
+    SELECT 'c' || CAST(c_custkey AS VARCHAR) AS program_id,
+           unnest([CASE WHEN c_acctbal < 0 THEN 'WORK.S' || CAST(c_custkey AS VARCHAR) END,
+                   CASE WHEN c_custkey % 9 = 0 THEN 'work.missing_' || CAST(c_custkey AS VARCHAR) END]) AS t
+    FROM customer) WHERE t IS NOT NULL),
+hits AS (SELECT DISTINCT o.program_id, o.step_index FROM outs o JOIN failed f
+         ON o.program_id = f.program_id AND lower(o.out) = f.t),
+fallback AS (
+  SELECT s.program_id, max(s.step_index) AS step_index FROM stepped s
+  WHERE s.program_id IN (SELECT program_id FROM failed)
+    AND s.program_id NOT IN (SELECT program_id FROM hits)
+  GROUP BY s.program_id)
+SELECT * FROM hits UNION ALL SELECT * FROM fallback"""
+
+ORACLE["call_log_records"] = f"""
+WITH {CALLS}
+SELECT json_object('program_id', program_id, 'event_id', event_id, 'purpose', purpose,
+                   'input_tokens', input_tokens, 'output_tokens', output_tokens, 'error', error)::VARCHAR
+         AS payload,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM calls"""

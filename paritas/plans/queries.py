@@ -608,3 +608,35 @@ def triage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.lit(".sas")).alias("sas_path"),
                          F.lit("migration").alias("owner"))
     return R.triage_reports(records, out.drop("status"), evidence, steps)
+
+
+# ---------------------------------------------------------------- R5 / K4
+
+# Tables a SAS step writes: DATA targets, CREATE TABLE targets and OUT= data sets.
+STEP_OUTPUT_RE = r"(?i)\b(?:data|create\s+table|out\s*=)\s*([\w.]+)"
+
+
+@register("implicated_steps")
+def implicated_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps to repair per program: those writing a failed table
+    (case-insensitive), else the program's last step."""
+    files = I.sas_include_files(I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "region"))
+    steps, _ = T.preprocess(_programs(spark, sf_dir), files)
+    steps = steps.select("program_id", "step_index",
+                         F.regexp_extract_all("code", F.lit(STEP_OUTPUT_RE), 1).alias("outputs"))
+    cust = I.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    failed = cust.select(F.concat(F.lit("c"), k).alias("program_id"), F.explode(F.array(
+        F.when(F.col("c_acctbal") < 0, F.concat(F.lit("WORK.S"), k)),
+        F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("work.missing_"), k)))).alias("table")
+    ).filter(F.col("table").isNotNull())
+    return R.implicated_steps(steps, failed)
+
+
+@register("call_log_records")
+def call_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the call log in append-log shape (JSON payload, timestamp)."""
+    calls = I.call_log(I.table(spark, sf_dir, "events")).select(
+        "program_id", "event_id", "purpose", "input_tokens", "output_tokens", "error", "ts")
+    log = ST.to_log(calls, ts="ts", keep_nulls=True)
+    return log.select("payload", F.date_format("ts", TS_FMT).alias("ts"))
