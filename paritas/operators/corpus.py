@@ -109,53 +109,85 @@ def _dirname(p: Column) -> Column:
     return F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
 
 
+def _inline(rows: DataFrame, key: str, targets_to: DataFrame, too_deep: int) -> DataFrame:
+    """Inline the direct includes of ``rows`` (``key``, ``_text``) from
+    ``targets_to`` (``_tp`` path, ``_tt`` resolved text, ``_th`` height,
+    ``_te`` error; every known path, resolved or not). Adds ``_err``,
+    ``_maxh`` (longest chain of files below, counting the included file;
+    ``too_deep`` or more is an error) and ``_waiting`` (includes whose file
+    is known but not resolved yet)."""
+    t = rows.select(key, F.posexplode(F.regexp_extract_all("_text", F.lit(INCLUDE_RE), 1))
+                    .alias("_pos", "_target"))
+    j = t.join(targets_to, F.col("_target") == F.col("_tp"), "left")
+    per = j.groupBy(key).agg(
+        F.min(F.when(F.col("_tp").isNull(), F.col("_target"))).alias("_missing"),
+        F.min("_te").alias("_child_err"),
+        F.count_if(F.col("_tp").isNotNull() & F.col("_th").isNull() & F.col("_te").isNull()).alias("_waiting"),
+        F.max("_th").alias("_maxh"),
+        F.array_sort(F.collect_list(F.struct("_pos", F.col("_tt").alias("t")))).alias("_fills"))
+    x = rows.join(per, key)
+    h = F.col("_maxh") + 1
+    err = (F.when(F.col("_missing").isNotNull(), F.concat(F.lit("include not found: "), F.col("_missing")))
+            .when(F.col("_child_err").isNotNull(), F.col("_child_err"))
+            .when((F.col("_waiting") == 0) & (F.col("_maxh") >= too_deep),
+                  F.lit("%include nesting exceeds max depth")))
+    spliced = _splice(F.split("_text", INCLUDE_RE, -1), F.transform("_fills", lambda f: f["t"]))
+    return x.select(key, F.when(err.isNull() & (F.col("_waiting") == 0), spliced)
+                    .otherwise(F.col("_text")).alias("_text"),
+                    err.alias("_err"), F.col("_maxh").alias("_maxh"), "_waiting")
+
+
 def resolve_includes(programs: DataFrame, files: DataFrame, id_col: str = "program_id",
                      path_col: str = "path", text_col: str = "source",
                      max_depth: int = 10) -> DataFrame:
     """Inline ``%include 'file';`` recursively, relative to the including
     file's folder. ``files`` has ``path, source`` for every includable file.
 
-    One join of include targets against the file table per nesting level,
-    at most ``max_depth - 1`` levels (the program itself is the first).
-    Texts without includes leave the loop at once; the texts still open
-    after a level are checkpointed, so the next level (and its emptiness
-    check) reads them instead of recomputing earlier levels. Adds
-    ``include_error``: a missing file, or includes nested too deep.
+    Bottom-up: the includable files are resolved among themselves first, one
+    join per nesting height over the files that still have open includes
+    (checkpointed per height, usually a small table); then every program is
+    inlined with one join against the resolved files, so program texts are
+    read once and never rewritten per level. A program fails with
+    ``include_error`` when a file it reaches is missing ("include not found:
+    <smallest missing path>") or an include chain reaches ``max_depth``
+    counting the program (cycles included); its text is then left as read.
     """
-    f = files.select(F.col(path_col).alias("_fpath"), F.col(text_col).alias("_ftext"))
-    cur = programs.select(F.col(id_col).alias("_id"),
-                          # Absolute include paths, so inlined text keeps its own folder.
-                          _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text"),
-                          F.lit(None).cast("string").alias("_err"))
-    open_ = F.col("_text").rlike(INCLUDE_RE) & F.col("_err").isNull()
-    ensure_checkpoint_dir(programs.sparkSession)
-    finished = [cur.filter(~open_)]
-    todo = cur.filter(open_).checkpoint(eager=True)
-    for _ in range(max_depth - 1):
-        if todo.isEmpty():
+    spark = programs.sparkSession
+    ensure_checkpoint_dir(spark)
+    f = files.select(F.col(path_col).alias("_path"),
+                     _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text"))
+    has_inc = F.col("_text").rlike(INCLUDE_RE)
+    known = f.select("_path")
+    done = f.filter(~has_inc).select("_path", "_text", F.lit(1).alias("_h"),
+                                     F.lit(None).cast("string").alias("_err")).checkpoint(eager=True)
+    pending = f.filter(has_inc).checkpoint(eager=True)
+    for _ in range(max_depth):
+        if pending.isEmpty():
             break
-        targets = todo.select("_id", F.posexplode(
-            F.regexp_extract_all("_text", F.lit(INCLUDE_RE), 1)).alias("_pos", "_target"))
-        got = (targets.join(f, F.col("_target") == F.col("_fpath"), "left")
-               .groupBy("_id").agg(
-                   F.array_sort(F.collect_list(F.struct(
-                       "_pos", _absolutize(F.col("_ftext"), _dirname(F.col("_fpath"))).alias("t"))))
-                    .alias("_fills"),
-                   F.min(F.when(F.col("_fpath").isNull(), F.col("_target"))).alias("_missing")))
-        inlined = _splice(F.split("_text", INCLUDE_RE, -1), F.transform("_fills", lambda x: x["t"]))
-        step = todo.join(got, "_id").select(
-            "_id",
-            F.when(F.col("_missing").isNull(), inlined).otherwise(F.col("_text")).alias("_text"),
-            F.when(F.col("_missing").isNotNull(),
-                   F.concat(F.lit("include not found: "), F.col("_missing"))).alias("_err"))
-        step = step.checkpoint(eager=True)
-        finished.append(step.filter(~open_))
-        todo = step.filter(open_)
-    out = todo.withColumn("_err", F.lit("%include nesting exceeds max depth"))
-    for part in finished:
-        out = out.unionByName(part)
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col),
-                      F.col("_err").alias("include_error"))
+        targets = (known.join(done, "_path", "left")
+                        .select(F.col("_path").alias("_tp"), F.col("_text").alias("_tt"),
+                                F.col("_h").alias("_th"), F.col("_err").alias("_te")))
+        # A file's own height is 1 + its longest chain: max_depth or more fails.
+        step = _inline(pending, "_path", targets, max_depth - 1).checkpoint(eager=True)
+        closed = F.col("_err").isNotNull() | (F.col("_waiting") == 0)
+        if step.filter(closed).isEmpty():
+            break                                  # no progress: the rest is a cycle
+        done = done.unionByName(step.filter(closed).select(
+            "_path", "_text", (F.col("_maxh") + 1).alias("_h"), "_err")).checkpoint(eager=True)
+        pending = pending.join(step.filter(~closed).select("_path"), "_path").checkpoint(eager=True)
+    stuck = pending.select("_path", "_text", F.lit(None).cast("int").alias("_h"),
+                           F.lit("%include nesting exceeds max depth").alias("_err"))
+    resolved = done.unionByName(stuck).select(
+        F.col("_path").alias("_tp"), F.col("_text").alias("_tt"), F.col("_h").alias("_th"),
+        F.col("_err").alias("_te"))
+
+    p = programs.select(F.col(id_col).alias("_id"),
+                        _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text"))
+    plain = p.filter(~has_inc).select("_id", "_text", F.lit(None).cast("string").alias("_err"))
+    # The program is level 0: a chain of max_depth files below it fails.
+    inlined = _inline(p.filter(has_inc), "_id", resolved, max_depth).select("_id", "_text", "_err")
+    return plain.unionByName(inlined).select(
+        F.col("_id").alias(id_col), F.col("_text").alias(text_col), F.col("_err").alias("include_error"))
 
 
 def _absolutize(text: Column, folder: Column) -> Column:
@@ -250,24 +282,30 @@ def sandbox_violations(df: DataFrame, id_col: str, code_col: str, schema_col: st
     or setCurrentDatabase/Catalog; kind ``write``: a qualified write target
     outside ``<schema>.``. Raw and normalized texts are both scanned, so a
     comment or backtick can never hide a target. No row means allowed.
+    The texts and regex results are computed once in projections, before the
+    array functions and the explode that use them several times.
     """
     code = F.col(code_col)
-    raw = F.replace(code, F.lit("`"), F.lit(""))
-    norm = scan_text(code)
-    ctx = F.array_union(F.array_union(
-        F.regexp_extract_all(raw, F.lit(FORBIDDEN_RE), 0),
-        F.regexp_extract_all(norm, F.lit(FORBIDDEN_RE), 0)),
-        F.regexp_extract_all(code, F.lit(PY_FORBIDDEN_RE), 0))
-    targets = F.array_union(F.array_union(
-        F.regexp_extract_all(raw, F.lit(SQL_WRITE_RE), 1),
-        F.regexp_extract_all(norm, F.lit(SQL_WRITE_RE), 1)),
-        F.transform(F.regexp_extract_all(code, F.lit(PY_WRITE_RE), 1),
-                    lambda t: F.replace(t, F.lit("`"), F.lit(""))))
-    prefix = F.concat(F.lower(F.col(schema_col)), F.lit("."))
-    outside = F.filter(targets, lambda t: t.contains(".") & ~F.lower(t).startswith(prefix))
-    hits = F.concat(F.transform(ctx, lambda m: F.struct(F.lit("context").alias("kind"), m.alias("detail"))),
-                    F.transform(outside, lambda t: F.struct(F.lit("write").alias("kind"), t.alias("detail"))))
-    return df.select(F.col(id_col), F.explode(hits).alias("h")).select(id_col, "h.kind", "h.detail")
+    texts = df.select(F.col(id_col), F.col(schema_col).alias("_sb"), code.alias("_code"),
+                      F.replace(code, F.lit("`"), F.lit("")).alias("_raw"),
+                      scan_text(code).alias("_norm"))
+    found = texts.select(
+        id_col, "_sb",
+        F.array_union(F.array_union(
+            F.regexp_extract_all("_raw", F.lit(FORBIDDEN_RE), 0),
+            F.regexp_extract_all("_norm", F.lit(FORBIDDEN_RE), 0)),
+            F.regexp_extract_all("_code", F.lit(PY_FORBIDDEN_RE), 0)).alias("_ctx"),
+        F.array_union(F.array_union(
+            F.regexp_extract_all("_raw", F.lit(SQL_WRITE_RE), 1),
+            F.regexp_extract_all("_norm", F.lit(SQL_WRITE_RE), 1)),
+            F.transform(F.regexp_extract_all("_code", F.lit(PY_WRITE_RE), 1),
+                        lambda t: F.replace(t, F.lit("`"), F.lit("")))).alias("_targets"))
+    prefix = F.concat(F.lower(F.col("_sb")), F.lit("."))
+    outside = F.filter("_targets", lambda t: t.contains(".") & ~F.lower(t).startswith(prefix))
+    hits = F.concat(
+        F.transform("_ctx", lambda m: F.struct(F.lit("context").alias("kind"), m.alias("detail"))),
+        F.transform(outside, lambda t: F.struct(F.lit("write").alias("kind"), t.alias("detail"))))
+    return found.select(F.col(id_col), F.explode(hits).alias("h")).select(id_col, "h.kind", "h.detail")
 
 
 # ---------------------------------------------------------------- T6

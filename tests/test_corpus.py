@@ -210,3 +210,17 @@ def test_parse_responses(spark):
     assert got[4]["error"] == "missing code block after header"
     assert got[5]["error"] == "language must be sql|pyspark, got 'scala'"
     assert got[6]["code"] == "late"               # first code block after the header
+
+
+@pytest.mark.parametrize("chain,ok", [(3, True), (4, False)])
+def test_include_depth_boundary(spark, chain, ok):
+    # program -> f1 -> ... -> f<chain>; with max_depth 4 a chain of 3 files is fine.
+    rows = [(f"/c/f{i}.sas", f"%include 'f{i + 1}.sas';" if i < chain else "x = 1;")
+            for i in range(1, chain + 1)]
+    files = spark.createDataFrame(rows, "path STRING, source STRING")
+    progs = spark.createDataFrame([("p", "/c/p.sas", "%include 'f1.sas';")],
+                                  "program_id STRING, path STRING, source STRING")
+    r = T.resolve_includes(progs, files, max_depth=4).first()
+    assert (r["include_error"] is None) == ok
+    if ok:
+        assert r["source"] == "x = 1;"
