@@ -155,15 +155,22 @@ def implicated_steps(steps: DataFrame, failed: DataFrame, by: str = "program_id"
 
     steps   program_id, step_index, outputs ARRAY<STRING>
     failed  program_id, table
+
+    ``steps`` is read once: outputs are exploded (steps without outputs
+    kept), matched against the failed tables with one left join, and one
+    aggregation per program (bounded by its number of steps) picks the hits
+    or the fallback.
     """
-    outs = steps.select(by, "step_index", F.explode("outputs").alias("_out"))
-    f = failed.select(by, F.lower("table").alias("_t")).distinct()
-    hits = (outs.join(f, (outs[by] == f[by]) & (F.lower(outs["_out"]) == f["_t"]))
-                .select(outs[by].alias(by), "step_index").distinct())
-    progs = f.select(by).distinct()
-    fallback = (steps.join(progs, by).groupBy(by).agg(F.max("step_index").alias("step_index"))
-                     .join(hits.select(by).distinct(), by, "left_anti"))
-    return hits.unionByName(fallback)
+    f = failed.select(F.col(by).alias("_fp"), F.lower("table").alias("_t")).distinct()
+    progs = f.select(F.col("_fp").alias(by)).distinct()
+    x = steps.select(by, "step_index", F.explode_outer("outputs").alias("_out"))
+    j = x.join(f, (x[by] == f["_fp"]) & (F.lower(x["_out"]) == f["_t"]), "left") \
+         .select(x[by].alias(by), "step_index", F.col("_t").isNotNull().alias("_hit"))
+    per = j.join(progs, by, "left_semi").groupBy(by).agg(
+        F.array_distinct(F.collect_list(F.when(F.col("_hit"), F.col("step_index")))).alias("_hits"),
+        F.max("step_index").alias("_last"))
+    pick = F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(F.array(F.col("_last")))
+    return per.select(by, F.explode(pick).alias("step_index"))
 
 
 # ---------------------------------------------------------------- R1 R2 R3

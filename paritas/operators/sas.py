@@ -39,6 +39,27 @@ def data_step_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(F.coalesce(predicate, F.lit(False)))
 
 
+_WHERE_OPS = {
+    # op: (plain comparison, whether a missing value satisfies it)
+    ">": (lambda c, v: c > v, False), ">=": (lambda c, v: c >= v, False),
+    "=": (lambda c, v: c == v, False), "<": (lambda c, v: c < v, True),
+    "<=": (lambda c, v: c <= v, True), "^=": (lambda c, v: c != v, True),
+}
+
+
+def where_sas(df: DataFrame, column: str, op: str, value) -> DataFrame:
+    """``WHERE column <op> value`` for a non-missing constant, SAS rules
+    (missing is lower than every value), written so Parquet can push it
+    down: ``c > v`` stays a plain comparison (a missing ``c`` drops out as
+    SAS drops it), ``c < v`` becomes ``c IS NULL OR c < v``."""
+    if value is None:
+        raise ValueError("compare with a missing value through sas_eq/sas_ne")
+    cmp, keeps_missing = _WHERE_OPS[op]
+    c = F.col(f"`{column}`")
+    cond = cmp(c, F.lit(value))
+    return df.filter(c.isNull() | cond if keeps_missing else cond)
+
+
 # ---------------------------------------------------------------- W1, W2
 
 def first_last(df: DataFrame, by: list[str], order: list[str],

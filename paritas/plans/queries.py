@@ -333,7 +333,7 @@ def sas_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _etl_filtered(spark, sf_dir) -> DataFrame:
     m = _orders_with_missing(I.table(spark, sf_dir, "orders"))
     # data work.filtered; set orders; where date_m >= "1995-01-01"d; run;
-    return SO.data_step_where(m, S.sas_ge("date_m", F.lit("1995-01-01").cast("timestamp_ntz")))
+    return SO.where_sas(m, "date_m", ">=", F.lit("1995-01-01").cast("timestamp_ntz"))
 
 
 @register("etl_summary")

@@ -166,3 +166,18 @@ def test_first_last_on_events_file(spark):
     out = SO.first_last(ev.select("event_id", "ts", "user_id"), ["user_id"], ["ts", "event_id"])
     n_users = ev.select("user_id").distinct().count()
     assert out.filter("first_user_id").count() == n_users == out.filter("last_user_id").count()
+
+
+def test_where_sas_semantics_and_pushdown(spark, tmpdir_path):
+    import datetime as dt
+    path = f"{tmpdir_path}/w.parquet"
+    spark.createDataFrame([(1, None), (2, dt.date(1994, 1, 1)), (3, dt.date(1996, 1, 1))],
+                          "k INT, d DATE").write.parquet(path)
+    df = spark.read.parquet(path)
+    d = dt.date(1995, 1, 1)
+    ks = lambda op: sorted(r["k"] for r in SO.where_sas(df, "d", op, d).collect())
+    assert ks(">=") == [3] and ks("<") == [1, 2] and ks("^=") == [1, 2, 3] and ks("=") == []
+    plan = SO.where_sas(df, "d", ">=", d)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(d), GreaterThanOrEqual(d,1995-01-01)]" in plan
+    plan = SO.where_sas(df, "d", "<", d)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(IsNull(d),LessThan(d,1995-01-01))" in plan
