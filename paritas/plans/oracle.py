@@ -8,6 +8,7 @@ same modulo parameters (:mod:`paritas.plans.inputs`).
 
 from __future__ import annotations
 
+from paritas.operators import corpus as T
 from paritas.plans import inputs as I
 
 ORACLE: dict[str, str] = {}
@@ -628,7 +629,7 @@ programs AS (
   ) AS source
   FROM customer LEFT JOIN documents d ON c_custkey = d.doc_id)"""
 
-_COMMENT = r"(?s)/\*.*?\*/"
+_COMMENT = T.BLOCK_COMMENT_RE
 
 ORACLE["stripped_comments"] = f"""
 WITH {PROGRAMS},
@@ -640,7 +641,8 @@ SELECT program_id,
                    || pieces[i + 1]), '') AS source
 FROM s"""
 
-_LET = r"(?im)^\s*%let\s+(\w+)\s*=\s*([^;]*);\s*$"
+# RE2 has no UNIX_LINES flag; its multiline $ already stops only at \n.
+_LET = T.LET_RE.replace("(?imd)", "(?im)")
 _PYWS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE["expanded_lets"] = f"""
@@ -659,16 +661,7 @@ SELECT program_id,
                    regexp_replace(source, '{_LET}', '', 'g')) AS source
 FROM d"""
 
-_FORB = (r"(?i)\b(?:use\s+(?:catalog\s+|schema\s+|database\s+)?\w|"
-         r"(?:drop|create)\s+(?:schema|database)\b|"
-         r"insert\s+overwrite\s+(?:local\s+)?directory\b)")
-_PYFORB = r"\.set(?:CurrentDatabase|CurrentCatalog)\s*\("
-_SQLW = (r"(?i)\b(?:create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)"
-         r"(?:\s+if\s+not\s+exists)?|replace\s+table|insert\s+(?:into|overwrite)"
-         r"(?:\s+table)?|merge\s+into|update|delete\s+from|alter\s+table"
-         r"|drop\s+table(?:\s+if\s+exists)?|truncate\s+table)"
-         r"\s+([\w.]+)")
-_PYW = r"""\.(?:saveAsTable|insertInto|writeTo)\(\s*[rbfuRBFU]{0,2}['"]([^'"]+)['"]"""
+_FORB, _PYFORB, _SQLW, _PYW = (T.FORBIDDEN_RE, T.PY_FORBIDDEN_RE, T.SQL_WRITE_RE, T.PY_WRITE_RE)
 
 
 def _q(s: str) -> str:
@@ -720,7 +713,7 @@ hits AS (
   WHERE contains(t, '.') AND NOT starts_with(lower(t), lower(sandbox) || '.'))
 SELECT DISTINCT step_id, kind, detail FROM hits"""
 
-_STMT = r"(?:[^';]|'(?:[^']|'')*'|'(?:[^']|'')*$)+"
+_STMT = T.SQL_STATEMENT_RE
 
 ORACLE["sql_statements"] = f"""
 WITH s AS (
@@ -791,7 +784,7 @@ _WS_ALL = " || ".join(f"chr({c})" for c in (
     9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197,
     8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288))
 
-_INC = r"""(?i)%include\s+['"]([^'"]+)['"]\s*;"""
+_INC = T.INCLUDE_RE
 
 FILES = """
 files AS (
