@@ -154,32 +154,34 @@ def resolve_includes(programs: DataFrame, files: DataFrame, id_col: str = "progr
     """
     spark = programs.sparkSession
     ensure_checkpoint_dir(spark)
-    f = files.select(F.col(path_col).alias("_path"),
-                     _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text"))
     has_inc = F.col("_text").rlike(INCLUDE_RE)
-    known = f.select("_path")
-    done = f.filter(~has_inc).select("_path", "_text", F.lit(1).alias("_h"),
-                                     F.lit(None).cast("string").alias("_err")).checkpoint(eager=True)
-    pending = f.filter(has_inc).checkpoint(eager=True)
+    # One state table of every includable file: resolved text and height
+    # (closed) or still-open includes; one count and one checkpoint per height.
+    state = files.select(F.col(path_col).alias("_path"),
+                         _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text")) \
+        .select("_path", "_text", F.when(~has_inc, F.lit(1)).alias("_h"),
+                F.lit(None).cast("string").alias("_err"), has_inc.alias("_open")) \
+        .checkpoint(eager=True)
+    still_open = None
     for _ in range(max_depth):
-        if pending.isEmpty():
-            break
-        targets = (known.join(done, "_path", "left")
-                        .select(F.col("_path").alias("_tp"), F.col("_text").alias("_tt"),
-                                F.col("_h").alias("_th"), F.col("_err").alias("_te")))
+        n_open = state.filter("_open").count()
+        if n_open == 0 or n_open == still_open:
+            break                                  # done, or no progress: a cycle
+        still_open = n_open
+        targets = state.select(F.col("_path").alias("_tp"), F.col("_text").alias("_tt"),
+                               F.when(~F.col("_open"), F.col("_h")).alias("_th"),
+                               F.when(~F.col("_open"), F.col("_err")).alias("_te"))
         # A file's own height is 1 + its longest chain: max_depth or more fails.
-        step = _inline(pending, "_path", targets, max_depth - 1).checkpoint(eager=True)
+        step = _inline(state.filter("_open").select("_path", "_text"), "_path", targets, max_depth - 1)
         closed = F.col("_err").isNotNull() | (F.col("_waiting") == 0)
-        if step.filter(closed).isEmpty():
-            break                                  # no progress: the rest is a cycle
-        done = done.unionByName(step.filter(closed).select(
-            "_path", "_text", (F.col("_maxh") + 1).alias("_h"), "_err")).checkpoint(eager=True)
-        pending = pending.join(step.filter(~closed).select("_path"), "_path").checkpoint(eager=True)
-    stuck = pending.select("_path", "_text", F.lit(None).cast("int").alias("_h"),
-                           F.lit("%include nesting exceeds max depth").alias("_err"))
-    resolved = done.unionByName(stuck).select(
+        step = step.select("_path", "_text",
+                           F.when(closed & F.col("_err").isNull(), F.col("_maxh") + 1).alias("_h"),
+                           "_err", (~closed).alias("_open"))
+        state = state.filter(~F.col("_open")).unionByName(step).checkpoint(eager=True)
+    resolved = state.select(
         F.col("_path").alias("_tp"), F.col("_text").alias("_tt"), F.col("_h").alias("_th"),
-        F.col("_err").alias("_te"))
+        F.when(F.col("_open"), F.lit("%include nesting exceeds max depth"))
+         .otherwise(F.col("_err")).alias("_te"))
 
     p = programs.select(F.col(id_col).alias("_id"),
                         _absolutize(F.col(text_col), _dirname(F.col(path_col))).alias("_text"))
