@@ -48,13 +48,39 @@ def values_match(a: Column, b: Column, rel_tol: float | None = 1e-9) -> Column:
     return exact | F.coalesce(close, F.lit(False))
 
 
+def float_key(c: Column) -> Column:
+    """Text that is equal for two floats exactly when their ``%.9e`` texts
+    (ten significant digits) are equal, without formatting most values.
+
+    The key is the double nearest to the value rounded to ten significant
+    digits, rendered by ``Double.toString``. A value that already has at most
+    ten significant digits at two decimals (``rint(x*100)/100 == x`` exactly,
+    e.g. amounts) is its own rounding, so it skips the formatter. Others are
+    formatted with ``%.9e`` and parsed back (parsing is correctly rounded, and
+    distinct ten-digit decimals are more than one ulp apart above 1e-290;
+    below that the formatted text itself is the key). -0.0 folds into 0.0.
+    """
+    x = c.cast("double") + F.lit(0.0)
+    d = F.rint(x * F.lit(100.0))
+    short = (F.abs(d) < F.lit(1e10)) & ((d / F.lit(100.0)) == x)
+    formatted = F.format_string("%.9e", x)
+    back = formatted.cast("double")
+    tiny = (F.abs(back) < F.lit(1e-290)) & (back != F.lit(0.0))
+    return F.when(short, x.cast("string")).when(tiny, formatted).otherwise(back.cast("string"))
+
+
 def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
     if as_float:
-        # +0.0 folds -0.0 into 0.0; ten significant digits is the tolerance proxy.
-        return F.format_string("%.9e", c.cast("double") + F.lit(0.0))
+        return float_key(c)
     # Cheap injective renderings where a string cast would be slow.
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("string")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(dtype, T.TimestampNTZType):
+        # Wall-clock values: days plus microseconds of the day, no time zone
+        # involved (a zone's DST gap could otherwise merge two values).
+        return F.concat(F.unix_date(c.cast("date")).cast("string"), F.lit("."),
+                        (F.hour(c) * 3600 + F.minute(c) * 60).cast("string"), F.lit("."),
+                        F.date_part(F.lit("SECOND"), c).cast("string"))
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("string")
     if isinstance(dtype, T.BinaryType):
@@ -62,11 +88,17 @@ def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
     return c.cast("string")
 
 
+# Types whose text never contains the field separator or is empty.
+_PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _field(c: Column, as_float: bool, dtype: T.DataType | None = None) -> Column:
-    # Length prefix keeps the encoding injective whatever the text contains.
-    # No conditional branch: the text is computed once (shared subexpression)
-    # and a NULL value makes the concat NULL, which becomes the NULL marker.
     text = _text(c, dtype, as_float)
+    if as_float or isinstance(dtype, _PLAIN):
+        return F.coalesce(text, F.lit(NULL_MARK))
+    # Free text: a length prefix keeps the encoding injective whatever the
+    # text contains. No conditional branch: the text is computed once (shared
+    # subexpression) and a NULL value makes the concat NULL -> NULL marker.
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit(NULL_MARK))
 
 
@@ -75,21 +107,12 @@ def row_line(columns: list[tuple], prefix: str = "") -> Column:
     encode alike, different rows differ.
 
     ``columns`` is ``[(name, as_float[, dtype]), ...]``, in any order (names
-    are sorted here). Float columns are rendered together by one
-    ``%.9e|%.9e|...`` format call (one formatter per row instead of one per
-    cell); a float renders as ``null`` or an ``%e`` text, never with ``|``, so
-    the float part stays unambiguous. Other columns get a length prefix.
-    Both sides of a comparison must pass the same column list (see ``align``).
+    are sorted here). Every field is length-prefixed (NULL has its own
+    marker); float fields use :func:`float_key`. Both sides of a comparison
+    must pass the same column list (see ``align``).
     """
     cols = sorted(columns, key=lambda c: c[0])
-    floats = [c for c in cols if c[1]]
-    parts = [_field(F.col(f"`{prefix}{c[0]}`"), False, c[2] if len(c) > 2 else None)
-             for c in cols if not c[1]]
-    if floats:
-        # +0.0 folds -0.0 into 0.0; ten significant digits is the tolerance proxy.
-        parts.append(F.format_string("|".join(["%.9e"] * len(floats)),
-                                     *[F.col(f"`{prefix}{c[0]}`").cast("double") + F.lit(0.0)
-                                       for c in floats]))
+    parts = [_field(F.col(f"`{prefix}{c[0]}`"), c[1], c[2] if len(c) > 2 else None) for c in cols]
     return F.concat_ws(FIELD_SEP, *parts)
 
 

@@ -42,7 +42,7 @@ def test_row_line_is_injective_and_order_free(spark):
     line = df.select(M.row_line(cols).alias("l")).first()["l"]
     again = df.select("w", "z", "y", "x").select(M.row_line(list(reversed(cols))).alias("l")).first()["l"]
     assert line == again
-    assert "2.500000000e+00" in line and M.NULL_MARK in line
+    assert "\x1f2.5" in line and "1:a" in line and M.NULL_MARK in line
 
 
 @pytest.mark.parametrize("v,iso", [(0, "1960-01-01"), (24107, "2026-01-01"), (-1, "1959-12-31"),
@@ -112,3 +112,33 @@ def test_sas_sort_order_missing_first(spark):
     desc = [r["k"] for r in df.orderBy(*S.sas_sort_order(df, [("v", "desc"), "k"])).collect()]
     assert asc == [2, 3, 4, 1]
     assert desc == [1, 4, 2, 3]
+
+
+def test_float_key_matches_ten_digit_classes(spark):
+    vals = [0.1, 0.29, 1e7, 12345678.91, 1234567891.0, 123456789012.0, 0.1 + 0.2, 1 / 3, -0.0, 0.0,
+            float("nan"), float("inf"), float("-inf"), 1e-300, 5e-324, 2.675, 1.0000000005,
+            999999999.95, 9999999999.5, 1e22, 123.456789012345, 123.45678901, 123.4567890149,
+            -5.55, 1.0000000000000002, 99999999.99, 99999999.990000001]
+    df = spark.createDataFrame([(v,) for v in vals], "v DOUBLE")
+    rows = df.select(F.format_string("%.9e", F.col("v") + F.lit(0.0)).alias("f"),
+                     M.float_key(F.col("v")).alias("k")).collect()
+    by_f, by_k = {}, {}
+    for r in rows:
+        by_f.setdefault(r["f"], set()).add(r["k"])
+        by_k.setdefault(r["k"], set()).add(r["f"])
+    assert all(len(v) == 1 for v in by_f.values()) and all(len(v) == 1 for v in by_k.values())
+
+
+def test_ntz_encoding_is_zone_free(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 5),), (dt.datetime(2024, 3, 10, 3, 30),)],
+                               "t TIMESTAMP_NTZ")
+    line = lambda: [r[0] for r in df.select(M.row_line([("t", False, df.schema["t"].dataType)])).collect()]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        a = line()
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        b = line()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert a == b and len(set(a)) == 2
