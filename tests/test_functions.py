@@ -142,3 +142,33 @@ def test_ntz_encoding_is_zone_free(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert a == b and len(set(a)) == 2
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _near_ties(seeds):
+    # Values whose 11th significant digit is a 5 (or just around it), where
+    # rounding to ten digits is decided.
+    out = []
+    for m, e in seeds:
+        base = float(f"{m}5e{e}")
+        out += [base, base * (1 + 1e-16), base * (1 - 1e-16), float(f"{m}e{e}"), float(f"{m}49999e{e}")]
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.floats(allow_nan=True, allow_infinity=True, width=64), min_size=1, max_size=40),
+       st.lists(st.tuples(st.integers(10 ** 9, 10 ** 10 - 1), st.integers(-40, 40)), max_size=8))
+def test_float_key_partition_equals_format_partition(spark, values, seeds):
+    vals = values + _near_ties(seeds)
+    df = spark.createDataFrame([(v,) for v in vals], "v DOUBLE")
+    rows = df.select(F.format_string("%.9e", F.col("v") + F.lit(0.0)).alias("f"),
+                     M.float_key(F.col("v")).alias("k")).collect()
+    f2k, k2f = {}, {}
+    for r in rows:
+        f2k.setdefault(r["f"], set()).add(r["k"])
+        k2f.setdefault(r["k"], set()).add(r["f"])
+    assert all(len(s) == 1 for s in f2k.values()), f2k
+    assert all(len(s) == 1 for s in k2f.values()), k2f
