@@ -66,7 +66,10 @@ def budget_trips(calls: DataFrame, cap: int, order: list[str], by: str = "progra
     """First call per program whose cumulative tokens exceed ``cap`` (strictly);
     the tripping call itself is counted, as the budget charges before checking."""
     tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
-    s = ordered_scan(calls, [by], order, sums={"used": tokens}, position="call_no")
+    # Only what the scan needs is chunked and checkpointed.
+    keep = list(dict.fromkeys([by, *order, *([ident] if ident else [])]))
+    narrow = calls.select(*[F.col(f"`{c}`") for c in keep], tokens.alias("_tokens"))
+    s = ordered_scan(narrow, [by], order, sums={"used": F.col("_tokens")}, position="call_no")
     fields = [F.col("call_no"), F.col("used")] + ([F.col(f"`{ident}`")] if ident else [])
     trips = s.filter(F.col("used") > cap).groupBy(by).agg(
         F.min_by(F.struct(*fields), F.col("call_no")).alias("_t"))
@@ -100,8 +103,10 @@ def failure_runs(calls: DataFrame, threshold: int, order: list[str], by: str = "
     """
     success = F.col("error").isNull()
     failure = F.col("error").isNotNull() & (F.col("error") != REFUSED)
-    s = ordered_scan(calls.withColumn("_fail", failure), [by], order,
-                     sums={"_island": success.cast("long")})
+    keep = list(dict.fromkeys([by, *order, ident]))
+    narrow = calls.select(*[F.col(f"`{c}`") for c in keep], failure.alias("_fail"),
+                          success.cast("long").alias("_ok"))
+    s = ordered_scan(narrow, [by], order, sums={"_island": F.col("_ok")})
     o = _ord(order)
     runs = s.filter("_fail").groupBy(by, "_island").agg(
         F.count(F.lit(1)).alias("failures"),
