@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every job here assumes. AQE gives runtime coalescing and skew-join
@@ -21,18 +22,25 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Remove checkpoint files once their data is no longer referenced
+    # (the ordered scans checkpoint into the shared folder).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def build_session(master: str | None = None, app: str = "paritas",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session. ``master`` is only applied for local runs."""
+    """Create (or reuse) a session. ``master`` is only applied for local runs;
+    ``shuffle_partitions`` and ``extra`` are explicit and always applied."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    # What the launch already configures (spark-defaults, --conf) wins.
+    launched = SparkConf()
     for k, v in _DEFAULTS.items():
-        b = b.config(k, v)
+        if not launched.contains(k):
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
