@@ -264,8 +264,9 @@ def merge_by(left: DataFrame, right: DataFrame, by: list[str],
     the unmatched rows of the unique side are added with an anti join
     against the distinct keys.
     """
-    lmax = left.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
-    rmax = right.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
+    from paritas.operators.compare import key_stats
+    ks = key_stats(left, right, by).first()      # one job: both sides' largest key group
+    lmax, rmax = ks["gt_max_dup"], ks["out_max_dup"]
     if lmax > 1 and rmax > 1:
         raise ValueError("MERGE with duplicate BY values on both sides (n:m) is not supported")
     lcols = [c for c in left.columns if c not in by]
