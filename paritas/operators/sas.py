@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paritas.functions.sas import sas_sort_order
 from paritas.operators.scan import CHUNK, chunk, ordered_scan, scan_chunked
@@ -298,9 +297,3 @@ def merge_by(left: DataFrame, right: DataFrame, by: list[str],
     out += [F.col(f"`r__{c}`").alias(c) for c in rcols if c not in lcols]
     out += [F.col("_in_l").isNotNull().alias(in_left), F.col("_in_r").isNotNull().alias(in_right)]
     return both.select(*out)
-
-
-# ---------------------------------------------------------------- helpers
-
-def landing_types(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}

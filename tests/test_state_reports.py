@@ -214,3 +214,9 @@ def test_versioned_table_shape_check(spark, tmpdir_path):
     with pytest.raises(ValueError):
         ST.VersionedTable(spark, path, "kv").read()
     assert ST.VersionedTable(spark, os.path.join(tmpdir_path, "none"), "kv").read_or_empty().count() == 0
+
+
+def test_latest_by_time_replays_a_stream(spark):
+    rows = kv(spark, [("p1", "a", T0), ("p1", "b", T0 + dt.timedelta(2)), ("p2", "c", T0),
+                      ("p1", "x", T0 + dt.timedelta(1))])
+    assert {r["key"]: r["payload"] for r in ST.latest_by_time(rows).collect()} == {"p1": "b", "p2": "c"}
