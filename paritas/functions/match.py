@@ -58,15 +58,20 @@ def float_key(c: Column) -> Column:
     e.g. amounts) is its own rounding, so it skips the formatter. Others are
     formatted with ``%.9e`` and parsed back (parsing is correctly rounded, and
     distinct ten-digit decimals are more than one ulp apart above 1e-290;
-    below that the formatted text itself is the key). -0.0 folds into 0.0.
+    below that, and where the rounding of a finite value overflows to
+    infinity, the formatted text itself is the key). -0.0 folds into 0.0.
     """
     x = c.cast("double") + F.lit(0.0)
     d = F.rint(x * F.lit(100.0))
     short = (F.abs(d) < F.lit(1e10)) & ((d / F.lit(100.0)) == x)
     formatted = F.format_string("%.9e", x)
     back = formatted.cast("double")
-    tiny = (F.abs(back) < F.lit(1e-290)) & (back != F.lit(0.0))
-    return F.when(short, x.cast("string")).when(tiny, formatted).otherwise(back.cast("string"))
+    inf = F.lit(float("inf"))
+    # Where parsing back is not one-to-one the formatted text is the key:
+    # below 1e-290, and finite values whose rounding overflows to infinity.
+    keep_text = (((F.abs(back) < F.lit(1e-290)) & (back != F.lit(0.0)))
+                 | ((F.abs(back) == inf) & (F.abs(x) != inf)))
+    return F.when(short, x.cast("string")).when(keep_text, formatted).otherwise(back.cast("string"))
 
 
 def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:

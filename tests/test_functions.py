@@ -118,7 +118,8 @@ def test_float_key_matches_ten_digit_classes(spark):
     vals = [0.1, 0.29, 1e7, 12345678.91, 1234567891.0, 123456789012.0, 0.1 + 0.2, 1 / 3, -0.0, 0.0,
             float("nan"), float("inf"), float("-inf"), 1e-300, 5e-324, 2.675, 1.0000000005,
             999999999.95, 9999999999.5, 1e22, 123.456789012345, 123.45678901, 123.4567890149,
-            -5.55, 1.0000000000000002, 99999999.99, 99999999.990000001]
+            -5.55, 1.0000000000000002, 99999999.99, 99999999.990000001,
+            -1.7976931345e+308, 1.7976931348623157e+308, 1.79769313e+308]
     df = spark.createDataFrame([(v,) for v in vals], "v DOUBLE")
     rows = df.select(F.format_string("%.9e", F.col("v") + F.lit(0.0)).alias("f"),
                      M.float_key(F.col("v")).alias("k")).collect()
