@@ -80,12 +80,9 @@ def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
     # Cheap injective renderings where a string cast would be slow.
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c).cast("string")
-    if isinstance(dtype, T.TimestampNTZType):
-        # Wall-clock values: days plus microseconds of the day, no time zone
-        # involved (a zone's DST gap could otherwise merge two values).
-        return F.concat(F.unix_date(c.cast("date")).cast("string"), F.lit("."),
-                        (F.hour(c) * 3600 + F.minute(c) * 60).cast("string"), F.lit("."),
-                        F.date_part(F.lit("SECOND"), c).cast("string"))
+    # timestamp_ntz falls through to its text form: rendering a wall-clock
+    # value involves no time zone (converting it to an instant would, and a
+    # DST gap could then merge two values).
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("string")
     if isinstance(dtype, T.BinaryType):
