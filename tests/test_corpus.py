@@ -152,7 +152,7 @@ def test_sandbox_blocks(spark, code):
     assert violations(spark, code)
 
 
-def reference_split(code):
+def scanner_split(code):
     """Character scanner used as the brute-force spec of statement splitting."""
     out, cur, quoted, i = [], "", False, 0
     while i < len(code):
@@ -185,7 +185,7 @@ def test_split_sql_cases(spark):
 def test_split_sql_property(spark, codes):
     df = spark.createDataFrame([(c,) for c in codes], "c STRING")
     got = [r[0] for r in df.select(T.split_sql("c")).collect()]
-    assert got == [reference_split(c) for c in codes]
+    assert got == [scanner_split(c) for c in codes]
 
 
 GOOD = ('```json\n{"language": "sql", "inputs": ["in.a"], "outputs": ["sb.f"]}\n```\n'
