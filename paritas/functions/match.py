@@ -74,9 +74,19 @@ def float_key(c: Column) -> Column:
     return F.when(short, x.cast("string")).when(keep_text, formatted).otherwise(back.cast("string"))
 
 
+def comparable(c: Column, dtype: T.DataType | None) -> Column:
+    """A form of ``c`` that compares by content: maps become their entries
+    sorted by key (a map has no order, and maps cannot be compared)."""
+    if isinstance(dtype, T.MapType):
+        return F.array_sort(F.map_entries(c))
+    return c
+
+
 def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
     if as_float:
         return float_key(c)
+    if isinstance(dtype, T.MapType):
+        return comparable(c, dtype).cast("string")
     # Cheap injective renderings where a string cast would be slow.
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c).cast("string")
