@@ -224,3 +224,14 @@ def test_include_depth_boundary(spark, chain, ok):
     assert (r["include_error"] is None) == ok
     if ok:
         assert r["source"] == "x = 1;"
+
+
+def test_read_corpus_ids_and_paths(spark, tmpdir_path):
+    os.makedirs(os.path.join(tmpdir_path, "s"))
+    for name, text in (("etl.sas", "data a; run;\n"), ("x.y.sas", "proc print; run;\n")):
+        with open(os.path.join(tmpdir_path, "s", name), "w") as f:
+            f.write(text)
+    got = {r["program_id"]: (r["path"], r["source"]) for r in
+           T.read_corpus(spark, os.path.join(tmpdir_path, "s", "*.sas")).collect()}
+    assert set(got) == {"etl", "x.y"}
+    assert got["etl"][0] == os.path.join(tmpdir_path, "s", "etl.sas") and got["etl"][1] == "data a; run;\n"

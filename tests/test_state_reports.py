@@ -220,3 +220,11 @@ def test_latest_by_time_replays_a_stream(spark):
     rows = kv(spark, [("p1", "a", T0), ("p1", "b", T0 + dt.timedelta(2)), ("p2", "c", T0),
                       ("p1", "x", T0 + dt.timedelta(1))])
     assert {r["key"]: r["payload"] for r in ST.latest_by_time(rows).collect()} == {"p1": "b", "p2": "c"}
+
+
+def test_to_kv_puts_other_columns_in_payload(spark):
+    rows = spark.createDataFrame([("p1", "landed", 3, T0)], "pid STRING, status STRING, n INT, at TIMESTAMP")
+    kvdf = ST.to_kv(rows, "pid", ts="at")
+    r = kvdf.first()
+    assert kvdf.columns == list(ST.KV_COLS) and r["key"] == "p1" and r["updated_at"] == T0
+    assert r["payload"] == '{"pid":"p1","status":"landed","n":3}'
