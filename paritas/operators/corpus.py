@@ -310,6 +310,20 @@ def sandbox_violations(df: DataFrame, id_col: str, code_col: str, schema_col: st
     return found.select(F.col(id_col), F.explode(hits).alias("h")).select(id_col, "h.kind", "h.detail")
 
 
+def sandbox_verdicts(df: DataFrame, id_col: str, code_col: str, schema_col: str) -> DataFrame:
+    """One row per step: ``allowed`` and its first violation (context
+    changes before writes, then text order), or NULL when allowed."""
+    hits = sandbox_violations(df, id_col, code_col, schema_col)
+    first = hits.groupBy(id_col).agg(
+        F.min(F.struct(F.when(F.col("kind") == "context", 0).otherwise(1).alias("_o"),
+                       F.col("kind"), F.col("detail"))).alias("_f"))
+    return (df.select(id_col).join(first, id_col, "left")
+              .select(id_col, F.col("_f").isNull().alias("allowed"),
+                      F.when(F.col("_f").isNotNull(),
+                             F.concat(F.col("_f.kind"), F.lit(": "), F.col("_f.detail")))
+                       .alias("violation")))
+
+
 # ---------------------------------------------------------------- T6
 
 def split_sql(code) -> Column:

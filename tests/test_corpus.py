@@ -235,3 +235,11 @@ def test_read_corpus_ids_and_paths(spark, tmpdir_path):
            T.read_corpus(spark, os.path.join(tmpdir_path, "s", "*.sas")).collect()}
     assert set(got) == {"etl", "x.y"}
     assert got["etl"][0] == os.path.join(tmpdir_path, "s", "etl.sas") and got["etl"][1] == "data a; run;\n"
+
+
+def test_sandbox_verdicts(spark):
+    df = spark.createDataFrame([("a", "CREATE TABLE sb.x AS SELECT 1", "sb"),
+                                ("b", "DROP TABLE gt.t; USE other", "sb")], "id STRING, code STRING, sb STRING")
+    got = {r["id"]: (r["allowed"], r["violation"]) for r in T.sandbox_verdicts(df, "id", "code", "sb").collect()}
+    assert got["a"] == (True, None)
+    assert got["b"][0] is False and got["b"][1].startswith("context: USE")
