@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
-from tools.oracle_check import TABLES, digest
+from tools.oracle_check import SPARK_TO_DUCK, TABLES, digest
 
 NAMES = sorted(E.queries())
 # Registered queries without a SQL twin (none today); listed so the gap is explicit.
@@ -35,9 +35,12 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(E.oracle_sql()[name])
+    otypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert [(c, SPARK_TO_DUCK.get(t, t)) for c, t in df.dtypes] == [(c, otypes[c]) for c, _ in df.dtypes]
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
