@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm import common as C
-from paritas.llm import pii, rules, toxicity
+from paritas.llm import pieces, pii, rules, token_store, toxicity
+
+#: Folder of the public tokenizers' vocabulary files; None: where the installed package has them.
+TOKENIZERS: str | None = None
+END_ID = 2
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file on every machine."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -52,3 +66,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: pattern spans and the field's own."""
     return pii.detected(C.table(spark, sf_dir, "documents"), pii.train()).drop("redacted")
+
+
+@register("op9_sampled_pieces")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and that it decodes to the text."""
+    return pieces.encoded(C.table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@register("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as written to shards in key order and read back."""
+    path = C.scratch(spark, "token-files")
+    token_store.write(C.table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), END_ID)
+    return token_store.directory(spark, path).select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
