@@ -72,15 +72,19 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
 def training_rows(df: DataFrame, labels: DataFrame, allowed: Column, fit: Fit,
                   key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """A bounded sample ``(text, label)`` of allowed labelled documents, taken
-    in the order of a seeded hash of the key, per class."""
+    in the order of a seeded hash of the key, per class; of documents with the
+    same key, the smallest text."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("row_key")) \
         .agg(F.max(label).cast("int").alias("row_label"))
     rows = df.select(F.col(key).alias("row_key"), F.col(text).alias("row_text")) \
-        .where(allowed & F.col("row_text").isNotNull() & (F.length("row_text") <= fit.max_chars)) \
-        .join(known, "row_key")
-    order = [F.xxhash64(F.lit(fit.seed), F.col("row_key")), "row_key", F.xxhash64("row_text")]
-    part = lambda y: rows.where(F.col("row_label") == y).orderBy(*order).limit(fit.per_class)
-    return part(0).unionAll(part(1)).select("row_text", "row_label")
+        .where(allowed & F.col("row_text").isNotNull() & (F.length("row_text") <= fit.max_chars))
+    # Keys first, without their texts; the chosen ones are few, whatever the input.
+    keys = known.join(rows.select("row_key").distinct(), "row_key")
+    order = [F.xxhash64(F.lit(fit.seed), F.col("row_key")), "row_key"]
+    part = lambda y: keys.where(F.col("row_label") == y).orderBy(*order).limit(fit.per_class)
+    chosen = part(0).unionAll(part(1))
+    return rows.join(F.broadcast(chosen), "row_key").groupBy("row_key", "row_label") \
+        .agg(F.min("row_text").alias("row_text")).select("row_text", "row_label")
 
 
 def train(rows: list[tuple[str, int]], fit: Fit) -> Model:
