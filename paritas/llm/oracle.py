@@ -52,3 +52,83 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
   (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept
 FROM f
 """
+
+# Water filling level by level: a child's share is found by trying every number
+# of exhausted children in order of capacity per weight.
+def _level(parent: str, child: str, cols: str, up: str, path: str) -> str:
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM u.{c}" for c in cols.split(", ")[:-1]) or "TRUE"
+    part = ", ".join(f"n.{c}" for c in cols.split(", ")[:-1]) or "1"
+    return f"""
+{child}_n AS (
+  SELECT {cols}, CAST(sum(tokens) * 4 AS DOUBLE) AS cap, sum(tokens) AS tokens, sum(docs) AS docs,
+    coalesce(max(w.weight), 1.0) AS weight
+  FROM leaves LEFT JOIN weights w ON w.path = {path} GROUP BY {cols}),
+{child}_r AS (
+  SELECT n.*, u.target AS budget,
+    coalesce(sum(n.cap) OVER (PARTITION BY {part} ORDER BY n.cap / n.weight, {", ".join("n." + c for c in cols.split(", "))}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(n.weight) OVER (PARTITION BY {part} ORDER BY n.cap / n.weight, {", ".join("n." + c for c in cols.split(", "))}
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM {child}_n n JOIN {up} u ON {same}),
+{child} AS (
+  SELECT n.*, round(least(n.cap, n.weight * greatest(coalesce(
+      max(CASE WHEN n.cap / n.weight > (n.budget - n.used) / n.rest THEN (n.budget - n.used) / n.rest END)
+        OVER (PARTITION BY {part}), 1e300), 0)), 6) AS target
+  FROM {child}_r n)"""
+
+
+ORACLE["op1_source_mixture"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, 'd' || (CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 4) AS domain,
+    CAST(len({_WORDS}) AS BIGINT) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, count(*) AS docs FROM d GROUP BY ALL),
+weights AS (
+  SELECT a.d AS path, CAST(a.w AS DOUBLE) AS weight FROM (VALUES ('d0', 4), ('d1', 3), ('d2', 2), ('d3', 1)) a(d, w)
+  UNION ALL
+  SELECT a.d || '/' || l.l, CAST(l.w AS DOUBLE) FROM (VALUES ('d0'), ('d1'), ('d2'), ('d3')) a(d),
+    (VALUES ('en', 5), ('de', 2), ('fr', 2), ('es', 1)) l(l, w)),
+root AS (SELECT CAST(floor(sum(tokens) * 1.2) AS DOUBLE) AS target FROM leaves),
+{_level("root", "dom", "domain", "root", "domain")},
+{_level("dom", "lng", "domain, lang", "dom", "domain || '/' || lang")},
+{_level("lng", "src", "domain, lang, source", "lng", "domain || '/' || lang || '/' || source")},
+plan AS (
+  SELECT domain, lang, source, tokens AS all_tokens, CAST(floor(target) AS BIGINT) AS budget,
+    CAST(floor(floor(target) / tokens) AS INTEGER) AS whole FROM src WHERE tokens > 0),
+o AS (
+  SELECT d.*, whole, budget - whole * all_tokens AS rest,
+    coalesce(sum(tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('7:' || whole || ':' || doc_id)
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, tokens,
+  CAST(CASE WHEN e < whole THEN tokens ELSE least(tokens, rest - start) END AS BIGINT) AS taken_tokens
+FROM o, (SELECT unnest(range(0, 5)) AS e) t WHERE e < whole OR (e = whole AND start < rest)
+"""
+
+# The mail quotes whole turns, so what a message quotes is known without parsing:
+# the turn before (level 1) and the one before that (level 2).
+ORACLE["op3_quotation_threads"] = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, text, trim(lower(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM conversations),
+said AS (SELECT conv_id, turn, min(text) AS text FROM m GROUP BY ALL),
+q AS (
+  SELECT a.conv_id, a.turn, k AS level, trim(lower(regexp_replace(b.text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+  FROM (SELECT DISTINCT conv_id, turn FROM m) a, (VALUES (1), (2)) v(k)
+  JOIN said b ON b.conv_id = a.conv_id AND b.turn = a.turn - k),
+l AS (
+  SELECT q.*, coalesce(
+    (SELECT min({'c': m.conv_id, 't': m.turn}) FROM m WHERE m.norm = q.norm AND m.conv_id = q.conv_id AND m.turn < q.turn),
+    (SELECT CASE WHEN min({'c': m.conv_id, 't': m.turn}) < {'c': q.conv_id, 't': q.turn} THEN min({'c': m.conv_id, 't': m.turn}) END
+     FROM m WHERE m.norm = q.norm)) AS original FROM q),
+p AS (
+  SELECT conv_id, turn, count(*) AS n_quoted, count(original) AS n_linked,
+    arg_min(original, level) FILTER (original IS NOT NULL) AS parent FROM l GROUP BY ALL),
+k AS (SELECT DISTINCT m.conv_id, m.turn, p.parent, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
+      FROM m LEFT JOIN p USING (conv_id, turn)),
+t AS (
+  SELECT conv_id, turn, conv_id AS root_conv, turn AS root_pos, CAST(0 AS BIGINT) AS depth FROM k WHERE parent IS NULL
+  UNION ALL
+  SELECT k.conv_id, k.turn, t.root_conv, t.root_pos, t.depth + 1 FROM k JOIN t ON k.parent.c = t.conv_id AND k.parent.t = t.turn)
+SELECT m.conv_id, m.turn, t.root_conv, t.root_pos, t.depth, k.parent.c AS parent_conv, k.parent.t AS parent_pos,
+  CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked, md5(trim(m.text)) AS own_text
+FROM m JOIN k USING (conv_id, turn) JOIN t USING (conv_id, turn)
+"""

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm import common as C
-from paritas.llm import pieces, pii, rules, token_store, toxicity
+from paritas.llm import mixing, pieces, pii, quotes, rules, token_store, toxicity
 
 #: Folder of the public tokenizers' vocabulary files; None: where the installed package has them.
 TOKENIZERS: str | None = None
@@ -39,6 +39,40 @@ def register(name: str):
     return deco
 
 
+#: Target weights of the mixture: four domains (of the source's number), the
+#: languages within each, and equal weights for the sources of a language.
+DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
+LANGUAGE_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+
+
+def source_levels() -> dict[str, Column]:
+    number = F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999"))
+    return {"domain": F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)).cast("bigint") % 4).cast("string")),
+            "lang": F.col("lang"), "source": F.col("source")}
+
+
+def source_weights(spark: SparkSession) -> DataFrame:
+    rows = [(d, w) for d, w in DOMAIN_WEIGHTS.items()]
+    rows += [(f"{d}/{x}", w) for d in DOMAIN_WEIGHTS for x, w in LANGUAGE_WEIGHTS.items()]
+    return spark.createDataFrame(rows, "path string, weight double")
+
+
+@register("op1_source_mixture")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture over all documents: every taken document and epoch, for a
+    budget of 1.2 times the tokens and up to four epochs."""
+    taken = mixing.mix(C.table(spark, sf_dir, "documents"), source_levels(), source_weights(spark), 1.2, 4, 7)
+    return taken.withColumnRenamed("row_key", "doc_id").drop("row_hash")
+
+
+@register("op3_quotation_threads")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of all conversations, whose turns are first written as mail that
+    quotes the two turns before; linked by what they quote alone."""
+    mail = quotes.quoting_mail(C.table(spark, sf_dir, "conversations"))
+    return quotes.conversations(mail).withColumn("own_text", F.md5(F.coalesce("own_text", F.lit(""))))
+
+
 @register("op2_rule_ledger")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of every document, with the verdict of the newest policy."""
