@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm import common as C
-from paritas.llm import mixing, pieces, pii, quotes, rules, token_store, toxicity
+from paritas.llm import mixing, pieces, pii, quotes, rules, token_store, topk, toxicity
 
 #: Folder of the public tokenizers' vocabulary files; None: where the installed package has them.
 TOKENIZERS: str | None = None
@@ -115,3 +115,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_store.write(C.table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), END_ID)
     return token_store.directory(spark, path).select(
         F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
+@register("op8_pivot_top_k")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector against all."""
+    return topk.top_k(C.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
