@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm import common as C
-from paritas.llm import mixing, pieces, pii, quotes, rules, token_store, topk, toxicity
+from paritas.llm import jaccard, mixing, pieces, pii, quotes, rules, token_store, topk, toxicity
 
 #: Folder of the public tokenizers' vocabulary files; None: where the installed package has them.
 TOKENIZERS: str | None = None
@@ -121,3 +121,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector against all."""
     return topk.top_k(C.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@register("op7_ngram_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document (five words, 0.8)."""
+    return jaccard.join(C.table(spark, sf_dir, "documents")).drop("row_hash").withColumnRenamed("row_key", "doc_id")
