@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm import common as C
-from paritas.llm import jaccard, mixing, pieces, pii, quotes, rules, token_store, topk, toxicity
+from paritas.llm import jaccard, mixing, pieces, pii, pitman_yor, quotes, rules, token_store, topk, toxicity
 
 #: Folder of the public tokenizers' vocabulary files; None: where the installed package has them.
 TOKENIZERS: str | None = None
@@ -127,3 +127,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document (five words, 0.8)."""
     return jaccard.join(C.table(spark, sf_dir, "documents")).drop("row_hash").withColumnRenamed("row_key", "doc_id")
+
+
+@register("op6_pitman_yor")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; learned from six sevenths of them."""
+    docs = C.table(spark, sf_dir, "documents")
+    x = pitman_yor.scored(docs, C.crc_of(F.col("doc_id")) % 7 != 2)
+    return x.select(F.col("row_key").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known",
+                    "train_tokens", "base_score", "score")
