@@ -490,3 +490,17 @@ def detected(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text
               + ", base_sha256 string, spans string, n_added bigint, redacted string")
     return df.select(F.col(key).alias("row_key"), F.col(text).alias("row_text")) \
         .mapInArrow(run, schema).withColumnRenamed("row_key", key)
+
+
+def redacted(df: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """``df`` with all personal data in ``text`` replaced; null stays null."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(at).to_pylist()
+            got = find([t or "" for t in raw], field)
+            new = [None if t is None else redact(t, base + more) for t, (base, more) in zip(raw, got, strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.column(at).type))
+
+    return df.mapInArrow(run, df.schema)

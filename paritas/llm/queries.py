@@ -5,25 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paritas.llm import common as C
 from paritas.llm import jaccard, mixing, pieces, pii, pitman_yor, quotes, rules, token_store, topk, toxicity
-
-#: Folder of the public tokenizers' vocabulary files; None: where the installed package has them.
-TOKENIZERS: str | None = None
-END_ID = 2
-
-
-def tokenizer_file(name: str) -> str:
-    """Path of a public vocabulary file on every machine."""
-    if TOKENIZERS:
-        return f"{TOKENIZERS.rstrip('/')}/{name}"
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
+from paritas.llm.settings import END_ID, source_levels, source_weights, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -39,24 +27,6 @@ def register(name: str):
     return deco
 
 
-#: Target weights of the mixture: four domains (of the source's number), the
-#: languages within each, and equal weights for the sources of a language.
-DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
-LANGUAGE_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
-
-
-def source_levels() -> dict[str, Column]:
-    number = F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999"))
-    return {"domain": F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)).cast("bigint") % 4).cast("string")),
-            "lang": F.col("lang"), "source": F.col("source")}
-
-
-def source_weights(spark: SparkSession) -> DataFrame:
-    rows = [(d, w) for d, w in DOMAIN_WEIGHTS.items()]
-    rows += [(f"{d}/{x}", w) for d in DOMAIN_WEIGHTS for x, w in LANGUAGE_WEIGHTS.items()]
-    return spark.createDataFrame(rows, "path string, weight double")
-
-
 @register("op1_source_mixture")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture over all documents: every taken document and epoch, for a
@@ -136,3 +106,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = pitman_yor.scored(docs, C.crc_of(F.col("doc_id")) % 7 != 2)
     return x.select(F.col("row_key").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known",
                     "train_tokens", "base_score", "score")
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -191,5 +191,17 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("row_key", key)
 
 
+def without_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, whose text scores below ``threshold``."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predicted(score: Column, threshold: float = THRESHOLD) -> Column:
     return (score >= threshold).cast("int")
