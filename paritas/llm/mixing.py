@@ -17,7 +17,7 @@ third of all rows is spread over many tasks.
 Defined results: a null level value is a value of its own; null and empty
 texts have 0 tokens, and are taken with every whole epoch; a leaf without
 tokens takes nothing; a missing weight counts as ``default_weight``, a weight
-of 0 or less gives the node nothing unless all its siblings are 0; equal keys
+of 0 or less excludes the node unless all its siblings have it too; equal keys
 in the seeded order are taken in the order of their text's hash, and rows that
 are the same in key and text side by side; a budget above all capacity takes
 everything ``max_epochs`` times; an empty table gives an empty result. Other
@@ -74,21 +74,22 @@ def budgets(leaves: DataFrame, weights: DataFrame, levels: list[str], total: flo
     ``weight``. One row per node at every step."""
     path = lambda n: F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels[:n]])
     w = weights.groupBy(F.col("path").alias("_path")).agg(F.max(F.col("weight").cast("double")).alias("_weight"))
-    now = None
-    for n in range(1, len(levels) + 1):
-        nodes = leaves.groupBy(*levels[:n]).agg((F.sum("tokens") * max_epochs).alias("capacity"), F.sum("tokens").alias("tokens"),
-                                                F.sum("docs").alias("docs"))
+    # Capacities from the leaves up: what an excluded node holds is no capacity of its parent.
+    tree, below = {}, leaves.select(*levels, "tokens", "docs", (F.col("tokens") * max_epochs).alias("capacity"))
+    for n in range(len(levels), 0, -1):
+        nodes = below.groupBy(*levels[:n]).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
         nodes = nodes.withColumn("_path", path(n)).join(w, "_path", "left") \
-            .withColumn("weight", F.coalesce("_weight", F.lit(float(default_weight)))).drop("_path", "_weight")
-        if now is None:
-            nodes = nodes.withColumn("_budget", (total if isinstance(total, Column) else F.lit(float(total))))
-            nodes = nodes.withColumn("_root", F.lit(0))
-            now = share(nodes, ["_root"], "_budget", levels[:n]).drop("_root", "_budget")
-        else:
-            up = now.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(levels[:n - 1])], F.col("target").alias("_budget"))
-            same = [nodes[c].eqNullSafe(up[f"_p{i}"]) for i, c in enumerate(levels[:n - 1])]
-            nodes = nodes.join(up, same).drop(*[f"_p{i}" for i in range(n - 1)])
-            now = share(nodes, levels[:n - 1], "_budget", levels[:n]).drop("_budget")
+            .withColumn("weight", F.greatest(F.coalesce("_weight", F.lit(float(default_weight))), F.lit(0.0))).drop("_path", "_weight")
+        family = Window.partitionBy(*levels[:n - 1]) if n > 1 else Window.partitionBy(F.lit(0))
+        excluded = (F.col("weight") == 0) & (F.max("weight").over(family) > 0)
+        below = tree[n] = nodes.withColumn("capacity", F.when(excluded, F.lit(0)).otherwise(F.col("capacity")).cast("bigint"))
+    now = share(tree[1].withColumn("_budget", total if isinstance(total, Column) else F.lit(float(total))).withColumn("_root", F.lit(0)),
+                ["_root"], "_budget", levels[:1]).drop("_root", "_budget")
+    for n in range(2, len(levels) + 1):
+        up = now.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(levels[:n - 1])], F.col("target").alias("_budget"))
+        same = [tree[n][c].eqNullSafe(up[f"_p{i}"]) for i, c in enumerate(levels[:n - 1])]
+        nodes = tree[n].join(up, same).drop(*[f"_p{i}" for i in range(n - 1)])
+        now = share(nodes, levels[:n - 1], "_budget", levels[:n]).drop("_budget")
     return now.select(*levels, "tokens", "docs", "weight", F.floor("target").cast("bigint").alias("budget"))
 
 

@@ -178,7 +178,7 @@ def lattice(vocab: Vocabulary, chunks: list[str], literal: list[str]) -> Lattice
     end, back, piece = np.concatenate(ends), np.concatenate(backs), np.concatenate(ids)
     by = np.argsort(end, kind="stable")
     end, back, piece = end[by], back[by], piece[by]
-    weight = np.where(piece >= 0, vocab.weight[piece], vocab.unknown)
+    weight = np.where(piece >= 0, vocab.weight[np.maximum(piece, 0)], vocab.unknown)
     alpha = np.zeros(int(live.sum()))
     first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))  # each node's first edge
     bound = np.empty(len(end))

@@ -67,9 +67,10 @@ def cut(lines: Column) -> Column:
             | (F.element_at(full, F.greatest(i, F.lit(1))).getField("level") != x["level"])).alias("new"))),
         lambda s: s["new"])
     ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda s: s["at"]), F.array(F.size(full)))
-    return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(
+    found = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(
         F.element_at(full, z["s"]["at"] + 1).getField("level").alias("level"),
         F.array_join(F.transform(F.slice(full, z["s"]["at"] + 1, z["e"] - z["s"]["at"]), lambda x: x["body"]), "\n").alias("text")))
+    return F.filter(found, lambda p: p["text"].isNotNull())  # a text without passages
 
 
 def parsed(messages: DataFrame, conv: str, pos: str, text: str) -> DataFrame:
@@ -85,11 +86,11 @@ def parsed(messages: DataFrame, conv: str, pos: str, text: str) -> DataFrame:
 
 def own_texts(messages: DataFrame, conv: str, pos: str, text: str) -> DataFrame:
     """One row per message row: ``msg`` and ``own_text``, the text without
-    quoted lines (null stays null)."""
+    quoted lines and blanks at its ends (null stays null)."""
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(lines, lambda x: ~x.rlike(r"^[\x20\t]*>"))
     return messages.select(F.struct(F.col(conv).alias("conv"), F.col(pos).alias("pos")).alias("msg"),
-                           F.trim(F.array_join(kept, "\n")).alias("own_text"))
+                           F.regexp_replace(F.array_join(kept, "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("own_text"))
 
 
 def links(found: DataFrame) -> DataFrame:
