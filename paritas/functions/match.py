@@ -1,4 +1,4 @@
-"""Value matching (tolerant float compare) and order-free row encodings.
+"""Value matching (tolerant float compare), row encodings and row hashes.
 
 Everything here returns a Column, so it runs inside whole-stage codegen.
 """
@@ -23,7 +23,97 @@ NULL_MARK = "\x00"
 
 
 def is_float_type(dt: T.DataType) -> bool:
-    return isinstance(dt, FLOAT_TYPES)
+    """True fractions; a decimal of scale 0 is a whole number."""
+    return isinstance(dt, FLOAT_TYPES) and not is_whole(dt)
+
+
+def is_whole(dt: T.DataType) -> bool:
+    return isinstance(dt, T.IntegralType) or isinstance(dt, T.DecimalType) and dt.scale == 0
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which values of both sides compare without loss; two whole
+    numbers never meet as floats. Text and other families stay as they are."""
+    if a == b or not (isinstance(a, T.NumericType) and isinstance(b, T.NumericType)):
+        return a
+    if is_whole(a) and is_whole(b):
+        return T.LongType() if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType) else T.DecimalType(38, 0)
+    return T.DoubleType()
+
+
+def number_text(c: Column, dtype: T.DataType) -> Column:
+    """Text that two numbers share exactly when they are equal, for key columns
+    that hold whole numbers on one side and floats on the other (as doubles,
+    different whole numbers above 2**53 would merge)."""
+    if is_whole(dtype):
+        return c.cast("decimal(38,0)").cast("string")
+    if isinstance(dtype, T.DecimalType):
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    d = c.cast("double") + F.lit(0.0)
+    whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18))
+    return F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+
+
+def _nested(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
+
+
+def _ordered(c: Column, dt: T.DataType) -> Column:
+    """A nested value with every map in it as its entries sorted by key text."""
+    if isinstance(dt, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(
+            _plain(e["key"], dt.keyType).alias("k"), _plain(e["value"], dt.valueType).alias("v")))
+        return F.array_sort(entries)
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _plain(x, dt.elementType))
+    fields = [_plain(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(dt.fields)]
+    return F.when(c.isNotNull(), F.struct(*fields))
+
+
+def _plain(c: Column, dt: T.DataType) -> Column:
+    return content_text(c, dt) if _nested(dt) else c.cast("string")
+
+
+def content_text(c: Column, dt: T.DataType) -> Column:
+    """Text of a nested value that compares by content: maps in any order are
+    equal, nulls and the text "null" differ, at every depth."""
+    return F.to_json(F.struct(_ordered(c, dt).alias("v")), {"ignoreNullFields": "false"})
+
+
+def ten_digits(c: Column) -> list[Column]:
+    """Two values that are equal for two floats exactly when their ``%.9e``
+    texts are: the rounded double, and the text where parsing it back is not
+    one-to-one. Amounts with at most ten digits at two decimals are their own
+    rounding and are never formatted."""
+    x = c.cast("double") + F.lit(0.0)
+    d = F.rint(x * F.lit(100.0))
+    short = (F.abs(d) < F.lit(1e10)) & ((d / F.lit(100.0)) == x)
+    formatted = F.format_string("%.9e", x)
+    back = formatted.cast("double")
+    inf = F.lit(float("inf"))
+    as_text = (((F.abs(back) < F.lit(1e-290)) & (back != F.lit(0.0))) | ((F.abs(back) == inf) & (F.abs(x) != inf)))
+    return [F.when(short, x).when(~as_text, back), F.when(~short & as_text, formatted)]
+
+
+def row_hashes(columns: list[tuple], rounded: bool) -> list[Column]:
+    """Two 64-bit hashes of a row under different seeds; ``columns`` as for
+    :func:`row_line`. Fixed width, no text is built for plain columns. Floats
+    count by their ten digits if ``rounded``, else by their exact value (-0.0 as
+    0.0). Two different rows share both with a probability of about 2**-128."""
+    parts, nulls = [], []
+    for name, as_float, dtype in sorted(columns, key=lambda c: c[0]):
+        c = F.col(f"`{name}`")
+        nulls.append(c.isNull())
+        if as_float:
+            parts += ten_digits(c) if rounded else [c.cast("double") + F.lit(0.0)]
+        elif _nested(dtype):
+            parts.append(content_text(c, dtype))
+        else:
+            parts.append(c)
+    # A null leaves xxhash64 as it was, so which columns are null goes in as bits.
+    masks = [reduce(lambda x, y: x + y, [F.when(n, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, n in enumerate(nulls[at:at + 60])])
+             for at in range(0, len(nulls), 60)]
+    return [F.xxhash64(F.lit(seed), *masks, *parts) for seed in (1, 0x5EED)]
 
 
 def _finite(x: Column) -> Column:
@@ -75,18 +165,15 @@ def float_key(c: Column) -> Column:
 
 
 def comparable(c: Column, dtype: T.DataType | None) -> Column:
-    """A form of ``c`` that compares by content: maps become their entries
-    sorted by key (a map has no order, and maps cannot be compared)."""
-    if isinstance(dtype, T.MapType):
-        return F.array_sort(F.map_entries(c))
-    return c
+    """A form of ``c`` that compares by content (nested values as text)."""
+    return content_text(c, dtype) if dtype is not None and _nested(dtype) else c
 
 
 def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
     if as_float:
         return float_key(c)
-    if isinstance(dtype, T.MapType):
-        return comparable(c, dtype).cast("string")
+    if dtype is not None and _nested(dtype):
+        return content_text(c, dtype)
     # Cheap injective renderings where a string cast would be slow.
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c).cast("string")
@@ -101,12 +188,12 @@ def _text(c: Column, dtype: T.DataType | None, as_float: bool) -> Column:
 
 
 # Types whose text never contains the field separator or is empty.
-_PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_PLAIN_TYPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _field(c: Column, as_float: bool, dtype: T.DataType | None = None) -> Column:
     text = _text(c, dtype, as_float)
-    if as_float or isinstance(dtype, _PLAIN):
+    if as_float or isinstance(dtype, _PLAIN_TYPES):
         return F.coalesce(text, F.lit(NULL_MARK))
     # Free text: a length prefix keeps the encoding injective whatever the
     # text contains. No conditional branch: the text is computed once (shared

@@ -154,6 +154,53 @@ WITH {LINEITEM_BAD}
 SELECT *, (gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0) AS passed
 FROM {keyless_sql('lineitem', 'lineitem_bad', LINE_COLS)}"""
 
+
+
+def repeated_keys_sql(g: str, o: str, keys: list[str], by: str | None) -> str:
+    """Keyed verdict with repeated keys: unique keys cell by cell, the others
+    by counting equal rows within the key. One row, or one per ``by``."""
+    vals = [c for c in LINE_COLS if c not in keys]
+    ks, on = ", ".join(keys), lambda x, y: " AND ".join(f"{x}.{k} IS NOT DISTINCT FROM {y}.{k}" for k in keys)
+    floats = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    cells = " + ".join(f"CASE WHEN {(fmatch if c in floats else ematch)('g.' + c, 'o.' + c)} THEN 0 ELSE 1 END" for c in vals)
+    group, pick = (f" GROUP BY {by}", f"{by} AS program_id, ") if by else ("", "")
+    merged = f"""k AS (SELECT {ks}, sum(g) AS gn, sum(o) AS onn FROM (
+      SELECT {ks}, 1 AS g, 0 AS o FROM {g} UNION ALL SELECT {ks}, 0, 1 FROM {o}) GROUP BY ALL),
+    rows_ AS (SELECT {_LINE_ALL}, sum(g) AS gn, sum(o) AS onn FROM (
+      SELECT {_LINE_ALL}, 1 AS g, 0 AS o FROM {g} UNION ALL SELECT {_LINE_ALL}, 0, 1 FROM {o}) GROUP BY ALL),
+    parts AS (
+      SELECT {ks}, gn AS gt, onn AS ot, CASE WHEN gn < 2 AND onn = 0 THEN 1 ELSE 0 END AS miss,
+        CASE WHEN onn < 2 AND gn = 0 THEN 1 ELSE 0 END AS extra,
+        CASE WHEN gn = 1 AND onn = 1 THEN 1 ELSE 0 END AS hit, 0 AS cells FROM k
+      UNION ALL
+      SELECT {", ".join("r." + k for k in keys)}, 0, 0, greatest(r.gn - r.onn, 0), greatest(r.onn - r.gn, 0), least(r.gn, r.onn), 0
+      FROM rows_ r JOIN k ON {on("r", "k")} WHERE k.gn > 1 OR k.onn > 1
+      UNION ALL
+      SELECT {", ".join("k." + x for x in keys)}, 0, 0, 0, 0, 0, {cells}
+      FROM k JOIN {g} g ON {on("k", "g")} JOIN {o} o ON {on("k", "o")} WHERE k.gn = 1 AND k.onn = 1)"""
+    big = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {n}" for c, n in (
+        ("gt", "gt_rows"), ("ot", "out_rows"), ("miss", "missing_rows"), ("extra", "extra_rows"), ("hit", "matched_rows"),
+        ("cells", "mismatched_cells")))
+    return f"""{merged}
+SELECT *, gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND mismatched_cells = 0 AS passed
+FROM (SELECT {pick}{big} FROM parts{group})"""
+
+
+ORACLE["parity_keyed_duplicates"] = f"WITH {LINEITEM_BAD}, " + repeated_keys_sql(
+    "lineitem", "lineitem_bad", ["l_orderkey", "l_linenumber"], None)
+ORACLE["grouped_shared_keys"] = f"WITH {LINEITEM_BAD}, " + repeated_keys_sql(
+    "lineitem", "lineitem_bad", ["l_linenumber", "l_orderkey"], "l_linenumber")
+
+# Ids of 18 digits; every 97th differs in the last ones.
+ORACLE["parity_integer_ids"] = """
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS bad FROM orders)
+SELECT 'keyed' AS method, n AS gt_rows, n AS out_rows, CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows,
+  bad AS mismatched_cells, bad = 0 AS passed FROM n
+UNION ALL
+SELECT 'keyless', n, n, bad, bad, CAST(0 AS BIGINT), bad = 0 FROM n
+UNION ALL
+SELECT 'ids as keys', n, n, bad, bad, CAST(0 AS BIGINT), bad = 0 FROM n"""
+
 ORACLE["missing_rows"] = f"""
 WITH {LINEITEM_BAD}
 SELECT {_LINE_ALL} FROM lineitem EXCEPT ALL SELECT {_LINE_ALL} FROM lineitem_bad"""
@@ -532,37 +579,41 @@ outcomes AS (
 
 ORACLE["outcomes"] = f"WITH {CALLS}, {TRIPS}, {OUTCOMES}\nSELECT * FROM outcomes"
 
-_GROUP = "coalesce(g_o_orderpriority, b_o_orderpriority)"
+_GROUP_VALS = [(c, f) for c, f in ORDER_VALS if c != "o_orderpriority"]
 _G_CELLS = " + ".join(f"count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)})"
-                      for c, f in ORDER_VALS)
-GROUPED = f"""
+                      for c, f in _GROUP_VALS)
+# The group is part of the key: an order that moved to another group is missing here and extra there.
+GROUPED = """grouped_j AS (SELECT coalesce(g.o_orderpriority, b.o_orderpriority) AS program_id,
+  g.o_orderkey AS gk, b.o_orderkey AS bk, """ + ", ".join(f"g.{c} AS g_{c}, b.{c} AS b_{c}" for c, _ in _GROUP_VALS) + f"""
+  FROM orders g FULL OUTER JOIN orders_bad b
+    ON g.o_orderkey IS NOT DISTINCT FROM b.o_orderkey AND g.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority),
 grouped AS (
-  SELECT {_GROUP} AS program_id,
+  SELECT program_id,
          CAST(count(*) FILTER (WHERE gk IS NOT NULL) AS BIGINT) AS gt_rows,
          CAST(count(*) FILTER (WHERE bk IS NOT NULL) AS BIGINT) AS out_rows,
          CAST(count(*) FILTER (WHERE gk IS NOT NULL AND bk IS NULL) AS BIGINT) AS missing_rows,
          CAST(count(*) FILTER (WHERE bk IS NOT NULL AND gk IS NULL) AS BIGINT) AS extra_rows,
          CAST({_G_CELLS} AS BIGINT) AS mismatched_cells
-  FROM orders_j GROUP BY {_GROUP})"""
+  FROM grouped_j GROUP BY program_id)"""
 
 ORACLE["grouped_parity"] = f"""
-WITH {ORDERS_BAD}, {ORDERS_JOIN}, {GROUPED}
+WITH {ORDERS_BAD}, {GROUPED}
 SELECT *, (gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND mismatched_cells = 0)
           AS passed
 FROM grouped"""
 
 _G_COLS = "\nUNION ALL\n".join(
-    f"""SELECT {_GROUP} AS program_id, '{c}' AS column_name,
+    f"""SELECT program_id, '{c}' AS column_name,
        count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)}) AS mismatches,
        count(*) FILTER (WHERE {_MATCHED}) AS total
-FROM orders_j GROUP BY {_GROUP}""" for c, f in ORDER_VALS)
+FROM grouped_j GROUP BY program_id""" for c, f in _GROUP_VALS)
 _G_BAD = "\nUNION ALL\n".join(
-    f"""SELECT g_o_orderpriority AS program_id, '{c}' AS column_name, gk AS o_orderkey,
+    f"""SELECT program_id, '{c}' AS column_name, gk AS o_orderkey,
        CAST(g_{c} AS VARCHAR) AS gt_value, CAST(b_{c} AS VARCHAR) AS out_value
-FROM orders_j WHERE {_MATCHED} AND NOT {_orders_match(c, f)}""" for c, f in ORDER_VALS)
+FROM grouped_j WHERE {_MATCHED} AND NOT {_orders_match(c, f)}""" for c, f in _GROUP_VALS)
 
 ORACLE["diff_text"] = f"""
-WITH {ORDERS_BAD}, {ORDERS_JOIN}, {GROUPED},
+WITH {ORDERS_BAD}, {GROUPED},
 gcols AS ({_G_COLS}),
 gbad AS ({_G_BAD}),
 gsamp AS (

@@ -69,6 +69,39 @@ def parity_keyless_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.keyless_summary(C.align(li, I.lineitem_corrupted(li)))
 
 
+@register("parity_keyed_duplicates")
+def parity_keyed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3/A2: verdict on keys that repeat, whose rows are compared as multisets."""
+    li = I.table(spark, sf_dir, "lineitem")
+    return C.keyed_summary(C.align(li, I.lineitem_corrupted(li)), ["l_orderkey", "l_linenumber"])
+
+
+@register("grouped_shared_keys")
+def grouped_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: programs (line numbers) whose tables share key values."""
+    li = I.table(spark, sf_dir, "lineitem")
+    a, keys = C.align(li, I.lineitem_corrupted(li)), ["l_linenumber", "l_orderkey"]
+    s = C.grouped_keyed_stats(a, keys, "l_linenumber")
+    cells = sum((F.col("mm__" + n) for n in C.value_columns(a, keys)), F.lit(0)).cast("long")
+    return s.select(F.col("l_linenumber").alias("program_id"), "gt_rows", "out_rows", "missing_rows", "extra_rows",
+                    "matched_rows", cells.alias("mismatched_cells"), C.stats_passed(a, keys).alias("passed"))
+
+
+@register("parity_integer_ids")
+def parity_integer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long ids against decimal(20,0) ids that differ after the tenth
+    digit, as a value (keyed and keyless) and as the key itself."""
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + F.lit(123456789012000000)).alias("id"))
+    moved = F.when(F.col("o_orderkey") % 97 == 0, F.lit(800_000_000)).otherwise(F.lit(0))
+    other = orders.select("o_orderkey", (F.col("id") + moved).cast("decimal(20,0)").alias("id"))
+    a, b = C.align(orders, other), C.align(orders.select("id"), other.select("id"), ["id"])
+    cols = ["gt_rows", "out_rows", "missing_rows", "extra_rows", "mismatched_cells", "passed"]
+    part = lambda name, df: df.select(F.lit(name).alias("method"), *cols)
+    return part("keyed", C.keyed_summary(a, ["o_orderkey"])) \
+        .unionByName(part("keyless", C.keyless_summary(a).withColumn("mismatched_cells", F.lit(0).cast("long")))) \
+        .unionByName(part("ids as keys", C.keyed_summary(b, ["id"])))
+
+
 @register("missing_rows")
 def missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem rows absent from the corrupted copy (multiset difference)."""
@@ -449,15 +482,11 @@ def _grouped(spark, sf_dir):
 
 
 def _grouped_verdicts(a, s) -> DataFrame:
-    vals = C.value_columns(a, ["o_orderkey"])
-    cells = sum((F.col("mm__" + n) for n in vals), F.lit(0))
-    return s.select(F.col("o_orderpriority").alias("program_id"),
-                    F.col("gt_rows"), F.col("out_rows"),
-                    F.col("missing_rows").cast("long").alias("missing_rows"),
-                    F.col("extra_rows").cast("long").alias("extra_rows"),
-                    cells.cast("long").alias("mismatched_cells"),
-                    ((F.col("gt_rows") == F.col("out_rows")) & (F.col("missing_rows") == 0)
-                     & (F.col("extra_rows") == 0) & (cells == 0)).alias("passed"))
+    keys = ["o_orderpriority", "o_orderkey"]
+    cells = sum((F.col("mm__" + n) for n in C.value_columns(a, keys)), F.lit(0))
+    return s.select(F.col("o_orderpriority").alias("program_id"), "gt_rows", "out_rows",
+                    "missing_rows", "extra_rows", cells.cast("long").alias("mismatched_cells"),
+                    C.stats_passed(a, keys).alias("passed"))
 
 
 @register("grouped_parity")
@@ -560,13 +589,9 @@ def _segment_programs(spark, sf_dir):
     seg = F.col("c_mktsegment")
     a = C.align(cust, cust.select(*reversed(cust.columns)).repartition(5, "c_nationkey"))
     s = C.grouped_keyed_stats(a, ["c_custkey"], "c_mktsegment")
-    vals = C.value_columns(a, ["c_custkey"])
-    cells = sum((F.col("mm__" + n) for n in vals), F.lit(0))
-    gt, out = F.col("matched_rows") + F.col("missing_rows"), F.col("matched_rows") + F.col("extra_rows")
     tables = s.select(
         seg.alias("program_id"), F.concat(F.lit("sandbox_"), F.lower(seg), F.lit(".customer")).alias("table"),
-        gt.cast("long").alias("gt_rows"), out.cast("long").alias("out_rows"),
-        ((gt == out) & (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0) & (cells == 0)).alias("passed"),
+        "gt_rows", "out_rows", C.stats_passed(a, ["c_mktsegment", "c_custkey"]).alias("passed"),
         F.lit("keyed rel_tol=1e-09").alias("method"))
     programs = cust.groupBy(seg.alias("program_id")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct("c_nationkey").alias("_nations"))

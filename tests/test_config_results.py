@@ -1,28 +1,7 @@
 from paritas.config import DEFAULT, ParityConfig
-from paritas.operators.compare import ColumnParity, ProgramParity, TableParity
 
 
 def test_config_defaults_and_sandbox():
     assert DEFAULT.float_rel_tol == 1e-9 and DEFAULT.sample_limit == 5
     assert DEFAULT.per_program_token_cap == 500_000 and DEFAULT.per_batch_token_cap == 20_000_000
     assert ParityConfig(sandbox_prefix="sb_").sandbox_schema("p1") == "sb_p1"
-
-
-def test_table_verdict_rules():
-    ok = TableParity("t", 10, 10, 0, 0, [ColumnParity("x", 0, 10)])
-    bad_cells = TableParity("t", 10, 10, 0, 0, [ColumnParity("x", 3, 10, ["r1: 1 != 2"])])
-    bad_counts = TableParity("t", 10, 9, 1, 0, [])
-    same_counts_moved = TableParity("t", 10, 10, 1, 1, [])
-    errored = TableParity.failed("t", "table access failed: x")
-    assert ok.passed
-    assert not any(t.passed for t in (bad_cells, bad_counts, same_counts_moved, errored))
-    assert ColumnParity("x", 0, 0).rate == 0.0 and ColumnParity("x", 1, 4).rate == 0.25
-
-
-def test_report_text_lists_only_mismatching_columns():
-    rep = ProgramParity("p", [TableParity("t", 10, 10, 0, 0, [ColumnParity("balance", 4, 10, ["id=3: 1.0 != 2.0"]),
-                                                          ColumnParity("name", 0, 10)])])
-    text = rep.to_text()
-    assert "balance: 4/10 mismatched (40.00%)" in text and "name" not in text
-    assert text.startswith("[FAIL] table t: ground_truth=10 rows, output=10 rows, missing=0, extra=0")
-    assert ProgramParity("p").to_text() == "(no tables compared)"
