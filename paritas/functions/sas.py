@@ -21,6 +21,8 @@ WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
               "\u2028\u2029\u202f\u205f\u3000")
 MISSING_TEXT = ("", ".")
+# A number as text; no type suffix, no names of infinities.
+NUMBER_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Day numbers that still give a date between 0001-01-01 and 9999-12-31.
 MIN_SAS_DAY = (_dt.date(1, 1, 1) - SAS_EPOCH).days
@@ -31,14 +33,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _number(c: Column) -> Column:
+    """A number or the text of one as a double; anything else is missing."""
+    text = F.btrim(c.cast("string"), F.lit(WHITESPACE))
+    return F.when(text.rlike(NUMBER_RE), text.try_cast("double"))
+
+
+def _value(c) -> Column:
+    """A value to compare: NaN is missing. (The type test folds away.)"""
+    c = _c(c)
+    nan = F.typeof(c).isin("double", "float") & (c.cast("string") == "NaN")
+    return F.when(F.coalesce(nan, F.lit(False)), F.lit(None)).otherwise(c)
+
+
 def sas_date_to_iso(c) -> Column:
     """SAS day number (number or numeric text) -> ``yyyy-MM-dd`` text.
 
     NULL, NaN, non-numeric text and out-of-range days give NULL; a fraction
     is truncated toward zero.
     """
-    # try_cast: non-numeric text becomes NULL instead of failing in ANSI mode.
-    num = _c(c).try_cast("double")
+    num = _number(_c(c))
     days = (F.when(F.isnan(num) | (num <= MIN_SAS_DAY - 1) | (num >= MAX_SAS_DAY + 1), None)
              .otherwise(num.cast("long").cast("int")))
     return F.date_format(F.date_add(F.lit(SAS_EPOCH), days), "yyyy-MM-dd")
@@ -64,14 +78,14 @@ def normalize_value(c, dtype: T.DataType) -> Column:
 # --- missing-aware comparisons: missing is lower than every value ----------
 
 def sas_lt(a, b) -> Column:
-    a, b = _c(a), _c(b)
+    a, b = _value(a), _value(b)
     return (F.when(b.isNull(), F.lit(False))
              .when(a.isNull(), F.lit(True))
              .otherwise(a < b))
 
 
 def sas_le(a, b) -> Column:
-    a, b = _c(a), _c(b)
+    a, b = _value(a), _value(b)
     return (F.when(a.isNull(), F.lit(True))
              .when(b.isNull(), F.lit(False))
              .otherwise(a <= b))
@@ -86,7 +100,7 @@ def sas_ge(a, b) -> Column:
 
 
 def sas_eq(a, b) -> Column:
-    return _c(a).eqNullSafe(_c(b))
+    return _value(a).eqNullSafe(_value(b))
 
 
 def sas_ne(a, b) -> Column:
@@ -102,7 +116,7 @@ def sas_text_eq(a, b) -> Column:
 
 def to_sas_num(c) -> Column:
     """Character -> numeric; invalid text becomes missing (NULL)."""
-    return F.trim(_c(c)).try_cast("double")
+    return _number(_c(c))
 
 
 def to_sas_char(c) -> Column:

@@ -192,8 +192,8 @@ def _lines_text(lines: DataFrame, by: str, max_chars: int | None) -> DataFrame:
 
 
 def diff_text(tables: DataFrame, columns: DataFrame, samples: DataFrame | None = None,
-              by: str = "program_id", max_chars: int | None = 6000) -> DataFrame:
-    """Failure text per program (R2).
+              by: str = "program_id", max_chars: int | None = None) -> DataFrame:
+    """Failure text per program (R2), whole unless ``max_chars`` cuts it.
 
     tables   by, table, gt_rows, out_rows, missing_rows, extra_rows, passed, error
     columns  by, table, column_name, mismatches, total
@@ -217,7 +217,7 @@ def diff_text(tables: DataFrame, columns: DataFrame, samples: DataFrame | None =
         F.format_string("  column %s: %d/%d mismatched (%.2f%%)", F.col("column_name"),
                         F.col("mismatches"), F.col("total"), rate).alias("line")))
     if samples is not None:
-        parts.append(samples.filter(F.col("sample_no") <= 5).select(
+        parts.append(samples.select(
             by, F.struct("table", F.lit(2).alias("c"), F.col("column_name").alias("n"),
                          F.col("sample_no").alias("s")).alias("k"),
             F.concat(F.lit("    sample: "), F.col("sample")).alias("line")))
@@ -228,7 +228,9 @@ def diff_text(tables: DataFrame, columns: DataFrame, samples: DataFrame | None =
 
 
 def tol_text(c: Column) -> Column:
-    return F.format_string("%.1e", c)
+    """A tolerance in full: two digits where they say it all."""
+    short = F.format_string("%.1e", c)
+    return F.when(short.cast("double") == c, short).otherwise(c.cast("string"))
 
 
 def certificates(programs: DataFrame, outcome: DataFrame, tables: DataFrame,
@@ -297,3 +299,20 @@ def triage_reports(programs: DataFrame, outcome: DataFrame, evidence: DataFrame,
         F.coalesce(F.col("_ev"), F.lit("(no error text)")), F.lit("```"), F.lit(""),
         F.lit("## Closest attempt"), F.coalesce(F.col("_code"), F.lit("(no steps were translated)")))
     return j.select(by, text.alias("report"))
+
+
+def parity_records(verdicts: DataFrame, attempts: DataFrame, texts: DataFrame, by: str = "program_id") -> DataFrame:
+    """The parity results record: one row per program with ``status``
+    (``parity_pass`` or ``triage``), ``failure_mode``, ``outer_attempts`` and,
+    for a program that failed, its ``report``.
+
+    verdicts  by, passed
+    attempts  by, outer_attempts
+    texts     by, report
+    """
+    failed = ~F.coalesce(F.col("passed"), F.lit(False))
+    return verdicts.join(attempts, by, "left").join(texts, by, "left").select(
+        by, F.when(failed, "triage").otherwise("parity_pass").alias("status"),
+        F.when(failed, "diverged").alias("failure_mode"),
+        F.coalesce("outer_attempts", F.lit(0)).cast("long").alias("outer_attempts"),
+        F.when(failed, F.col("report")).alias("report"))

@@ -14,13 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paritas.functions.sas import sas_sort_order
 from paritas.operators.scan import CHUNK, chunk, ordered_scan, scan_chunked
 
-MAX_TRANSPOSE_COLUMNS = 10_000
-
-
 def _cols(names) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
@@ -55,8 +53,10 @@ def where_sas(df: DataFrame, column: str, op: str, value) -> DataFrame:
         raise ValueError("compare with a missing value through sas_eq/sas_ne")
     cmp, keeps_missing = _WHERE_OPS[op]
     c = F.col(f"`{column}`")
-    cond = cmp(c, F.lit(value))
-    return df.filter(c.isNull() | cond if keeps_missing else cond)
+    cond, missing = cmp(c, F.lit(value)), c.isNull()
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        missing, cond = missing | F.isnan(c), cond & ~F.isnan(c)
+    return df.filter(missing | cond if keeps_missing else cond)
 
 
 # ---------------------------------------------------------------- W1, W2
@@ -146,16 +146,22 @@ def proc_means(df: DataFrame, variables: list[str], class_vars: list[str] | None
 
 
 def proc_means_output(df: DataFrame, class_vars: list[str], outputs: dict[str, tuple[str, str]],
-                      nway: bool = False) -> DataFrame:
+                      nway: bool = False, missing: bool = False) -> DataFrame:
     """``OUTPUT OUT=`` table of PROC MEANS/SUMMARY with ``_TYPE_`` and ``_FREQ_``.
 
     outputs  ``{out_name: (stat, var)}``, e.g. ``{"avg_balance": ("mean", "balance")}``
     One row per combination of class variables (all subsets, as SAS does
     without NWAY); ``_TYPE_`` has bit ``k-1-i`` set when class variable ``i``
     is part of the row's grouping; ``_FREQ_`` counts rows. ``nway`` keeps only
-    the full combination.
+    the full combination. Rows with a missing class value are left out of
+    every row, as in SAS, unless ``missing``.
     """
     k = len(class_vars)
+    if not missing:
+        for c in class_vars:
+            x = F.col(f"`{c}`")
+            nan = F.isnan(x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.lit(False)
+            df = df.filter(x.isNotNull() & ~nan)
     aggs = [F.count(F.lit(1)).alias("_FREQ_")]
     aggs += [STAT_FUNCS[s](_nan_to_null(F.col(f"`{v}`").cast("double"))).alias(name)
              for name, (s, v) in outputs.items()]
@@ -224,24 +230,29 @@ def _id_name(v) -> str:
 
 
 def transpose_wide(df: DataFrame, by: list[str], id_col: str, var: str,
-                   values: list | None = None) -> DataFrame:
+                   values: list | None = None, let: bool = False) -> DataFrame:
     """PROC TRANSPOSE long -> wide: ``BY by; ID id_col; VAR var;``.
 
     One output column per ID value (numbers get a ``_`` prefix, as in SAS),
-    plus ``_NAME_`` holding the VAR name. The ID values are read with one
-    small distinct query unless given; their number is capped because every
-    value becomes a column. Duplicate ID values within a BY group keep the
-    largest value (SAS would stop with an error).
+    plus ``_NAME_`` holding the VAR name. The ID values become columns, so
+    they are read with one distinct query unless ``values`` gives them. As in
+    SAS a repeated or missing ID within a BY group is an error; with ``let``
+    the largest value of a repeated ID stays and a missing ID becomes the
+    column ``_``. ID values that give the same name in any case are an error.
     """
+    ids = F.col(f"`{id_col}`")
+    if not let:
+        wrong = df.groupBy(*_cols(by), ids).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | ids.isNull())
+        first = wrong.limit(1).collect()
+        if first:
+            raise ValueError(f"ID {id_col} is missing or occurs more than once in a BY group: {first[0].asDict()}")
     if values is None:
-        distinct = df.select(id_col).distinct().limit(MAX_TRANSPOSE_COLUMNS + 1).collect()
-        values = sorted(r[0] for r in distinct if r[0] is not None)
-        if len(values) > MAX_TRANSPOSE_COLUMNS:
-            raise ValueError(f"more than {MAX_TRANSPOSE_COLUMNS} ID values to transpose")
-    aggs = [F.max(F.when(F.col(f"`{id_col}`") == F.lit(v), F.col(f"`{var}`"))).alias(_id_name(v))
-            for v in values]
-    return df.groupBy(*_cols(by)).agg(*aggs).select(
-        *_cols(by), F.lit(var).alias("_NAME_"), *[F.col(f"`{_id_name(v)}`") for v in values])
+        values = sorted((r[0] for r in df.select(id_col).distinct().collect()), key=lambda v: (v is None, v))
+    names = ["_" if v is None else _id_name(v) for v in values]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"values of {id_col} give the same column name")
+    aggs = [F.max(F.when(ids.eqNullSafe(F.lit(v)), F.col(f"`{var}`"))).alias(n) for v, n in zip(values, names)]
+    return df.groupBy(*_cols(by)).agg(*aggs).select(*_cols(by), F.lit(var).alias("_NAME_"), *_cols(names))
 
 
 def transpose_long(df: DataFrame, by: list[str], variables: list[str]) -> DataFrame:

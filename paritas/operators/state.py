@@ -9,16 +9,13 @@ recorded fields evolve:
 Upserts work on whole batches: the union of the current rows and the
 updates is reduced to the latest row per key in one aggregation (map-side
 partial step, so a key updated a million times costs one row per task).
-Without a transactional table format, a path-backed table is versioned: each
-upsert writes a new version folder and readers pick the newest complete one,
-so a path being read is never overwritten.
+The functions map DataFrames to DataFrames; where a table is kept (a catalog
+table, a Delta or Iceberg table, Parquet folders) is the caller's choice.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,76 +110,6 @@ def scan(df: DataFrame | None, schema=None) -> DataFrame | None:
     return out
 
 
-# ---------------------------------------------------------------- path-backed tables
-
-_VERSION = re.compile(r"^v(\d{8})$")
-
-
-class VersionedTable:
-    """A key/value or log table stored as parquet version folders under ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str, kind: str):
-        if kind not in ("kv", "log"):
-            raise ValueError("kind must be 'kv' or 'log'")
-        self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
-        jvm = spark.sparkContext._jvm
-        self._fs_path = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._fs_path):
-            return []
-        out = []
-        for st in self._fs.listStatus(self._fs_path):
-            m = _VERSION.match(st.getPath().getName())
-            if m and self._fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(m.group(1)))
-        return sorted(out)
-
-    def _version_path(self, v: int) -> str:
-        return f"{self.path}/v{v:08d}"
-
-    def read(self) -> DataFrame | None:
-        """All rows (logs: every appended version; key/value: the newest
-        version); ``None`` when nothing was written yet. A folder written with
-        the other shape raises ``ValueError``."""
-        vs = self._versions()
-        if not vs:
-            return None
-        stored = tuple(self.spark.read.parquet(self._version_path(vs[-1])).columns)
-        expected = KV_COLS if self.kind == "kv" else LOG_COLS
-        if stored != expected:
-            raise ValueError(f"table {self.path} has columns {stored}, expected {expected} "
-                             f"for {self.kind} usage")
-        schema = KV_SCHEMA if self.kind == "kv" else LOG_SCHEMA
-        if self.kind == "kv":
-            return self.spark.read.schema(schema).parquet(self._version_path(vs[-1]))
-        return self.spark.read.schema(schema).parquet(*[self._version_path(v) for v in vs])
-
-    def read_or_empty(self) -> DataFrame:
-        df = self.read()
-        return df if df is not None else self.spark.createDataFrame(
-            [], KV_SCHEMA if self.kind == "kv" else LOG_SCHEMA)
-
-    def upsert(self, updates: DataFrame) -> int:
-        if self.kind != "kv":
-            raise ValueError(f"table {self.path} is a log table; cannot upsert")
-        new = upsert(self.read(), updates)
-        return self._write(new)
-
-    def append(self, rows: DataFrame) -> int:
-        if self.kind != "log":
-            raise ValueError(f"table {self.path} is a key/value table; cannot append")
-        table_kind(rows)
-        return self._write(rows)
-
-    def _write(self, df: DataFrame) -> int:
-        vs = self._versions()
-        v = (vs[-1] + 1) if vs else 1
-        df.write.mode("errorifexists").parquet(self._version_path(v))
-        return v
-
-
 # ---------------------------------------------------------------- inventory K5 K6 K7 A11
 
 def register(inventory: DataFrame | None, programs: DataFrame) -> tuple[DataFrame, DataFrame]:

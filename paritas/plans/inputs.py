@@ -93,9 +93,8 @@ def status_updates(events: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- script corpus
-# One SAS program per customer, built by Spark from the customer row; every
-# third program carries a whole document text in a comment block. Include
-# files come from the market segments and the region table.
+# One SAS program per customer and document (of the same number), which carries
+# the document's whole text in a comment block. Include files come from the market segments and the region table.
 
 CORPUS_ROOT = "/corpus/progs"
 NL = "\n"
@@ -110,11 +109,13 @@ def sas_programs(customer: DataFrame, documents: DataFrame) -> DataFrame:
     ks = k.cast("string")
     seg = F.lower(F.col("c_mktsegment"))
     docs = documents.select(F.col("doc_id"), F.col("text").alias("_doc"))
-    c = customer.join(docs, k == F.col("doc_id"), "left")
+    c = customer.join(docs, k == F.col("doc_id"), "full").select(
+        F.coalesce("c_custkey", "doc_id").alias("c_custkey"), F.coalesce("c_name", F.lit("none")).alias("c_name"),
+        F.coalesce("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"), "_doc")
     text = F.concat_ws(
         NL,
         F.concat(F.lit("/* program for "), F.col("c_name"), F.lit(" */")),
-        _opt((k % 3 == 0) & F.col("_doc").isNotNull(), F.concat(F.lit("/* notes:\n"), F.col("_doc"), F.lit("\n*/"))),
+        _opt(F.col("_doc").isNotNull(), F.concat(F.lit("/* notes:\n"), F.col("_doc"), F.lit("\n*/"))),
         F.lit("options nodate;"),
         F.lit("libname mylib '/data/mylib';"),
         F.concat(F.lit("%let seg = "), F.col("c_mktsegment"), F.lit(";")),
@@ -159,32 +160,47 @@ def sas_include_files(customer: DataFrame, region: DataFrame) -> DataFrame:
     return macros.unionByName(util)
 
 
-def step_code(orders: DataFrame) -> DataFrame:
-    """Generated step code to scan for writes outside the sandbox."""
+def step_code(orders: DataFrame, documents: DataFrame) -> DataFrame:
+    """Generated step code to scan for writes outside the sandbox: one step
+    per order and document of the same number, after the document's whole text
+    as a comment. Some names and blanks are not ASCII, some steps have no sandbox."""
+    docs = documents.select("doc_id", F.regexp_replace("text", r"\*/", "* /").alias("_doc"))
+    orders = orders.select("o_orderkey").join(docs, F.col("o_orderkey") == F.col("doc_id"), "full") \
+        .select(F.coalesce("o_orderkey", "doc_id").alias("o_orderkey"), "_doc")
     k = F.col("o_orderkey")
     ks = k.cast("string")
-    sandbox = F.concat(F.lit("sandbox_p"), (k % 7).cast("string"))
-    m = k % 6
-    code = (F.when(m == 0, F.concat(F.lit("CREATE TABLE "), sandbox, F.lit(".t"), ks,
+    sandbox = F.when(k % 23 != 0, F.concat(F.lit("sandbox_p"), (k % 7).cast("string")))
+    own = F.coalesce(sandbox, F.lit("sandbox_p0"))
+    m = k % 8
+    code = (F.when(m == 0, F.concat(F.lit("CREATE TABLE "), own, F.lit(".t"), ks,
                                     F.lit(" AS SELECT * FROM ground_truth.gt")))
              .when(m == 1, F.concat(F.lit("CREATE TABLE IF NOT EXISTS ground_truth.t"), ks, F.lit(" AS SELECT 1")))
              .when(m == 2, F.concat(F.lit('df.write.saveAsTable(f"staging_inputs.x'), ks, F.lit('")')))
-             .when(m == 3, F.concat(F.lit("INSERT INTO `"), sandbox, F.lit("` . `t"), ks, F.lit("` SELECT 1")))
+             .when(m == 3, F.concat(F.lit("INSERT INTO `"), own, F.lit("` . `t"), ks, F.lit("` SELECT 1")))
              .when(m == 4, F.concat(F.lit("DROP TABLE -- note\nground_truth.t"), ks))
+             .when(m == 5, F.concat(F.lit("CREATE TABLE donn\u00e9es.\u00fcber"), ks, F.lit(" AS SELECT 1")))
+             .when(m == 6, F.concat(F.lit("DROP TABLE\u00a0z.t"), ks, F.lit("; DROP TABLE a.t"), ks))
              .otherwise(F.lit("USE staging_inputs")))
     code = F.when(k % 5 == 0, F.concat(code, F.lit('\nspark.catalog.setCurrentDatabase("x")'))).otherwise(code)
-    return orders.select(F.concat(F.lit("s"), ks).alias("step_id"), sandbox.alias("sandbox"),
-                         code.alias("code"))
+    code = F.concat(F.coalesce(F.concat(F.lit("/* "), F.col("_doc"), F.lit(" */\n")), F.lit("")), code)
+    return orders.select(F.concat(F.lit("s"), ks).alias("step_id"), sandbox.alias("sandbox"), code.alias("code"))
 
 
-def sql_scripts(orders: DataFrame) -> DataFrame:
+def sql_scripts(orders: DataFrame, documents: DataFrame) -> DataFrame:
+    """SQL scripts, one per order and document of the same number, with the
+    document's whole text as a string literal and as plain code."""
+    orders = orders.select("o_orderkey", "o_orderpriority").join(documents.select("doc_id", F.col("text").alias("_doc")),
+                                                                F.col("o_orderkey") == F.col("doc_id"), "full") \
+        .select(F.coalesce("o_orderkey", "doc_id").alias("o_orderkey"), F.coalesce("o_orderpriority", F.lit("none")).alias("o_orderpriority"), "_doc")
     k = F.col("o_orderkey")
     ks = k.cast("string")
     tail = (F.when(k % 3 == 0, F.concat(F.lit("INSERT INTO t VALUES ('O''Brien; "), ks, F.lit("');")))
              .when(k % 3 == 1, F.lit(" ; ;SELECT 2"))
              .otherwise(F.concat(F.lit("SELECT 'open; "), ks)))
+    literal = F.coalesce(F.concat(F.lit("SELECT '"), F.replace("_doc", F.lit("'"), F.lit("''")), F.lit("' AS d;\n"),
+                                  F.regexp_replace("_doc", "[';]", "~"), F.lit(";\n")), F.lit(""))
     return orders.select(F.concat(F.lit("q"), ks).alias("script_id"), F.concat(
-        F.lit("SELECT '"), F.col("o_orderpriority"), F.lit(";"), ks, F.lit("' AS p; "), tail).alias("code"))
+        literal, F.lit("SELECT '"), F.col("o_orderpriority"), F.lit(";"), ks, F.lit("' AS p; "), tail).alias("code"))
 
 
 def responses(orders: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ same modulo parameters (:mod:`paritas.plans.inputs`).
 
 from __future__ import annotations
 
-from paritas.operators import corpus as T
 from paritas.plans import inputs as I
 
 ORACLE: dict[str, str] = {}
@@ -293,23 +292,25 @@ SELECT c_custkey, {_norm_text('c_name')} AS c_name, c_nationkey,
 FROM r"""
 
 
+def _line_sql(cols: list[str]) -> str:
+    field = lambda c: f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')"
+    return "sha256(concat_ws(chr(31), " + ", ".join(map(field, cols)) + "))"
+
+
+_PIECE_SUMS = " || '|' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT)) AS VARCHAR)" for i in range(4))
+
+
 def _digest_sql(table: str, cols: list[str]) -> str:
-    line = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
-    header = ",".join(cols)
     return f"""
-SELECT '{table}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows,
-       CAST(sum(h) AS VARCHAR) AS hash_sum,
-       substr(sha256('{header}' || '|' || CAST(count(*) AS VARCHAR) || '|' || CAST(sum(h) AS VARCHAR)),
-              1, 12) AS digest
-FROM (SELECT ('0x' || substr(sha256({line}), 1, 15))::BIGINT AS h FROM {table})"""
+SELECT '{table}' AS table_name, n_rows, hash_sum, sha256('{",".join(cols)}' || '|' || CAST(n_rows AS VARCHAR) || '|' || hash_sum) AS digest
+FROM (SELECT CAST(count(*) AS BIGINT) AS n_rows, {_PIECE_SUMS} AS hash_sum FROM (SELECT {_line_sql(cols)} AS h FROM {table}))"""
 
 
-# Same projections as the Spark query (kept here to avoid an import cycle).
+# Every column of each table, in order.
 DIGEST_TABLES = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
-                 "l_linestatus"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "lineitem": LINE_COLS,
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
 }
 ORACLE["content_digest"] = "\nUNION ALL\n".join(_digest_sql(t, c) for t, c in DIGEST_TABLES.items())
@@ -651,7 +652,7 @@ programs AS (
   SELECT 'c' || {_KS} AS program_id, '/corpus/progs/c' || {_KS} || '.sas' AS path,
   concat_ws({_NL},
     '/* program for ' || c_name || ' */',
-    CASE WHEN {_K} % 3 = 0 AND d.text IS NOT NULL THEN '/* notes:' || {_NL} || d.text || {_NL} || '*/' END,
+    CASE WHEN d.text IS NOT NULL THEN '/* notes:' || {_NL} || d.text || {_NL} || '*/' END,
     'options nodate;',
     'libname mylib ''/data/mylib'';',
     '%let seg = ' || c_mktsegment || ';',
@@ -678,9 +679,12 @@ programs AS (
          || '  proc print data=&tbl; run;' || {_NL} || '  data x; set y; run;' || {_NL} || '%mend;'
          || {_NL} || '%report' || {_KS} || '(work.s' || {_KS} || ');' END
   ) AS source
-  FROM customer LEFT JOIN documents d ON c_custkey = d.doc_id)"""
+  FROM (SELECT coalesce(c_custkey, doc_id) AS c_custkey, coalesce(c_name, 'none') AS c_name,
+          coalesce(c_mktsegment, 'BUILDING') AS c_mktsegment, text
+        FROM customer FULL JOIN documents ON c_custkey = doc_id) d)"""
 
-_COMMENT = T.BLOCK_COMMENT_RE
+# Patterns of the generated scripts, which the generator above knows.
+_COMMENT = r"/\*(?:[^*]|\*+[^*/])*\*+/"
 
 ORACLE["stripped_comments"] = f"""
 WITH {PROGRAMS},
@@ -692,8 +696,7 @@ SELECT program_id,
                    || pieces[i + 1]), '') AS source
 FROM s"""
 
-# RE2 has no UNIX_LINES flag; its multiline $ already stops only at \n.
-_LET = T.LET_RE.replace("(?imd)", "(?im)")
+_LET = r"(?m)^%let ([a-z_]+) = ([^;\n]*);[ \t]*$"
 _PYWS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE["expanded_lets"] = f"""
@@ -712,75 +715,49 @@ SELECT program_id,
                    regexp_replace(source, '{_LET}', '', 'g')) AS source
 FROM d"""
 
-_FORB, _PYFORB, _SQLW, _PYW = (T.FORBIDDEN_RE, T.PY_FORBIDDEN_RE, T.SQL_WRITE_RE, T.PY_WRITE_RE)
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-STEP_CODE = """
-steps AS (
-  SELECT 's' || CAST(o_orderkey AS VARCHAR) AS step_id,
-         'sandbox_p' || CAST(o_orderkey % 7 AS VARCHAR) AS sandbox, o_orderkey AS k
-  FROM orders),
-code0 AS (
-  SELECT step_id, sandbox, k,
-    CASE k % 6
-      WHEN 0 THEN 'CREATE TABLE ' || sandbox || '.t' || CAST(k AS VARCHAR) || ' AS SELECT * FROM ground_truth.gt'
-      WHEN 1 THEN 'CREATE TABLE IF NOT EXISTS ground_truth.t' || CAST(k AS VARCHAR) || ' AS SELECT 1'
-      WHEN 2 THEN 'df.write.saveAsTable(f"staging_inputs.x' || CAST(k AS VARCHAR) || '")'
-      WHEN 3 THEN 'INSERT INTO `' || sandbox || '` . `t' || CAST(k AS VARCHAR) || '` SELECT 1'
-      WHEN 4 THEN 'DROP TABLE -- note' || chr(10) || 'ground_truth.t' || CAST(k AS VARCHAR)
-      ELSE 'USE staging_inputs' END AS code
-  FROM steps),
-code AS (
-  SELECT step_id, sandbox,
-         CASE WHEN k % 5 = 0 THEN code || chr(10) || 'spark.catalog.setCurrentDatabase("x")'
-              ELSE code END AS code
-  FROM code0)"""
-
-ORACLE["write_targets"] = f"""
-WITH {STEP_CODE},
-x AS (
-  SELECT step_id, sandbox, code, replace(code, '`', '') AS raw,
-         regexp_replace(regexp_replace(regexp_replace(replace(code, '`', ''), '--[^\\n]*', ' ', 'g'),
-                        '(?s)/\\*.*?\\*/', ' ', 'g'), '\\s*\\.\\s*', '.', 'g') AS norm
-  FROM code),
+# What each kind of generated step does, by its number: no pattern is needed.
+ORACLE["write_targets"] = """
+WITH steps AS (
+  SELECT coalesce(o_orderkey, doc_id) AS k FROM orders FULL JOIN documents ON o_orderkey = doc_id),
+x AS (SELECT k, 's' || k AS step_id, CASE WHEN k % 23 <> 0 THEN 'sandbox_p' || (k % 7) END AS sandbox,
+             'sandbox_p' || CASE WHEN k % 23 <> 0 THEN k % 7 ELSE 0 END AS own FROM steps),
 hits AS (
-  SELECT step_id, 'context' AS kind,
-         unnest(list_distinct(regexp_extract_all(raw, {_q(_FORB)}, 0)
-                || regexp_extract_all(norm, {_q(_FORB)}, 0)
-                || regexp_extract_all(code, {_q(_PYFORB)}, 0))) AS detail
-  FROM x
-  UNION ALL
-  SELECT step_id, 'write', t FROM (
-    SELECT step_id, sandbox,
-           unnest(list_distinct(regexp_extract_all(raw, {_q(_SQLW)}, 1)
-                  || regexp_extract_all(norm, {_q(_SQLW)}, 1)
-                  || list_transform(regexp_extract_all(code, {_q(_PYW)}, 1),
-                                    lambda t: replace(t, '`', '')))) AS t
-    FROM x)
-  WHERE contains(t, '.') AND NOT starts_with(lower(t), lower(sandbox) || '.'))
-SELECT DISTINCT step_id, kind, detail FROM hits"""
-
-_STMT = T.SQL_STATEMENT_RE
+  SELECT step_id, sandbox, 'write' AS kind, unnest(CASE k % 8
+      WHEN 0 THEN [own || '.t' || k] WHEN 1 THEN ['ground_truth.t' || k] WHEN 2 THEN ['staging_inputs.x' || k]
+      WHEN 3 THEN [own || '.t' || k] WHEN 4 THEN ['ground_truth.t' || k] WHEN 5 THEN ['données.über' || k]
+      WHEN 6 THEN ['z.t' || k, 'a.t' || k] ELSE [] END) AS detail FROM x
+  UNION ALL SELECT step_id, NULL, 'context', 'USE s' FROM x WHERE k % 8 = 7
+  UNION ALL SELECT step_id, NULL, 'context', '.setCurrentDatabase(' FROM x WHERE k % 5 = 0)
+SELECT step_id, kind, detail FROM hits WHERE kind = 'context' OR sandbox IS NULL OR NOT starts_with(detail, sandbox || '.')"""
+
+ORACLE["sandbox_verdicts"] = """
+WITH steps AS (
+  SELECT coalesce(o_orderkey, doc_id) AS k FROM orders FULL JOIN documents ON o_orderkey = doc_id),
+v AS (
+  SELECT 's' || k AS step_id, CASE WHEN k % 8 = 7 THEN 'context: USE s' WHEN k % 5 = 0 THEN 'context: .setCurrentDatabase('
+    WHEN k % 8 IN (0, 3) THEN CASE WHEN k % 23 = 0 THEN 'write: sandbox_p0.t' || k END
+    WHEN k % 8 IN (1, 4) THEN 'write: ground_truth.t' || k WHEN k % 8 = 2 THEN 'write: staging_inputs.x' || k
+    WHEN k % 8 = 5 THEN 'write: données.über' || k WHEN k % 8 = 6 THEN 'write: z.t' || k END AS violation
+  FROM steps)
+SELECT step_id, violation IS NULL AS allowed, violation FROM v"""
 
 ORACLE["sql_statements"] = f"""
 WITH s AS (
-  SELECT 'q' || CAST(o_orderkey AS VARCHAR) AS script_id,
-         'SELECT ''' || o_orderpriority || ';' || CAST(o_orderkey AS VARCHAR) || ''' AS p; ' ||
-         CASE o_orderkey % 3
-           WHEN 0 THEN 'INSERT INTO t VALUES (''O''''Brien; ' || CAST(o_orderkey AS VARCHAR) || ''');'
-           WHEN 1 THEN ' ; ;SELECT 2'
-           ELSE 'SELECT ''open; ' || CAST(o_orderkey AS VARCHAR) END AS code
-  FROM orders),
-p AS (SELECT script_id, list_filter(list_transform(regexp_extract_all(code, {_q(_STMT)}, 0),
-                                                   lambda x: trim(x, {_PYWS})), lambda x: x <> '') AS l
-      FROM s)
-SELECT script_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS stmt_no,
-       unnest(l) AS statement
-FROM p"""
+  SELECT coalesce(o_orderkey, doc_id) AS k, coalesce(o_orderpriority, 'none') AS p, text
+  FROM orders FULL JOIN documents ON o_orderkey = doc_id),
+l AS (
+  SELECT 'q' || k AS script_id, list_filter(
+    CASE WHEN text IS NULL THEN [] ELSE ['SELECT ''' || replace(text, '''', '''''') || ''' AS d',
+      trim(regexp_replace(text, '['';]', '~', 'g'), {_PYWS})] END
+    || ['SELECT ''' || p || ';' || k || ''' AS p']
+    || CASE k % 3 WHEN 0 THEN ['INSERT INTO t VALUES (''O''''Brien; ' || k || ''')'] WHEN 1 THEN ['SELECT 2']
+         ELSE ['SELECT ''open; ' || k] END, lambda x: x <> '') AS l
+  FROM s)
+SELECT script_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS stmt_no, unnest(l) AS statement FROM l"""
 
 ORACLE["parsed_responses"] = f"""
 WITH r0 AS (
@@ -835,7 +812,7 @@ _WS_ALL = " || ".join(f"chr({c})" for c in (
     9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197,
     8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288))
 
-_INC = T.INCLUDE_RE
+_INC = "%include '([^'\"\n]+)';"
 
 FILES = """
 files AS (
@@ -1003,13 +980,9 @@ WITH cj AS (
 progs AS (SELECT c_mktsegment AS program_id, count(*) AS n, count(DISTINCT c_nationkey) AS nations
           FROM customer GROUP BY 1),
 dg AS (
-  SELECT c_mktsegment AS program_id, count(*) AS n_rows, sum(h) AS hash_sum
-  FROM (SELECT c_mktsegment, ('0x' || substr(sha256(concat_ws(chr(31), coalesce(CAST(c_custkey AS VARCHAR), ''),
-                coalesce(c_name, ''), coalesce(CAST(c_nationkey AS VARCHAR), ''))), 1, 15))::BIGINT AS h
-        FROM customer)
-  GROUP BY 1),
-snaps AS (SELECT program_id, substr(sha256('c_custkey,c_name,c_nationkey' || '|' || CAST(n_rows AS VARCHAR)
-                 || '|' || CAST(hash_sum AS VARCHAR)), 1, 12) AS digest FROM dg)
+  SELECT c_mktsegment AS program_id, CAST(count(*) AS VARCHAR) AS n_rows, {_PIECE_SUMS} AS hash_sum
+  FROM (SELECT c_mktsegment, {_line_sql(["c_custkey", "c_name", "c_nationkey", "c_acctbal"])} AS h FROM customer) GROUP BY 1),
+snaps AS (SELECT program_id, sha256('c_custkey,c_name,c_nationkey,c_acctbal|' || n_rows || '|' || hash_sum) AS digest FROM dg)
 SELECT p.program_id, concat_ws(chr(10),
   '# Parity certificate: ' || p.program_id, '',
   '- program: `/corpus/progs/seg_' || lower(p.program_id) || '.sas` (owner team_' || lower(p.program_id) || ')',
@@ -1076,3 +1049,53 @@ SELECT json_object('program_id', program_id, 'event_id', event_id, 'purpose', pu
          AS payload,
        strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
 FROM calls"""
+
+
+# ---------------------------------------------------------------- drivers, sources and state
+
+ORACLE["parity_results"] = f"""
+WITH {ORDERS_BAD}, {LINEITEM_BAD}, {ORDERS_JOIN}, {ORDERS_SUMMARY}
+SELECT 'p_tpch' AS program_id, 'orders' AS table_name, gt_rows, out_rows, missing_rows, extra_rows,
+  'keyed rel_tol=1e-09' AS method, CAST(NULL AS VARCHAR) AS error, false AS passed FROM orders_summary
+UNION ALL
+SELECT 'p_tpch', 'lineitem', *, 'keyless-hash(%.9e) [duplicate-key fallback; rel_tol not applied]', NULL, false
+FROM {keyless_sql('lineitem', 'lineitem_bad', LINE_COLS)}
+UNION ALL
+SELECT 'p_tpch', 'customer', 0, 0, 0, 0, 'error', 'schema mismatch: ground-truth-only columns [''c_acctbal''], output-only columns []', false
+UNION ALL
+SELECT 'p_tpch', 'nation', 0, 0, 0, 0, 'error', 'type mismatch: n_name (string vs int)', false
+UNION ALL
+SELECT 'p_tpch', 'supplier', count(*), count(*), 0, 0, 'keyless-hash(%.9e)', NULL, true FROM supplier"""
+
+ORACLE["csv_source"] = "SELECT doc_id, md5('\"a\", b;' || chr(10) || text) AS text_md5, lang FROM documents"
+
+ORACLE["parquet_snapshot"] = f"""
+WITH d AS ({_digest_sql("customer", DIGEST_TABLES["customer"])})
+SELECT c_custkey, c_name, c_acctbal, d.digest FROM customer, d"""
+
+ORACLE["inventory_status"] = """
+WITH last AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1),
+s AS (SELECT c_custkey, c_name, k, ['registered', 'landed', 'translated', 'validating', 'parity_pass', 'triage'][k % 6 + 1] AS st
+      FROM customer LEFT JOIN last ON o_custkey = c_custkey)
+SELECT 'c' || c_custkey AS program_id, c_name AS owner, coalesce(st, 'registered') AS status,
+  CASE WHEN st = 'triage' THEN 'order ' || k END AS error FROM s"""
+
+ORACLE["log_scan"] = f"""
+WITH {CALLS}
+SELECT program_id, event_id, purpose, error, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM calls"""
+
+ORACLE["program_state"] = """
+SELECT CASE event_type WHEN 'signup' THEN 'registered' WHEN 'view' THEN 'landed' WHEN 'click' THEN 'translated'
+  WHEN 'purchase' THEN 'parity_pass' WHEN 'error' THEN 'triage' END AS status, event_id
+FROM events WHERE user_id = 7 QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) = 1"""
+
+ORACLE["sas_top"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer
+ORDER BY c_acctbal NULLS FIRST, c_custkey DESC LIMIT 500"""
+
+ORACLE["parity_records"] = f"""
+WITH t AS ({ORACLE["diff_text"]}), v AS ({ORACLE["grouped_parity"]})
+SELECT v.program_id, CASE WHEN passed THEN 'parity_pass' ELSE 'triage' END AS status,
+  CASE WHEN NOT passed THEN 'diverged' END AS failure_mode, gt_rows % 4 + 1 AS outer_attempts,
+  CASE WHEN NOT passed THEN t.text END AS report
+FROM v LEFT JOIN t USING (program_id)"""

@@ -202,7 +202,7 @@ from paritas.plans.oracle import DIGEST_TABLES  # noqa: E402,F401
 
 @register("content_digest")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5 (scalable mode): order-insensitive fingerprint per table projection."""
+    """A5 (scalable mode): order-insensitive fingerprint per table, over every column."""
     out = None
     for name, cols in DIGEST_TABLES.items():
         d = _digest(I.table(spark, sf_dir, name).select(*cols)).select(
@@ -296,7 +296,7 @@ def freq_twoway(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transpose_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: PROC TRANSPOSE BY l_orderkey ID l_linenumber VAR l_quantity."""
     return SO.transpose_wide(I.table(spark, sf_dir, "lineitem"), ["l_orderkey"],
-                             "l_linenumber", "l_quantity")
+                             "l_linenumber", "l_quantity", let=True)
 
 
 @register("transpose_long")
@@ -408,7 +408,7 @@ def _status(spark, sf_dir) -> DataFrame:
 
 @register("latest_state")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1/K2/O3: batch upserts of JSON payloads, latest row per key."""
+    """K1: batch upserts of JSON payloads, latest row per key."""
     return _state(spark, sf_dir).select(
         "key", "payload", F.date_format("updated_at", TS_FMT).alias("updated_at"))
 
@@ -553,17 +553,27 @@ def script_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps
 
 
+def _step_code(spark, sf_dir) -> DataFrame:
+    return I.step_code(I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "documents"))
+
+
 @register("write_targets")
 def write_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: writes outside each step's sandbox schema and context changes."""
-    code = I.step_code(I.table(spark, sf_dir, "orders"))
-    return T.sandbox_violations(code, "step_id", "code", "sandbox").distinct()
+    return T.sandbox_violations(_step_code(spark, sf_dir), "step_id", "code", "sandbox") \
+        .select("step_id", "kind", "detail").distinct()
+
+
+@register("sandbox_verdicts")
+def sandbox_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: one verdict per step, with its first violation in text order."""
+    return T.sandbox_verdicts(_step_code(spark, sf_dir), "step_id", "code", "sandbox")
 
 
 @register("sql_statements")
 def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts split into statements at semicolons outside quotes."""
-    s = I.sql_scripts(I.table(spark, sf_dir, "orders"))
+    s = I.sql_scripts(I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "documents"))
     return s.select("script_id", F.posexplode(T.split_sql("code")).alias("stmt_no", "statement"))
 
 
@@ -601,8 +611,7 @@ def _segment_programs(spark, sf_dir):
         "program_id", F.concat(F.lit("/corpus/progs/seg_"), F.lower("program_id"), F.lit(".sas")).alias("sas_path"),
         F.concat(F.lit("team_"), F.lower("program_id")).alias("owner"),
         F.lit(None).cast("double").alias("float_rel_tol"))
-    snaps = grouped_content_digest(cust.select("c_mktsegment", "c_custkey", "c_name", "c_nationkey"),
-                                   "c_mktsegment").select(
+    snaps = grouped_content_digest(cust, "c_mktsegment").select(
         F.col("c_mktsegment").alias("program_id"), F.lit("staging.customer").alias("table"),
         F.col("digest").alias("hash"))
     return records, outcome, tables, snaps
@@ -667,3 +676,96 @@ def call_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "program_id", "event_id", "purpose", "input_tokens", "output_tokens", "error", "ts")
     log = ST.to_log(calls, ts="ts", keep_nulls=True)
     return log.select("payload", F.date_format("ts", TS_FMT).alias("ts"))
+
+
+# ---------------------------------------------------------------- drivers, sources and state as queries
+
+@register("parity_results")
+def parity_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of one program's pairs: keyed, repeated keys
+    (multiset fallback), a missing column, another type, and an equal pair."""
+    t = lambda name: I.table(spark, sf_dir, name)
+    orders, li, cust, nation, supp = t("orders"), t("lineitem"), t("customer"), t("nation"), t("supplier")
+    found = C.validate_program(spark, "p_tpch", [
+        (orders, I.orders_corrupted(orders), ["o_orderkey"], "orders"),
+        (li, I.lineitem_corrupted(li), ["l_orderkey"], "lineitem"),
+        (cust, cust.drop("c_acctbal"), ["c_custkey"], "customer"),
+        (nation, nation.withColumn("n_name", F.length("n_name")), ["n_nationkey"], "nation"),
+        (supp, supp.repartition(3), None, "supplier")])
+    return found.frames(spark)[0].withColumnRenamed("table", "table_name")
+
+
+@register("csv_source")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as CSV (quotes doubled, line breaks and
+    separators inside quotes) and read back through the reader by suffix."""
+    from uuid import uuid4
+
+    from paritas.session import shared_dir
+    from paritas.sources.readers import read_source
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"a", b;\n'), F.col("text")).alias("text"), "lang")
+    path = shared_dir(spark, f"documents-{uuid4().hex}.csv")
+    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = read_source(spark, path, schema=docs.schema, multi_line=True)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@register("parquet_snapshot")
+def parquet_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table landed once under its digest and read back by suffix."""
+    from paritas.session import shared_dir
+    from paritas.sources.readers import read_source
+    from paritas.sources.snapshot import snapshot
+    path, digest = snapshot(read_source(spark, f"{sf_dir.rstrip('/')}/customer.parquet"), "customer", shared_dir(spark, "snapshots"))
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal", F.lit(digest).alias("digest"))
+
+
+@register("inventory_status")
+def inventory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5/K6: programs (one per customer) registered in two goes, then set to
+    the status that their last order stands for."""
+    cust = I.table(spark, sf_dir, "customer")
+    progs = cust.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("program_id"),
+                        F.col("c_name").alias("owner"), "c_custkey")
+    inv, _ = ST.register(None, progs.where("c_custkey % 3 <> 0"))
+    inv, _ = ST.register(inv, progs)
+    last = I.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
+    known = last.join(cust.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    status = F.element_at(F.array(*[F.lit(x) for x in ST.STATUSES]), (F.col("k") % len(ST.STATUSES) + 1).cast("int"))
+    up = known.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("program_id"), status.alias("status"),
+                      F.when(status == "triage", F.concat(F.lit("order "), F.col("k").cast("string"))).alias("error"))
+    return ST.set_status(inv, up).select("program_id", "owner", "status", "error")
+
+
+@register("log_scan")
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3/O3: the call log read back in time order, payload parsed."""
+    calls = I.call_log(I.table(spark, sf_dir, "events")).select("program_id", "event_id", "purpose", "error", "ts")
+    out = ST.scan(ST.to_log(calls, ts="ts", keep_nulls=True), "program_id string, event_id bigint, purpose string, error string")
+    return out.select("program_id", "event_id", "purpose", "error", F.date_format("ts", TS_FMT).alias("ts"))
+
+
+@register("program_state")
+def program_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the newest payload of one program, by key."""
+    kv = ST.latest_by_time(I.status_updates(I.table(spark, sf_dir, "events")))
+    return ST.get(kv, "p7", "status string, event_id bigint")
+
+
+@register("sas_top")
+def sas_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: the first 500 customers in SAS order (missing, NaN included, lowest)."""
+    raw = _customer_raw(I.table(spark, sf_dir, "customer"))
+    top = SO.sas_sort(raw, ["c_acctbal", ("c_custkey", "desc")]).limit(500)
+    return top.select("c_custkey", F.when(F.isnan("c_acctbal"), F.lit(None)).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+
+
+@register("parity_records")
+def parity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One results record per program (order priority): status, failure
+    mode, attempts and, where it failed, its whole diff text."""
+    a, s = _grouped(spark, sf_dir)
+    verdicts = _grouped_verdicts(a, s)
+    text = diff_text(spark, sf_dir).withColumnRenamed("text", "report")
+    attempts = verdicts.select("program_id", (F.col("gt_rows") % 4 + 1).cast("long").alias("outer_attempts"))
+    return R.parity_records(verdicts.select("program_id", "passed"), attempts, text)

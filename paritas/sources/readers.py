@@ -11,22 +11,32 @@ class MissingDependencyError(Exception):
     pass
 
 
-def read_source(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read CSV (header row, types inferred unless ``schema`` is given) or
-    Parquet by case-insensitive suffix. SAS7BDAT is not decoded: export it as
-    CSV or Parquet first."""
-    lower = path.lower().rstrip("/")
-    if lower.endswith(".csv"):
-        r = spark.read.option("header", True)
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        return r.csv(path)
-    if lower.endswith(".parquet"):
-        return spark.read.parquet(path)
-    if lower.endswith(".sas7bdat"):
-        raise MissingDependencyError(
-            "Reading .sas7bdat needs a SAS dataset decoder, which is not available. "
-            "Export the dataset from SAS as CSV/Parquet (PROC EXPORT) and land that instead.")
-    raise ValueError(f"unsupported source format: {path}")
+def _csv(spark: SparkSession, path: str, schema, multi_line: bool) -> DataFrame:
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
+
+
+def _no_decoder(*_) -> DataFrame:
+    raise MissingDependencyError("a SAS data set cannot be decoded here; export it as CSV/Parquet first")
+
+
+#: Readers by file suffix.
+READERS = {
+    "csv": _csv,
+    "parquet": lambda spark, path, schema, _: (spark.read.schema(schema) if schema is not None else spark.read).parquet(path),
+    "sas7bdat": _no_decoder,
+}
+
+
+def read_source(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """Read a source by its case-insensitive suffix. CSV has a header row,
+    quotes are doubled inside quotes, and types are inferred unless ``schema``
+    is given; line breaks inside quotes need ``multi_line``, which makes each
+    file one task."""
+    suffix = path.lower().rstrip("/").rpartition(".")[2]
+    if suffix not in READERS:
+        raise ValueError(f"unsupported source format: {path}")
+    return READERS[suffix](spark, path, schema, multi_line)
 
 
 def table_schemas(spark: SparkSession, tables: list[str]) -> DataFrame:
@@ -36,7 +46,9 @@ def table_schemas(spark: SparkSession, tables: list[str]) -> DataFrame:
     for t in tables:
         try:
             fields = spark.table(t).schema.fields
-        except AnalysisException:
+        except AnalysisException as e:
+            if "TABLE_OR_VIEW_NOT_FOUND" not in str(e):
+                raise
             continue
         rows.append((t, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)))
     return spark.createDataFrame(rows, "table_name string, schema string")

@@ -1,28 +1,22 @@
 """Order-insensitive table fingerprints and content-named snapshots.
 
-Row text: values in column order joined by U+001F, NULL and NaN as empty
-text, other values as Spark renders them as strings.
-
-exact mode   SHA-256 over the header line and the *sorted* row lines, first
-             12 hex digits. A running hash over sorted lines is inherently
-             sequential, so this mode is guarded by a row limit.
-digest mode  for any size: each row line hashed with SHA-256, its first 15 hex
-             digits (60 bits) summed as DECIMAL(38,0) with the row count, and
-             the header, count and sum hashed again. One aggregation with
-             map-side partial sums; duplicates count, order does not.
-The two modes give different hash families; the mode is stored beside it.
+A row's line holds its values in column order, each as ``length:text`` (so a
+NULL, written ``~``, the empty text and any separator stay apart; NaN counts as
+NULL). Every line is hashed with SHA-256, the four 64-bit pieces of the hash
+are summed over all rows, and the column names, row count and sums are hashed
+again. One aggregation with map-side partial sums for any size: duplicates
+count, order does not.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritas.session import shared_dir
-
 SEP = "\x1f"
-EXACT_ROW_LIMIT = 1_000_000
+PIECES = 4
 
 
 def row_text(df: DataFrame) -> Column:
@@ -31,64 +25,52 @@ def row_text(df: DataFrame) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
-        parts.append(F.coalesce(c.cast("string"), F.lit("")))
+        text = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
     return F.concat_ws(SEP, *parts) if parts else F.lit("")
 
 
-def exact_hash(df: DataFrame, row_limit: int = EXACT_ROW_LIMIT) -> str:
-    """12-hex-digit SHA-256 of header + sorted lines; raises above ``row_limit``."""
-    n = df.count()
-    if n > row_limit:
-        raise ValueError(f"exact fingerprint limited to {row_limit} rows, table has {n}; "
-                         "use content_digest")
-    header = ",".join(df.columns)
-    lines = df.select(row_text(df).alias("l"))
-    agg = lines.agg(F.array_sort(F.collect_list("l")).alias("ls")).select(
-        F.substring(F.sha2(F.concat_ws("\n", F.array_insert(F.col("ls"), 1, F.lit(header))), 256),
-                    1, 12).alias("h"))
-    return agg.first()["h"]
+def _digests(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    h = F.sha2(row_text(df.select(*[F.col(f"`{c}`") for c in cols])), 256)
+    x = df.select(*[F.col(f"`{c}`") for c in by], h.alias("_h"))
+    pieces = [F.sum(F.conv(F.substring("_h", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")) for i in range(PIECES)]
+    zero = F.lit(0).cast("decimal(38,0)")
+    s = x.groupBy(*[F.col(f"`{c}`") for c in by]).agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"),
+        F.concat_ws("|", *[F.coalesce(p, zero).cast("string") for p in pieces]).alias("hash_sum"))
+    return s.withColumn("digest", F.sha2(F.concat_ws(
+        "|", F.lit(",".join(cols)), F.col("n_rows").cast("string"), F.col("hash_sum")), 256))
 
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """One row: n_rows, hash_sum (decimal text) and the 12-hex ``digest``."""
-    header = ",".join(df.columns)
-    h = F.conv(F.substring(F.sha2(row_text(df), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    s = df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"),
-                                    F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)")).alias("s"))
-    s = s.select(F.col("n_rows").cast("long").alias("n_rows"),
-                 F.col("s").cast("string").alias("hash_sum"))
-    return s.withColumn("digest", F.substring(F.sha2(F.concat_ws(
-        "|", F.lit(header), F.col("n_rows").cast("string"), F.col("hash_sum")), 256), 1, 12))
-
-
-def _complete(spark, path: str) -> bool:
-    """True when ``path`` holds a finished write (its ``_SUCCESS`` marker)."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(marker))
+    """One row: n_rows, hash_sum (the sums, joined by ``|``) and ``digest``
+    (64 hex digits)."""
+    return _digests(df, df.columns, [])
 
 
 def grouped_content_digest(df: DataFrame, group: str) -> DataFrame:
     """:func:`content_digest` of every ``group`` value's rows in one
     aggregation (the group column itself is not part of the row text)."""
-    cols = [c for c in df.columns if c != group]
-    header = ",".join(cols)
-    body = df.select(*cols)
-    h = F.conv(F.substring(F.sha2(row_text(body), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    s = df.select(F.col(f"`{group}`"), h.alias("h")).groupBy(f"`{group}`").agg(
-        F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum("h").cast("string").alias("hash_sum"))
-    return s.withColumn("digest", F.substring(F.sha2(F.concat_ws(
-        "|", F.lit(header), F.col("n_rows").cast("string"), F.col("hash_sum")), 256), 1, 12))
-
-
-def snapshot(df: DataFrame, name: str, root: str | None = None) -> tuple[str, str]:
-    """Write ``df`` once under ``<root>/<name>_<digest>`` (skipped when that
-    folder already holds a complete snapshot). Returns (path, digest)."""
-    spark = df.sparkSession
-    digest = content_digest(df).first()["digest"]
-    root = root or shared_dir(spark, "snapshots")
-    path = f"{root.rstrip('/')}/{name}_{digest}"
-    if not _complete(spark, path):
-        df.write.mode("overwrite").parquet(path)   # absent or unfinished: (re)write
-    return path, digest
+    return _digests(df, [c for c in df.columns if c != group], [group])
+
+
+def _complete(df: DataFrame, path: str) -> bool:
+    """True when ``path`` was written to its end: the note beside the data is
+    written last."""
+    try:
+        return not df.sparkSession.read.parquet(f"{path}/complete").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def snapshot(df: DataFrame, name: str, root: str) -> tuple[str, str]:
+    """Write ``df`` once under ``<root>/<name>_<digest>/data`` (skipped when
+    that folder holds a complete snapshot). Returns (path of the data, digest);
+    the digest is the whole SHA-256, so equal names are equal contents."""
+    note = content_digest(df).first()
+    path = f"{root.rstrip('/')}/{name}_{note['digest']}"
+    if not _complete(df, path):
+        df.write.mode("overwrite").parquet(f"{path}/data")   # absent or unfinished
+        df.sparkSession.createDataFrame([tuple(note)], "n_rows long, hash_sum string, digest string") \
+            .write.mode("overwrite").parquet(f"{path}/complete")
+    return f"{path}/data", note["digest"]

@@ -243,3 +243,53 @@ def test_sandbox_verdicts(spark):
     got = {r["id"]: (r["allowed"], r["violation"]) for r in T.sandbox_verdicts(df, "id", "code", "sb").collect()}
     assert got["a"] == (True, None)
     assert got["b"][0] is False and got["b"][1].startswith("context: USE")
+
+
+def statements(spark, code):
+    return spark.createDataFrame([(code,)], "c string").select(T.split_sql("c").alias("s")).first()["s"]
+
+
+def plain_statements(code):
+    out, now, quoted = [], "", False
+    for ch in code:
+        quoted ^= ch == "'"
+        if ch == ";" and not quoted:
+            out.append(now)
+            now = ""
+        else:
+            now += ch
+    return [x.strip() for x in [*out, now] if x.strip()]
+
+
+def test_sql_split_is_linear_and_exact(spark):
+    big = "SELECT " + "x + " * 250_000 + "1; SELECT 'a;" + "b" * 200_000 + "'';c'; SELECT 'open; end"
+    assert statements(spark, big) == plain_statements(big)
+    for code in ("", ";;", "a;b", "'a;''b;';c", "x\x00y;\x01z;\x01\x02;'\x00;'", " s ; '", "a''b;c"):
+        assert statements(spark, code) == plain_statements(code), code
+
+
+def test_write_scan_knows_unicode_and_needs_a_sandbox(spark):
+    df = spark.createDataFrame([("a", "sb", "CREATE TABLE donn\u00e9es.x AS SELECT 1"), ("b", "sb", "DROP TABLE\u00a0z.t"),
+                                ("c", None, "INSERT INTO sb.t SELECT 1"), ("d", "sb", "DROP TABLE z.t; DROP TABLE a.t"),
+                                ("e", "sb", "DROP TABLE z.t; USE a"), ("f", "sb", "INSERT INTO SB.t SELECT 1")], "id string, sb string, code string")
+    got = {r["id"]: (r["allowed"], r["violation"]) for r in T.sandbox_verdicts(df, "id", "code", "sb").collect()}
+    assert got == {"a": (False, "write: donn\u00e9es.x"), "b": (False, "write: z.t"), "c": (False, "write: sb.t"), "d": (False, "write: z.t"),
+                   "e": (False, "context: USE a"), "f": (True, None)}
+
+
+def test_includes_with_dots(spark):
+    progs = spark.createDataFrame([("p", "/c/progs/p.sas", "%include '../common/u.sas';\n%include './u2.sas';\n%include 'x/../u2.sas';")],
+                                  "program_id string, path string, source string")
+    files = spark.createDataFrame([("/c/common/u.sas", "U"), ("/c/progs/./u2.sas", "V")], "path string, source string")
+    r = T.resolve_includes(progs, files).first()
+    assert r["include_error"] is None and r["source"] == "U\nV\nV"
+
+
+def test_unicode_names_and_blanks_in_scripts(spark):
+    src = "%let gr\u00f6\u00dfe = 5;\n\u00a0data a; x = &gr\u00f6\u00dfe;\nrun;"
+    df = spark.createDataFrame([("p", src)], "program_id string, source string")
+    assert "x = 5" in df.select(T.expand_lets("source").alias("s")).first()["s"]
+    steps = T.split_steps(df.select("program_id", T.expand_lets("source").alias("source"))).collect()
+    assert [r["kind"] for r in steps] == ["data"]
+    plan = T.split_steps(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan

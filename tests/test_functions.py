@@ -173,3 +173,23 @@ def test_float_key_partition_equals_format_partition(spark, values, seeds):
         k2f.setdefault(r["k"], set()).add(r["f"])
     assert all(len(s) == 1 for s in f2k.values()), f2k
     assert all(len(s) == 1 for s in k2f.values()), k2f
+
+
+def test_numbers_in_text_have_no_suffix(spark):
+    from paritas.functions import sas as S
+    texts = ["12d", "12f", "1D", "inf", "NaN", " 12 ", "1e2", ".5", "-3.", "1_0", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(S.to_sas_num("t")).collect()] == [None] * 5 + [12.0, 100.0, 0.5, -3.0, None, None]
+    assert [r[0] for r in df.select(S.sas_date_to_iso("t")).collect()][:6] == [None] * 5 + ["1960-01-13"]
+
+
+def test_nan_is_missing_in_comparisons(spark):
+    from paritas.functions import sas as S
+    from paritas.operators.sas import where_sas
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 5.0), (5.0, nan), (nan, None), (nan, nan)], "a double, b double")
+    got = [tuple(r) for r in df.select(S.sas_lt("a", "b"), S.sas_ge("a", "b"), S.sas_eq("a", "b"), S.sas_ne("a", "b")).collect()]
+    assert got == [(True, False, False, True), (False, True, False, True), (False, True, True, False), (False, True, True, False)]
+    assert [where_sas(df, "a", op, 4.0).count() for op in (">", "<", "=", "^=")] == [1, 3, 0, 4]
+    text = spark.createDataFrame([("NaN", "x")], "a string, b string")
+    assert text.select(S.sas_eq("a", "b")).first()[0] is False

@@ -21,23 +21,12 @@ def test_out_of_range_dates_are_counted(spark):
     assert L.count_out_of_range_dates(df, ["d"]).first()["d"] == 1
 
 
-def test_exact_hash_order_insensitive(spark):
-    a = spark.createDataFrame([(1, "a"), (2, "b")], "x INT, y STRING")
-    b = spark.createDataFrame([(2, "b"), (1, "a")], "x INT, y STRING")
-    c = spark.createDataFrame([(1, "a"), (3, "b")], "x INT, y STRING")
-    ha, hb, hc = SN.exact_hash(a), SN.exact_hash(b), SN.exact_hash(c)
-    assert ha == hb != hc and len(ha) == 12
-
-
-def test_exact_hash_known_value_on_nation(spark):
-    nation = spark.read.parquet(f"{SF_MID}/nation.parquet")
-    assert SN.exact_hash(nation) == "78e26363a485"
-
-
-def test_exact_hash_is_size_guarded(spark):
-    df = spark.range(20)
-    with pytest.raises(ValueError):
-        SN.exact_hash(df, row_limit=10)
+def test_digest_tells_null_empty_and_separators_apart(spark):
+    rows = [[(None, "a")], [("", "a")], [("~", "a")], [("a\x1f1:b", "c")], [("a", "b\x1f1:c")]]
+    got = {SN.content_digest(spark.createDataFrame(r, "x STRING, y STRING")).first()["digest"] for r in rows}
+    assert len(got) == 5 and all(len(d) == 64 for d in got)
+    nan = spark.createDataFrame([(float("nan"),)], "x DOUBLE"), spark.createDataFrame([(None,)], "x DOUBLE")
+    assert len({SN.content_digest(t).first()["digest"] for t in nan}) == 1
 
 
 def test_digest_order_insensitive_and_duplicate_sensitive(spark):
@@ -53,7 +42,7 @@ def test_snapshot_written_once(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "a")], "x INT, y STRING")
     p1, d1 = SN.snapshot(df, "t", root=tmpdir_path)
     p2, d2 = SN.snapshot(df, "t", root=tmpdir_path)
-    assert p1 == p2 and d1 == d2 and p1.endswith(f"t_{d1}")
+    assert p1 == p2 and d1 == d2 and p1.endswith(f"t_{d1}/data")
     assert spark.read.parquet(p1).count() == 1
 
 
@@ -80,3 +69,20 @@ def test_table_schemas_skips_missing(spark):
     spark.createDataFrame([(1, "a")], "x INT, y STRING").createOrReplaceTempView("ts_a")
     rows = R.table_schemas(spark, ["ts_a", "ts_missing"]).collect()
     assert [(r["table_name"], r["schema"]) for r in rows] == [("ts_a", "x int, y string")]
+
+
+def test_snapshot_rewrites_an_unfinished_folder(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, "a")], "x INT, y STRING")
+    digest = SN.content_digest(df).first()["digest"]
+    df.limit(0).write.parquet(f"{tmpdir_path}/t_{digest}/data")   # a write that died
+    path, _ = SN.snapshot(df, "t", tmpdir_path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_csv_as_people_export_it(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/x.CSV", "w") as f:
+        f.write('id,t\n1,"a ""q"" b, c"\n2,"two\nlines"\n')
+    got = R.read_source(spark, f"{tmpdir_path}/x.CSV", multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 'a "q" b, c'), (2, "two\nlines")]
+    with pytest.raises(ValueError):
+        R.read_source(spark, f"{tmpdir_path}/x.xlsx")

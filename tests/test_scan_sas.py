@@ -181,3 +181,20 @@ def test_where_sas_semantics_and_pushdown(spark, tmpdir_path):
     assert "PushedFilters: [IsNotNull(d), GreaterThanOrEqual(d,1995-01-01)]" in plan
     plan = SO.where_sas(df, "d", "<", d)._jdf.queryExecution().executedPlan().toString()
     assert "Or(IsNull(d),LessThan(d,1995-01-01))" in plan
+
+
+def test_missing_class_values_are_left_out(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, v double")
+    out = {(r["_TYPE_"], r["g"]): r["_FREQ_"] for r in SO.proc_means_output(df, ["g"], {"m": ("mean", "v")}).collect()}
+    assert out == {(0, None): 2, (1, "a"): 2}
+    out = {(r["_TYPE_"], r["g"]): r["_FREQ_"] for r in SO.proc_means_output(df, ["g"], {"m": ("mean", "v")}, missing=True).collect()}
+    assert out == {(0, None): 3, (1, "a"): 2, (1, None): 1}
+
+
+def test_transpose_reports_repeated_missing_and_clashing_ids(spark):
+    s = "b int, id string, v double"
+    for rows in ([(1, "x", 1.0), (1, "x", 5.0)], [(1, None, 1.0)], [(1, "x", 1.0), (2, "X", 2.0)]):
+        with pytest.raises(ValueError):
+            SO.transpose_wide(spark.createDataFrame(rows, s), ["b"], "id", "v")
+    r = SO.transpose_wide(spark.createDataFrame([(1, "x", 1.0), (1, "x", 5.0), (1, None, 2.0)], s), ["b"], "id", "v", let=True).first()
+    assert (r["x"], r["_"]) == (5.0, 2.0)

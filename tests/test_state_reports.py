@@ -1,5 +1,4 @@
 import datetime as dt
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,22 +35,6 @@ def test_get_and_scan(spark):
         ST.scan(spark.createDataFrame([(1,)], "x INT"))
 
 
-def test_versioned_tables(spark, tmpdir_path):
-    inv = ST.VersionedTable(spark, os.path.join(tmpdir_path, "inventory"), "kv")
-    assert inv.read() is None
-    inv.upsert(kv(spark, [("p1", "v1", T0)]))
-    inv.upsert(kv(spark, [("p1", "v2", T0 + dt.timedelta(1)), ("p2", "w", T0)]))
-    assert {r["key"]: r["payload"] for r in inv.read().collect()} == {"p1": "v2", "p2": "w"}
-    log = ST.VersionedTable(spark, os.path.join(tmpdir_path, "calls"), "log")
-    log.append(ST.to_log(spark.createDataFrame([("translate",)], "purpose STRING")))
-    log.append(ST.to_log(spark.createDataFrame([("repair",)], "purpose STRING")))
-    assert sorted(r["purpose"] for r in ST.scan(log.read(), "purpose string").collect()) == ["repair", "translate"]
-    with pytest.raises(ValueError):
-        log.upsert(kv(spark, [("p", "x", T0)]))
-    with pytest.raises(ValueError):
-        inv.append(ST.to_log(spark.createDataFrame([("x",)], "purpose STRING")))
-
-
 def progs(spark, ids):
     return spark.createDataFrame([(i, f"/sas/{i}.sas", "owner") for i in ids],
                                  "program_id STRING, sas_path STRING, owner STRING")
@@ -201,19 +184,10 @@ def test_program_table_pairs_and_validate_inventory(spark):
                                 "keys MAP<STRING,ARRAY<STRING>>, float_rel_tol DOUBLE")
     pairs = {r["output_name"]: (r["out_table"], r["keys"]) for r in C.program_table_pairs(inv).collect()}
     assert pairs == {"work.out": ("sandbox_p9.out", ["id"]), "work.gone": ("sandbox_p9.gone", None)}
-    [res] = C.validate_inventory(spark, inv)
-    by_table = {t.table: t for t in res.tables}
-    assert by_table["sandbox_p9.gone"].method == "error"
-    assert by_table["sandbox_p9.out"].columns[0].mismatches == 1 and not res.passed
-
-
-def test_versioned_table_shape_check(spark, tmpdir_path):
-    path = os.path.join(tmpdir_path, "shared")
-    ST.VersionedTable(spark, path, "log").append(
-        ST.to_log(spark.createDataFrame([("x",)], "purpose STRING")))
-    with pytest.raises(ValueError):
-        ST.VersionedTable(spark, path, "kv").read()
-    assert ST.VersionedTable(spark, os.path.join(tmpdir_path, "none"), "kv").read_or_empty().count() == 0
+    res = C.validate_inventory(spark, inv)
+    by_table = {t["table"]: t for t in res.tables}
+    assert by_table["sandbox_p9.gone"]["method"] == "error" and {t["program_id"] for t in res.tables} == {"p9"}
+    assert [(c["table"], c["mismatches"]) for c in res.columns] == [("sandbox_p9.out", 1)] and not res.passed
 
 
 def test_latest_by_time_replays_a_stream(spark):
@@ -228,3 +202,20 @@ def test_to_kv_puts_other_columns_in_payload(spark):
     r = kvdf.first()
     assert kvdf.columns == list(ST.KV_COLS) and r["key"] == "p1" and r["updated_at"] == T0
     assert r["payload"] == '{"pid":"p1","status":"landed","n":3}'
+
+
+def test_diff_text_is_whole(spark):
+    t = spark.createDataFrame([("p", "t", 9, 9, 0, 0, None, False)], "program_id string, table string, gt_rows long, out_rows long, "
+                              "missing_rows long, extra_rows long, error string, passed boolean")
+    cols = spark.createDataFrame([("p", "t", f"c{i:03d}", 8, 9) for i in range(200)], "program_id string, table string, column_name string, mismatches long, total long")
+    samples = spark.createDataFrame([("p", "t", f"c{i:03d}", k, f"id={k}: x != y") for i in range(200) for k in range(1, 9)],
+                                    "program_id string, table string, column_name string, sample_no int, sample string")
+    text = R.diff_text(t, cols, samples).first()["text"]
+    assert len(text) > 30_000 and text.count("sample: ") == 1600
+    cut = R.diff_text(t, cols, samples, max_chars=100).first()["text"]
+    assert cut.endswith("...(truncated)") and len(cut) < 130
+
+
+def test_tolerance_is_printed_in_full(spark):
+    got = [r[0] for r in spark.createDataFrame([(1e-9,), (1.25e-9,), (0.05,)], "t double").select(R.tol_text(F.col("t"))).collect()]
+    assert got == ["1.0e-09", "1.25E-9", "5.0e-02"]
