@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritas.functions.sas import sas_sort_order
-from paritas.operators.scan import CHUNK, chunk, ordered_scan, scan_chunked
+from paritas.operators.scan import _join_null_safe, ordered_scan
 
 def _cols(names) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
@@ -61,18 +61,29 @@ def where_sas(df: DataFrame, column: str, op: str, value) -> DataFrame:
 
 # ---------------------------------------------------------------- W1, W2
 
-def first_last(df: DataFrame, by: list[str], order: list[str],
-               num_chunks: int | None = None) -> DataFrame:
+def first_last(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Add ``first_<v>`` / ``last_<v>`` flags for every BY variable ``v``.
 
     FIRST.v is true on the first row of the group formed by the BY variables
-    up to and including ``v`` (SAS semantics for several BY variables). All
-    levels share one chunking of the rows in (BY, order) order.
+    up to and including ``v`` (SAS semantics for several BY variables). The
+    ends of the innermost groups are the least and greatest order values, a
+    map-side combined aggregation; outer levels are found on its result; one
+    join brings all ends back to the rows. No row is sorted or written, and a
+    group with a third of all rows is one row of the aggregation.
     """
-    x = chunk(df, by + order, num_chunks)
+    place = F.struct(*_cols(order))
+    ends = df.groupBy(*_cols(by)).agg(F.min(place).alias(f"_lo{len(by) - 1}"), F.max(place).alias(f"_hi{len(by) - 1}"))
+    inner = ends
+    for i in range(len(by) - 1):
+        at = lambda end: F.struct(*_cols(by[i + 1:]), F.col(end))  # noqa: B023, E731
+        outer = inner.groupBy(*_cols(by[:i + 1])).agg(F.min(at(f"_lo{len(by) - 1}")).alias(f"_lo{i}"), F.max(at(f"_hi{len(by) - 1}")).alias(f"_hi{i}"))
+        ends = _join_null_safe(ends, outer, by[:i + 1])
+    x = _join_null_safe(df, ends, by)
+    flags = []
     for i, v in enumerate(by):
-        x = scan_chunked(x, by[: i + 1], by[i + 1:] + order, first=f"first_{v}", last=f"last_{v}")
-    return x.drop(CHUNK)
+        here = place if i == len(by) - 1 else F.struct(*_cols(by[i + 1:]), place)
+        flags += [here.eqNullSafe(F.col(f"_lo{i}")).alias(f"first_{v}"), here.eqNullSafe(F.col(f"_hi{i}")).alias(f"last_{v}")]
+    return x.select(*_cols(df.columns), *flags)
 
 
 def data_step(df: DataFrame, by: list[str], order: list[str], *,

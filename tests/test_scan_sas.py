@@ -65,7 +65,7 @@ def test_scan_null_by_values_form_a_group(spark):
 def test_first_last_two_levels(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 3), ("b", 1, 4)], "x STRING, y INT, t INT")
     out = {r["t"]: (r["first_x"], r["last_x"], r["first_y"], r["last_y"])
-           for r in SO.first_last(df, ["x", "y"], ["t"], num_chunks=3).collect()}
+           for r in SO.first_last(df, ["x", "y"], ["t"]).collect()}
     assert out == {1: (True, False, True, False), 2: (False, False, False, True),
                    3: (False, True, True, True), 4: (True, True, True, True)}
 
