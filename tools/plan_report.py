@@ -17,7 +17,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from paritas.plans.queries import REGISTRY  # noqa: E402
 from paritas.session import build_session  # noqa: E402
 
 NODES = ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
@@ -59,7 +59,7 @@ def main():
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_report.py` on `{sf}` before execution; AQE may still "
           "re-plan joins and coalesce partitions at runtime.\n")
-    for name, q in E.queries().items():
+    for name, q in REGISTRY.items():
         df = q(spark, sf)
         print(f"## {name}\n")
         print("\n".join(summarize(df, spark)))
