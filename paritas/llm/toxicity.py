@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A logistic model scores each sentence from
-its words and five-letter word beginnings; the document's score is the
+its words and their beginnings of four and five letters; the document's score is the
 noisy-or of its sentences, ``1 - prod(1 - p)``. Only documents carry labels,
 and the gradient of the document likelihood flows back to the sentences that
 explain it, so the trained model also tells which sentences offend.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SENTENCE_RE = re.compile(r"[^.!?\n]+")
 WORD_RE = re.compile(r"[^\W\d_]+")
-STEM = 5
+STEMS = (4, 5)
 THRESHOLD = 0.7
 
 
@@ -39,13 +39,15 @@ THRESHOLD = 0.7
 class Fit:
     """Bounds and settings of the training. At most ``per_class`` documents of
     either label, of at most ``max_chars`` characters, reach the driver; the
-    weights cover at most ``max_features`` features."""
+    weights cover at most ``max_features`` features, those whose document
+    frequencies differ between the classes by ``min_strength`` standard errors."""
     per_class: int = 2500
     max_chars: int = 20_000
     max_features: int = 20_000
     min_docs: int = 3
-    steps: int = 150
-    rate: float = 0.3
+    min_strength: float = 2.5
+    steps: int = 300
+    rate: float = 0.4
     l2: float = 1e-5
     start: float = -9.0
     seed: int = 17
@@ -57,8 +59,8 @@ class Model:
     weights: dict[str, float]
 
 
-def features(word: str) -> tuple[str, str]:
-    return word, "^" + word[:STEM]
+def features(word: str) -> tuple[str, ...]:
+    return word, *("^" + word[:n] for n in STEMS if len(word) > n)
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -105,7 +107,7 @@ def train(rows: list[tuple[str, int]], fit: Fit) -> Model:
         if a + b >= fit.min_docs:
             p = (a + b) / (n_pos + n_neg)
             strength[f] = abs(a / n_pos - b / n_neg) / math.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-9)
-    kept = sorted(strength, key=lambda f: (-strength[f], f))[:fit.max_features]
+    kept = sorted((f for f, z in strength.items() if z >= fit.min_strength), key=lambda f: (-strength[f], f))[:fit.max_features]
     index = {f: i for i, f in enumerate(kept)}
     feat, sent, doc, label = [], [], [], []
     for bag, y in bags:
@@ -144,7 +146,7 @@ def fitted(df: DataFrame, labels: DataFrame, allowed: Column, fit: Fit = Fit(),
 class Scorer:
     """Scores texts; keeps the weight of each word it has met, within a bound."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 150_000
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
