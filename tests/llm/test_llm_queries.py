@@ -63,8 +63,8 @@ def test_pipeline_stages_take_effect(sp):
             gone = before.join(docs, "doc_id").where(before.text != docs.text).count()
             assert gone > 0 and docs.where("n_chars <> length(text)").isEmpty()
         if name == "near_copies":
-            assert {r.doc_id for r in docs.collect()} == {
-                r.doc_id for r in REGISTRY["op7_ngram_jaccard"](sp, SF_SMALL).collect() if False} or seen[-1] < seen[-2]
+            again = common.written(stage(sp, docs, SF_SMALL), name)
+            assert again.count() == docs.count()  # no near copies are left
     assert seen[0] > seen[1] > seen[2] == seen[3] > seen[4] > 0.5 * seen[0]
     last = corpus_pipeline.STAGES[-1][1](sp, docs, SF_SMALL)
     assert last.count() == seen[4] and last.where(~F.col("lossless")).isEmpty()
