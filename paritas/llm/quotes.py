@@ -46,42 +46,36 @@ def passage_hash(text: Column) -> Column:
     return F.substring(F.sha2(normal(text), 256), 1, 32)
 
 
-def passages(text: Column) -> Column:
-    """Array of (level, text) of the passages of a text, in order."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(
+def with_passages(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the array ``out`` of (level, text) of the text's passages, in
+    order. One projection per step, so that each array is computed once and
+    the next one looks its elements up."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    line = lambda x, i: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"),
-        F.regexp_replace(x, MARKS, "").alias("body")))
-    return cut(lines)
-
-
-def cut(lines: Column) -> Column:
-    """Runs of lines of one level without an empty line between them."""
-    empty = lambda x: F.trim(F.regexp_replace(x["body"], BLANK, " ")) == ""
-    numbered = F.transform(lines, lambda x, i: F.struct(
-        x["level"].alias("level"), x["body"].alias("body"), empty(x).alias("empty"), i.alias("i")))
-    full = F.filter(numbered, lambda x: ~x["empty"])
-    # With empty lines gone, a passage starts where the line number jumps or the level changes.
-    starts = F.filter(F.transform(full, lambda x, i: F.struct(
-        i.alias("at"), F.when(i == 0, True).otherwise(
-            (F.element_at(full, F.greatest(i, F.lit(1))).getField("i") != x["i"] - 1)
-            | (F.element_at(full, F.greatest(i, F.lit(1))).getField("level") != x["level"])).alias("new"))),
-        lambda s: s["new"])
-    ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda s: s["at"]), F.array(F.size(full)))
-    found = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(
-        F.element_at(full, z["s"]["at"] + 1).getField("level").alias("level"),
-        F.array_join(F.transform(F.slice(full, z["s"]["at"] + 1, z["e"] - z["s"]["at"]), lambda x: x["body"]), "\n").alias("text")))
-    return F.filter(found, lambda p: p["text"].isNotNull())  # a text without passages
+        F.regexp_replace(x, MARKS, "").alias("body"), i.alias("i"))
+    x = df.select(*kept, F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1), line).alias("_lines"))
+    x = x.select(*kept, F.filter("_lines", lambda v: v["body"].rlike(r"[^\x20\x09-\x0D\u00A0]")).alias("_full"))
+    # Empty lines are gone: a passage starts where the line number jumps or the level changes.
+    before = lambda i: F.element_at("_full", F.greatest(i, F.lit(1)))
+    new = lambda v, i: (i == 0) | (before(i)["i"] != v["i"] - 1) | (before(i)["level"] != v["level"])
+    x = x.select(*kept, "_full", F.transform("_full", lambda v, i: F.when(new(v, i), i)).alias("_at"))
+    x = x.select(*kept, "_full", F.filter("_at", lambda i: i.isNotNull()).alias("_at"))
+    end = lambda k: F.coalesce(F.get("_at", k + 1), F.size("_full"))
+    passage = lambda at, k: F.struct(
+        F.get("_full", at)["level"].alias("level"),
+        F.array_join(F.transform(F.slice("_full", at + 1, end(k) - at), lambda v: v["body"]), "\n").alias("text"))
+    return x.select(*kept, F.transform("_at", passage).alias(out))
 
 
 def parsed(messages: DataFrame, conv: str, pos: str, text: str) -> DataFrame:
-    """One row per message row: ``msg`` (struct of conversation and position),
-    its passages, and ``own_text``, the text without quotes."""
+    """One row per passage of a message row (one with nulls where it has none):
+    ``msg`` (struct of conversation and position), ``n``, ``level``, ``text`` and
+    ``hash``; written once, as it is read several times."""
     key = F.struct(F.col(conv).alias("conv"), F.col(pos).alias("pos"))
-    x = messages.select(key.alias("msg"), F.col(text).alias("_text"))
-    # The parsed array is used several times below; written so that it is computed once.
-    x = written(x.select("msg", F.posexplode_outer(passages(F.col("_text"))).alias("n", "p"))
-                .select("msg", "n", "p.level", "p.text", passage_hash(F.col("p.text")).alias("hash")), "quotes")
-    return x
+    x = with_passages(messages.select(key.alias("msg"), F.col(text).alias("_text")), "_text", "_passages")
+    x = x.select("msg", F.posexplode_outer("_passages").alias("n", "p"))
+    return written(x.select("msg", "n", "p.level", "p.text", passage_hash(F.col("p.text")).alias("hash")), "quotes")
 
 
 def own_texts(messages: DataFrame, conv: str, pos: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ def rows(df):
 def test_passages(sp):
     text = "> > old line\n> > goes on\n>\n> new\n\nmine one\nmine two\n\n  \nmine three\n>>deep"
     df = sp.createDataFrame([(text,), (None,), ("",), ("\n \n",)], "t string")
-    got = [[(p.level, p.text) for p in r[0]] for r in df.select(quotes.passages(df.t)).collect()]
+    got = [[(p.level, p.text) for p in r[0]] for r in quotes.with_passages(df, "t", "p").select("p").collect()]
     assert got == [[(2, "old line\ngoes on"), (1, "new"), (0, "mine one\nmine two"), (0, "mine three"), (2, "deep")], [], [], []]
 
 
