@@ -54,9 +54,9 @@ def build_session(master: str | None = None, app: str = "paritas",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only a local run (tests) without one gets a private folder; on a cluster
-    a missing setting is an error, since a machine-local folder would not
-    survive the loss of that machine.
+    Only a run in one process (tests) without one gets a private folder; on a
+    cluster a missing setting is an error, since a machine-local folder would
+    not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,9 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
-                               "(ordered scans and include resolution checkpoint there)")
+                               "(intermediate tables and checkpoints go there)")
         configured = tempfile.mkdtemp(prefix="paritas-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
