@@ -65,7 +65,7 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MO
 
 
 class _Words(dict):
-    MOST = 300_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

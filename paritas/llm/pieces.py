@@ -37,7 +37,7 @@ MARK = "▁"
 #: Characters before which a chunk may end after a word, if no piece crosses there.
 STOPS = ".,;:!?|"
 #: Texts are handled in groups of at most this many characters (or one text).
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 1_500_000
 
 MUL = np.uint64(0x9E3779B97F4A7C15)
 ROLL = np.uint64(1_000_003)
@@ -168,16 +168,17 @@ def lattice(vocab: Vocabulary, chunks: list[str], literal: list[str]) -> Lattice
         from_, r = pos[full], rank[pos[full]]
         if not k:
             alone[from_] = False
-        ends.append(base[offset[from_] + k + 1] + r)
-        backs.append(base[offset[from_]] + r)
-        ids.append(piece[full])
+        ends.append((base[offset[from_] + k + 1] + r).astype(np.int32))
+        backs.append((base[offset[from_]] + r).astype(np.int32))
+        ids.append(piece[full].astype(np.int32))
     from_ = np.flatnonzero(alone)
-    ends.append(base[offset[from_] + 1] + rank[from_])
-    backs.append(base[offset[from_]] + rank[from_])
-    ids.append(-1 - given[from_].astype(np.int64))
-    end, back, piece = np.concatenate(ends), np.concatenate(backs), np.concatenate(ids)
-    by = np.argsort(end, kind="stable")
-    end, back, piece = end[by], back[by], piece[by]
+    ends.append((base[offset[from_] + 1] + rank[from_]).astype(np.int32))
+    backs.append((base[offset[from_]] + rank[from_]).astype(np.int32))
+    ids.append((-1 - given[from_].astype(np.int64)).astype(np.int32))
+    del pos, h, rank, length, offset, given, joined, raw, alone
+    by = np.argsort(np.concatenate(ends), kind="stable")
+    end, back, piece = np.concatenate(ends)[by], np.concatenate(backs)[by], np.concatenate(ids)[by]
+    del ends, backs, ids, by
     weight = np.where(piece >= 0, vocab.weight[np.maximum(piece, 0)], vocab.unknown)
     alpha = np.zeros(int(live.sum()))
     first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))  # each node's first edge
@@ -232,7 +233,7 @@ def encode_group(vocab: Vocabulary, keys: list, texts: list[str], seed: int) ->
     plain = [c if isinstance(c, str) else c[0] for c in index]
     literal = [c.replace(MARK, " ") if isinstance(c, str) else c[1] for c in index]
     lat = lattice(vocab, plain, literal)
-    text_of = np.repeat(np.arange(len(texts)), counts)
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
     number = (np.arange(len(which)) - np.repeat(ends - counts, counts)).astype(np.uint64)
     seeds = np.array([row_seed(k, seed) for k in keys], dtype=np.uint64)
     stream = mix(seeds[text_of] + (number + np.uint64(1)) * MUL)
@@ -249,7 +250,7 @@ def encode_group(vocab: Vocabulary, keys: list, texts: list[str], seed: int) ->
         go = node >= lat.chunks
         occ, node, stream = occ[go], node[go], stream[go]
     close = np.cumsum(length)
-    ids = np.empty(int(close[-1]), dtype=np.int64)
+    ids = np.empty(int(close[-1]), dtype=np.int32)
     for s, (at, piece) in enumerate(drawn):
         ids[close[at] - 1 - s] = piece
     text_end = np.concatenate([[0], close])[ends]
@@ -261,7 +262,7 @@ def encode_group(vocab: Vocabulary, keys: list, texts: list[str], seed: int) ->
 
 def in_bytes(vocab: Vocabulary, ids: np.ndarray, low: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Replace each ``-1 - code point`` by the byte pieces of its UTF-8 form."""
-    points = -1 - ids[low]
+    points = -1 - ids[low].astype(np.int64)
     wide = np.ones(len(ids), dtype=np.int64)
     wide[low] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
     close = np.cumsum(wide)
