@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,33 +91,49 @@ def training_rows(df: DataFrame, labels: DataFrame, allowed: Column, fit: Fit,
 
 def train(rows: list[tuple[str, int]], fit: Fit) -> Model:
     """Maximum likelihood of the document labels under noisy-or (Adam)."""
-    bags = [([w for _, _, w in sentences(t)], y) for t, y in rows]
-    bags = [(s, y) for s, y in bags if s]
-    n_pos = sum(y for _, y in bags)
-    n_neg = len(bags) - n_pos
+    # Words as numbers: one text object per distinct word, flat arrays else.
+    numbers: dict[str, int] = {}
+    words, sent_sizes, doc_sents, label = array("i"), array("i"), array("i"), []
+    for text, toxic in rows:
+        before = len(sent_sizes)
+        for _, _, found in sentences(text):
+            words.extend([numbers.setdefault(w, len(numbers)) for w in sorted(found)])
+            sent_sizes.append(len(found))
+        if len(sent_sizes) > before:
+            doc_sents.append(len(sent_sizes) - before)
+            label.append(toxic)
+    n_pos = sum(label)
+    n_neg = len(label) - n_pos
     if not n_pos or not n_neg:
         return Model(fit.start, {})
-    seen = (Counter(), Counter())
-    for bag, y in bags:
-        seen[y].update({f for s in bag for w in s for f in features(w)})
+    index: dict[str, int] = {}
+    of_word = np.full((len(numbers), 1 + len(STEMS)), -1, dtype=np.int32)
+    for w, i in numbers.items():
+        for k, f in enumerate(features(w)):
+            of_word[i, k] = index.setdefault(f, len(index))
+    del numbers
+    word = np.frombuffer(words, dtype=np.int32)
+    doc = np.repeat(np.arange(len(label)), doc_sents)
+    sent = np.repeat(np.arange(len(sent_sizes)), sent_sizes)
+    seen = np.zeros((2, len(index)))
+    edge = np.concatenate([[0], np.cumsum(np.bincount(doc[sent], minlength=len(label)))])
+    for d, toxic in enumerate(label):
+        have = np.unique(of_word[word[edge[d]:edge[d + 1]]])
+        seen[toxic, have[have >= 0]] += 1
     # Keep the features whose document frequency differs most between classes.
-    strength = {}
-    for f in set(seen[0]) | set(seen[1]):
-        a, b = seen[1][f], seen[0][f]
-        if a + b >= fit.min_docs:
-            p = (a + b) / (n_pos + n_neg)
-            strength[f] = abs(a / n_pos - b / n_neg) / math.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-9)
-    kept = sorted((f for f, z in strength.items() if z >= fit.min_strength), key=lambda f: (-strength[f], f))[:fit.max_features]
-    index = {f: i for i, f in enumerate(kept)}
-    feat, sent, doc, label = [], [], [], []
-    for bag, y in bags:
-        for s in bag:
-            ids = [index[f] for w in s for f in features(w) if f in index]
-            feat += ids
-            sent += [len(doc)] * len(ids)
-            doc.append(len(label))
-        label.append(y)
-    feat, sent, doc = (np.array(x, dtype=np.int64) for x in (feat, sent, doc))
+    p = seen.sum(axis=0) / len(label)
+    strength = np.abs(seen[1] / n_pos - seen[0] / n_neg) / np.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-9)
+    strength[seen.sum(axis=0) < fit.min_docs] = 0
+    order = np.lexsort((np.arange(len(index)), -strength))[:fit.max_features]
+    chosen = order[strength[order] >= fit.min_strength]
+    place = np.full(len(index) + 1, -1, dtype=np.int64)  # the last one stands for no feature
+    place[chosen] = np.arange(len(chosen))
+    names = list(index)
+    kept = [names[i] for i in chosen]
+    del index, names
+    feat = place[of_word[word]].ravel()
+    sent = np.repeat(sent, of_word.shape[1])[feat >= 0]
+    feat = feat[feat >= 0]
     y = np.array(label, dtype=float)
     # Both classes weigh as in the sample's own rate, so scores stay calibrated
     # to the rarer class rather than to the sampling.
