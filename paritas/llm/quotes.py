@@ -27,7 +27,9 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritas.llm.common import written
@@ -118,14 +120,21 @@ def threads(keys: DataFrame, linked: DataFrame) -> DataFrame:
     now = keys.select("msg").distinct().join(parents(linked), "msg", "left") \
         .select("msg", "parent", F.coalesce("parent", "msg").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
     now = written(now, "threads")
+    done: list[DataFrame] = []
+    active = everyone = now
     while True:
-        # Messages whose pointer still has somewhere to go meet only pointers that go on.
-        onward = now.where("depth > 0").select(F.col("msg").alias("m2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        moved = now.join(onward, now["up"] == onward["m2"], "left")
-        if moved.where("m2 IS NOT NULL").isEmpty():
-            return now.select("msg", "parent", F.col("up").alias("root"), F.col("depth").cast("bigint").alias("depth"))
-        now = written(moved.select("msg", "parent", F.coalesce("up2", "up").alias("up"),
-                                   (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), "threads")
+        # Only messages whose pointer moved go on; they meet only pointers that lead somewhere.
+        onward = everyone.where("depth > 0").select(F.col("msg").alias("m2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
+        moved = active.join(onward, active["up"] == onward["m2"], "left")
+        step = written(moved.select("msg", "parent", F.coalesce("up2", "up").alias("up"),
+                                    (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
+                                    F.col("m2").isNotNull().alias("moved")), "threads")
+        done.append(step.where("NOT moved").drop("moved"))
+        active = step.where("moved").drop("moved")
+        everyone = reduce(DataFrame.unionAll, [*done, active])
+        if active.isEmpty():
+            return reduce(DataFrame.unionAll, done).select(
+                "msg", "parent", F.col("up").alias("root"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def conversations(messages: DataFrame, conv: str = "conv_id", pos: str = "turn", text: str = "text") -> DataFrame:
