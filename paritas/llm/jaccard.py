@@ -273,6 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``row_key``, ``row_hash`` (of its text),
+    ``component`` (128 bits that name its class: classes may share a key),
     ``class_id`` (smallest key of the documents linked to it, directly or
     through others), ``copy_id`` (smallest key with the same n-gram set),
     ``n_links`` (other documents with a similarity of at least the threshold)
@@ -301,8 +302,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ids = reps.select("cls", "copy_id").join(groups, F.col("cls") == F.col("node"))
     roots = ids.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     info = reps.select("cls", "copy_id", "docs") \
-        .join(ids.join(roots, "root").select("cls", "class_id"), "cls", "left").join(degree, "cls", "left")
-    info = info.select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+        .join(ids.join(roots, "root").select("cls", "class_id", "root"), "cls", "left").join(degree, "cls", "left")
+    info = info.select("cls", F.coalesce("root", "cls").alias("component"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
                        (F.col("docs") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"),
                        F.coalesce("n_links", F.lit(0)).alias("n_class_links"))
     return docs.select("row_key", "row_hash", "cls").join(info, "cls").drop("cls")
@@ -326,13 +327,15 @@ def gram_sets(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 def one_per_class(df: DataFrame, joined: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose key is its class id; of repeated rows of that
-    key in the class, one."""
-    keep = joined.where(F.col("row_key").eqNullSafe(F.col("class_id"))).groupBy(F.col("row_key").alias("_near_key")) \
-        .agg(F.min("row_hash").alias("_near_hash"), F.count(F.lit(1)).alias("_near_n"))
+    """One row of ``df`` for each class, with its class id as key; of several
+    rows of that key in the class, one of the text with the smallest hash.
+    Classes that share a key, or have none, each keep their own row."""
+    keep = joined.where(F.col("row_key").eqNullSafe(F.col("class_id"))).groupBy("component") \
+        .agg(F.min("row_key").alias("_near_key"), F.min("row_hash").alias("_near_hash"), F.count(F.lit(1)).alias("_near_n")) \
+        .drop("component")
     keep = written(keep, "kept")
     on = df[key].eqNullSafe(keep["_near_key"]) & (F.xxhash64(df[text]) == keep["_near_hash"])
     out = df.join(keep, on)
     if not keep.where("_near_n > 1").isEmpty():
-        out = out.dropDuplicates([key])
+        out = out.dropDuplicates([key, "_near_hash"])
     return out.drop("_near_key", "_near_hash", "_near_n")

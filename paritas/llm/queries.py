@@ -96,7 +96,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document (five words, 0.8)."""
-    return jaccard.join(C.table(spark, sf_dir, "documents")).drop("row_hash").withColumnRenamed("row_key", "doc_id")
+    return jaccard.join(C.table(spark, sf_dir, "documents")).drop("row_hash", "component").withColumnRenamed("row_key", "doc_id")
 
 
 @register("op6_pitman_yor")

@@ -71,6 +71,17 @@ def test_edge_cases(sp):
     assert sorted(x or 0 for x in (r.doc_id for r in kept.collect())) == [0, 1, 3, 4, 7, 8, 9]
 
 
+def test_classes_that_share_a_key_each_keep_a_row(sp):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = [(None, "red green blue"), (None, "one two three"), (None, "one  two three"), (None, long), (None, long + " end"), (None, None),
+            (5, "sun and moon"), (5, "salt and pepper"), (5, "salt  and pepper"), (5, "sun and moon"), (6, "sun and moon"), (9, "left"), (None, "left")]
+    df = sp.createDataFrame([(*d, "c") for d in docs], "doc_id bigint, text string, component string")
+    kept = jaccard.one_per_class(df, jaccard.join(df))
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, " ".join((r.text or "").split()).removesuffix(" end")) for r in kept.collect())
+    assert got == sorted([(0, "red green blue"), (0, "one two three"), (0, long), (0, ""), (5, "sun and moon"), (5, "salt and pepper"), (9, "left")])
+
+
 def test_banding():
     for threshold, recall in ((0.8, 1 - 1e-6), (0.5, 0.99), (0.9, 0.999)):
         bands, rows = jaccard.banding(threshold, recall)
