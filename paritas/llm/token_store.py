@@ -286,25 +286,49 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
         .select("part", "seq", (F.col("before") + F.col("inside")).alias("shard_start"))
 
 
+def placed(keys: np.ndarray, ends: np.ndarray, index: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First id and id count of each document of a shard: those of a key by the
+    index, those without a key (the first ones) by their ends. Documents with
+    equal keys share one entry, which their ends cut. An index that does not
+    agree with the ends is an error."""
+    n_null = len(ends) - len(keys)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    counts = ends - starts
+    if not len(keys):
+        return starts, counts
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(new, len(keys)))
+    offset, count = find_keys(index, keys[new])
+    own = counts[n_null:]
+    if (count != np.add.reduceat(own, new)).any() or (offset != starts[n_null:][new]).any():
+        raise ValueError("the index of a shard does not lead to its documents")
+    before = np.cumsum(own) - own
+    starts[n_null:] = np.repeat(offset, times) + before - np.repeat(before[new], times)
+    one = new[times == 1]
+    counts[n_null + one] = count[times == 1]
+    return starts, counts
+
+
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """Every document as the files have it, in their order: ``key``, ``start``
-    (ids before it), ``n_ids`` and ``ids_crc32``."""
+    (ids before it), ``n_ids`` and ``ids_crc32`` of the ids that its shard's
+    index leads to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, seq, n_null, width, keys, ends, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, seq, n_null, width, keys, ends, index, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.frombuffer(payload, dtype=f"<u{width}").astype("<u4", copy=False)
-                ends = np.frombuffer(ends, dtype="<i8")
-                starts = np.concatenate([[0], ends[:-1]])
-                own = [None] * n_null + np.frombuffer(keys, dtype="<i8").tolist()
+                keys = np.frombuffer(keys, dtype="<i8")
+                starts, counts = placed(keys, np.frombuffer(ends, dtype="<i8"), index)
+                own = [None] * n_null + keys.tolist()
                 n = len(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()),
-                     pa.array(starts), pa.array(ends - starts),
-                     pa.array([zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)], pa.int64())],
+                     pa.array(starts), pa.array(counts),
+                     pa.array([zlib.crc32(ids[s:s + c].tobytes()) for s, c in zip(starts, counts, strict=True)], pa.int64())],
                     ["key", "part", "seq", "local_start", "n_ids", "ids_crc32"])
 
-    rows = shards(spark, path).select("part", "seq", "n_null", "width", "keys", "ends", "payload").mapInArrow(
+    rows = shards(spark, path).select("part", "seq", "n_null", "width", "keys", "ends", "index", "payload").mapInArrow(
         run, "key bigint, part int, seq int, local_start bigint, n_ids bigint, ids_crc32 bigint")
     return rows.join(shard_starts(spark, path), ["part", "seq"]).select(
         "key", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_ids", "ids_crc32")

@@ -80,3 +80,15 @@ def test_empty_table(sp, tmpdir_path):
     token_store.write(df, f"{tmpdir_path}/none", FILE, 2)
     assert token_store.directory(sp, f"{tmpdir_path}/none").count() == 0
     assert token_store.lookup(sp, f"{tmpdir_path}/none", df).count() == 0
+
+
+def test_directory_reads_the_index():
+    docs = [(None, 3), (None, 1), (-4, 2), (7, 5), (7, 1), (9, 4)]
+    row = token_store.shard(0, 0, 2, [k for k, _ in docs], [b"\0\0" * n for _, n in docs])
+    keys, ends = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["ends"], "<i8")
+    starts, counts = token_store.placed(keys, ends, row["index"])
+    assert counts.tolist() == [n for _, n in docs] and starts.tolist() == [0, 3, 4, 6, 11, 12]
+    own, first, n = np.array([-4, 7, 9]), np.array([4, 6, 12]), np.array([2, 6, 4])
+    for bad in ((own, first + [0, 1, 0], n), (own, first, n + [0, 0, 1]), (own + [0, 0, 1], first, n)):
+        with pytest.raises(ValueError):
+            token_store.placed(keys, ends, token_store.pack_index(*bad))
