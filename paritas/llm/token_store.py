@@ -59,6 +59,7 @@ class Encoder:
             raise ValueError("a byte-level tokenizer without normalizer or prefix space is needed")
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # How the pre-tokenizer writes a byte: letters spell most of them directly.
         shown = {b: self.pre.pre_tokenize_str(chr(b)) for b in range(128)}
@@ -79,6 +80,14 @@ class Encoder:
         """Ids of a part, its words through the pre-tokenizer and the model."""
         return b"".join([self.ids(w) for w, _ in self.pre.pre_tokenize_str(part)])
 
+    def document(self, text: str) -> bytes:
+        """Raw ids of a text as ``encode(text, add_special_tokens=False)`` of the
+        library gives them: an added token's string in it is that token."""
+        if any(t in text for t in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}{'HI'[self.width // 4]}", *ids)
+        return self.encode(text)
+
     def encode(self, text: str) -> bytes:
         """Raw ids of a text (special tokens' strings are ordinary text)."""
         if not text:
@@ -245,7 +254,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, end_id: int, key: str =
             encoder = encoder or worker_encoder(tokenizer_file)
             end = int(end_id).to_bytes(encoder.width, "little")
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(t or "") + end
+                ids = encoder.document(t or "") + end
                 keys.append(k)
                 docs.append(ids)
                 held += len(ids) // encoder.width

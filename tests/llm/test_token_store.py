@@ -82,6 +82,19 @@ def test_empty_table(sp, tmpdir_path):
     assert token_store.lookup(sp, f"{tmpdir_path}/none", df).count() == 0
 
 
+def test_documents_with_added_tokens_equal_library(sp, tmpdir_path):
+    lib = Tokenizer.from_file(FILE)  # as it comes, with its added tokens
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n", "a <|endoftext> b", "it's plain"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(ENC.document(t), "<u2").tolist() for t in texts] == want
+    path = f"{tmpdir_path}/added"
+    token_store.write(sp.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), path, FILE, 2)
+    got = sorted(token_store.directory(sp, path).collect(), key=lambda x: x.key)
+    assert [x.ids_crc32 for x in got] == [zlib.crc32(np.array([*i, 2], "<u4").tobytes()) for i in want]
+    assert [x.start for x in got] == [sum(len(i) + 1 for i in want[:k]) for k in range(len(want))]
+
+
 def test_directory_reads_the_index():
     docs = [(None, 3), (None, 1), (-4, 2), (7, 5), (7, 1), (9, 4)]
     row = token_store.shard(0, 0, 2, [k for k, _ in docs], [b"\0\0" * n for _, n in docs])
