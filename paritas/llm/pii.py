@@ -132,10 +132,10 @@ def _coarse(sh: str) -> str:
 
 def token_features(token: str) -> list[str]:
     """Shape features of one token, for itself (its neighbours see the last)."""
-    sh = shape(token[:200])
-    core = _coarse(sh)
+    sh = shape(token)
+    core = _coarse(sh) if len(sh) <= 200 else _coarse.__wrapped__(sh)  # long shapes are not worth keeping
     digits = sum("0" <= c <= "9" for c in token)
-    parts = [len(x) for x in re.findall(r"[0-9]+", token[:200])]
+    parts = [len(x) for x in re.findall(r"[0-9]+", token)]
     return [f"core={core}", f"digits={bucket(digits)}",
             f"parts={'-'.join(map(str, parts[:5])) if max(parts, default=0) <= 5 and len(parts) <= 5 else 'x'}",
             f"at={token.count('@') if token.count('@') < 2 else 2}", f"plus={token.lstrip('(').startswith('+')}",

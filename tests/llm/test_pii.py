@@ -93,3 +93,10 @@ def test_spark_results(sp, field):
     assert got == [(1, 0, 0, "", none, None), (2, 0, 0, "", none, ""), one, one]
     assert pii.detected(df.limit(0), field).count() == 0
     assert pii.redacted(df, field).columns == df.columns
+
+
+def test_features_read_the_whole_token():
+    """Letters collapse, so a token's length alone changes no shape feature."""
+    for end in ("@site.example.org", "12-345-6789", "/x:%", ".b.c.d"):
+        assert pii.token_features("a" * 5000 + end) == pii.token_features("aa" + end)
+    assert "letters=True" in pii.token_features("-." * 5000 + "x")
