@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paritas.llm import common as C
-from paritas.llm import jaccard, mixing, pieces, pii, pitman_yor, quotes, rules, token_store, topk, toxicity
+from paritas.llm import jaccard, mixing, pieces, pii, pitman_yor, quotes, rules, token_counts, token_store, topk, toxicity
 from paritas.llm.settings import END_ID, source_levels, source_weights, tokenizer_file
 
+#: Documents with more tokens are over the limit.
+TOKEN_LIMIT = 1024
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -108,6 +111,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "train_tokens", "base_score", "score")
 
 
+@register("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 1,024 tokens."""
+    counts = token_counts.counted(C.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""

@@ -22,7 +22,7 @@ ROOT = os.path.dirname(os.path.abspath(E.__file__))
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in REGISTRY if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in REGISTRY and set(REGISTRY) <= set(E.queries())
+    assert numbers == list(range(1, 12)) and "pipeline" in REGISTRY and set(REGISTRY) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -45,7 +45,8 @@ def test_jaccard_query(sp):
     assert order(got) == order(plain(docs))
 
 
-@pytest.mark.parametrize("name", ["op4_toxicity", "op5_personal_data", "op6_pitman_yor", "op9_sampled_pieces", "op10_token_files"])
+@pytest.mark.parametrize("name", ["op4_toxicity", "op5_personal_data", "op6_pitman_yor", "op9_sampled_pieces", "op10_token_files",
+                                  "op11_token_counts"])
 def test_one_row_per_document(sp, name):
     n = common.table(sp, SF_SMALL, "documents").count()
     df = REGISTRY[name](sp, SF_SMALL)
