@@ -144,3 +144,52 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+# Levels by recursion over runs of eight, proofs by joining each leaf to its runs,
+# folding by a list reduction; the checksum bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, len({0}) + 1), lambda i: CAST(ord({0}[i]) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, {_FIELD.format('lang')} AS g,
+    sha256({_FIELDS} || {_FIELD.format('text')}) AS leaf,
+    CASE WHEN {_CRC.format('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN
+      sha256({_FIELDS} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, tampered NULLS FIRST, id) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n FROM leaves),
+lv AS (
+  SELECT 0 AS level, g, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT level + 1, g, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM lv WHERE n > 1 GROUP BY level, g, pos // 8),
+subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM lv JOIN (SELECT DISTINCT g, lang FROM leaves) USING (g) WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY level, pos // 8),
+steps AS (
+  SELECT p.id, v.level, v.pos AS sib, (p.pos >> (3 * v.level)) AS own, v.h
+  FROM placed p JOIN lv v ON v.g = p.g AND v.n > 1 AND v.pos // 8 = p.pos >> (3 * v.level + 3)
+  UNION ALL
+  SELECT p.id, 100 + t.level, t.pos, s.pos >> (3 * t.level), t.h
+  FROM placed p JOIN subroots s USING (g) JOIN top t ON t.n > 1 AND t.pos // 8 = s.pos >> (3 * t.level + 3)),
+sides AS (
+  SELECT id, level, coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib < own), '') AS l,
+    coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib > own), '') AS r
+  FROM steps GROUP BY id, level),
+paths AS (
+  SELECT id, string_agg(l || r, '' ORDER BY level) AS beside, list(l || '*' || r ORDER BY level) AS path FROM sides GROUP BY id),
+done AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(beside, '')) AS proof_sha256,
+    list_reduce(list_concat([coalesce(tampered, leaf)], coalesce(path, [])), lambda a, b: sha256(replace(b, '*', a))) AS folded_root
+  FROM placed JOIN subroots USING (g) LEFT JOIN paths USING (id))
+SELECT *, folded_root = root AS verified FROM done
+"""

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paritas.llm import common as C
-from paritas.llm import jaccard, mixing, pieces, pii, pitman_yor, quotes, rules, token_counts, token_store, topk, toxicity
+from paritas.llm import jaccard, merkle, mixing, pieces, pii, pitman_yor, quotes, rules, token_counts, token_store, topk, toxicity
 from paritas.llm.settings import END_ID, source_levels, source_weights, tokenizer_file
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 1024
+#: What a leaf of the manifest covers, in this order.
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -118,6 +120,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@register("op12_merkle_manifest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its
+    leaf folds to, where every third row's text has been tampered with."""
+    tampered = F.when(C.crc_of(F.col("doc_id")) % 3 == 0, merkle.leaf(
+        *[merkle.ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in MANIFEST_FIELDS]))
+    x = merkle.manifest(C.table(spark, sf_dir, "documents"), MANIFEST_FIELDS, keep={"tampered": tampered}).proofs()
+    start = F.coalesce("keep_tampered", "leaf")
+    return x.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                    merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                    merkle.folded(start, F.col("path")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""
