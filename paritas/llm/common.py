@@ -41,12 +41,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is
-    cut and lost executors cost a read, not a recomputation."""
+    cut and lost executors cost a read, not a recomputation. Tables with large
+    cells take smaller row groups (``block_bytes``)."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", str(block_bytes)) if block_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -193,3 +193,34 @@ done AS (
   FROM placed JOIN subroots USING (g) LEFT JOIN paths USING (id))
 SELECT *, folded_root = root AS verified FROM done
 """
+
+# Phrases by joining words of a piece with their followers; exact in 128-bit integers.
+ORACLE["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, g, p FROM (
+    SELECT coalesce(lang, 'und') AS g, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+lists AS (SELECT piece, g, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+tokens AS (SELECT piece, g, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists),
+three AS (
+  SELECT g, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM tokens WINDOW p AS (PARTITION BY piece ORDER BY i)),
+f1 AS (SELECT g, w1, count(*) AS f FROM three GROUP BY ALL),
+f2 AS (SELECT g, w1, w2, count(*) AS f FROM three WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT g, w1, w2, w3, count(*) AS f FROM three WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT g, sum(f) AS n FROM f1 GROUP BY g),
+cuts AS (
+  SELECT x.g, x.w1 || ' ' || x.w2 AS phrase, x.f AS a, 1 AS k, a.f AS l, b.f AS r FROM f2 x
+  JOIN f1 a ON a.g = x.g AND a.w1 = x.w1 JOIN f1 b ON b.g = x.g AND b.w1 = x.w2
+  WHERE x.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 y WHERE y.g = x.g AND 100 * y.f >= 50 * x.f
+    AND ((y.w1 = x.w1 AND y.w2 = x.w2) OR (y.w2 = x.w1 AND y.w3 = x.w2)))
+  UNION ALL
+  SELECT x.g, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 1, a.f, b.f FROM f3 x
+  JOIN f1 a ON a.g = x.g AND a.w1 = x.w1 JOIN f2 b ON b.g = x.g AND b.w1 = x.w2 AND b.w2 = x.w3
+  UNION ALL
+  SELECT x.g, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 2, a.f, b.f FROM f3 x
+  JOIN f2 a ON a.g = x.g AND a.w1 = x.w1 AND a.w2 = x.w2 JOIN f1 b ON b.g = x.g AND b.w1 = x.w3),
+scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY g, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+SELECT g AS lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score FROM ranked JOIN n USING (g) WHERE rank <= 2000
+"""

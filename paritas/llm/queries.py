@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paritas.llm import common as C
-from paritas.llm import jaccard, merkle, mixing, pieces, pii, pitman_yor, quotes, rules, token_counts, token_store, topk, toxicity
+from paritas.llm import collocations, jaccard, merkle, mixing, pieces, pii, pitman_yor, quotes, rules, token_counts, token_store, topk, toxicity
 from paritas.llm.settings import END_ID, source_levels, source_weights, tokenizer_file
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 1024
+#: Collocations reported per language.
+BEST_PHRASES = 2000
 #: What a leaf of the manifest covers, in this order.
 MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -134,6 +136,13 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@register("op13_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of two or three words of each language."""
+    found = collocations.phrases(C.table(spark, sf_dir, "documents"))
+    return collocations.collocations(found, BEST_PHRASES).withColumnRenamed("g", "lang")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""

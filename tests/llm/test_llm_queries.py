@@ -22,7 +22,7 @@ ROOT = os.path.dirname(os.path.abspath(E.__file__))
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in REGISTRY if n != "pipeline")
-    assert numbers == list(range(1, 13)) and "pipeline" in REGISTRY and set(REGISTRY) <= set(E.queries())
+    assert numbers == list(range(1, 14)) and "pipeline" in REGISTRY and set(REGISTRY) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
