@@ -11,9 +11,11 @@ ascending key order as shards. A shard is one row of a Parquet table with
   32-bit fingerprint of the key, the first id's offset and the id count.
 
 Spark's own writer commits the shards, so the files live wherever Spark can
-write, and lost tasks leave nothing behind. A lookup needs the hash's bit
-rows, one slot and one slice of the payload: constant time per key, and a key
-that is not there fails the fingerprint (a false hit has probability 2**-32).
+write, and lost tasks leave nothing behind. In a shard's index a lookup touches
+a bit per level, one block of the rank directory and one slot, and then one
+slice of the payload: constant work per key, and a key that is not there fails
+the fingerprint (a false hit has probability 2**-32). The cells of a shard are
+read whole, so a lookup of few keys costs the reading of their shards.
 
 Defined results: null and empty texts are the end id alone; null keys come
 first and cannot be looked up; documents with equal keys lie side by side
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paritas.llm.pieces import mix
+from paritas.llm.token_counts import WORD_PARTS
 
 SHARD_IDS = 2_000_000
 SHARD_SCHEMA = ("part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_ids bigint, "
@@ -45,10 +48,9 @@ SHARD_SCHEMA = ("part int, seq int, first_key bigint, last_key bigint, n_docs bi
 
 
 class Encoder:
-    """The tokenizers library, with the ids of words it has met kept within a
-    bound. A text is cut at single spaces between non-blank characters, which
-    this byte-level pre-tokenizer never joins, so parts encode independently;
-    a part that is a plain word and punctuation needs no pre-tokenizer."""
+    """The tokenizers library, with the ids of parts it has met kept within a
+    bound. A text is cut where no token can cross (``WORD_PARTS``), so parts
+    encode independently; a plain word needs no pre-tokenizer."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -67,9 +69,8 @@ class Encoder:
         for c in map(chr, range(128, 0x250)):
             got = self.pre.pre_tokenize_str(c)
             self.byte.update(zip(c.encode(), got[0][0], strict=True))
-        self.tails: dict[str, bytes] = {}
         self.line_break = self.ids(self.byte[10])
-        self.parts, self.heads = _Parts(self, " "), _Parts(self, "")
+        self.parts = _Parts(self)
 
     def ids(self, word: str) -> bytes:
         """Raw ids of one pre-tokenized word."""
@@ -90,57 +91,43 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Raw ids of a text (special tokens' strings are ordinary text)."""
-        if not text:
-            return b""
-        if BLANKS_RE.search(text):
-            return b"".join(map(self.fresh, SAFE_RE.split(text)))
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(self.heads[head] + b"".join(map(self.parts.__getitem__, rest)))
-        return self.line_break.join(lines)
+        return b"".join(map(self.parts.__getitem__, WORD_PARTS.findall(text)))
 
 
-#: Blanks side by side or at an end: the text is cut at safe spaces only.
-BLANKS_RE = re.compile(r"\s\s|^\s|\s\Z")
-SAFE_RE = re.compile(r"(?<=\S)(?= \S)")
-#: A plain word (letters on which every version of the character tables agrees)
-#: and a run of ASCII punctuation, either may be missing.
-PART_RE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*)([!-/:-@\[-`{-~]*)")
+#: A plain word (letters on which every version of the character tables agrees), with a blank or line break before it.
+PLAIN_RE = re.compile(r"([ \n]?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)")
 
 
 class _Parts(dict):
-    """Ids of plain words after ``before``, in two generations: a full one
-    becomes the old one, and a word that is met again moves back."""
+    """Ids of parts, in two generations: a full one becomes the old one, and a
+    part that is met again moves back. Long parts are not kept."""
 
-    MOST = 200_000
+    MOST, LONGEST = 250_000, 64
 
-    def __init__(self, encoder: Encoder, before: str):
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.before, self.old = encoder, before, {}
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, part: str) -> bytes:
-        e = self.encoder
-        m = PART_RE.fullmatch(part)
-        if not m:
-            return e.fresh(self.before + part)
-        word, tail = m.groups()
-        if word and tail:
-            if tail not in e.tails:
-                if len(e.tails) >= 10_000:
-                    e.tails.clear()
-                e.tails[tail] = e.ids("".join([e.byte[b] for b in tail.encode()]))
-            return self[word] + e.tails[tail]
         got = self.old.pop(part, None)
         if got is None:
-            byte = e.byte
-            got = e.ids("".join([byte[b] for b in (self.before + part).encode()])) if part else e.fresh(self.before)
-        if len(self) >= self.MOST:
-            self.old = dict(self)
-            self.clear()
-        self[part] = got
+            got = self.first(part)
+        if len(part) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.old = dict(self)
+                self.clear()
+            self[part] = got
         return got
 
+    def first(self, part: str) -> bytes:
+        e = self.encoder
+        m = PLAIN_RE.fullmatch(part)
+        if not m:
+            return e.fresh(part)
+        lead, word = m.groups()
+        shown = "".join([e.byte[b] for b in (word if lead == "\n" else part).encode()])
+        return e.line_break + e.ids(shown) if lead == "\n" else e.ids(shown)
+
 
 # ---------------------------------------------------------------- minimal perfect hash
 
@@ -158,7 +145,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Levels of bit rows: a key owns the first bit that it alone falls on.
-    Returns the bits (packed), the bit count of each level, and each key's slot."""
+    Returns the bits, the bit count of each level, and each key's slot."""
     keys = keys.view(np.uint64)
     left, rows, sizes, owner = np.arange(len(keys)), [], [], []
     while len(left):
@@ -177,39 +164,60 @@ def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     slots = np.empty(len(keys), dtype=np.int64)
     slots[np.concatenate(owner) if owner else []] = np.arange(len(keys))
     bits = np.concatenate(rows) if rows else np.zeros(0, dtype=bool)
-    return np.packbits(bits), np.array(sizes, dtype=np.int64), slots
+    return bits, np.array(sizes, dtype=np.int64), slots
+
+
+#: Bits of a block of the rank directory, in 64-bit words.
+RANK_WORDS = 8
 
 
 def pack_index(keys: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> bytes:
-    """The index section for distinct keys with their first id and id count."""
+    """The index section for distinct keys with their first id and id count:
+    level sizes, the ones before each block of bits, the bits, and the slots."""
     bits, sizes, slots = build_hash(keys)
+    blocks = -(-len(bits) // (64 * RANK_WORDS))
+    full = np.zeros(blocks * 64 * RANK_WORDS, dtype=bool)
+    full[:len(bits)] = bits
+    set_bits = full.reshape(blocks, 64 * RANK_WORDS).sum(axis=1)
+    before = np.cumsum(set_bits) - set_bits
     prints, off, num = (np.empty(len(keys), dtype=t) for t in ("<u4", "<i8", "<i8"))
     prints[slots], off[slots], num[slots] = fingerprint(keys.view(np.uint64)), offsets, counts
-    head = np.array([len(keys), len(sizes), len(bits)], dtype="<i8")
-    return b"".join(x.tobytes() for x in (head, sizes.astype("<i8"), bits, prints, off, num))
+    head = np.array([len(keys), len(sizes), blocks], dtype="<i8")
+    return b"".join(x.tobytes() for x in (head, sizes.astype("<i8"), before.astype("<i8"), np.packbits(full, bitorder="little"),
+                                          off, num, prints))
 
 
 def find_keys(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First id and id count of each key in a shard, count -1 where absent."""
-    n, levels, packed = (int(x) for x in np.frombuffer(index, dtype="<i8", count=3))
+    """First id and id count of each key in a shard, count -1 where absent. A
+    key touches a bit per level, one block of bits and one slot, however many
+    keys the shard has."""
+    n, levels, blocks = (int(x) for x in np.frombuffer(index, dtype="<i8", count=3))
     at = 24
-    sizes = np.frombuffer(index, dtype="<i8", count=levels, offset=at)
-    at += 8 * levels
-    bits = np.unpackbits(np.frombuffer(index, dtype=np.uint8, count=packed, offset=at))[:int(sizes.sum())]
-    at += packed
-    prints = np.frombuffer(index, dtype="<u4", count=n, offset=at)
-    off = np.frombuffer(index, dtype="<i8", count=n, offset=at + 4 * n)
-    num = np.frombuffer(index, dtype="<i8", count=n, offset=at + 12 * n)
-    rank = np.cumsum(bits) - bits
+
+    def section(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        x = np.frombuffer(index, dtype=kind, count=count, offset=at)
+        at += x.nbytes
+        return x
+
+    sizes, before, bits = section("<i8", levels), section("<i8", blocks), section("<u8", blocks * RANK_WORDS)
+    off, num, prints = section("<i8", n), section("<i8", n), section("<u4", n)
     keys = np.asarray(keys, dtype=np.int64).view(np.uint64)
-    slot = np.full(len(keys), -1, dtype=np.int64)
+    bit = np.full(len(keys), -1, dtype=np.int64)
     left, start = np.arange(len(keys)), 0
     for level, size in enumerate(sizes):
         place = start + (level_hash(keys[left], level) % np.uint64(size)).astype(np.int64)
-        hit = bits[place] == 1
-        slot[left[hit]] = rank[place[hit]]
+        hit = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+        bit[left[hit]] = place[hit]
         left, start = left[~hit], start + int(size)
-    there = slot >= 0
+    slot = np.full(len(keys), -1, dtype=np.int64)
+    there = bit >= 0
+    own = bit[there]
+    block = own // (64 * RANK_WORDS)
+    words = bits.reshape(blocks, RANK_WORDS)[block] if len(own) else np.zeros((0, RANK_WORDS), dtype=np.uint64)
+    ahead = own[:, None] - block[:, None] * (64 * RANK_WORDS) - 64 * np.arange(RANK_WORDS)  # bits of each word before the key's own
+    mask = np.where(ahead >= 64, ~np.uint64(0), (np.uint64(1) << np.clip(ahead, 0, 63).astype(np.uint64)) - np.uint64(1))
+    slot[there] = before[block] + np.bitwise_count(words & np.where(ahead > 0, mask, np.uint64(0))).sum(axis=1)
     there[there] = prints[slot[there]] == fingerprint(keys[there])
     offsets, counts = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), -1, dtype=np.int64)
     offsets[there], counts[there] = off[slot[there]], num[slot[there]]
