@@ -17,14 +17,19 @@ them shrink t, and skips what lies beyond. Scores are exact integers.
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part; vectors of different length never meet; rows with the
 query's own id are no candidates for it; repeated candidate rows count once
-per distinct vector; repeated query rows are one query per distinct vector;
-equal scores are ordered by the smaller id; an empty table gives an empty
-result; other columns are neither read nor returned. Components must stay
-below 2**31 after scaling.
+per distinct vector; each distinct vector of a query's id is a query with ranks
+of its own (``query_hash`` tells them apart); equal scores are ordered by the
+smaller id; an empty table gives an empty result; other columns are neither
+read nor returned. Vectors too long for 64-bit arithmetic (squared norm of 2**61
+or more after scaling) are scored in whole numbers of any size, block against
+block: their ranks are exact, and a score beyond 64 bits is null.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +43,23 @@ BLOCK_ROWS = 1024
 QUERY_ROWS = 256
 PIVOTS = 32
 SLACK = 1e-6
+#: Squared norm from which vectors are scored without the index.
+WIDE = 2.0 ** 61
 
 
 def scaled(df: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
-    """``id``, ``dim``, ``v`` (floor of scale times each component) and its
-    squared norm, for the vectors that take part."""
+    """``id``, ``dim``, ``v`` (floor of scale times each component), its squared
+    norm and its hash, for the vectors that take part. Vectors too long for
+    64 bits have no ``v`` and keep their components in ``wide``."""
     v = F.col(vector).cast("array<double>")
     fine = F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = F.transform(v, lambda x: F.floor(x * scale).cast("bigint"))
-    x = df.where(F.coalesce(fine, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), whole.alias("v"))
-    return x.select("id", F.size("v").alias("dim"), "v", F.aggregate(
-        "v", F.lit(0).cast("bigint"), lambda a, b: a + b * b).alias("norm2")).distinct()
+    short = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) < WIDE / scale / scale
+    whole = F.when(short, F.transform(v, lambda x: F.floor(x * scale).cast("bigint")))
+    x = df.where(F.coalesce(fine, F.lit(False))).select(
+        F.col(key).cast("bigint").alias("id"), F.size(v).alias("dim"), whole.alias("v"), F.when(~short, v).alias("wide"))
+    return x.select("*", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, b: a + b * b).alias("norm2"),
+                    F.xxhash64("v", "wide").alias("hash")).distinct()
 
 
 def lifted(rows: np.ndarray, m: int, as_query: bool) -> np.ndarray:
@@ -69,22 +79,22 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def keyed(rows: DataFrame, pivots: np.ndarray, m: int, dim: int, as_query: bool) -> DataFrame:
-    """``id``, ``v``, nearest ``pivot`` and ``dist`` to it."""
+    """``id``, ``hash``, ``v``, nearest ``pivot`` and ``dist`` to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                d = distances(lifted(matrix(b.column(1), dim), m, as_query), pivots)
+                d = distances(lifted(matrix(b.column(2), dim), m, as_query), pivots)
                 near = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])],
-                    ["id", "v", "pivot", "dist"])
+                    [*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])],
+                    ["id", "hash", "v", "pivot", "dist"])
 
-    return rows.select("id", "v").mapInArrow(run, "id bigint, v array<bigint>, pivot int, dist double")
+    return rows.select("id", "hash", "v").mapInArrow(run, "id bigint, hash bigint, v array<bigint>, pivot int, dist double")
 
 
-def blocks(rows: DataFrame, by: list[str], limit: int, schema_of: str) -> DataFrame:
-    """Rows of each group ``by`` packed into blocks of about ``limit``."""
+def blocks(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """Rows of each group ``by`` packed into blocks of about ``limit``; ids go with their hashes."""
     counts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
     x = rows.join(counts, by).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("_parts")).cast("int"))
 
@@ -93,7 +103,7 @@ def blocks(rows: DataFrame, by: list[str], limit: int, schema_of: str) -> DataFr
         v = np.array(t.column("v").to_pylist(), dtype="<i4")
         one = {c: [t.column(c)[0].as_py()] for c in [*by, "part"]}
         return pa.table({**{c: pa.array(x, pa.int32()) for c, x in one.items()}, "lo": [float(d.min())], "hi": [float(d.max())],
-                         "n": pa.array([len(d)], pa.int32()), "ids": pa.array([t.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()),
+                         "n": pa.array([len(d)], pa.int32()), "ids": pa.array([np.column_stack([t.column("id").to_numpy(), t.column("hash").to_numpy()]).astype("<i8").tobytes()], pa.binary()),
                          "vectors": pa.array([v.tobytes()], pa.binary())})
 
     names = ", ".join(f"{c} int" for c in [*by, "part"])
@@ -104,10 +114,10 @@ class Best:
     """Running top-k of the queries of one block."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, floor: np.ndarray, k: int):
-        self.ids, self.rows, self.k = ids, rows, k
+        self.ids, self.hashes, self.rows, self.k = ids[:, 0], ids[:, 1], rows, k
         self.norm2 = (rows.astype(np.float64) ** 2).sum(axis=1)
         self.floor = floor.astype(np.float64).copy()  # a score below it is not among the k best
-        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
+        self.found: list[list[tuple[int, int, int]]] = [[] for _ in ids]
 
     def reach(self, m: int) -> np.ndarray:
         """Distance of the k-th best so far."""
@@ -121,26 +131,26 @@ class Best:
             s = (q.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
         else:
             s = q.astype(np.int64) @ rows.astype(np.int64).T
-        good = (s >= self.floor[who][:, None]) & (self.ids[who][:, None] != ids[None])
+        good = (s >= self.floor[who][:, None]) & (self.ids[who][:, None] != ids[None, :, 0])
         for i in np.flatnonzero(good.any(axis=1)):
             j = np.flatnonzero(good[i])
             if len(j) > self.k:
                 cut = np.partition(s[i, j], len(j) - self.k)[len(j) - self.k]
                 j = j[s[i, j] >= cut]
             w = who[i]
-            got = {*self.found[w], *zip((-s[i, j]).tolist(), ids[j].tolist(), strict=True)}
+            got = {*self.found[w], *zip((-s[i, j]).tolist(), ids[j, 0].tolist(), ids[j, 1].tolist(), strict=True)}
             self.found[w] = sorted(got)[:self.k]
             if len(self.found[w]) == self.k:
                 self.floor[w] = max(self.floor[w], -self.found[w][-1][0])
 
-    def rows_out(self) -> Iterator[tuple[int, int, int]]:
-        for q, got in zip(self.ids.tolist(), self.found, strict=True):
-            for s, x in got:
-                yield q, x, -s
+    def rows_out(self) -> Iterator[tuple[int, int, int, int, int]]:
+        for q, h, got in zip(self.ids.tolist(), self.hashes.tolist(), self.found, strict=True):
+            for s, x, y in got:
+                yield q, h, x, y, -s
 
 
 def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, dtype="<i8")
+    i = np.frombuffer(ids, dtype="<i8").reshape(-1, 2)
     return i, np.frombuffer(vectors, dtype="<i4").reshape(len(i), -1)
 
 
@@ -156,7 +166,8 @@ def scored(pairs: DataFrame, m: int, k: int, with_rows: bool) -> DataFrame:
             if best is not None and with_rows:
                 out.extend(best.rows_out())
             elif best is not None:
-                out.extend(zip(best.ids.tolist(), [0] * len(best.ids), best.floor.tolist(), strict=True))
+                nothing = [0] * len(best.ids)
+                out.extend(zip(best.ids.tolist(), best.hashes.tolist(), nothing, nothing, best.floor.tolist(), strict=True))
 
         for b in batches:
             for qid, q_ids, q_vectors, q_floor, q_dist, lo, hi, ids, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -171,13 +182,13 @@ def scored(pairs: DataFrame, m: int, k: int, with_rows: bool) -> DataFrame:
         flush()
         if out:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                 pa.array([float(x[2]) for x in out], pa.float64()) if not with_rows else pa.array([x[2] for x in out], pa.int64())],
-                ["query_id", "vec_id", "score"])
+                [*[pa.array([x[i] for x in out], pa.int64()) for i in range(4)],
+                 pa.array([x[4] for x in out], pa.int64() if with_rows else pa.float64())],
+                ["query_id", "query_hash", "vec_id", "hash", "score"])
 
     kind = "bigint" if with_rows else "double"
     x = pairs.select("qid", "q_ids", "q_vectors", "q_floor", "q_dist", "lo", "hi", "ids", "vectors")
-    return x.mapInArrow(run, f"query_id bigint, vec_id bigint, score {kind}")
+    return x.mapInArrow(run, f"query_id bigint, query_hash bigint, vec_id bigint, hash bigint, score {kind}")
 
 
 def reachable(queries: DataFrame, pivots: np.ndarray, m: int) -> DataFrame:
@@ -202,8 +213,8 @@ def reachable(queries: DataFrame, pivots: np.ndarray, m: int) -> DataFrame:
 
 
 def one_length(rows: DataFrame, queries: Column, dim: int, k: int) -> DataFrame:
-    """``query_id``, ``vec_id``, ``score`` of the best rows, for one length."""
-    rows = rows.where(F.col("dim") == dim)
+    """``query_id``, ``query_hash``, ``vec_id``, ``hash``, ``score`` of the best rows, for one length."""
+    rows = rows.where((F.col("dim") == dim) & F.col("v").isNotNull())
     stats = rows.agg(F.max("norm2").alias("m"), F.count(F.lit(1)).alias("n")).first()
     m, n = int(stats["m"]), int(stats["n"])
     # Pivots: a bounded sample of the vectors, in the order of their hash.
@@ -214,9 +225,9 @@ def one_length(rows: DataFrame, queries: Column, dim: int, k: int) -> DataFrame:
     rings = max(1, n // (len(pivots) * BLOCK_ROWS))
     far = points.agg(F.max("dist")).first()[0] or 1.0
     points = points.withColumn("ring", F.least(F.floor(F.col("dist") / F.lit(far / rings)), F.lit(rings - 1)).cast("int"))
-    index = written(blocks(points, ["pivot", "ring"], BLOCK_ROWS, ""), "pivot-index")
+    index = written(blocks(points, ["pivot", "ring"], BLOCK_ROWS), "pivot-index")
     asked = keyed(rows.where(queries), pivots, m, dim, True)
-    q = blocks(asked, ["pivot"], QUERY_ROWS, "").withColumn("qid", F.col("pivot").cast("bigint") * (1 << 32) + F.col("part"))
+    q = blocks(asked, ["pivot"], QUERY_ROWS).withColumn("qid", F.col("pivot").cast("bigint") * (1 << 32) + F.col("part"))
     q = written(q.withColumn("floor", F.expr("CAST(NULL AS BINARY)")), "queries")
     q0 = with_floor(q, None)
     # Round 1: per query block the block of its pivot that lies nearest (metadata first, then its vectors).
@@ -227,7 +238,7 @@ def one_length(rows: DataFrame, queries: Column, dim: int, k: int) -> DataFrame:
         .groupBy("qid").agg(F.min_by(F.struct("p", "ring", "part"), F.struct(F.col("n") <= k, gap, "ring", "part")).alias("b")) \
         .select("qid", F.col("b.p").alias("pivot"), F.col("b.ring").alias("ring"), F.col("b.part").alias("part"))
     near = own.join(first, ["qid", "pivot"]).join(index, ["pivot", "ring", "part"])
-    floors = scored(near, m, k, False).select("query_id", F.col("score").alias("floor_of"))
+    floors = scored(near, m, k, False).select("query_id", "query_hash", F.col("score").alias("floor_of"))
     # Round 2: the annuli within reach, nearest first.
     q1 = written(with_floor(q, floors), "queries")
     within = reachable(q1, pivots, m)
@@ -241,7 +252,7 @@ def with_floor(q: DataFrame, floors: DataFrame | None) -> DataFrame:
     if floors is None:
         def none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n = [len(x) // 8 for x in b.column(1).to_pylist()]
+                n = [len(x) // 16 for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([np.full(x, -np.inf, dtype="<f8").tobytes() for x in n], pa.binary())],
                     ["qid", "ids", "vectors", "floor"])
@@ -250,37 +261,85 @@ def with_floor(q: DataFrame, floors: DataFrame | None) -> DataFrame:
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qid, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                i = np.frombuffer(ids, dtype="<i8")
+                i = np.frombuffer(ids, dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([qid] * len(i), pa.int64()), pa.array(np.arange(len(i), dtype=np.int32)), pa.array(i)],
-                    ["qid", "at", "query_id"])
+                    [pa.array([qid] * len(i), pa.int64()), pa.array(np.arange(len(i), dtype=np.int32)), pa.array(i[:, 0]), pa.array(i[:, 1])],
+                    ["qid", "at", "query_id", "query_hash"])
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids")[0].as_py()
-        floor = np.full(len(ids) // 8, -np.inf, dtype="<f8")
+        floor = np.full(len(ids) // 16, -np.inf, dtype="<f8")
         floor[right.column("at").to_numpy()] = right.column("floor_of").to_numpy()
         return pa.table({"qid": left.column("qid").slice(0, 1), "ids": pa.array([ids], pa.binary()),
                          "vectors": left.column("vectors").slice(0, 1), "floor": pa.array([floor.tobytes()], pa.binary())})
 
-    # A repeated query id keeps the smallest floor: safe for each of its vectors.
-    known = floors.groupBy("query_id").agg(F.min("floor_of").alias("floor_of"))
-    spread = q.select("qid", "ids").mapInArrow(ids_of, "qid bigint, at int, query_id bigint").join(known, "query_id")
+    known = floors.groupBy("query_id", "query_hash").agg(F.min("floor_of").alias("floor_of"))
+    spread = q.select("qid", "ids").mapInArrow(ids_of, "qid bigint, at int, query_id bigint, query_hash bigint") \
+        .join(known, ["query_id", "query_hash"])
     return q.select("qid", "ids", "vectors").groupBy("qid").cogroup(spread.groupBy("qid")) \
         .applyInArrow(put, "qid bigint, ids binary, vectors binary, floor binary")
 
 
+def wide_pairs(rows: DataFrame, queries: Column, k: int, scale: int) -> DataFrame:
+    """The best rows of all pairs with a vector that 64 bits can't score, their
+    scores as decimal texts: blocks of one side meet blocks of the other."""
+    x = rows.select("id", "hash", "dim", F.coalesce("wide", F.transform("v", lambda c: c / scale)).alias("x"),
+                    F.col("wide").isNotNull().alias("is_wide"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    # Whole components below 2**31 are exact in doubles, also divided by a power of two.
+    n = x.groupBy("dim", "is_wide").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n"))
+    x = x.join(n, ["dim", "is_wide"]).withColumn("part", F.pmod(F.xxhash64("id", "hash"), F.col("n")).cast("int"))
+    block = F.collect_list(F.struct("id", "hash", "x"))
+    those = x.groupBy("dim", "is_wide", "part").agg(block.alias("rows"))
+    asked = x.where("asks").groupBy("dim", F.col("is_wide").alias("wide_query"), F.col("part").alias("q")).agg(block.alias("asked"))
+    # Each block of queries goes to every block that it has to meet, one task each.
+    to = asked.join(n, "dim").where("wide_query OR is_wide") \
+        .select("dim", "is_wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "asked")
+
+    def whole(v: list[float]) -> list[int]:
+        return [math.floor(c * scale) if abs(c) < 2.0 ** 60 else int(c) * scale for c in v]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for asked, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                right, out = [(r["id"], r["hash"], whole(r["x"])) for r in rows], []
+                for q in asked:
+                    own = whole(q["x"])
+                    got = ((sum(map(operator.mul, own, v)), -i, h) for i, h, v in right if i != q["id"])
+                    out += [(q["id"], q["hash"], -i, h, str(s)) for s, i, h in heapq.nlargest(k, got)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, fields, strict=True)], schema=fields)
+
+    fields = pa.schema([*[(c, pa.int64()) for c in ("query_id", "query_hash", "vec_id", "hash")], ("exact", pa.string())])
+    return to.join(those, ["dim", "is_wide", "part"]).select("asked", "rows") \
+        .mapInArrow(run, "query_id bigint, query_hash bigint, vec_id bigint, hash bigint, exact string")
+
+
+def sort_text(number: Column) -> Column:
+    """A text whose order is that of whole numbers given as decimal texts."""
+    digits = F.ltrim(number, F.lit("-"))
+    return F.when(number.startswith("-"), F.concat(F.lit("0"), F.lpad((9999 - F.length(digits)).cast("string"), 4, "0"),
+                                                    F.translate(digits, "0123456789", "9876543210"))) \
+        .otherwise(F.concat(F.lit("1"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits))
+
+
 def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
           scale: int = 256) -> DataFrame:
     """For every row with ``queries`` (a condition on ``id``): ``query_id``,
-    ``rank`` (from 1), ``vec_id``, ``score`` of the k best other rows."""
+    ``rank`` (from 1), ``vec_id``, ``score`` of the k best other rows, and
+    ``query_hash`` of the query's vector."""
     rows = written(scaled(df, key, vector, scale), "vectors")
-    dims = [r[0] for r in rows.where(queries).select("dim").distinct().orderBy("dim").collect()]
-    got = None
-    for d in dims:
-        part = one_length(rows, queries, d, k)
-        got = part if got is None else got.unionAll(part)
-    if got is None:
-        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("norm2").alias("score"))
+    short = F.col("v").isNotNull()
+    kinds = rows.groupBy("dim").agg(F.count_if(F.coalesce(queries, F.lit(False)) & short).alias("asked"),
+                                    F.count_if(~short).alias("wide")).orderBy("dim").collect()
+    got = rows.limit(0).select(*[F.col("id").alias(c) for c in ("query_id", "query_hash", "vec_id", "hash", "score")])
+    for d in kinds:
+        if d["asked"]:
+            got = got.unionByName(one_length(rows, queries, d["dim"], k))
+    order = [F.desc("score"), "vec_id"]
+    if any(d["wide"] for d in kinds):
+        got = got.withColumn("exact", F.col("score").cast("string")).drop("score").unionByName(wide_pairs(rows, queries, k, scale)) \
+            .withColumn("score", F.expr("try_cast(exact AS bigint)")).withColumn("place", sort_text(F.col("exact")))
+        order = [F.desc("place"), "vec_id"]
     got = got.distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id", "query_hash").orderBy(*order)
+    return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
+        .select("query_id", "rank", "vec_id", "score", "query_hash")
