@@ -5,8 +5,9 @@ their shapes (letters, digits and punctuation, never the words themselves)
 and adds what the patterns miss: phone numbers without ``+``, spaced numbers,
 addresses with brackets. A token with neither a digit nor ``@`` can only be
 labelled "outside"; this is part of the model, in training and decoding, so a
-text falls apart into short runs of other tokens, and only these are decoded,
-exactly and many at a time (Viterbi over padded numpy batches).
+text falls apart into short runs of other tokens (blanks between them don't
+matter, line breaks end a run), and only these are decoded, exactly and many at
+a time (Viterbi over padded numpy batches).
 
 Defined results: null and empty texts have no spans; repeated rows are read
 one by one; ties between equal Viterbi scores go to the label listed first;
@@ -383,7 +384,8 @@ EDGE = "()[]<>{}.,;:!?\"'|"
 
 
 def text_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Token offsets of the maximal runs of candidate tokens, line by line."""
+    """Token offsets of the maximal runs of candidate tokens, line by line: any
+    number of blanks may lie between two tokens of a run, a line break may not."""
     out: list[list[tuple[int, int]]] = []
     done, last_end, n = 0, -1, len(text)
     for m in HINT_RE.finditer(text):
@@ -394,7 +396,7 @@ def text_runs(text: str) -> list[list[tuple[int, int]]]:
             start -= 1
         end = RUN_RE.match(text, m.start()).end() if m.start() < n else n
         gap = text[last_end:start] if last_end >= 0 else "\n"
-        if out and gap.strip(" \t") == "" and start - last_end <= 8:
+        if out and gap.strip(" \t") == "":
             out[-1].append((start, end))
         else:
             out.append([(start, end)])

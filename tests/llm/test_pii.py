@@ -79,6 +79,15 @@ def test_added_spans_and_redaction(field):
     assert pii.redact("abcdef", [(1, 4, 0), (2, 5, 3)]) == "a[EMAIL]f"
 
 
+def test_any_number_of_blanks(field):
+    """Blanks between tokens do not matter, a line break does."""
+    for blanks in (1, 2, 9, 60, 5000):
+        text = "phone " + (" " * blanks).join(["555", "010", "4477"]) + " x"
+        [(base, added)] = pii.find([text], field)
+        assert not base and [text[a:b].split() for a, b, _ in added] == [["555", "010", "4477"]]
+    assert len(pii.text_runs("555 \n 010")) == 2
+
+
 def test_clean_prose_gets_nothing(field):
     assert pii.find(["In 2019 the 3 of them paid 12.50 for version 4.0."], field)[0] == ([], [])
 
