@@ -205,26 +205,37 @@ def _absolutize(text: Column, folder: Column) -> Column:
 
 # ---------------------------------------------------------------- T4
 
-def _step_bounds(lines: Column) -> Column:
-    """First line and kind of every step, by one pass over a script's lines."""
-    def step(acc, x):
-        line = x["line"]
-        tok = F.lower(F.regexp_extract(line, STEP_START_RE, 1))
-        starts = (tok != "") & ~acc["macro"]
-        own = F.when(tok.startswith("%macro"), "macro").when(tok.startswith("data"), "data").otherwise("proc")
-        kind = F.when(starts, own).otherwise(acc["kind"])
-        mend, ended = line.rlike(MACRO_END_RE), line.rlike(STEP_END_RE)
-        new = starts | acc["cut"]
-        end = ((kind == "macro") & mend) | (kind.isin("data", "proc") & ended)
-        return F.struct(
-            F.when(end, "global").otherwise(kind).alias("kind"),
-            # A macro that opens inside another closes with the first %mend.
-            ((acc["macro"] | tok.startswith("%macro")) & ~mend).alias("macro"), end.alias("cut"),
-            F.when(new, F.concat(acc["bounds"], F.array(F.struct(x["i"].alias("i"), kind.alias("kind"))))).otherwise(acc["bounds"]).alias("bounds"))
-    zero = F.struct(F.lit("global").alias("kind"), F.lit(False).alias("macro"), F.lit(True).alias("cut"),
-                    F.array().cast("array<struct<i:int,kind:string>>").alias("bounds"))
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    return F.aggregate(numbered, zero, step)["bounds"]
+# Tags in front of a line say what it can do to a step; the texts' own uses of
+# these control characters are escaped behind the last one.
+_DATA, _PROC, _MACRO, _MEND, _RUN, _LINE, _ESCAPE = "\x00\x01\x02\x03\x04\x05\x06"
+_TAGS = _DATA + _PROC + _MACRO + _MEND + _RUN + _LINE
+# A macro up to its %mend line, whatever lies between; a data or proc step up to
+# its run line or the next start; else the lines up to the next start.
+_STEP_RE = (rf"{_MACRO}[^{_MEND}]*+(?:{_MEND}[^{_TAGS}]*+)?+"
+            rf"|[{_DATA}{_PROC}][^{_DATA}{_PROC}{_MACRO}{_RUN}]*+(?:{_RUN}[^{_TAGS}]*+)?+"
+            rf"|[{_MEND}{_RUN}{_LINE}][^{_DATA}{_PROC}{_MACRO}]*+")
+
+
+def _escaped(c: Column) -> Column:
+    out = F.replace(c, F.lit(_ESCAPE), F.lit(_ESCAPE + "g"))
+    for i, tag in enumerate(_TAGS):
+        out = F.replace(out, F.lit(tag), F.lit(_ESCAPE + "abcdef"[i]))
+    return F.when(c.rlike(f"[{_TAGS}{_ESCAPE}]"), out).otherwise(c)
+
+
+def _unescaped(c: Column) -> Column:
+    out = c
+    for i, tag in enumerate(_TAGS):
+        out = F.replace(out, F.lit(_ESCAPE + "abcdef"[i]), F.lit(tag))
+    return F.when(F.contains(c, F.lit(_ESCAPE)), F.replace(out, F.lit(_ESCAPE + "g"), F.lit(_ESCAPE))).otherwise(c)
+
+
+def _tagged(line: Column) -> Column:
+    """A line behind its tag. No line is two of these at once."""
+    start = F.lower(F.regexp_extract(line, STEP_START_RE, 1))
+    tag = (F.when(start.startswith("%macro"), _MACRO).when(start.startswith("data"), _DATA).when(start != "", _PROC)
+           .when(line.rlike(MACRO_END_RE), _MEND).when(line.rlike(STEP_END_RE), _RUN).otherwise(_LINE))
+    return F.concat(tag, line, F.lit("\n"))
 
 
 def split_steps(df: DataFrame, id_col: str = "program_id", text_col: str = "source") -> DataFrame:
@@ -233,14 +244,16 @@ def split_steps(df: DataFrame, id_col: str = "program_id", text_col: str = "sour
     A DATA/PROC/%MACRO line starts a step (closing the open one) unless a
     macro is open; ``run;``/``quit;`` at line start ends a DATA or PROC step;
     ``%mend`` ends a macro. Blank steps are dropped and the rest numbered from
-    0. A script is one row and is split inside it: no shuffle.
+    0. A script is one row and is split inside it, without a shuffle and in
+    time linear in its length: its lines get tags, and one pattern over the
+    tags cuts the whole text.
     """
-    x = df.select(id_col, F.split(F.col(text_col), LINE_BREAK_RE, -1).alias("_lines")) \
-        .select(id_col, "_lines", _step_bounds(F.col("_lines")).alias("_b"))
-    after = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda b: b["i"]), F.array(F.size("_lines")))
-    steps = F.transform(F.arrays_zip(F.col("_b").alias("b"), after.alias("n")), lambda z: F.struct(
-        z["b"]["kind"].alias("kind"),
-        _strip(F.array_join(F.slice("_lines", z["b"]["i"] + 1, z["n"] - z["b"]["i"]), "\n")).alias("code")))
+    lines = F.split(_escaped(F.col(text_col)), LINE_BREAK_RE, -1)
+    x = df.select(id_col, F.array_join(F.transform(lines, _tagged), "").alias("_t"))
+    tag = lambda s: F.substring(s, 1, 1)
+    steps = F.transform(F.regexp_extract_all("_t", F.lit(_STEP_RE), 0), lambda s: F.struct(
+        F.when(tag(s) == _MACRO, "macro").when(tag(s) == _DATA, "data").when(tag(s) == _PROC, "proc").otherwise("global").alias("kind"),
+        _unescaped(_strip(F.translate(s, _TAGS, ""))).alias("code")))
     full = F.filter(steps, lambda z: z["code"] != "")
     return x.select(id_col, F.posexplode(full).alias("step_index", "_s")).select(id_col, "step_index", "_s.kind", "_s.code")
 

@@ -293,3 +293,45 @@ def test_unicode_names_and_blanks_in_scripts(spark):
     assert [r["kind"] for r in steps] == ["data"]
     plan = T.split_steps(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def _steps_line_by_line(text):
+    """The same rules as one walk over the lines."""
+    import re
+    steps, kind, macro, cut = [], "global", False, True
+    for line in re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", text):
+        m = re.match(r"\s*(data\b(?!\s*=)|proc\s+\w+|%macro\b)", line, re.I)
+        starts = bool(m) and not macro
+        if starts:
+            kind = "macro" if m[1][0] == "%" else m[1][:4].lower()
+        if starts or cut:
+            steps.append([kind, []])
+        steps[-1][1].append(line)
+        mend = bool(re.match(r"\s*%mend\b.*;", line, re.I))
+        cut = (kind == "macro" and mend) or (kind in ("data", "proc") and bool(re.match(r"\s*(run|quit)\s*;", line, re.I)))
+        macro = (macro or (bool(m) and m[1][0] == "%")) and not mend
+        if cut:
+            kind = "global"
+    return [(k, c) for k, c in ((k, "\n".join(x).strip()) for k, x in steps) if c]
+
+
+def test_steps_equal_a_walk_over_the_lines(spark):
+    import random
+    rnd = random.Random(6)
+    parts = ["data a;", "DATA = 5;", "proc print;", " Proc  sql ;", "%macro m;", "%macro inner(x);", "%mend;", "%mend m ;", "run;", "quit ;",
+             "", "  ", "set b;", "x = 'run;'; run;", "%mend", "/* data */", "odd \x00\x03\x06a", "\x02run;", "\x1cdata z;", " run;"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["\n", "\n", "\r\n", "\x0b", " "]) for _ in range(rnd.randrange(25))) for _ in range(300)]
+    texts += ["", "\n\n", "run;", "%mend;", "data a;\n%macro m;\ndata b;\nrun;\n%mend;\nrun;\nx", "\x06\x06g\x05"]
+    got = steps_of(spark, texts)
+    for i, t in enumerate(texts):
+        want = _steps_line_by_line(t)
+        assert [got[f"p{i}", j] for j in range(len(want))] == want and (f"p{i}", len(want)) not in got
+
+
+def test_a_script_of_many_steps_is_split_in_linear_time(spark):
+    import time
+    text = "".join(f"data s{i};\n  set b;\nrun;\nx = {i};\n" for i in range(30_000))
+    df = spark.createDataFrame([("p", text)], "program_id string, source string")
+    t = time.perf_counter()
+    counts = {r["kind"]: r["count"] for r in T.split_steps(df).groupBy("kind").count().collect()}
+    assert counts == {"data": 30_000, "global": 30_000} and time.perf_counter() - t < 30
