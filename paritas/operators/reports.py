@@ -271,14 +271,29 @@ def certificates(programs: DataFrame, outcome: DataFrame, tables: DataFrame,
     return j.select(by, text.alias("certificate"))
 
 
+def triage_evidence(outcome: DataFrame, errors: DataFrame, diffs: DataFrame, by: str = "program_id") -> DataFrame:
+    """What a triage report shows, by failure mode: the diff text of a program
+    that diverged, the last error of any other, or of one without a diff.
+
+    outcome  by, failure_mode
+    errors   by, text (the last error)
+    diffs    by, text (see ``diff_text``)
+    """
+    diverged = F.col("failure_mode") == "diverged"
+    x = outcome.select(by, "failure_mode").join(errors.select(by, F.col("text").alias("_error")), by, "left") \
+        .join(diffs.select(by, F.col("text").alias("_diff")), by, "left")
+    return x.select(by, F.coalesce(F.when(diverged, F.col("_diff")), F.col("_error")).alias("text"))
+
+
 def triage_reports(programs: DataFrame, outcome: DataFrame, evidence: DataFrame,
-                   steps: DataFrame | None, by: str = "program_id") -> DataFrame:
-    """Triage report (markdown) per program.
+                   steps: DataFrame | None, filed_at: Column | None = None, by: str = "program_id") -> DataFrame:
+    """Triage report (markdown) per program (R3), filed now unless ``filed_at`` says when.
 
     outcome   by, failure_mode, outer_attempts, run_repairs
-    evidence  by, text (diff text when diverged, else the last error)
+    evidence  by, text (see ``triage_evidence``)
     steps     by, step_index, language, code
     """
+    at = filed_at if filed_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     if steps is not None:
         fence = F.when(F.col("language") == "pyspark", "python").otherwise(F.col("language"))
         sec = steps.select(by, F.struct("step_index").alias("k"), F.concat(
@@ -295,6 +310,7 @@ def triage_reports(programs: DataFrame, outcome: DataFrame, evidence: DataFrame,
         F.concat(F.lit("- failure mode: "), F.coalesce("failure_mode", F.lit("unknown"))),
         F.format_string("- outer attempts: %d (run repairs: %d)",
                         F.coalesce("outer_attempts", F.lit(0)), F.coalesce("run_repairs", F.lit(0))),
+        F.concat(F.lit("- filed at: "), at),
         F.lit(""), F.lit("## Evidence"), F.lit("```"),
         F.coalesce(F.col("_ev"), F.lit("(no error text)")), F.lit("```"), F.lit(""),
         F.lit("## Closest attempt"), F.coalesce(F.col("_code"), F.lit("(no steps were translated)")))

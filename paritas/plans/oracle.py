@@ -580,43 +580,51 @@ outcomes AS (
 
 ORACLE["outcomes"] = f"WITH {CALLS}, {TRIPS}, {OUTCOMES}\nSELECT * FROM outcomes"
 
-_GROUP_VALS = [(c, f) for c, f in ORDER_VALS if c != "o_orderpriority"]
-_G_CELLS = " + ".join(f"count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)})"
-                      for c, f in _GROUP_VALS)
-# The group is part of the key: an order that moved to another group is missing here and extra there.
-GROUPED = """grouped_j AS (SELECT coalesce(g.o_orderpriority, b.o_orderpriority) AS program_id,
-  g.o_orderkey AS gk, b.o_orderkey AS bk, """ + ", ".join(f"g.{c} AS g_{c}, b.{c} AS b_{c}" for c, _ in _GROUP_VALS) + f"""
+def _group_vals(group: str) -> list[tuple[str, bool]]:
+    return [(c, f) for c, f in ORDER_VALS if c != group]
+
+
+def grouped_sql(group: str) -> str:
+    """Keyed stats of orders per group. The group is part of the key: an order
+    that moved to another group is missing here and extra there."""
+    vals = _group_vals(group)
+    cells = " + ".join(f"count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)})" for c, f in vals)
+    pairs = ", ".join(f"g.{c} AS g_{c}, b.{c} AS b_{c}" for c, _ in vals)
+    return f"""grouped_j AS (SELECT coalesce(g.{group}, b.{group}) AS program_id,
+  g.o_orderkey AS gk, b.o_orderkey AS bk, {pairs}
   FROM orders g FULL OUTER JOIN orders_bad b
-    ON g.o_orderkey IS NOT DISTINCT FROM b.o_orderkey AND g.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority),
+    ON g.o_orderkey IS NOT DISTINCT FROM b.o_orderkey AND g.{group} IS NOT DISTINCT FROM b.{group}),
 grouped AS (
   SELECT program_id,
          CAST(count(*) FILTER (WHERE gk IS NOT NULL) AS BIGINT) AS gt_rows,
          CAST(count(*) FILTER (WHERE bk IS NOT NULL) AS BIGINT) AS out_rows,
          CAST(count(*) FILTER (WHERE gk IS NOT NULL AND bk IS NULL) AS BIGINT) AS missing_rows,
          CAST(count(*) FILTER (WHERE bk IS NOT NULL AND gk IS NULL) AS BIGINT) AS extra_rows,
-         CAST({_G_CELLS} AS BIGINT) AS mismatched_cells
+         CAST({cells} AS BIGINT) AS mismatched_cells
   FROM grouped_j GROUP BY program_id)"""
 
+
+GROUPED = grouped_sql("o_orderpriority")
+
 ORACLE["grouped_parity"] = f"""
 WITH {ORDERS_BAD}, {GROUPED}
 SELECT *, (gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND mismatched_cells = 0)
           AS passed
 FROM grouped"""
 
-_G_COLS = "\nUNION ALL\n".join(
-    f"""SELECT program_id, '{c}' AS column_name,
+def diff_sql(group: str) -> str:
+    """CTEs up to ``diffs``: the diff text of each group."""
+    vals = _group_vals(group)
+    cols = "\nUNION ALL\n".join(f"""SELECT program_id, '{c}' AS column_name,
        count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)}) AS mismatches,
        count(*) FILTER (WHERE {_MATCHED}) AS total
-FROM grouped_j GROUP BY program_id""" for c, f in _GROUP_VALS)
-_G_BAD = "\nUNION ALL\n".join(
-    f"""SELECT program_id, '{c}' AS column_name, gk AS o_orderkey,
+FROM grouped_j GROUP BY program_id""" for c, f in vals)
+    bad = "\nUNION ALL\n".join(f"""SELECT program_id, '{c}' AS column_name, gk AS o_orderkey,
        CAST(g_{c} AS VARCHAR) AS gt_value, CAST(b_{c} AS VARCHAR) AS out_value
-FROM grouped_j WHERE {_MATCHED} AND NOT {_orders_match(c, f)}""" for c, f in _GROUP_VALS)
-
-ORACLE["diff_text"] = f"""
-WITH {ORDERS_BAD}, {GROUPED},
-gcols AS ({_G_COLS}),
-gbad AS ({_G_BAD}),
+FROM grouped_j WHERE {_MATCHED} AND NOT {_orders_match(c, f)}""" for c, f in vals)
+    return f"""{grouped_sql(group)},
+gcols AS ({cols}),
+gbad AS ({bad}),
 gsamp AS (
   SELECT *, row_number() OVER (PARTITION BY program_id, column_name ORDER BY o_orderkey) AS sample_no
   FROM gbad),
@@ -636,9 +644,11 @@ lines AS (
   SELECT program_id, 2, column_name, sample_no,
          '    sample: o_orderkey=' || CAST(o_orderkey AS VARCHAR) || ': ' || column_name || ' '
          || coalesce(gt_value, 'None') || ' != ' || coalesce(out_value, 'None')
-  FROM gsamp WHERE sample_no <= 5)
-SELECT program_id, string_agg(line, chr(10) ORDER BY c, n, s) AS text
-FROM lines GROUP BY program_id"""
+  FROM gsamp WHERE sample_no <= 5),
+diffs AS (SELECT program_id, string_agg(line, chr(10) ORDER BY c, n, s) AS text FROM lines GROUP BY program_id)"""
+
+
+ORACLE["diff_text"] = f"WITH {ORDERS_BAD}, {diff_sql('o_orderpriority')}\nSELECT program_id, text FROM diffs"
 
 
 # ---------------------------------------------------------------- phase 6
@@ -999,10 +1009,14 @@ SELECT p.program_id, concat_ws(chr(10),
 FROM progs p JOIN cj USING (program_id) JOIN snaps s USING (program_id)"""
 
 ORACLE["triage_reports"] = f"""
-WITH {CALLS}, {TRIPS}, {OUTCOMES},
+WITH {CALLS}, {TRIPS}, {OUTCOMES}, {ORDERS_BAD}, {diff_sql('o_custkey')},
 failing AS (SELECT * FROM outcomes WHERE status = 'triage'),
-evidence AS (SELECT program_id, arg_max('call ' || CAST(event_id AS VARCHAR) || ': ' || error, ts) AS ev
+errors AS (SELECT program_id, arg_max('call ' || CAST(event_id AS VARCHAR) || ': ' || error, ts) AS ev
              FROM calls WHERE error IS NOT NULL GROUP BY program_id),
+evidence AS (
+  SELECT f.program_id, CASE WHEN f.failure_mode = 'diverged' AND d.text IS NOT NULL THEN
+    CASE WHEN length(d.text) > 6000 THEN d.text[:6000] || chr(10) || '...(truncated)' ELSE d.text END ELSE e.ev END AS ev
+  FROM failing f LEFT JOIN errors e USING (program_id) LEFT JOIN diffs d ON f.program_id = 'p' || CAST(d.program_id AS VARCHAR)),
 steps AS (SELECT program_id, step_index, arg_max(event_id, ts) AS e FROM att WHERE loop = 'run'
           GROUP BY program_id, step_index),
 code AS (SELECT program_id, string_agg('### Step ' || CAST(step_index AS VARCHAR) || ' (sql)' || chr(10) || '```sql'
@@ -1014,7 +1028,7 @@ SELECT f.program_id, concat_ws(chr(10),
   '- program: `/corpus/progs/' || f.program_id || '.sas` (owner migration)',
   '- failure mode: ' || coalesce(f.failure_mode, 'unknown'),
   '- outer attempts: ' || CAST(f.outer_attempts AS VARCHAR) || ' (run repairs: ' || CAST(f.run_repairs AS VARCHAR) || ')',
-  '', '## Evidence', '```', coalesce(e.ev, '(no error text)'), '```', '',
+  '- filed at: 2026-01-01T00:00:00', '', '## Evidence', '```', coalesce(e.ev, '(no error text)'), '```', '',
   '## Closest attempt', coalesce(c.code, '(no steps were translated)')) AS report
 FROM failing f LEFT JOIN evidence e USING (program_id) LEFT JOIN code c USING (program_id)"""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.operators import compare as C
@@ -497,21 +497,20 @@ def grouped_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped_verdicts(a, s)
 
 
+def _diff_texts(a, group: str, name: Column, max_chars: int | None = None) -> DataFrame:
+    """Diff text of every program: orders of ``group``, called ``name``."""
+    keys, s = ["o_orderkey"], C.grouped_keyed_stats(a, ["o_orderkey"], group)
+    who = [name.alias("program_id"), F.lit("orders").alias("table")]
+    tables = s.select(*who, "gt_rows", "out_rows", "missing_rows", "extra_rows", C.stats_passed(a, [group, *keys]).alias("passed"))
+    cols = C.grouped_columns(s, a, keys, group).select(*who, "column_name", "mismatches", "total")
+    samples = C.grouped_samples(a, keys, group).select(*who, "column_name", "sample_no", "sample")
+    return R.diff_text(tables, cols, samples, by="program_id", max_chars=max_chars)
+
+
 @register("diff_text")
 def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: per-program diff text (header, mismatching columns, five samples each)."""
-    a, s = _grouped(spark, sf_dir)
-    keys = ["o_orderkey"]
-    tables = _grouped_verdicts(a, s).select(
-        "program_id", F.lit("orders").alias("table"), "gt_rows", "out_rows", "missing_rows",
-        "extra_rows", "passed")
-    cols = C.grouped_columns(s, a, keys, "o_orderpriority").select(
-        F.col("o_orderpriority").alias("program_id"), F.lit("orders").alias("table"),
-        "column_name", "mismatches", "total")
-    samples = C.grouped_samples(a, keys, "o_orderpriority").select(
-        F.col("o_orderpriority").alias("program_id"), F.lit("orders").alias("table"),
-        "column_name", "sample_no", "sample")
-    return R.diff_text(tables, cols, samples, by="program_id")
+    return _diff_texts(_orders_pair(spark, sf_dir), "o_orderpriority", F.col("o_orderpriority"))
 
 
 # ---------------------------------------------------------------- phase 6
@@ -589,6 +588,8 @@ def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- R1 / R3 reports
 
 CERTIFIED_AT = "2026-01-01T00:00:00"
+#: Evidence in a triage report is cut here.
+EVIDENCE_CHARS = 6000
 
 
 def _segment_programs(spark, sf_dir):
@@ -627,14 +628,19 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("triage_reports")
 def triage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triage report per failing program of the attempt log: failure mode,
-    last error as evidence, and the latest attempt of each step."""
+    the evidence that fits it, and the latest attempt of each step. A program's
+    output is the orders of the customer of its number; those of diverged
+    programs are compared, the others show their last error."""
     ev = I.table(spark, sf_dir, "events")
     att = I.attempt_log(ev)
     out = R.outcomes(att, EVENT_ORDER, trips=_trips(spark, sf_dir)).filter(F.col("status") == "triage")
-    calls = I.call_log(ev)
-    evidence = calls.filter(F.col("error").isNotNull()).groupBy("program_id").agg(
+    errors = I.call_log(ev).filter(F.col("error").isNotNull()).groupBy("program_id").agg(
         F.max_by(F.concat(F.lit("call "), F.col("event_id").cast("string"), F.lit(": "), F.col("error")),
                  F.struct(*EVENT_ORDER)).alias("text"))
+    diverged = out.filter(F.col("failure_mode") == "diverged").select(F.expr("cast(substring(program_id, 2) as bigint)").alias("o_custkey"))
+    orders = I.table(spark, sf_dir, "orders")
+    pair = C.align(*(x.join(diverged, "o_custkey", "left_semi").select(orders.columns) for x in (orders, I.orders_corrupted(orders))))
+    diffs = _diff_texts(pair, "o_custkey", F.concat(F.lit("p"), F.col("o_custkey").cast("string")), EVIDENCE_CHARS)
     runs = att.filter(F.col("loop") == "run")
     steps = runs.groupBy("program_id", "step_index").agg(
         F.max_by(F.col("event_id"), F.struct(*EVENT_ORDER)).alias("_e")).select(
@@ -643,7 +649,7 @@ def triage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = out.select("program_id", F.concat(F.lit("/corpus/progs/"), F.col("program_id"),
                                                 F.lit(".sas")).alias("sas_path"),
                          F.lit("migration").alias("owner"))
-    return R.triage_reports(records, out.drop("status"), evidence, steps)
+    return R.triage_reports(records, out.drop("status"), R.triage_evidence(out, errors, diffs), steps, F.lit(CERTIFIED_AT))
 
 
 # ---------------------------------------------------------------- R5 / K4

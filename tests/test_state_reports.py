@@ -169,7 +169,21 @@ def test_certificate_and_triage_text(spark):
                                   "program_id STRING, step_index INT, language STRING, code STRING")
     rep = {r["program_id"]: r["report"] for r in R.triage_reports(progs_df, outcome, ev, steps).collect()}
     assert "never_ran" in rep["p2"] and "AnalysisException" in rep["p2"] and "SELECT broken" in rep["p2"]
-    assert "```python\ndf.show()" in rep["p2"] and "(no error text)" in rep["p1"]
+    assert "```python\ndf.show()" in rep["p2"] and "(no error text)" in rep["p1"] and "- filed at: 2" in rep["p1"]
+
+
+def test_evidence_by_failure_mode(spark):
+    outcome = spark.createDataFrame([("a", "diverged"), ("b", "never_ran"), ("c", "diverged"), ("d", "budget"), ("e", None)],
+                                    "program_id STRING, failure_mode STRING")
+    errors = spark.createDataFrame([(p, f"error of {p}") for p in "abc"], "program_id STRING, text STRING")
+    diffs = spark.createDataFrame([(p, f"diff of {p}") for p in "abe"], "program_id STRING, text STRING")
+    got = {r["program_id"]: r["text"] for r in R.triage_evidence(outcome, errors, diffs).collect()}
+    assert got == {"a": "diff of a", "b": "error of b", "c": "error of c", "d": None, "e": None}
+    rep = R.triage_reports(outcome.withColumn("sas_path", F.lit("x")).withColumn("owner", F.lit("o")).drop("failure_mode"),
+                           outcome.withColumn("outer_attempts", F.lit(1)).withColumn("run_repairs", F.lit(0)),
+                           R.triage_evidence(outcome, errors, diffs), None, F.lit("2026-01-01T00:00:00"))
+    text = {r["program_id"]: r["report"] for r in rep.collect()}
+    assert "diff of a" in text["a"] and "- filed at: 2026-01-01T00:00:00" in text["a"] and "(no error text)" in text["d"]
 
 
 def test_program_table_pairs_and_validate_inventory(spark):
