@@ -15,8 +15,8 @@ tiers: a block gets the siblings above it by one join and puts them behind
 those of its own nodes. So no task holds more than a block, a group may hold
 any share of the rows, and tiers grow with the logarithm of the largest group.
 
-Order numbers come from rows range-partitioned and sorted by (group, key, leaf),
-written once to the shared folder with their place; counts per part and group,
+Leaves are written once; order numbers come from them, range-partitioned and
+sorted by (group, key, leaf), and written to the shared folder with their place; counts per part and group,
 added up, make the numbers exact whatever the parts are.
 
 Defined results: a null field is ``-``, unlike any text; a null key comes
@@ -126,14 +126,21 @@ def siblings(i: Column) -> Column:
     return F.filter(F.array(*steps), lambda s: s.isNotNull())
 
 
-def lowered(tier: DataFrame, above: DataFrame, extra: list[str]) -> DataFrame:
-    """Every node of a tier with all its siblings up to the end (``path``):
-    those in its block, then its block's own, which ``above`` has with the
-    columns ``extra`` for each (``g``, ``pos``)."""
-    at = above.select("g", F.col("pos").alias("block"), F.col("path").alias("_up"), *extra)
-    x = tier.join(at, ["g", "block"])
-    nodes = F.transform("rows", lambda r, i: F.struct(r.alias("r"), F.concat(siblings(i), F.col("_up")).alias("path")))
-    return x.select("g", *extra, F.explode(nodes).alias("x")).select("g", *extra, "x.r.*", "x.path")
+def opened(tops: DataFrame, extra: list[str]) -> DataFrame:
+    """Every node of blocks that come with the siblings above them (``up``) and
+    the columns ``extra``: its columns and all its siblings (``path``), those
+    in its block first."""
+    nodes = F.transform("rows", lambda r, i: F.struct(r.alias("r"), F.concat(siblings(i), F.col("up")).alias("path")))
+    return tops.select("g", *extra, F.explode(nodes).alias("x")).select("g", *extra, "x.r.*", "x.path")
+
+
+def descended(tiers: list[DataFrame], above: DataFrame, extra: list[str]) -> DataFrame:
+    """The lowest nodes of the tiers, given what lies above each block of the
+    last one (``g``, ``block``, ``up`` and the columns ``extra``)."""
+    for tier in reversed(tiers):
+        nodes = opened(tier.join(above, ["g", "block"]), extra)
+        above = nodes.select("g", F.col("pos").alias("block"), F.col("path").alias("up"), *extra)
+    return nodes
 
 
 def raised(nodes: DataFrame, name: str) -> list[DataFrame]:
@@ -146,12 +153,6 @@ def raised(nodes: DataFrame, name: str) -> list[DataFrame]:
     return tiers
 
 
-def descended(tiers: list[DataFrame], above: DataFrame, extra: list[str]) -> DataFrame:
-    for tier in reversed(tiers):
-        above = lowered(tier, above, extra)
-    return above
-
-
 # ---------------------------------------------------------------- manifest
 
 
@@ -166,16 +167,21 @@ class Manifest:
         return self.group_tiers[-1].select(F.col(f"l{LEVELS}").alias("root"))
 
     def groups(self) -> DataFrame:
-        """Each group with its subroot, the subroot's path and the root."""
-        top = self.root().select(F.lit("").alias("g"), F.lit(0).cast("bigint").alias("pos"),
-                                 F.expr("cast(array() as array<struct<left:string,right:string>>)").alias("path"), "root")
-        return descended(self.group_tiers, top, ["root"]).select(
-            F.col("name").alias("g"), "group", F.col("hash").alias("subroot"), "path", "root")
+        """Each group with its subroot, the subroot's siblings up to the root, and the root."""
+        *lower, last = self.group_tiers
+        # The last tier is one block: nothing lies above it.
+        top = last.withColumn("up", F.expr("cast(array() as array<struct<left:string,right:string>>)")) \
+            .withColumn("root", F.col(f"l{LEVELS}"))
+        nodes = opened(top, ["root"])
+        if lower:
+            above = nodes.select("g", F.col("pos").alias("block"), F.col("path").alias("up"), "root")
+            nodes = descended(lower, above, ["root"])
+        return nodes.select(F.col("name").alias("g"), "group", F.col("hash").alias("subroot"), "path", "root")
 
     def proofs(self) -> DataFrame:
         """Every row's ``key``, ``group``, ``leaf``, kept columns, ``subroot``,
         ``root`` and ``path``: siblings on the left and right, level by level."""
-        top = self.groups().withColumn("pos", F.lit(0).cast("bigint"))
+        top = self.groups().withColumnRenamed("path", "up").withColumn("block", F.lit(0).cast("bigint"))
         x = descended(self.tiers, top, ["group", "subroot", "root"])
         return x.drop("g", "pos").withColumnRenamed("hash", "leaf")
 
@@ -187,7 +193,8 @@ def manifest(df: DataFrame, fields: list[str], key: str = "doc_id", group: str =
     kept = {f"keep_{k}": v for k, v in (keep or {}).items()}
     rows = df.select(F.col(key).alias("key"), field(F.col(group)).alias("g"),
                      leaf(*[F.col(c) for c in fields]).alias("hash"), *[v.alias(k) for k, v in kept.items()])
-    tiers = raised(numbered(rows, "g", ["key", "hash", *kept], "leaves"), "tier")
+    rows = C.written(rows, "leaves")  # texts are read once; sampling the order reads digests
+    tiers = raised(numbered(rows, "g", ["key", "hash", *kept], "placed"), "tier")
     value = F.expr("CASE WHEN g <> '-' THEN substring(g, instr(g, ':') + 1) END").cast(df.schema[group].dataType)
     roots = tiers[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), value.alias("group"), F.col(f"l{LEVELS}").alias("hash"))
     return Manifest(tiers, raised(numbered(roots, "g", ["group"], "subroots"), "group-tier"))
