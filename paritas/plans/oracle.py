@@ -1081,7 +1081,35 @@ SELECT 'p_tpch', 'nation', 0, 0, 0, 0, 'error', 'type mismatch: n_name (string v
 UNION ALL
 SELECT 'p_tpch', 'supplier', count(*), count(*), 0, 0, 'keyless-hash(%.9e)', NULL, true FROM supplier"""
 
-ORACLE["csv_source"] = "SELECT doc_id, md5('\"a\", b;' || chr(10) || text) AS text_md5, lang FROM documents"
+ORACLE["csv_source"] = """
+SELECT CAST(doc_id AS INTEGER) AS doc_id, md5('"a", b;' || chr(10) || text) AS text_md5, lang, doc_id + 1000000000000 AS wide,
+  CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id AS DOUBLE) / 8 END AS ratio, doc_id % 2 = 0 AS even,
+  CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 3, 'x') ELSE CAST(doc_id AS VARCHAR)[:3] END AS code FROM documents"""
+
+# Type names of the engines, by the catalog.
+ORACLE["table_schemas"] = """
+WITH names AS (SELECT unnest(['customer', 'documents', 'embeddings', 'events', 'lineitem', 'orders']) AS t),
+cols AS (
+  SELECT table_name AS t, string_agg(column_name || ' ' || CASE data_type
+    WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date'
+    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>'
+    WHEN 'DOUBLE[]' THEN 'array<double>' ELSE lower(data_type) END, ', ' ORDER BY ordinal_position) AS schema
+  FROM information_schema.columns WHERE table_name IN (SELECT t FROM names) GROUP BY table_name),
+n AS (
+  SELECT 'customer' AS t, count(*) AS n_rows FROM customer UNION ALL SELECT 'documents', count(*) FROM documents
+  UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'events', count(*) FROM events
+  UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders)
+SELECT 'schemas_' || t AS table_name, schema, n_rows FROM cols JOIN n USING (t)"""
+
+ORACLE["catalog_parity"] = f"""
+WITH {ORDERS_BAD}, {ORDERS_JOIN}, {ORDERS_SUMMARY}
+SELECT 'p_views' AS program_id, 'parity_orders_out' AS table_name, gt_rows, out_rows, missing_rows, extra_rows,
+  'keyed rel_tol=1e-09' AS method, gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND mismatched_cells = 0 AS passed,
+  CAST(mismatched_cells AS BIGINT) AS mismatched_cells, CAST(NULL AS BOOLEAN) AS inaccessible FROM orders_summary
+UNION ALL
+SELECT 'p_views', 'parity_lines_out', count(*), count(*), 0, 0, 'keyless-hash(%.9e)', true, NULL, NULL FROM lineitem
+UNION ALL
+SELECT 'p_views', 'parity_none', 0, 0, 0, 0, 'error', false, NULL, true"""
 
 ORACLE["parquet_snapshot"] = f"""
 WITH d AS ({_digest_sql("customer", DIGEST_TABLES["customer"])})

@@ -9,6 +9,7 @@ returns a DataFrame whose columns are aliased exactly like its SQL oracle in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -704,16 +705,47 @@ def parity_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("csv_source")
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents written as CSV (quotes doubled, line breaks and
-    separators inside quotes) and read back through the reader by suffix."""
+    separators inside quotes) and read back through the reader by suffix, which
+    finds the types: whole numbers, wide ones, fractions, booleans and texts."""
     from uuid import uuid4
 
     from paritas.session import shared_dir
     from paritas.sources.readers import read_source
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"a", b;\n'), F.col("text")).alias("text"), "lang")
+    doc = F.col("doc_id")
+    docs = I.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit('"a", b;\n'), F.col("text")).alias("text"), "lang", (doc + 10**12).alias("wide"),
+        F.when(doc % 7 != 0, doc / 8).alias("ratio"), (doc % 2 == 0).alias("even"), F.lpad(doc.cast("string"), 3, "x").alias("code"))
     path = shared_dir(spark, f"documents-{uuid4().hex}.csv")
     docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    back = read_source(spark, path, schema=docs.schema, multi_line=True)
-    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang")
+    back = read_source(spark, path, multi_line=True)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "wide", "ratio", "even", "code")
+
+
+@register("table_schemas")
+def table_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas of the given tables as catalog views, a missing one skipped, and their rows."""
+    from paritas.sources.readers import table_schemas as schemas
+    names = ["customer", "documents", "embeddings", "events", "lineitem", "orders"]
+    for n in names:
+        I.table(spark, sf_dir, n).createOrReplaceTempView(f"schemas_{n}")
+    rows = [I.table(spark, sf_dir, n).agg(F.lit(f"schemas_{n}").alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n in names]
+    return schemas(spark, [*(f"schemas_{n}" for n in names), "schemas_none"]).join(reduce(DataFrame.unionAll, rows), "table_name")
+
+
+@register("catalog_parity")
+def catalog_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 by name: catalog views compared, keyed and keyless, and a table that is not there."""
+    orders, li = I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "lineitem")
+    for name, df in (("orders", orders), ("orders_out", I.orders_corrupted(orders)), ("lines", li), ("lines_out", I.lineitem_shuffled(li))):
+        df.createOrReplaceTempView(f"parity_{name}")
+    found = C.validate_program(spark, "p_views", [
+        ("parity_orders", "parity_orders_out", ["o_orderkey"]), ("parity_lines", "parity_lines_out", None),
+        ("parity_orders", "parity_none", ["o_orderkey"])])
+    tables, columns, _ = found.frames(spark)
+    mismatches = columns.groupBy("program_id", "table").agg(F.sum("mismatches").alias("mismatched_cells"))
+    return tables.join(mismatches, ["program_id", "table"], "left").select(
+        "program_id", F.col("table").alias("table_name"), "gt_rows", "out_rows", "missing_rows", "extra_rows", "method", "passed",
+        "mismatched_cells", F.col("error").startswith("table access failed: ").alias("inaccessible"))
 
 
 @register("parquet_snapshot")

@@ -7,13 +7,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fixed value: the name callers catch.
 class MissingDependencyError(Exception):
     pass
 
 
+#: Types a CSV column may get, narrowest first, with the texts they take. Dates stay text.
+CSV_TYPES = [
+    ("int", r"[+-]?[0-9]{1,10}"),
+    ("bigint", r"[+-]?[0-9]{1,19}"),
+    ("double", r"(?i)[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|[+-]?inf(inity)?"),
+    ("boolean", r"(?i)true|false"),
+]
+
+
+def infer_types(raw: DataFrame) -> dict[str, str]:
+    """The type of each text column, from one pass over all of them: the
+    narrowest that every value takes (missing: null or blank), text if none
+    does or no value is there."""
+    checks = []
+    for i, c in enumerate(raw.columns):
+        text = F.nullif(F.btrim(F.col(f"`{c}`")), F.lit(""))
+        checks.append(F.count(text).alias(f"{i} string"))
+        for kind, shape in CSV_TYPES:
+            fits = text.rlike(f"^(?:{shape})$") & text.try_cast(kind).isNotNull()
+            checks.append(F.count_if(fits).alias(f"{i} {kind}"))
+    n = raw.agg(*checks).first().asDict() if checks else {}
+    return {c: next((kind for kind, _ in CSV_TYPES if 0 < n[f"{i} string"] == n[f"{i} {kind}"]), "string")
+            for i, c in enumerate(raw.columns)}
+
+
 def _csv(spark: SparkSession, path: str, schema, multi_line: bool) -> DataFrame:
     r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
+    if schema is not None:
+        return r.schema(schema).csv(path)
+    raw = r.csv(path)
+    types = infer_types(raw)
+    typed = lambda c: F.col(f"`{c}`") if types[c] == "string" else F.btrim(F.col(f"`{c}`")).try_cast(types[c])
+    return raw.select(*[typed(c).alias(c) for c in raw.columns])
 
 
 def _no_decoder(*_) -> DataFrame:
@@ -31,8 +62,8 @@ READERS = {
 def read_source(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """Read a source by its case-insensitive suffix. CSV has a header row,
     quotes are doubled inside quotes, and types are inferred unless ``schema``
-    is given; line breaks inside quotes need ``multi_line``, which makes each
-    file one task."""
+    is given (one aggregation, run at once, see ``infer_types``); line breaks
+    inside quotes need ``multi_line``, which makes each file one task."""
     suffix = path.lower().rstrip("/").rpartition(".")[2]
     if suffix not in READERS:
         raise ValueError(f"unsupported source format: {path}")

@@ -86,3 +86,18 @@ def test_csv_as_people_export_it(spark, tmpdir_path):
     assert [tuple(r) for r in got] == [(1, 'a "q" b, c'), (2, "two\nlines")]
     with pytest.raises(ValueError):
         R.read_source(spark, f"{tmpdir_path}/x.xlsx")
+
+
+def test_csv_types_are_found_in_one_pass(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/x.csv", "w") as f:
+        f.write("i,l,d,b,s,date,none,mixed,blank\n1,9999999999,1.5,true,x,2024-01-02,,1,\n"
+                "-2, 12 ,nan,FALSE,1d,2024-01-03,,x, \n+3,,1e3,,,,,2,5\n")
+    df = R.read_source(spark, f"{tmpdir_path}/x.csv")
+    assert dict(df.dtypes) == {"i": "int", "l": "bigint", "d": "double", "b": "boolean", "s": "string", "date": "string",
+                               "none": "string", "mixed": "string", "blank": "int"}
+    rows = df.collect()
+    assert [r["l"] for r in rows] == [9999999999, 12, None] and [r["i"] for r in rows] == [1, -2, 3]
+    assert [r["b"] for r in rows] == [True, False, None] and rows[2]["d"] == 1000.0 and [r["blank"] for r in rows] == [None, None, 5]
+    big = spark.createDataFrame([("99999999999",), ("3",)], "v string")
+    assert R.infer_types(big) == {"v": "bigint"} and R.infer_types(big.limit(0)) == {"v": "string"}
+    assert R.infer_types(spark.createDataFrame([("9" * 19,)], "v string")) == {"v": "double"}
