@@ -89,7 +89,7 @@ def ten_digits(c: Column) -> list[Column]:
     d = F.rint(x * F.lit(100.0))
     short = (F.abs(d) < F.lit(1e10)) & ((d / F.lit(100.0)) == x)
     formatted = F.format_string("%.9e", x)
-    back = formatted.cast("double")
+    back = formatted.try_cast("double")  # of a null: null
     inf = F.lit(float("inf"))
     as_text = (((F.abs(back) < F.lit(1e-290)) & (back != F.lit(0.0))) | ((F.abs(back) == inf) & (F.abs(x) != inf)))
     return [F.when(short, x).when(~as_text, back), F.when(~short & as_text, formatted)]
@@ -155,7 +155,7 @@ def float_key(c: Column) -> Column:
     d = F.rint(x * F.lit(100.0))
     short = (F.abs(d) < F.lit(1e10)) & ((d / F.lit(100.0)) == x)
     formatted = F.format_string("%.9e", x)
-    back = formatted.cast("double")
+    back = formatted.try_cast("double")  # of a null: null
     inf = F.lit(float("inf"))
     # Where parsing back is not one-to-one the formatted text is the key:
     # below 1e-290, and finite values whose rounding overflows to infinity.

@@ -1081,6 +1081,34 @@ SELECT 'p_tpch', 'nation', 0, 0, 0, 0, 'error', 'type mismatch: n_name (string v
 UNION ALL
 SELECT 'p_tpch', 'supplier', count(*), count(*), 0, 0, 'keyless-hash(%.9e)', NULL, true FROM supplier"""
 
+_LINE_SAME = " AND ".join(f"gc.{c} IS NOT DISTINCT FROM oc.{c}" for c in LINE_COLS)
+ORACLE["inventory_parity"] = f"""
+WITH {ORDERS_BAD}, {LINEITEM_BAD}, {ORDERS_JOIN},
+per_order AS (
+  SELECT coalesce(g_o_custkey, b_o_custkey) % 20 AS p, count(gk) AS gt_rows, count(bk) AS out_rows,
+    count(*) FILTER (WHERE bk IS NULL) AS missing_rows, count(*) FILTER (WHERE gk IS NULL) AS extra_rows,
+    {", ".join(f"count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)}) AS m_{c}" for c, f in ORDER_VALS)}
+  FROM orders_j GROUP BY 1),
+orders_in AS (
+  SELECT *, CAST({" + ".join(f"m_{c}" for c, _ in ORDER_VALS)} AS BIGINT) AS cells,
+    CAST({" + ".join(f"least(m_{c}, 5)" for c, _ in ORDER_VALS)} AS BIGINT) AS samples FROM per_order),
+gc AS (SELECT {_LINE_ALL}, count(*) AS n FROM lineitem GROUP BY ALL),
+oc AS (SELECT {_LINE_ALL}, count(*) AS n FROM lineitem_bad GROUP BY ALL),
+lines AS (
+  SELECT coalesce(gc.l_orderkey, oc.l_orderkey) % 20 AS p, coalesce(gc.n, 0) AS gn, coalesce(oc.n, 0) AS onn
+  FROM gc FULL OUTER JOIN oc ON {_LINE_SAME}),
+per_line AS (
+  SELECT p, CAST(sum(gn) AS BIGINT) AS gt_rows, CAST(sum(onn) AS BIGINT) AS out_rows,
+    CAST(sum(greatest(gn - onn, 0)) AS BIGINT) AS missing_rows, CAST(sum(greatest(onn - gn, 0)) AS BIGINT) AS extra_rows FROM lines GROUP BY p),
+cust AS (SELECT p, (SELECT count(*) FROM customer WHERE p < 9 AND c_custkey % 10 = p) AS n FROM range(10) t(p))
+SELECT 'o' || p AS program_id, 'sandbox_o' || p || '.out' AS table_name, gt_rows, out_rows, missing_rows, extra_rows, 'keyed rel_tol=1e-09' AS method,
+  gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND cells = 0 AS passed, cells AS mismatched_cells, samples AS n_samples FROM orders_in
+UNION ALL
+SELECT 'l' || p, 'sandbox_l' || p || '.out', gt_rows, out_rows, missing_rows, extra_rows, 'keyless-hash(%.9e)',
+  missing_rows = 0 AND extra_rows = 0, NULL, 0 FROM per_line
+UNION ALL
+SELECT 'c' || p, 'sandbox_c' || p || '.out', n, n, 0, 0, 'keyed rel_tol=1e-09', true, 0, 0 FROM cust"""
+
 ORACLE["csv_source"] = """
 SELECT CAST(doc_id AS INTEGER) AS doc_id, md5('"a", b;' || chr(10) || text) AS text_md5, lang, doc_id + 1000000000000 AS wide,
   CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id AS DOUBLE) / 8 END AS ratio, doc_id % 2 = 0 AS even,

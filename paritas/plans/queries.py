@@ -702,6 +702,38 @@ def parity_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.frames(spark)[0].withColumnRenamed("table", "table_name")
 
 
+@register("inventory_parity")
+def inventory_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: an inventory of 50 programs in three layouts: orders by customer
+    number (keyed, corrupted), order lines (keyless, corrupted) and customers
+    (keyed, equal, one program's tables empty), each layout in one plan."""
+    from uuid import uuid4
+
+    from paritas.session import shared_dir
+    orders, li, cust = (I.table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer"))
+
+    def programs(df: DataFrame, column: str, n: int) -> DataFrame:
+        """The table written as one folder per program."""
+        path = shared_dir(spark, f"programs-{uuid4().hex}")
+        df.withColumn("_p", F.col(column) % n).write.partitionBy("_p").parquet(path)
+        return spark.read.parquet(path)
+
+    pairs = []
+    for column, prefix, n, g, o, keys in (("o_custkey", "o", 20, orders, I.orders_corrupted(orders), ["o_orderkey"]),
+                                          ("l_orderkey", "l", 20, li, I.lineitem_corrupted(li), []),
+                                          ("c_custkey", "c", 10, cust, cust.select(*reversed(cust.columns)), ["c_custkey"])):
+        sides = [programs(x.where(F.lit(prefix != "c") | (F.col(column) % n != 9)), column, n) for x in (g, o)]
+        for i in range(n):
+            mine = [x.where(F.col("_p") == i).drop("_p") for x in sides]
+            pairs.append(C.Pair(f"{prefix}{i}", f"sandbox_{prefix}{i}.out", *mine, keys, 1e-9))
+    tables, columns, samples = C.compare_pairs(spark, pairs)
+    cells = columns.groupBy("program_id").agg(F.sum("mismatches").alias("mismatched_cells"))
+    shown = samples.groupBy("program_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    return tables.join(cells, "program_id", "left").join(shown, "program_id", "left").select(
+        "program_id", F.col("table").alias("table_name"), *C.PAIR_COUNTS, "method", "passed", "mismatched_cells",
+        F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
+
+
 @register("csv_source")
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents written as CSV (quotes doubled, line breaks and
