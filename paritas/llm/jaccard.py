@@ -331,11 +331,11 @@ def one_per_class(df: DataFrame, joined: DataFrame, key: str = "doc_id", text: s
     rows of that key in the class, one of the text with the smallest hash.
     Classes that share a key, or have none, each keep their own row."""
     keep = joined.where(F.col("row_key").eqNullSafe(F.col("class_id"))).groupBy("component") \
-        .agg(F.min("row_key").alias("_near_key"), F.min("row_hash").alias("_near_hash"), F.count(F.lit(1)).alias("_near_n")) \
-        .drop("component")
+        .agg(F.min("row_key").alias("kept_key"), F.min("row_hash").alias("kept_hash"), F.count(F.lit(1)).alias("n")).drop("component")
     keep = written(keep, "kept")
-    on = df[key].eqNullSafe(keep["_near_key"]) & (F.xxhash64(df[text]) == keep["_near_hash"])
-    out = df.join(keep, on)
-    if not keep.where("_near_n > 1").isEmpty():
-        out = out.dropDuplicates([key, "_near_hash"])
-    return out.drop("_near_key", "_near_hash", "_near_n")
+    # The row travels as one column, so its own names clash with none of these.
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df[key].alias("key"), F.xxhash64(df[text]).alias("hash"))
+    out = rows.join(keep, F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("hash") == F.col("kept_hash")))
+    if not keep.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["key", "hash"])
+    return out.select("row.*")

@@ -162,7 +162,7 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: DataFrame, share_of_a
 def mixed(df: DataFrame, taken: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` once per epoch in which ``mix`` takes them, whole.
     Rows with the same key and text are taken alike."""
-    times = taken.groupBy(F.col("row_key").alias("_mix_key"), F.col("row_hash").alias("_mix_hash"), F.col("epoch").alias("_mix_epoch")) \
-        .agg(F.lit(1).alias("_mix_one")).drop("_mix_one")
-    on = df[key].eqNullSafe(times["_mix_key"]) & (F.xxhash64(df[text]) == times["_mix_hash"])
-    return df.join(times, on).drop("_mix_key", "_mix_hash", "_mix_epoch")
+    times = taken.select("row_key", "row_hash", "epoch").distinct()
+    # The row travels as one column, so its own names clash with none of these.
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df[key].alias("key"), F.xxhash64(df[text]).alias("hash"))
+    return rows.join(times, F.col("key").eqNullSafe(F.col("row_key")) & (F.col("hash") == F.col("row_hash"))).select("row.*")

@@ -98,3 +98,12 @@ def test_components(sp):
         a, b = sorted((root(a), root(b)))
         up[b] = a
     assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_any_column_names_stay(sp):
+    """Columns called like the operator's own helpers are kept as they are."""
+    helpers = ["key", "hash", "row", "kept_key", "kept_hash", "n", "component", "row_key", "_near_n"]
+    rows = [(k, t, *[f"{c}{k}" for c in helpers]) for k, t in ((1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words here"))]
+    df = sp.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in helpers))
+    kept = jaccard.one_per_class(df, jaccard.join(df))
+    assert kept.dtypes == df.dtypes and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

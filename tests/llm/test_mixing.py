@@ -100,3 +100,13 @@ def test_edge_cases(sp):
     got = mixing.mix(df, levels, w, 5.0, 2, 1).collect()
     assert sorted((x.row_key or 0, x.epoch, x.taken_tokens) for x in got) == [(0, 0, 2), (0, 1, 2), (4, 0, 2), (4, 0, 2), (4, 1, 2), (4, 1, 2)]
     assert mixing.mix(df.limit(0), levels, w, 1.0, 2, 1).count() == 0
+
+
+def test_any_column_names_stay(sp):
+    """Columns called like the operator's own helpers are kept as they are."""
+    helpers = ["key", "hash", "row", "row_key", "row_hash", "epoch", "_mix_key", "tokens"]
+    rows = [(k, "a b c", "en", *[f"{c}{k}" for c in helpers]) for k in range(4)]
+    df = sp.createDataFrame(rows, "doc_id bigint, text string, lang string, " + ", ".join(f"{c} string" for c in helpers))
+    weights = sp.createDataFrame([("en", 1.0)], "path string, weight double")
+    got = mixing.mixed(df, mixing.mix(df, {"lang": F.col("lang")}, weights, 1.0, 1, 7))
+    assert got.dtypes == df.dtypes and sorted(map(tuple, got.collect())) == rows
