@@ -14,6 +14,8 @@ from paritas.operators.corrupt import corrupt
 
 # Key-modulo parameters of the corrupted copies.
 ORDERS_DROP, ORDERS_PERTURB, ORDERS_RELABEL, ORDERS_EXTRA, ORDERS_SWAP = 101, 97, 89, 503, 211
+# A copy with few changes, for the re-check by buckets.
+RARE_DROP, RARE_PERTURB, RARE_RELABEL, RARE_EXTRA = 997, 1499, 2503, 1999
 LINE_DROP, LINE_PERTURB, LINE_RELABEL, LINE_EXTRA = 101, 97, 89, 503
 
 # A row number for lineitem, which has no unique key (l_linenumber < 8).
@@ -32,6 +34,12 @@ def orders_corrupted(orders: DataFrame) -> DataFrame:
                    extra_mod=ORDERS_EXTRA, swap=("o_orderstatus", ORDERS_SWAP))
 
 
+def orders_slightly_corrupted(orders: DataFrame) -> DataFrame:
+    """orders with a changed row among some hundreds."""
+    return corrupt(orders, "o_orderkey", drop_mod=RARE_DROP, perturb={"o_totalprice": RARE_PERTURB},
+                   relabel={"o_orderpriority": RARE_RELABEL}, extra_mod=RARE_EXTRA)
+
+
 def lineitem_corrupted(lineitem: DataFrame) -> DataFrame:
     """lineitem with dropped, perturbed, relabelled and duplicated rows."""
     k = F.expr(LINE_ROWKEY)

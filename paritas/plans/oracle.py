@@ -101,6 +101,16 @@ SELECT *, (gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0
            AND mismatched_cells = 0) AS passed
 FROM orders_summary"""
 
+ORACLE["bucket_recheck"] = f"""
+WITH orders_bad AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % {I.RARE_PERTURB} = 0 THEN o_totalprice + 1.0 ELSE o_totalprice END AS o_totalprice,
+    o_orderdate, CASE WHEN o_orderkey % {I.RARE_RELABEL} = 0 THEN o_orderpriority || '*' ELSE o_orderpriority END AS o_orderpriority
+  FROM orders WHERE o_orderkey % {I.RARE_DROP} <> 0
+  UNION ALL
+  SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % {I.RARE_EXTRA} = 0),
+{ORDERS_JOIN}, {ORDERS_SUMMARY}
+SELECT *, (gt_rows = out_rows AND missing_rows = 0 AND extra_rows = 0 AND mismatched_cells = 0) AS passed FROM orders_summary"""
+
 ORACLE["parity_keyed_columns"] = f"WITH {ORDERS_BAD}, {ORDERS_JOIN}\n" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name,
        CAST(count(*) FILTER (WHERE {_MATCHED} AND NOT {_orders_match(c, f)}) AS BIGINT) AS mismatches,

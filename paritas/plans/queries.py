@@ -790,6 +790,16 @@ def parquet_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal", F.lit(digest).alias("digest"))
 
 
+@register("bucket_recheck")
+def bucket_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed verdict of two bucketed snapshots, reading only the
+    buckets whose digests differ; equal to the verdict over the whole tables."""
+    from paritas.operators.recheck import bucketed_snapshot, recheck
+    from paritas.session import shared_dir
+    orders, root = I.table(spark, sf_dir, "orders"), shared_dir(spark, "snapshots")
+    return recheck(spark, *(bucketed_snapshot(df, "orders", root, ["o_orderkey"]) for df in (orders, I.orders_slightly_corrupted(orders))))
+
+
 @register("inventory_status")
 def inventory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5/K6: programs (one per customer) registered in two goes, then set to
