@@ -211,17 +211,29 @@ def sql_scripts(orders: DataFrame, documents: DataFrame) -> DataFrame:
         literal, F.lit("SELECT '"), F.col("o_orderpriority"), F.lit(";"), ks, F.lit("' AS p; "), tail).alias("code"))
 
 
-def responses(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
+def responses(orders: DataFrame, documents: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Stored answers, one per order, document and conversation of the same
+    number: the whole conversation as prose before the header (in a fence of
+    another kind for some), the whole document as a comment in the code block,
+    and for some a fence of another kind between header and code."""
+    talk = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t")) \
+        .select("conv_id", F.array_join(F.transform("_t", lambda x: F.coalesce(x["text"], F.lit(""))), NL).alias("_talk"))
+    x = orders.select("o_orderkey").join(documents.select("doc_id", F.col("text").alias("_doc")), F.col("o_orderkey") == F.col("doc_id"), "full") \
+        .select(F.coalesce("o_orderkey", "doc_id").alias("k"), "_doc")
+    x = x.join(talk, F.col("k") == F.col("conv_id"), "full").select(F.coalesce("k", "conv_id").alias("k"), "_doc", "_talk")
+    k = F.col("k")
     ks = k.cast("string")
+    no_fence = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("```"), F.lit("~~~"))
     lang = F.when(k % 7 == 0, "python").when(k % 2 == 1, "pyspark").otherwise("sql")
+    prose = F.when(k % 3 == 0, F.concat(F.lit("```text\n"), no_fence("_talk"), F.lit("\n```\n"))) \
+        .otherwise(F.concat(no_fence("_talk"), F.lit("\n")))
     header = (F.when(k % 11 == 0, F.lit(""))
                .when(k % 13 == 0, F.lit("```json\n{language: sql\n```\n"))
                .otherwise(F.concat(F.lit('```json\n{"language": "'), lang, F.lit('", "inputs": ["in'), ks,
                                    F.lit('"], "outputs": ["out'), ks, F.lit('"]}\n```\n'))))
+    between = F.when(k % 5 == 0, F.lit("then\n```text\nno code\n```\n")).otherwise(F.lit(""))
     fence = F.when(lang == "sql", "sql").otherwise("python")
     code = F.when(k % 17 == 0, F.lit("no code here")).otherwise(
-        F.concat(F.lit("```"), fence, F.lit("\n  SELECT * FROM in"), ks, F.lit(";  \n```")))
-    return orders.select(F.concat(F.lit("r"), ks).alias("response_id"),
-                         (k % 9).cast("int").alias("step_index"),
-                         F.concat(F.lit("Here is the step.\n"), header, code).alias("text"))
+        F.concat(F.lit("```"), fence, F.lit("\n  /* "), no_fence("_doc"), F.lit(" */ SELECT * FROM in"), ks, F.lit(";  \n```")))
+    return x.select(F.concat(F.lit("r"), ks).alias("response_id"), (k % 9).cast("int").alias("step_index"),
+                    F.concat(F.lit("Here is the step.\n"), prose, header, between, code).alias("text"))

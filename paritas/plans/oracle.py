@@ -780,21 +780,25 @@ l AS (
 SELECT script_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS stmt_no, unnest(l) AS statement FROM l"""
 
 ORACLE["parsed_responses"] = f"""
-WITH r0 AS (
-  SELECT o_orderkey AS k,
-         CASE WHEN o_orderkey % 7 = 0 THEN 'python' WHEN o_orderkey % 2 = 1 THEN 'pyspark'
-              ELSE 'sql' END AS lang
-  FROM orders),
+WITH talk AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS talk FROM conversations GROUP BY conv_id),
+r0 AS (
+  SELECT k, replace(coalesce(doc, ''), '```', '~~~') AS doc, replace(coalesce(talk, ''), '```', '~~~') AS talk,
+    CASE WHEN k % 7 = 0 THEN 'python' WHEN k % 2 = 1 THEN 'pyspark' ELSE 'sql' END AS lang
+  FROM (SELECT coalesce(o.k, conv_id) AS k, doc, talk
+        FROM (SELECT coalesce(o_orderkey, doc_id) AS k, text AS doc FROM orders FULL JOIN documents ON o_orderkey = doc_id) o
+        FULL JOIN talk ON o.k = conv_id)),
 r AS (
   SELECT 'r' || CAST(k AS VARCHAR) AS response_id, CAST(k % 9 AS INTEGER) AS step_index,
          'Here is the step.' || chr(10) ||
+         CASE WHEN k % 3 = 0 THEN '```text' || chr(10) || talk || chr(10) || '```' || chr(10) ELSE talk || chr(10) END ||
          CASE WHEN k % 11 = 0 THEN ''
               WHEN k % 13 = 0 THEN '```json' || chr(10) || '{{language: sql' || chr(10) || '```' || chr(10)
               ELSE '```json' || chr(10) || '{{"language": "' || lang || '", "inputs": ["in' || CAST(k AS VARCHAR)
                    || '"], "outputs": ["out' || CAST(k AS VARCHAR) || '"]}}' || chr(10) || '```' || chr(10) END ||
+         CASE WHEN k % 5 = 0 THEN 'then' || chr(10) || '```text' || chr(10) || 'no code' || chr(10) || '```' || chr(10) ELSE '' END ||
          CASE WHEN k % 17 = 0 THEN 'no code here'
               ELSE '```' || CASE WHEN lang = 'sql' THEN 'sql' ELSE 'python' END || chr(10)
-                   || '  SELECT * FROM in' || CAST(k AS VARCHAR) || ';  ' || chr(10) || '```' END AS text
+                   || '  /* ' || doc || ' */ SELECT * FROM in' || CAST(k AS VARCHAR) || ';  ' || chr(10) || '```' END AS text
   FROM r0),
 x AS (
   SELECT response_id, step_index, text,

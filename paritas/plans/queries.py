@@ -579,8 +579,9 @@ def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("parsed_responses")
 def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored translation responses parsed into language, code, tables or an error."""
-    p = T.parse_responses(I.responses(I.table(spark, sf_dir, "orders")))
+    """Stored translation responses, which carry whole conversations and
+    documents, parsed into language, code, tables or an error."""
+    p = T.parse_responses(I.responses(*(I.table(spark, sf_dir, t) for t in ("orders", "documents", "conversations"))))
     return p.select("response_id", "step_index", "language", "code",
                     F.array_join("inputs", ",").alias("inputs"),
                     F.array_join("outputs", ",").alias("outputs"), "error")
