@@ -78,25 +78,82 @@ def _regex_replacement_literal(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\$])", r"\\$1")
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ascii_lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _definitions(names: Column, values: Column) -> Column:
+    """``key``, ``i``, ``name`` and ``value`` of each name: its place is that of
+    its first definition, its value that of its last one. By sorting, not by
+    comparing each with all others."""
+    every = F.array_sort(F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("i"), F.get(values, i).alias("value"))))
+
+    def per_name(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["name"] != x["name"]))
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["name"] != x["name"]))
+        return F.zip_with(first, last, lambda f, x: F.struct(
+            _ascii_lower(f["name"]).alias("key"), f["i"].alias("i"), f["name"].alias("name"), _strip(x["value"]).alias("value")))
+    return F.array_sort(_with(every, per_name))
+
+
+def _one_by_one(text: Column, defs: Column) -> Column:
+    """Each definition rewrites the whole text: longer names first, then in order."""
+    order = F.array_sort(F.transform(defs, lambda d: F.struct((-F.length(d["key"])).alias("n"), d["i"].alias("i"), d["name"].alias("name"),
+                                                              d["value"].alias("value"))))
+    return F.aggregate(order, text, lambda acc, d: F.regexp_replace(
+        acc, F.concat(F.lit("(?i)&"), d["name"], F.lit(r"\.?")), _regex_replacement_literal(d["value"])))
+
+
+def _length_by_length(text: Column, winners: Column) -> Column:
+    """One pass over the text for all names of a length: split at ``&``, the
+    front of a piece looked up in the definitions."""
+    lengths = F.reverse(F.array_sort(F.array_distinct(F.transform(winners, lambda d: F.length(d["key"])))))
+    table = F.map_from_arrays(F.transform(winners, lambda d: d["key"]), F.transform(winners, lambda d: d["value"]))
+
+    def replaced(acc: Column, n: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            rest = F.substr(p, n + 1)
+            after = F.when(rest.startswith("."), F.substr(rest, F.lit(2))).otherwise(rest)
+            found = F.try_element_at(acc["table"], _ascii_lower(F.substr(p, F.lit(1), n)))
+            return F.when(i == 0, p).otherwise(F.coalesce(F.concat(found, after), F.concat(F.lit("&"), p)))
+        return F.struct(F.array_join(F.transform(F.split(acc["text"], "&", -1), piece), "").alias("text"), acc["table"].alias("table"))
+
+    return F.aggregate(lengths, F.struct(text.alias("text"), table.alias("table")), replaced)["text"]
+
+
 def expand_lets(src) -> Column:
     """Expand ``%let`` variables: the last definition of a name wins for the
     whole text, definitions are removed, longer names are substituted first,
-    ``&name`` and ``&name.`` are replaced case-insensitively."""
+    ``&name`` and ``&name.`` are replaced case-insensitively.
+
+    Names of one length are replaced in one pass, so the work is linear in the
+    text for each length. Where the result of a replacement could itself become
+    a reference to a name of the same length (a reference right after another,
+    a value that ends in one or refers to such a name, names that differ only in
+    case), definitions are applied one by one instead, which is what the rule says.
+    """
     src = _c(src)
     names = F.regexp_extract_all(src, F.lit(LET_RE), 1)
     values = F.regexp_extract_all(src, F.lit(LET_RE), 2)
-    n = F.size(names)
-    defs = F.transform(names, lambda x, i: F.struct(
-        (-F.length(x)).alias("neg_len"), i.alias("i"), x.alias("name"),
-        # value of the last definition of this name
-        F.element_at(values, (n - F.array_position(F.reverse(names), x) + 1).cast("int"))
-         .alias("value")))
-    first_only = F.filter(defs, lambda d: ~F.array_contains(F.slice(names, 1, d["i"]), d["name"]))
-    ordered = F.array_sort(first_only)
     base = F.regexp_replace(src, LET_RE, "")
-    return F.aggregate(ordered, base, lambda acc, d: F.regexp_replace(
-        acc, F.concat(F.lit("(?i)&"), d["name"], F.lit(r"\.?")),
-        _regex_replacement_literal(_strip(d["value"]))))
+
+    def expanded(defs: Column) -> Column:
+        refers = lambda d: F.contains(d["value"], F.lit("&"))
+        winners = F.filter(defs, lambda d, i: (i == 0) | (F.get(defs, i - 1)["key"] != d["key"]))
+
+        def chosen(w: Column) -> Column:
+            same_length = lambda d: F.exists(F.regexp_extract_all(d["value"], F.lit(r"(?U)&(\w+)"), 1), lambda r: F.exists(
+                w, lambda e: (F.length(e["key"]) == F.length(d["key"])) & (e["key"] != d["key"]) & _ascii_lower(r).startswith(e["key"])))
+            may_cascade = (src.rlike(r"(?U)&\w*&") | F.exists(w, lambda d: refers(d) & (d["value"].rlike(r"(?U)&\w*$") | same_length(d)))
+                           | ((F.size(w) < F.size(defs)) & F.exists(defs, refers)))
+            return F.when(F.size(w) == 0, base).when(may_cascade, _one_by_one(base, defs)).otherwise(_length_by_length(base, w))
+        return _with(winners, chosen)
+    return _with(_definitions(names, values), expanded)
 
 
 # ---------------------------------------------------------------- T2

@@ -335,3 +335,46 @@ def test_a_script_of_many_steps_is_split_in_linear_time(spark):
     t = time.perf_counter()
     counts = {r["kind"]: r["count"] for r in T.split_steps(df).groupBy("kind").count().collect()}
     assert counts == {"data": 30_000, "global": 30_000} and time.perf_counter() - t < 30
+
+
+def _lets_one_by_one(text):
+    """The rule as it is said: each definition rewrites the whole text."""
+    import re
+    line = re.compile(r"^\s*%let\s+(\w+)\s*=\s*([^;]*);\s*$", re.I | re.M)
+    found = {}
+    for name, value in line.findall(text):
+        found[name] = value.strip()
+    out = line.sub("", text)
+    for name in sorted(found, key=lambda n: -len(n)):
+        out = re.sub(rf"&{name}\.?", lambda m: found[name], out, flags=re.I | re.A)
+    return out
+
+
+def test_lets_equal_one_definition_after_the_other(spark):
+    import random
+    rnd = random.Random(12)
+    names = ["a", "b", "ab", "AB", "abc", "x1", "lib", "xab", "ba"]
+    bits = ["&a", "&ab.", "&AB", "&abc..", "&lib.x", "&x1", "&&a", "&a&b", "&", "&.", "plain", " ", ".", "$1\\", "é", "&xab", "&none", "ab", "c"]
+    texts = []
+    for _ in range(400):
+        lines = []
+        for _ in range(rnd.randrange(9)):
+            if rnd.random() < 0.5:
+                value = "".join(rnd.choice(bits[:5] + ["v", "w ", "$2", "", "5"] * 3) for _ in range(rnd.randrange(3)))
+                lines.append(f"%let {rnd.choice(names)} = {value};")
+            else:
+                lines.append("".join(rnd.choice(bits) for _ in range(rnd.randrange(7))))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, s STRING")
+    got = {r["i"]: r["o"] for r in df.select("i", T.expand_lets("s").alias("o")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _lets_one_by_one(t), t
+
+
+def test_many_definitions_in_one_script(spark):
+    import time
+    src = "".join(f"%let name{i} = value {i};\n" for i in range(1500)) + "".join(f"x = &name{i}. + &NAME{i};\n" for i in range(1500))
+    df = spark.createDataFrame([(src,)], "s STRING")
+    t = time.perf_counter()
+    out = df.select(T.expand_lets("s")).first()[0].strip().split("\n")
+    assert out == [f"x = value {i} + value {i};" for i in range(1500)] and time.perf_counter() - t < 20
