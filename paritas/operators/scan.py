@@ -5,19 +5,21 @@ statements). A window ``partitionBy(by).orderBy(order)`` puts each group in
 one task, so a group holding a third of the table would become a single
 task. Instead:
 
-1. ``repartitionByRange(n, *by, *order)`` cuts the ordered rows into ``n``
-   contiguous chunks; a hot group spans many chunks.
-2. Inside each (group, chunk) a window computes the local running values.
-3. A per-(group, chunk) summary (at most ``#groups + n`` rows) gives each chunk
+1. Split points cut the ordered rows into ``n`` contiguous chunks; a hot group
+   spans many chunks. They are the quantiles of a bounded sample of the
+   (by, order) keys: those with the smallest hashes, so the sample is the same
+   whenever it is taken, and one top-k per task finds it.
+2. A row's chunk is a column expression: a binary search in the split points.
+   It depends on the row alone, so every reader of the table sees the same
+   chunks, and nothing has to be written in between.
+3. Inside each (group, chunk) a window computes the local running values.
+4. A per-(group, chunk) summary (at most ``#groups + n`` rows) gives each chunk
    its carry-in from the earlier chunks of the same group.
-4. One equi-join on (group, chunk) adds the carry-in to the local values.
+5. One equi-join on (group, chunk) adds the carry-in to the local values.
 
-Steps 2-4 read the chunked rows twice (local values, summary). Range bounds
-come from a sample, and two separately planned exchanges may sample
-differently, so the chunked rows are materialized once with a reliable
-``checkpoint()`` in the session's shared checkpoint folder: both readers see
-the same chunk ids, and the lineage is cut (a lost executor re-reads the
-checkpoint instead of re-sampling).
+Steps 3 and 4 each read the rows. Split points are read while the plan is
+built (one job over the key columns; at most ``SAMPLE_PER_CHUNK`` keys per chunk
+come to the driver).
 
 The order columns must make rows unique within a group (a tie-break), and
 sort ascending with missing values first, as SAS does.
@@ -27,13 +29,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paritas.session import ensure_checkpoint_dir
-
 CHUNK = "_chunk"
+#: Keys sampled for each chunk: a chunk's size is off by a tenth or so.
+SAMPLE_PER_CHUNK = 64
 
 
 CHUNKS_PER_PARTITION = 4
@@ -54,14 +56,37 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
+def split_points(df: DataFrame, sort_cols: list[str], num_chunks: int) -> list[Row]:
+    """At most ``num_chunks - 1`` keys that cut the rows into even chunks."""
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(sort_cols)])
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_PER_CHUNK * num_chunks)
+    keys = sample.agg(F.array_sort(F.collect_list("k")).alias("k")).first()["k"]
+    cuts = [keys[len(keys) * i // num_chunks] for i in range(1, num_chunks)] if keys else []
+    return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
+
+
+def chunk_of(df: DataFrame, sort_cols: list[str], cuts: list[Row]) -> Column:
+    """The number of split points that are not above the row's key."""
+    if not cuts:
+        return F.lit(0)
+    types = [df.schema[c].dataType for c in sort_cols]
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(sort_cols)])
+    at = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, types, strict=True))]) for c in cuts]
+    points = F.array(*at)  # constant: folded once
+    n = len(cuts)
+    # In each step the answer lies in [low, high].
+    middle = lambda x: F.floor((x["low"] + x["high"]) / 2).cast("int")
+    step = lambda x, _: F.when(x["low"] == x["high"], x).when(
+        F.get(points, middle(x)) <= x["key"], F.struct((middle(x) + 1).alias("low"), x["high"].alias("high"), x["key"].alias("key"))).otherwise(
+        F.struct(x["low"].alias("low"), middle(x).alias("high"), x["key"].alias("key")))
+    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"), key.alias("key"))
+    return F.aggregate(F.array(*[F.lit(0)] * n.bit_length()), start, step, lambda x: x["low"])
+
+
 def chunk(df: DataFrame, sort_cols: list[str], num_chunks: int | None = None) -> DataFrame:
-    """Rows cut into contiguous chunks of ``sort_cols`` order, with a ``_chunk``
-    id, materialized once (reliable checkpoint in the shared folder)."""
-    n = num_chunks or default_chunks(df)
-    x = (df.repartitionByRange(n, *[F.col(f"`{c}`") for c in sort_cols])
-           .withColumn(CHUNK, F.spark_partition_id()))
-    ensure_checkpoint_dir(df.sparkSession)
-    return x.checkpoint(eager=True)
+    """Rows with a ``_chunk`` id: contiguous chunks of ``sort_cols`` order."""
+    cuts = split_points(df, sort_cols, num_chunks or default_chunks(df))
+    return df.withColumn(CHUNK, chunk_of(df, sort_cols, cuts))
 
 
 def ordered_scan(df: DataFrame, by: list[str], order: list[str], *,

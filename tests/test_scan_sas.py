@@ -43,10 +43,20 @@ def test_ordered_scan_matches_brute_force_on_hot_group(spark, chunks):
     assert both.all() and ((out["locf"] - exp["locf"]).abs().fillna(0) < 1e-12).all()
 
 
-def test_hot_group_spans_many_chunks(spark):
+def test_chunks_are_even_contiguous_and_need_no_checkpoint(spark):
+    from paritas.operators.scan import CHUNK, chunk
     df = skewed(spark)
-    x = df.repartitionByRange(16, "g", "t").withColumn("c", F.spark_partition_id())
-    assert x.filter("g = 0").select("c").distinct().count() > 3
+    x = chunk(df, ["g", "t"], 16)
+    rows = sorted((r["g"], r["t"], r[CHUNK]) for r in x.collect())
+    chunks = [c for _, _, c in rows]
+    assert chunks == sorted(chunks) and set(chunks) == set(range(16))
+    sizes = [chunks.count(c) for c in range(16)]
+    assert max(sizes) < 2 * 3000 / 16 and len({c for g, _, c in rows if g == 0}) > 3
+    again = {(r["g"], r["t"]): r[CHUNK] for r in chunk(df.repartition(7), ["g", "t"], 16).collect()}
+    assert again == {(g, t): c for g, t, c in rows}
+    plan = ordered_scan(df, ["g"], ["t"], position="p", num_chunks=16)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD[g" in plan and "checkpoint" not in plan.lower()
+    assert [r[CHUNK] for r in chunk(df.limit(0), ["g"], 4).collect()] == []
 
 
 def test_scan_without_by_and_totals(spark):
