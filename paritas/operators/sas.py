@@ -275,15 +275,22 @@ def transpose_long(df: DataFrame, by: list[str], variables: list[str]) -> DataFr
 
 # ---------------------------------------------------------------- J3
 
+#: Rows of one BY value up to which a merge is one full join; a larger group
+#: has to be split, which a full join can't.
+MERGE_GROUP_ROWS = 1_000_000
+
+
 def merge_by(left: DataFrame, right: DataFrame, by: list[str],
-             in_left: str = "in_left", in_right: str = "in_right") -> DataFrame:
+             in_left: str = "in_left", in_right: str = "in_right", group_rows: int = MERGE_GROUP_ROWS) -> DataFrame:
     """DATA step match-merge ``MERGE left right; BY by;`` for 1:1 and 1:n.
 
     Shared non-BY columns take the right value when a right row exists. n:m
-    (duplicate keys on both sides) raises. The side with duplicate keys is
-    streamed through a left join (adaptive execution splits a hot key) and
-    the unmatched rows of the unique side are added with an anti join
-    against the distinct keys.
+    (duplicate keys on both sides) raises, which one job over the key columns
+    finds out. Each side is then read once, by a full join on the keys. Where a
+    BY value has more than ``group_rows`` rows, the side with duplicate keys is
+    streamed through a left join instead (adaptive execution splits a hot key)
+    and the unmatched rows of the unique side are added with an anti join
+    against the distinct keys; the result is the same.
     """
     from paritas.operators.compare import key_stats
     ks = key_stats(left, right, by).first()      # one job: both sides' largest key group
@@ -297,8 +304,10 @@ def merge_by(left: DataFrame, right: DataFrame, by: list[str],
     R = right.select(*[F.col(f"`{c}`").alias("r__" + c) for c in by],
                      *[F.col(f"`{c}`").alias("r__" + c) for c in rcols], F.lit(True).alias("_in_r"))
     on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`r__{k}`")) for k in by])
+    if max(lmax, rmax) <= group_rows:
+        streamed, only = L.join(R, on, "full_outer"), None
     # Stream the side that may repeat keys (left when neither does).
-    if rmax > 1:
+    elif rmax > 1:
         streamed = R.join(L, on, "left")
         keys_r = R.select(*[F.col(f"`r__{k}`") for k in by]).distinct()
         only = L.join(keys_r, on, "left_anti")
@@ -306,7 +315,7 @@ def merge_by(left: DataFrame, right: DataFrame, by: list[str],
         streamed = L.join(R, on, "left")
         keys_l = L.select(*_cols(by)).distinct()
         only = R.join(keys_l, on, "left_anti")
-    both = streamed.unionByName(only, allowMissingColumns=True)
+    both = streamed if only is None else streamed.unionByName(only, allowMissingColumns=True)
     # A left-less row carries its BY values only on the right side.
     out = [F.when(F.col("_in_l").isNotNull(), F.col(f"`{k}`")).otherwise(F.col(f"`r__{k}`")).alias(k)
            for k in by]

@@ -143,6 +143,16 @@ def test_transpose_numeric_ids_get_prefix(spark):
     assert SO.transpose_wide(long, ["id"], "n", "v").columns == ["id", "_NAME_", "_1", "_2"]
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_merge_of_large_groups_gives_the_same(spark, swap):
+    """The split path and the full join agree, null keys and unmatched rows included."""
+    one = spark.createDataFrame([(k, f"o{k}") for k in (1, 2, 3, None, 9)], "k INT, s STRING")
+    many = spark.createDataFrame([(k, f"m{i}", i) for i, k in enumerate([1, 1, 1, 3, None, None, 7, 7])], "k INT, s STRING, b INT")
+    a, b = (many, one) if swap else (one, many)
+    rows = [sorted(map(tuple, SO.merge_by(a, b, ["k"], group_rows=n).collect()), key=str) for n in (1, 1000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 10
+
+
 def test_merge_one_to_many_right_wins(spark):
     left = spark.createDataFrame([(1, "L1", 10), (2, "L2", 20), (4, "L4", 40)], "k INT, s STRING, a INT")
     right = spark.createDataFrame([(1, "R1", 100), (1, "R1b", 101), (3, "R3", 300)], "k INT, s STRING, b INT")

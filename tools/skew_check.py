@@ -98,7 +98,7 @@ def main():
     many = li.select(F.when(k % 3 == 0, F.lit(0)).otherwise(k % 1000 + 1).alias("g"), "l_quantity",
                      "l_extendedprice", "l_partkey", "l_suppkey", "l_orderkey", "l_shipdate").repartition(32)
     sc.setJobGroup("merge", "1:n merge, hot key on the many side")
-    merged = SO.merge_by(ones, many, ["g"])
+    merged = SO.merge_by(ones, many, ["g"], group_rows=10_000)  # the hot group is large here
     merged.collect()
     final = merged._jdf.queryExecution().executedPlan().toString()
     skew_split = "SortMergeJoin(skew=true)" in final
