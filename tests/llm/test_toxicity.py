@@ -60,3 +60,30 @@ def test_held_out_accuracy(sp):
     wrong_clean = [r for r in got if r.toxic == 0 and r.score >= toxicity.THRESHOLD]
     caught = [r for r in got if r.toxic == 1 and r.score >= toxicity.THRESHOLD]
     assert len(got) > 80 and not wrong_clean and len(caught) >= 0.5 * sum(r.toxic for r in got)
+
+
+def test_training_against_numeric_gradients():
+    """The same steps with every sentence in a plain loop and the gradient of the
+    noisy-or likelihood by central differences."""
+    fit = toxicity.Fit(per_class=200, steps=25)
+    rows = bags()[::3]
+    model = toxicity.train(rows, fit)
+    names = sorted(model.weights)
+    docs = [([[f for w in words for f in toxicity.features(w) if f in model.weights] for _, _, words in toxicity.sentences(t)], y) for t, y in rows]
+
+    def loss(w):
+        total = 0.0
+        for sents, y in docs:
+            clean = math.prod(1 - 1 / (1 + math.exp(-(w[""] + sum(w[f] for f in s)))) for s in sents)
+            total -= math.log(1 - clean) if y else math.log(clean)
+        return total / len(docs) + fit.l2 / 2 * sum(w[f] ** 2 for f in names)
+
+    w = dict.fromkeys(names, 0.0) | {"": fit.start}
+    m, v, e = dict.fromkeys(w, 0.0), dict.fromkeys(w, 0.0), 1e-6
+    for step in range(1, fit.steps + 1):
+        g = {f: (loss({**w, f: w[f] + e}) - loss({**w, f: w[f] - e})) / (2 * e) for f in w}
+        for f in w:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.99 * v[f] + 0.01 * g[f] ** 2
+            w[f] -= fit.rate * (m[f] / (1 - 0.9 ** step)) / (math.sqrt(v[f] / (1 - 0.99 ** step)) + 1e-8)
+    assert len(names) > 5 and math.isclose(w[""], model.bias, abs_tol=1e-3)
+    assert all(math.isclose(w[f], model.weights[f], abs_tol=1e-3) for f in names)
