@@ -36,6 +36,11 @@ FORBIDDEN_RE = (r"(?iU)\b(?:use\s+(?:catalog\s+|schema\s+|database\s+)?\w|"
                 r"insert\s+overwrite\s+(?:local\s+)?directory\b)")
 PY_FORBIDDEN_RE = r"(?U)\.set(?:CurrentDatabase|CurrentCatalog)\s*\("
 
+# What the write scan takes out: line comments, block comments, blanks around dots.
+LINE_COMMENT_RE = r"--[^\n]*"
+SCAN_COMMENT_RE = r"(?s)/\*.*?\*/"
+DOT_RE = r"(?U)\s*\.\s*"
+
 JSON_BLOCK_RE = r"(?s)```json\s*\n(.*?)```(.*)"
 CODE_BLOCK_RE = r"(?s)```(sql|python|pyspark)\s*\n(.*?)```"
 HEADER_SCHEMA = "language string, inputs array<string>, outputs array<string>"
@@ -329,10 +334,8 @@ def preprocess(programs: DataFrame, files: DataFrame, id_col: str = "program_id"
 def scan_text(code) -> Column:
     """Normalized text for the write scan: no backticks, no comments,
     qualified names without spaces around the dot."""
-    s = F.replace(_c(code), F.lit("`"), F.lit(""))
-    s = F.regexp_replace(s, r"--[^\n]*", " ")
-    s = F.regexp_replace(s, r"(?s)/\*.*?\*/", " ")
-    return F.regexp_replace(s, r"(?U)\s*\.\s*", ".")
+    bare = F.replace(_c(code), F.lit("`"), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, LINE_COMMENT_RE, " "), SCAN_COMMENT_RE, " "), DOT_RE, ".")
 
 
 def sandbox_violations(df: DataFrame, id_col: str, code_col: str, schema_col: str) -> DataFrame:

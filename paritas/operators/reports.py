@@ -265,6 +265,7 @@ def certificates(programs: DataFrame, outcome: DataFrame, tables: DataFrame,
                         F.coalesce("outer_attempts", F.lit(0)), F.coalesce("run_repairs", F.lit(0))),
         F.concat(F.lit("- float relative tolerance: "), tol_text(tol)),
         F.lit("  (keyless comparisons round floats to 10 significant digits before hashing)"),
+        # Fixed value: the table's columns.
         F.lit(""), F.lit("| output table | ground-truth rows | output rows | result | method |"),
         F.lit("|---|---|---|---|---|"), F.coalesce(F.col("_tables"), F.lit("")), F.lit(""),
         F.lit("## Input snapshots"), F.coalesce(F.col("_snaps"), F.lit("- (none recorded)")))
