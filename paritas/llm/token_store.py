@@ -102,7 +102,7 @@ class _Parts(dict):
     """Ids of parts, in two generations: a full one becomes the old one, and a
     part that is met again moves back. Long parts are not kept."""
 
-    MOST, LONGEST = 250_000, 64
+    MOST, LONGEST = 600_000, 64
 
     def __init__(self, encoder: Encoder):
         super().__init__()
