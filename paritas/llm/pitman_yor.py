@@ -1,7 +1,7 @@
 """Hierarchical Pitman-Yor language model over all documents.
 
-Restaurants: one per context (a class of the word before, ``CONTEXTS`` of
-them), all with the same parent, the restaurant without context, whose base
+Restaurants: one per word before (the whole word; a text starts after an end
+token), all with the same parent, the restaurant without context, whose base
 is uniform over the known words and one place for unknown ones. A context
 restaurant sends one customer to the parent per table. Seating is sampled by
 Gibbs sweeps over the table counts. A dish of up to ``EXACT`` customers is emptied and its
@@ -16,18 +16,22 @@ from numbers of its own (a hash of seed, sweep, word and context), so scores do
 not depend on slices or partitions. The probability of a word is the average
 over the sampled seatings.
 
-How it is spread: a batch of documents becomes one row, with its word ids and,
-per slice of the vocabulary, the words and contexts it asks about, each once.
-Slices (by word hash) collect the counts of their words from all batches, hold
-all contexts of a word side by side, and are seated in parallel; a sweep
-shares only the totals per restaurant (``CONTEXTS`` numbers), from which any
-slice can replay its sweeps. The answers go
+How it is spread: a batch of documents becomes one row with its word numbers.
+Slices of the vocabulary (ranges of word hashes) count the learned words and
+give each an id, the smaller the more frequent, so that contexts and words
+travel in few bytes. A batch then asks, per slice of the words, about its pairs
+of word and context, each once. A slice collects the counts of its words from all
+batches, holds all contexts of a word side by side, and is seated in parallel.
+A context's dishes lie in many slices: per sweep each slice sends the tables of
+its contexts to the contexts' homes, which add them up and send the totals back
+to the slices that hold the context. The driver sees a few sums only. The answers go
 back to the batches, which sum them per document. So what is shuffled is one
-entry per distinct word, context and batch, not one per token, and frequent
-words weigh no more than rare ones.
+entry per distinct word, context and batch, not one per token, and per sweep one
+per context and slice.
 
 Defined results: null and empty texts are the end token alone; with no
-training document every word is unknown and the model is its base; repeated
+training document every word is unknown and the model is its base; an unknown
+word makes an empty restaurant, which passes on to the parent; repeated
 rows count and are scored one by one; a null key is held out or not as the
 caller's condition says; other columns are neither read nor returned; an empty
 table gives an empty result. Words are told apart by a 64-bit hash.
@@ -37,11 +41,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
+from dataclasses import dataclass, replace
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +54,11 @@ from pyspark.sql import functions as F
 from paritas.llm.common import scratch, written
 from paritas.llm.pieces import mix, unit
 
-CONTEXTS = 256
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 2_000_000
+#: Tokens a slice of the words gets on average, where the caller names no number of slices.
+SLICE_TOKENS = 8_000_000
+#: Ranges of word hashes (a power of two) within which words are ranked by their counts.
+RANGES = 1024
 ONE_BY_ONE = 64
 #: Customers up to which a dish's tables are drawn from the exact conditional.
 EXACT = 64
@@ -68,21 +76,7 @@ class Sampling:
     seed: int = 11
 
 
-# ---------------------------------------------------------------- batches
-
-
-class _Numbers(dict):
-    """Numbers of the words of a batch, in the order they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = len(self)
-        return got
-
-
-def follower_class(word: bytes) -> int:
-    """The context a word makes for the next one: by its last three bytes, so a
-    short word is its own class and long ones share their ending; 0: none."""
-    return 1 + xxhash.xxh32_intdigest(word[-3:]) % (CONTEXTS - 1)
+# ---------------------------------------------------------------- numbers as bytes
 
 
 def spelled(values: np.ndarray) -> bytes:
@@ -98,61 +92,81 @@ def unspelled(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-def pack_words(words: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_count: np.ndarray,
-               end_count: np.ndarray) -> bytes:
-    """A request or state: words ascending, per word its number of pairs and
-    its count, and per pair (word, then context ascending) context and count."""
-    per_word = np.bincount(pair_word, minlength=len(words))
-    parts = [words.astype("<u8").tobytes(), spelled(per_word), spelled(end_count), pair_context.astype(np.uint8).tobytes(),
-             spelled(pair_count)]
-    head = np.array([len(words), len(pair_word), *map(len, parts)], dtype="<i8").tobytes()
-    return head + b"".join(parts)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, as planes of bytes of like weight, compressed."""
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        v = np.ascontiguousarray(a, dtype="<u8")
+        width = (int(v.max()).bit_length() + 7) // 8 if len(v) else 0
+        head += [len(v), width]
+        parts.append(v.view(np.uint8).reshape(-1, 8).T[:width].tobytes())
+    raw = b"".join(parts)
+    return np.array([*head, len(raw)], dtype="<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(body: bytes) -> list[np.ndarray]:
+    k = int.from_bytes(body[:8], "little")
+    head = np.frombuffer(body, dtype="<i8", count=2 * k + 1, offset=8)
+    raw, at, out = pa.decompress(body[16 + 16 * k:], int(head[-1]), codec="zstd", asbytes=True), 0, []
+    for n, width in head[:-1].reshape(-1, 2).tolist():
+        v = np.zeros((n, 8), dtype=np.uint8)
+        v[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+        out.append(v.view("<u8").reshape(-1))
+        at += n * width
+    return out
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the steps between them."""
+    return np.diff(ascending.astype(np.uint64), prepend=np.uint64(0))
+
+
+def climbed(v: np.ndarray) -> np.ndarray:
+    return np.cumsum(v, dtype=np.uint64)
+
+
+# ---------------------------------------------------------------- batches
+
+
+class _Numbers(dict):
+    """Numbers of the words of a batch, in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self)
+        return got
 
 
-def unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, pair counts per word, word counts, contexts, counts."""
-    n, pairs, *sizes = (int(x) for x in np.frombuffer(raw, dtype="<i8", count=7))
-    at, parts = 56, []
-    for s in sizes:
-        parts.append(raw[at:at + s])
-        at += s
-    return (np.frombuffer(parts[0], dtype="<u8"), unspelled(parts[1], n), unspelled(parts[2], n),
-            np.frombuffer(parts[3], dtype=np.uint8), unspelled(parts[4], pairs))
+def word_slice(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of the vocabulary that has a word: whole ranges of hashes, ascending."""
+    return (hashes // np.uint64(2 ** 64 // RANGES)).astype(np.int64) * slices // RANGES
+
+
+def home(ids: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of a word with its contexts, and the place that adds up a context."""
+    return (mix(ids.astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
 
 
 def batch_row(name: str, keys: list, learn: list[bool], texts: list[np.ndarray], numbers: dict, slices: int) -> dict:
-    """One batch: its documents, their pair ids, and its requests per slice.
-    Pairs are numbered by slice, word and context."""
+    """One batch: its documents, their tokens as numbers of words in the order
+    of the words' hashes, and per slice of the vocabulary these hashes with the
+    learned counts."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
-    word = np.concatenate(texts)
-    n = len(numbers)
+    word, n = np.concatenate(texts), len(numbers)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=n)
-    follow = np.fromiter(map(follower_class, numbers), dtype=np.int64, count=n)
     hashes[0] = END  # number 0 is the end token
-    ctx = np.zeros(len(word), dtype=np.int64)
-    ctx[1:] = follow[word[:-1]]
-    ctx[np.cumsum(size)[:-1]] = 0  # each text starts without a word before
-    slice_of = (hashes % np.uint64(slices)).astype(np.int64)
-    order = np.lexsort((hashes, slice_of))
+    order = np.argsort(hashes, kind="stable")
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
     weight = np.repeat(np.array(learn, dtype=np.float64), size)
-    total = np.bincount(word, weights=weight, minlength=n).astype(np.int64)[order]
-    pairs, pid = np.unique(rank[word] * CONTEXTS + ctx, return_inverse=True)
-    count = np.bincount(pid, weights=weight, minlength=len(pairs)).astype(np.int64)
-    hashes, slice_of = hashes[order], slice_of[order]
-    pair_word, pair_ctx = pairs // CONTEXTS, pairs % CONTEXTS
-    edge = np.searchsorted(slice_of, np.arange(slices + 1))
-    pair_edge = np.searchsorted(pair_word, edge)
-    requests = [{"slice": i, "body": pack_words(hashes[a:b], pair_word[c:d] - a, pair_ctx[c:d], count[c:d], total[a:b])}
-                for i, (a, b, c, d) in enumerate(zip(edge[:-1], edge[1:], pair_edge[:-1], pair_edge[1:], strict=True)) if b > a]
-    return {"batch": name, "keys": keys, "learn": learn, "sizes": size.tolist(), "pairs": pid.astype("<u4").tobytes(),
-            "requests": requests}
+    total, hashes = np.bincount(word, weights=weight, minlength=n).astype(np.int64)[order], hashes[order]
+    edge = np.searchsorted(word_slice(hashes, slices), np.arange(slices + 1))
+    words = [{"slice": i, "body": packed(steps(hashes[a:b]), total[a:b])} for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+    return {"batch": name, "keys": keys, "learn": learn, "sizes": size.tolist(), "tokens": packed(rank[word], rank[:1]), "words": words}
 
 
 def batches(df: DataFrame, learn: Column, slices: int, key: str, text: str) -> DataFrame:
     """All documents as batch rows of about ``BATCH_TOKENS`` tokens."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, at_most = df.schema[key].dataType.simpleString(), BATCH_TOKENS
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, flags, texts, numbers, held, schema = [], [], [], _Numbers({b"": 0}), 0, None
@@ -163,8 +177,8 @@ def batches(df: DataFrame, learn: Column, slices: int, key: str, text: str) -> D
         for b in rows:
             schema = schema or pa.schema([
                 ("batch", pa.string()), ("keys", pa.list_(b.schema.field(0).type)), ("learn", pa.list_(pa.bool_())),
-                ("sizes", pa.list_(pa.int64())), ("pairs", pa.binary()),
-                ("requests", pa.list_(pa.struct([("slice", pa.int32()), ("body", pa.binary())])))])
+                ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()),
+                ("words", pa.list_(pa.struct([("slice", pa.int32()), ("body", pa.binary())])))])
             for k, flag, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (t or "").encode("utf-8", "surrogatepass").lower().split()
                 ids = np.zeros(len(words) + 1, dtype=np.int32)
@@ -173,15 +187,15 @@ def batches(df: DataFrame, learn: Column, slices: int, key: str, text: str) -> D
                 flags.append(bool(flag))
                 texts.append(ids)
                 held += len(ids)
-                if held >= BATCH_TOKENS:
+                if held >= at_most:
                     yield flush()
                     keys, flags, texts, numbers, held = [], [], [], _Numbers({b"": 0}), 0
         if keys:
             yield flush()
 
     rows = df.select(F.col(key).alias("row_key"), F.coalesce(learn, F.lit(False)).alias("row_learn"), F.col(text).alias("row_text"))
-    return rows.mapInArrow(run, f"batch string, keys array<{kind}>, learn array<boolean>, sizes array<bigint>, pairs binary, "
-                                "requests array<struct<slice:int,body:binary>>")
+    return rows.mapInArrow(run, f"batch string, keys array<{kind}>, learn array<boolean>, sizes array<bigint>, tokens binary, "
+                                "words array<struct<slice:int,body:binary>>")
 
 
 def bucketed(df: DataFrame, by: str, parts: int) -> DataFrame:
@@ -196,49 +210,119 @@ def bucketed(df: DataFrame, by: str, parts: int) -> DataFrame:
     return read
 
 
+# ---------------------------------------------------------------- vocabulary
+
+
+PLACED = pa.schema([("batch", pa.string()), ("slice", pa.int32()), ("body", pa.binary())])
+PLACED_DDL = "batch string, slice int, body binary"
+
+
+def vocabulary(held: DataFrame) -> DataFrame:
+    """``batch``, ``slice`` and, for the words that the batch named there, their
+    ids (0: never learned) and learned counts. An id is the word's rank by count
+    within its range of hashes, times the ranges, plus the range, from 1 on: it
+    depends on the words and counts alone, not on slices."""
+
+    def run(t: pa.Table) -> pa.Table:
+        asked = [unpacked(x) for x in t.column("body").to_pylist()]
+        words = [climbed(x[0]) for x in asked]
+        word, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([x[1] for x in asked]), minlength=len(word)).astype(np.int64)
+        span = (word // np.uint64(2 ** 64 // RANGES)).astype(np.int64)
+        order = np.lexsort((word, -total, span))
+        rank = np.empty(len(word), dtype=np.int64)
+        rank[order] = np.arange(len(word)) - np.searchsorted(span, span[order])
+        ids = np.where(total > 0, 1 + rank * RANGES + span, 0)
+        edge = np.cumsum([0, *map(len, words)])
+        bodies = [packed(ids[at[a:b]], total[at[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.Table.from_arrays([t.column("batch"), t.column("slice"), pa.array(bodies, pa.binary())], schema=PLACED)
+
+    words = held.select("batch", F.explode("words").alias("w")).select("batch", "w.slice", "w.body")
+    return words.groupBy("slice").applyInArrow(run, PLACED_DDL)
+
+
+def word_ids(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and learned counts of a batch's words, by their number in the batch."""
+    got = [unpacked(x) for x in replies.sort_by("slice").column("body").to_pylist()]
+    return tuple(np.concatenate([x[i] for x in got]).astype(np.int64) for i in (0, 1))
+
+
+def batch_pairs(row: dict, ids: np.ndarray, slices: int) -> tuple[np.ndarray, ...]:
+    """The distinct pairs of a batch by slice, word and context: slice, word id,
+    context id and learned count, and per token the number of its pair. Pairs with an
+    unknown word lie with their context."""
+    token, end = (x.astype(np.int64) for x in unpacked(row["tokens"]))
+    size = np.array(row["sizes"], dtype=np.int64)
+    known, number = np.unique(ids, return_inverse=True)
+    word = number[token]
+    ctx = np.empty_like(word)
+    ctx[1:] = word[:-1]
+    ctx[np.concatenate([[0], np.cumsum(size)[:-1]])] = number[end[0]]  # a text starts after an end
+    pair, pid = np.unique(word * len(known) + ctx, return_inverse=True)
+    count = np.bincount(pid, weights=np.repeat(np.array(row["learn"], dtype=np.float64), size), minlength=len(pair)).astype(np.int64)
+    w, u = known[pair // len(known)], known[pair % len(known)]
+    there = home(np.where(w > 0, w, u), slices)
+    order = np.argsort(there, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return there[order], w[order], u[order], count[order], place[pid]
+
+
+def requests(held: DataFrame, vocab: DataFrame, slices: int) -> DataFrame:
+    """``batch``, ``slice`` and the batch's pairs there: words ascending, contexts
+    per word, the contexts and the learned counts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, (ids, _) = [], word_ids(right)
+        for row in left.to_pylist():
+            there, w, u, count, _ = batch_pairs(row, ids, slices)
+            edge = np.searchsorted(there, np.arange(slices + 1))
+            for i in np.flatnonzero(np.diff(edge)).tolist():
+                a, b = edge[i], edge[i + 1]
+                word, per = np.unique(w[a:b], return_counts=True)
+                out.append({"batch": row["batch"], "slice": i, "body": packed(steps(word), per, u[a:b], count[a:b])})
+        return pa.Table.from_pylist(out, PLACED)
+
+    return held.select("batch", "learn", "sizes", "tokens").groupBy("batch").cogroup(vocab.groupBy("batch")).applyInArrow(run, PLACED_DDL)
+
+
 # ---------------------------------------------------------------- slices
 
 
-def merged(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """Words, word counts, and per pair the word's index, context and count,
-    summed over all requests of a slice; pairs that no one learned are left out."""
-    words, totals, pw, pc, pn = [], [], [], [], []
-    for raw in t.column("body").to_pylist():
-        w, per, total, ctx, n = unpack_words(raw)
-        live = n > 0
-        words.append(w)
-        totals.append(total)
-        pw.append(np.repeat(w, per)[live])
-        pc.append(ctx[live])
-        pn.append(n[live])
-    word, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(totals), minlength=len(word)).astype(np.int64)
-    known = total > 0
-    word, total = word[known], total[known]
-    pair = np.searchsorted(word, np.concatenate(pw)) * CONTEXTS + np.concatenate(pc)
-    pair, at = np.unique(pair, return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate(pn), minlength=len(pair)).astype(np.int64)
-    return word, total, pair // CONTEXTS, pair % CONTEXTS, n
-
-
-def slice_rows(requests: DataFrame) -> DataFrame:
-    """One row per slice: its merged counts (``known``), and the requests
-    (``batches``, ``bodies``) that will be answered from them."""
-    fields = pa.schema([("slice", pa.int32()), ("known", pa.binary()), ("batches", pa.list_(pa.string())), ("bodies", pa.list_(pa.binary()))])
+def slice_rows(asked: DataFrame) -> DataFrame:
+    """One row per slice: its learned counts (``known``), all contexts that are
+    asked about there, and the requests (``batches``, ``bodies``) that will be
+    answered from them."""
+    fields = pa.schema([("slice", pa.int32()), ("known", pa.binary()), ("contexts", pa.binary()), ("batches", pa.list_(pa.string())),
+                        ("bodies", pa.list_(pa.binary()))])
 
     def run(t: pa.Table) -> pa.Table:
-        word, total, pair_word, ctx, n = merged(t)
-        return pa.Table.from_pylist([{"slice": t.column("slice")[0].as_py(), "known": pack_words(word, pair_word, ctx, n, total),
-                                      "batches": t.column("batch").to_pylist(), "bodies": t.column("body").to_pylist()}], fields)
+        words, ctxs, counts = [], [], []
+        for raw in t.column("body").to_pylist():
+            w, per, ctx, n = unpacked(raw)
+            words.append(np.repeat(climbed(w), per.astype(np.int64)))
+            ctxs.append(ctx)
+            counts.append(n)
+        contexts, ctx = np.unique(np.concatenate(ctxs), return_inverse=True)
+        count = np.concatenate(counts).astype(np.int64)
+        live = count > 0
+        word, at = np.unique(np.concatenate(words)[live], return_inverse=True)
+        pair, same = np.unique(at * len(contexts) + ctx[live], return_inverse=True)
+        n = np.bincount(same, weights=count[live], minlength=len(pair)).astype(np.int64)
+        per = np.bincount(pair // len(contexts), minlength=len(word))
+        return pa.Table.from_pylist([{"slice": t.column("slice")[0].as_py(), "known": packed(steps(word), per, pair % len(contexts), n),
+                                      "contexts": packed(steps(contexts)), "batches": t.column("batch").to_pylist(),
+                                      "bodies": t.column("body").to_pylist()}], fields)
 
-    return requests.groupBy("slice").applyInArrow(run, "slice int, known binary, batches array<string>, bodies array<binary>")
+    return asked.groupBy("slice").applyInArrow(run, "slice int, known binary, contexts binary, batches array<string>, bodies array<binary>")
 
 
-def first_seating(known: bytes) -> dict[str, np.ndarray]:
-    """A slice's restaurants with one table per dish."""
-    word, per, total, ctx, n = unpack_words(known)
-    return {"words": word, "totals": total, "pair_word": np.repeat(np.arange(len(word)), per), "pair_context": ctx.astype(np.int64),
-            "counts": n, "tables": np.minimum(n, 1), "top_tables": np.ones(len(word), dtype=np.int64)}
+def first_seating(known: bytes, contexts: bytes) -> dict[str, np.ndarray]:
+    """A slice's restaurants with one table per dish. ``pair_context`` numbers ``contexts``."""
+    word, per, ctx, n = unpacked(known)
+    n = n.astype(np.int64)
+    return {"words": climbed(word), "pair_word": np.repeat(np.arange(len(word)), per.astype(np.int64)), "contexts": climbed(unpacked(contexts)[0]),
+            "pair_context": ctx.astype(np.int64), "counts": n, "tables": np.minimum(n, 1), "top_tables": np.ones(len(word), dtype=np.int64)}
 
 
 def parent_customers(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -264,58 +348,112 @@ def discount(ones: int, twos: int) -> float:
 
 
 SUMS = ("n_words", "n_tokens", "ones", "twos", "top_ones", "top_twos", "top_customers", "top_count")
+#: A sweep's rows: the state of a slice (``home`` null, with its sums), or what it sends to a home of contexts.
+SWEEP = pa.schema([("sweep", pa.int32()), ("slice", pa.int32()), ("home", pa.int32()), ("body", pa.binary()), *((c, pa.int64()) for c in SUMS)])
+SWEEP_DDL = "sweep int, slice int, home int, body binary, " + ", ".join(f"{c} bigint" for c in SUMS)
+REPLY = pa.schema([("sweep", pa.int32()), ("slice", pa.int32()), ("home", pa.int32()), ("body", pa.binary())])
+REPLY_DDL = "sweep int, slice int, home int, body binary"
+
+
+def slice_sums(x: dict[str, np.ndarray]) -> dict[str, int]:
+    """What a slice adds to the totals."""
+    top = parent_customers(x)
+    numbers = (len(x["words"]), x["counts"].sum(), (x["counts"] == 1).sum(), (x["counts"] == 2).sum(), (top == 1).sum(),
+               (top == 2).sum(), top.sum(), x["top_tables"].sum())
+    return {k: int(v) for k, v in zip(SUMS, numbers, strict=True)}
 
 
-#: Rows of totals that one task adds up.
-FAN = 512
+def sweep_rows(x: dict[str, np.ndarray], number: int, at: int, slices: int) -> pa.Table:
+    """The state of a slice after ``number`` sweeps, and per home its contexts'
+    tables; in the first such rows also their ids and customers."""
+    here = lambda v: np.bincount(x["pair_context"], weights=v, minlength=len(x["contexts"])).astype(np.int64)
+    sent = [here(x["tables"])] if number else [x["contexts"], here(x["counts"]), here(x["tables"])]
+    to = home(x["contexts"], slices)
+    order = np.argsort(to, kind="stable")
+    edge = np.searchsorted(to[order], np.arange(slices + 1))
+    rows = [{"sweep": number, "slice": at, "body": packed(x["tables"], x["top_tables"]), **slice_sums(x)}]
+    for i in np.flatnonzero(np.diff(edge)).tolist():
+        mine = order[edge[i]:edge[i + 1]]
+        first, *rest = (v[mine] for v in sent)
+        rows.append({"sweep": number, "slice": at, "home": i, "body": packed(first if number else steps(first), *rest)})
+    return pa.Table.from_pylist(rows, SWEEP)
 
 
-def added(t: pa.Table) -> pa.Table:
-    """The rows' sums, also of their arrays place by place."""
-    lists = {c: [np.sum(t.column(c).to_pylist(), axis=0).tolist()] for c in ("customers", "tables")}
-    return pa.table({**{c: pa.array([sum(t.column(c).to_pylist())], pa.int64()) for c in SUMS},
-                     **{c: pa.array(v, pa.list_(pa.int64())) for c, v in lists.items()}})
+def context_totals(first: DataFrame, now: DataFrame, number: int) -> DataFrame:
+    """What the homes of contexts send back to each slice: the tables of its
+    contexts over all slices; after the ``first`` rows also their customers."""
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("sweep", "ascending"), ("slice", "ascending")])
+        got = [(k, i, unpacked(raw)) for k, i, raw in zip(*(t.column(c).to_pylist() for c in ("sweep", "slice", "body")), strict=True)]
+        names = [climbed(x[0]) for k, _, x in got if k == 0]
+        ids, at = np.unique(np.concatenate(names), return_inverse=True)
+        add = lambda parts: np.bincount(at, weights=np.concatenate(parts), minlength=len(ids)).astype(np.int64)[at]
+        back = [add([x[1] for k, _, x in got if k == 0])] if number == 0 else []
+        back.append(add([x[-1] for k, _, x in got if k == number]))
+        edge = np.cumsum([0, *map(len, names)])
+        rows = [{"sweep": number, "slice": i, "home": t.column("home")[0].as_py(), "body": packed(*(v[edge[j]:edge[j + 1]] for v in back))}
+                for j, i in enumerate(i for k, i, _ in got if k == 0)]
+        return pa.Table.from_pylist(rows, REPLY)
+
+    sent = first if number == 0 else first.unionByName(now)
+    return sent.where(F.col("home").isNotNull()).select("sweep", "slice", "home", "body").groupBy("home").applyInArrow(run, REPLY_DDL)
 
-def slice_sums(x: dict[str, np.ndarray]) -> dict:
-    """What a slice adds to the totals."""
-    ctx, top = x["pair_context"], parent_customers(x)
-    here = lambda v: np.bincount(ctx, weights=v, minlength=CONTEXTS).astype(np.int64).tolist()
-    numbers = (len(x["words"]), x["totals"].sum(), (x["counts"] == 1).sum(), (x["counts"] == 2).sum(), (top == 1).sum(),
-               (top == 2).sum(), top.sum(), x["top_tables"].sum())
-    return {**{k: int(v) for k, v in zip(SUMS, numbers, strict=True)}, "customers": here(x["counts"]), "tables": here(x["tables"])}
 
+@dataclass(frozen=True)
+class Past:
+    """A seating: the sweep's rows, the replies of the contexts' homes, and the
+    sums over all slices (``Totals`` without those of contexts)."""
+    number: int
+    rows: DataFrame
+    replies: DataFrame
+    sums: Totals
 
-def totals(slices: DataFrame, past: list[Totals], s: Sampling) -> Totals:
-    """Totals after as many sweeps as there are ``past`` totals. A slice replays
-    its sweeps from the start: they depend on the seed and these totals alone,
-    so no seating is ever written or shuffled."""
-    fields = pa.schema([(c, pa.int64()) for c in SUMS] + [(c, pa.list_(pa.int64())) for c in ("customers", "tables")])
+    def states(self) -> DataFrame:
+        return self.rows.where(F.col("home").isNull()).select(*REPLY.names)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for known in b.column(0).to_pylist():
-                x = first_seating(known)
-                for i, g in enumerate(past):
-                    sweep(x, g, s, i)
-                yield pa.RecordBatch.from_pylist([slice_sums(x)], fields)
-
-    kinds = ", ".join(f"{c} bigint" for c in SUMS) + ", customers array<bigint>, tables array<bigint>"
-    rows = slices.select("known").mapInArrow(run, kinds)
-    # Added up FAN rows at a time, so no task gets more and one row is left.
-    n = slices.count()
-    while True:
-        groups = -(-n // FAN)
-        rows = rows.withColumn("part", F.pmod(F.xxhash64(*SUMS, "customers", "tables", F.monotonically_increasing_id()), F.lit(max(groups, 1)))) \
-            .groupBy("part").applyInArrow(added, kinds)
-        n = groups
-        if n <= 1:
-            break
-    got = rows.collect()
-    if not got:
-        return Totals(0, 0, discount(0, 0), discount(0, 0), np.zeros(CONTEXTS, dtype=np.int64), np.zeros(CONTEXTS, dtype=np.int64), 0, 0)
-    a, c, t = got[0], np.array(got[0]["customers"]), np.array(got[0]["tables"])
-    return Totals(a[0], a[1], discount(a[2], a[3]), discount(a[4], a[5]), c, t, a[6], a[7])
+
+def seated(rows: DataFrame, before: list[Past]) -> Past:
+    """The seating that a sweep's rows hold."""
+    number, rows = len(before), written(rows, "sweep")
+    # A block of rows per home and slice is small, so the few sums are Spark's.
+    a = rows.where(F.col("home").isNull()).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS)).first()
+    none = np.zeros(0, dtype=np.int64)
+    sums = Totals(a[0], a[1], discount(a[2], a[3]), discount(a[4], a[5]), none, none, a[6], a[7])
+    return Past(number, rows, written(context_totals(before[0].rows if before else rows, rows, number), "contexts"), sums)
+
+
+def given(x: dict[str, np.ndarray], t: pa.Table, g: Totals, number: int, slices: int) -> Totals:
+    """Seats ``x`` as after ``number`` sweeps, by its rows in ``t``; the totals with those of its contexts."""
+    rows = [r for r in t.sort_by("home").to_pylist()]
+    state = next(r["body"] for r in rows if r["home"] is None and r["sweep"] == number)
+    x["tables"], x["top_tables"] = (v.astype(np.int64) for v in unpacked(state))
+    order = np.argsort(home(x["contexts"], slices), kind="stable")
+
+    def placed(sweep: int, column: int) -> np.ndarray:
+        got = [unpacked(r["body"])[column] for r in rows if r["home"] is not None and r["sweep"] == sweep]
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.concatenate(got).astype(np.int64)
+        return out
+
+    return replace(g, customers=placed(0, 0), tables=placed(number, -1))
+
+
+def swept(slices: DataFrame, past: list[Past], s: Sampling, count: int) -> DataFrame:
+    """The rows of the next sweep."""
+    last, number = past[-1].sums, past[-1].number
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for at, known, contexts in zip(*(left.column(c).to_pylist() for c in ("slice", "known", "contexts")), strict=True):
+            x = first_seating(known, contexts)
+            sweep(x, given(x, right, last, number, count), s, number)
+            out.append(sweep_rows(x, number + 1, at, count))
+        return pa.concat_tables(out)
+
+    told = [past[-1].states(), past[-1].replies] + ([past[0].replies] if number else [])
+    return slices.select("slice", "known", "contexts").groupBy("slice").cogroup(
+        reduce(DataFrame.unionByName, told).groupBy("slice")).applyInArrow(run, SWEEP_DDL)
 
 
 @cache
@@ -406,7 +544,7 @@ def sweep(x: dict[str, np.ndarray], g: Totals, s: Sampling, number: int) -> None
     """Seat every dish of a slice anew, given the totals before the sweep."""
     words = mix(x["words"] ^ mix(np.array([(s.seed << 20) + number], dtype=np.uint64)))
     parent, _ = parent_probability(parent_customers(x), x["top_tables"], g, s)
-    dishes = mix(words[x["pair_word"]] + x["pair_context"].astype(np.uint64) + np.uint64(1))
+    dishes = mix(words[x["pair_word"]] + x["contexts"][x["pair_context"]] + np.uint64(1))
     x["tables"] = seat(x["counts"], g.tables[x["pair_context"]] - x["tables"], parent[x["pair_word"]], g.discount, s.strength, dishes)
     top = parent_customers(x)
     base = np.full(len(top), 1.0 / (g.words + 1))
@@ -418,94 +556,81 @@ def sweep(x: dict[str, np.ndarray], g: Totals, s: Sampling, number: int) -> None
 
 def answer(raw: bytes, x: dict[str, np.ndarray], sums: np.ndarray, parents: list[np.ndarray], opens: np.ndarray,
            unknown: np.ndarray) -> bytes:
-    """Log10 probabilities of a request's pairs (float32), then its words'
-    numbers of pairs and counts. ``sums``: of the known pairs' probabilities
+    """Log10 probabilities of a request's pairs (float32). ``sums``: of the known pairs' probabilities
     over the samples; per sample: ``parents``, the words' probabilities at the
     parent, ``unknown``, that of an unknown word, and ``opens``, the parent's
     weight in each context. A pair that was never learned has no table in any
     sample: it has the parent's share alone."""
-    words, per, _, ctx, _ = unpack_words(raw)
-    ctx = ctx.astype(np.int64)
+    words, per, ctx, _ = unpacked(raw)
+    words, per, ctx = climbed(words), per.astype(np.int64), np.searchsorted(x["contexts"], ctx)
     own = np.full(len(words), -1, dtype=np.int64)
     if len(x["words"]):
         at = np.minimum(np.searchsorted(x["words"], words), len(x["words"]) - 1)
         own = np.where(x["words"][at] == words, at, -1)
-    there, count = own >= 0, np.zeros(len(words), dtype=np.int64)
+    there = own >= 0
     p = np.zeros(len(ctx))
-    count[there] = x["totals"][own[there]]
     for weight, parent, none in zip(opens, parents, unknown, strict=True):
         p_word = np.full(len(words), none)
         p_word[there] = parent[own[there]]
         p += weight[ctx] * np.repeat(p_word, per)
     if there.any():
-        ids = x["pair_word"] * CONTEXTS + x["pair_context"]
-        ask = np.repeat(own, per) * CONTEXTS + ctx
+        ids = x["pair_word"] * len(x["contexts"]) + x["pair_context"]
+        ask = np.repeat(own, per) * len(x["contexts"]) + ctx
         at = np.minimum(np.searchsorted(ids, ask), len(ids) - 1)
         hit = (ids[at] == ask) & np.repeat(there, per)
         p[hit] = sums[at[hit]]
-    logs, per, count = np.log10(p / len(opens)).astype("<f4").tobytes(), spelled(per), spelled(count)
-    return np.array([len(ctx), len(words), len(per)], dtype="<i8").tobytes() + logs + per + count
+    return packed(np.log10(p / len(opens)).astype("<f4").view("<u4"))
 
 
-def open_answer(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Per pair: log10 probability and its word's count."""
-    pairs, words, size = (int(v) for v in np.frombuffer(raw, dtype="<i8", count=3))
-    at = 24 + 4 * pairs
-    per, count = unspelled(raw[at:at + size], words), unspelled(raw[at + size:], words)
-    return np.frombuffer(raw, dtype="<f4", count=pairs, offset=24), np.repeat(count, per)
+def answers(slices: DataFrame, past: list[Past], s: Sampling, count: int) -> DataFrame:
+    """``batch``, ``slice`` and the answer to each request. ``past``: every
+    seating, of which the last ones are averaged."""
+    used = past[len(past) - s.averaged:]
+    seats = [(p.number, p.sums) for p in used]
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for at, known, contexts, names, bodies in zip(*(c.to_pylist() for c in left.columns), strict=True):
+            x, sums, parents, opens, unknown = first_seating(known, contexts), 0.0, [], [], []
+            for number, g in seats:
+                g = given(x, right, g, number, count)
+                sums = sums + probabilities(x, g, s)
+                parents.append(parent_probability(parent_customers(x), x["top_tables"], g, s)[0])
+                opens.append((s.strength + g.discount * g.tables) / (s.strength + g.customers))
+                unknown.append(parent_probability(np.zeros(0), np.zeros(0), g, s)[1])
+            replies = [answer(body, x, sums, parents, opens, unknown) for body in bodies]
+            out.append(pa.Table.from_arrays([pa.array(names), pa.array([at] * len(names), pa.int32()), pa.array(replies, pa.binary())], schema=PLACED))
+        return pa.concat_tables(out)
 
-def answers(slices: DataFrame, past: list[Totals], s: Sampling) -> DataFrame:
-    """``batch``, ``slice`` and the answer to each request. ``past``: the
-    totals of every seating, of which the last ones are averaged."""
-    first = len(past) - s.averaged
+    told = [x for p in used for x in (p.states(), p.replies)] + ([] if used[0].number == 0 else [past[0].replies])
+    return slices.select("slice", "known", "contexts", "batches", "bodies").groupBy("slice").cogroup(
+        reduce(DataFrame.unionByName, told).groupBy("slice")).applyInArrow(run, PLACED_DDL)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for number, known, names, bodies in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, sums, parents = first_seating(known), 0.0, []
-                for i, g in enumerate(past):
-                    if i >= first:
-                        sums = sums + probabilities(x, g, s)
-                        parents.append(parent_probability(parent_customers(x), x["top_tables"], g, s)[0])
-                    if i + 1 < len(past):
-                        sweep(x, g, s, i)
-                used = past[first:]
-                opens = np.array([(s.strength + g.discount * g.tables) / (s.strength + g.customers) for g in used])
-                unknown = np.array([parent_probability(np.zeros(0), np.zeros(0), g, s)[1] for g in used])
-                for name, body in zip(names, bodies, strict=True):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([number], pa.int32()), pa.array([answer(body, x, sums, parents, opens, unknown)], pa.binary())],
-                        ["batch", "slice", "answer"])
-
-    return slices.select("slice", "known", "batches", "bodies").mapInArrow(run, "batch string, slice int, answer binary")
-
-
-def document_scores(held: DataFrame, replies: DataFrame, g: Totals, kind: str) -> DataFrame:
-    """Per document: the sums over its tokens."""
+
+def document_scores(held: DataFrame, vocab: DataFrame, replies: DataFrame, g: Totals, kind: str, slices: int) -> DataFrame:
+    """Per document: the sums over its tokens. The batch's pairs are numbered again."""
+    words, tokens = g.words, g.tokens
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("slice")
-        logs, counts = [], []
-        for raw in right.column("answer").to_pylist():
-            log, n = open_answer(raw)
-            logs.append(log)
-            counts.append(n)
-        logp, count = np.concatenate(logs).astype(np.float64), np.concatenate(counts)
-        base = np.log10((count + 1.0) / (g.tokens + g.words + 1))
+        known = pa.compute.field("of_words")
+        ids, count = word_ids(right.filter(known))
+        logs = [unpacked(x)[0] for x in right.filter(~known).sort_by("slice").column("body").to_pylist()]
+        logp = np.concatenate(logs).astype("<u4").view("<f4").astype(np.float64)
+        base = np.log10((count + 1.0) / (tokens + words + 1))
         out = []
         for row in left.to_pylist():
-            pid = np.frombuffer(row["pairs"], dtype="<u4")
+            pid, token = batch_pairs(row, ids, slices)[-1], unpacked(row["tokens"])[0].astype(np.int64)
             at = np.concatenate([[0], np.cumsum(row["sizes"])])[:-1]
-            sums = [np.add.reduceat(v[pid], at) for v in (logp, base, (count > 0).astype(np.int64))]
+            sums = [np.add.reduceat(v, at) for v in (logp[pid], base[token], (count > 0).astype(np.int64)[token])]
             out.append(pa.table({"row_key": pa.array(row["keys"], left.schema.field("keys").type.value_type),
                                  "learned": pa.array(row["learn"], pa.bool_()), "n_tokens": pa.array(row["sizes"], pa.int64()),
                                  "n_known": pa.array(sums[2]), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])}))
         return pa.concat_tables(out)
 
-    x = held.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+    told = vocab.withColumn("of_words", F.lit(True)).unionByName(replies.withColumn("of_words", F.lit(False)))
+    x = held.select("batch", "keys", "learn", "sizes", "tokens").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
         run, f"row_key {kind}, learned boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return x.withColumn("train_tokens", F.lit(int(g.tokens)).cast("bigint"))
+    return x.withColumn("train_tokens", F.lit(int(tokens)).cast("bigint"))
 
 
 def scored(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", sampling: Sampling = Sampling(),
@@ -513,18 +638,26 @@ def scored(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text"
     """``row_key``, ``learned``, ``n_tokens``, ``n_known``, ``base_score``
     (add-one over single words), ``score`` (log10 probability of the model) and
     ``train_tokens`` of every document, learning from those where ``learn``.
-    ``slices`` of the vocabulary: by default the shuffle's partitions."""
-    s = sampling
-    slices = slices or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = bucketed(batches(df, learn, slices, key, text), "batch", slices)
-    requests = held.select("batch", F.explode("requests").alias("r")).select("batch", "r.slice", "r.body")
-    rows = written(slice_rows(requests), "slices")
-    past: list[Totals] = []
-    for _ in range(s.sweeps + 1):
-        past.append(totals(rows, past, s))
-    replies, g = answers(rows, past, s), past[-1]
-    kind = df.schema[key].dataType.simpleString()
-    return document_scores(held.select("batch", "keys", "learn", "sizes", "pairs"), replies, g, kind)
+    ``slices`` of the words: by default the shuffle's partitions, and one per
+    ``SLICE_TOKENS`` at least."""
+    s, parts = sampling, slices or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = bucketed(batches(df, learn, min(parts, RANGES), key, text), "batch", parts)
+    if not slices:
+        n = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0]
+        slices = max(parts, -(-(n or 0) // SLICE_TOKENS))
+    vocab = written(vocabulary(held), "vocabulary")
+    rows = bucketed(slice_rows(requests(held, vocab, slices)), "slice", slices)
+
+    def first(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in b:
+            for at, known, contexts in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                yield from sweep_rows(first_seating(known, contexts), 0, at, slices).to_batches()
+
+    past = [seated(rows.select("slice", "known", "contexts").mapInArrow(first, SWEEP_DDL), [])]
+    for _ in range(s.sweeps):
+        past.append(seated(swept(rows, past, s, slices), past))
+    replies, kind = answers(rows, past, s, slices), df.schema[key].dataType.simpleString()
+    return document_scores(held, vocab, replies, past[-1].sums, kind, slices)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -133,3 +133,49 @@ def test_better_than_single_words_on_held_out(sp):
     x = pitman_yor.scored(docs, common.crc_of(F.col("doc_id")) % 7 != 2)
     got = {r.learned: r for r in pitman_yor.perplexity(x).collect()}
     assert got[False].perplexity < 0.7 * got[False].base_perplexity
+
+
+def test_contexts_are_whole_words(sp, monkeypatch):
+    """Against a count by hand: before any sweep each dish has one table."""
+    monkeypatch.setattr(pitman_yor, "BATCH_TOKENS", 25)
+    # station, nation and ration share their last three bytes; 400 more words share one ending.
+    docs = [(0, "station x station x nation y nation y z"), (1, "the ration x"), (2, None), (1, "the ration x"), (3, "new station y nation")]
+    docs += [(4 + 4 * i, f"{i}ation v{i % 7}") for i in range(400)] + [(5, "nation x station unseen nation 7ation v0 unseen x 8ation")]
+    learned = [t for k, t in docs if k % 4 != 1 or k == 1]
+    start, pairs = b"\n", Counter()
+    for t in learned:
+        words = tokens(t)
+        pairs.update(zip([start, *words], words, strict=False))
+    top = Counter(w for _, w in pairs)
+    context, kinds = Counter(), Counter()
+    for (u, _), n in pairs.items():
+        context[u] += n
+        kinds[u] += 1
+    d = pitman_yor.discount(*(list(pairs.values()).count(i) for i in (1, 2)))
+    top_d = pitman_yor.discount(*(list(top.values()).count(i) for i in (1, 2)))
+    n = sum(top.values())
+
+    def p(u, w):
+        parent = (max(top[w] - top_d, 0) + (1 + top_d * len(top)) / (len(top) + 1)) / (1 + n)
+        return (max(pairs[u, w] - d, 0) + (1 + d * kinds[u]) * parent) / (1 + context[u])
+
+    want = sorted((k, round(sum(math.log10(p(u, w)) for u, w in zip([start, *tokens(t)], tokens(t), strict=False)), 4)) for k, t in docs)
+    df = sp.createDataFrame(docs, "doc_id bigint, text string")
+    for slices in (1, 7):
+        x = pitman_yor.scored(df, (F.col("doc_id") % 4 != 1) | (F.col("doc_id") == 1), sampling=pitman_yor.Sampling(sweeps=0, averaged=1), slices=slices)
+        assert sorted((r.row_key, round(r.score, 4)) for r in x.collect()) == want
+
+
+def test_words_with_one_ending_are_apart(sp):
+    docs = [(i, "station x station x nation y nation y") for i in range(0, 60, 3)] + [(1, "station x"), (4, "nation x"), (7, "station y"), (10, "nation y")]
+    got = {r.row_key: r.score for r in pitman_yor.scored(sp.createDataFrame(docs, "doc_id bigint, text string"), F.col("doc_id") % 3 == 0).collect()}
+    # From "station x" to "nation x" only the contexts change: each has learned its own follower.
+    assert got[1] + got[10] > got[4] + got[7] + 1.5
+
+
+def test_packed_numbers():
+    for arrays in ([np.array([0, 255, 256, 2**63])], [np.zeros(0), np.array([3, 1]), np.zeros(4)]):
+        got = pitman_yor.unpacked(pitman_yor.packed(*arrays))
+        assert [x.tolist() for x in got] == [x.tolist() for x in arrays]
+    v = np.array([5, 9, 2**64 - 1], dtype=np.uint64)
+    assert pitman_yor.climbed(pitman_yor.steps(v)).tolist() == v.tolist()
