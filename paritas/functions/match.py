@@ -89,10 +89,12 @@ def ten_digits(c: Column) -> list[Column]:
     d = F.rint(x * F.lit(100.0))
     short = (F.abs(d) < F.lit(1e10)) & ((d / F.lit(100.0)) == x)
     formatted = F.format_string("%.9e", x)
-    back = formatted.try_cast("double")  # of a null: null
+    # One branch formats, and no condition holds it alone: what a condition
+    # holds may be computed for every row.
+    back = F.when(short, x).otherwise(formatted.try_cast("double"))  # of a null: null
     inf = F.lit(float("inf"))
     as_text = (((F.abs(back) < F.lit(1e-290)) & (back != F.lit(0.0))) | ((F.abs(back) == inf) & (F.abs(x) != inf)))
-    return [F.when(short, x).when(~as_text, back), F.when(~short & as_text, formatted)]
+    return [F.when(~as_text, back), F.when(as_text, formatted)]
 
 
 def row_hashes(columns: list[tuple], rounded: bool) -> list[Column]:

@@ -193,3 +193,32 @@ def test_nan_is_missing_in_comparisons(spark):
     assert [where_sas(df, "a", op, 4.0).count() for op in (">", "<", "=", "^=")] == [1, 3, 0, 4]
     text = spark.createDataFrame([("NaN", "x")], "a string, b string")
     assert text.select(S.sas_eq("a", "b")).first()[0] is False
+
+
+def test_ten_digits_are_those_of_the_text(spark):
+    """Equal exactly where the ``%.9e`` texts are, whichever way they come about."""
+    inf = float("inf")
+    values = [None, 0.0, -0.0, 1.1, 1.1 + 1e-15, 1.1 + 1e-8, 0.01, -12345678.9, 1e10, 1e10 + 0.01, 123456789.125, 1 / 3, -1 / 3, 0.33333333333,
+              inf, -inf, float("nan"), 1.7976931348623157e308, 1.797693134e308, 5e-324, 1e-323, 1.23e-291, 1.2300000000001e-291, 1e-290]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select(*M.ten_digits(F.col("x")), F.when(F.col("x").isNotNull(), F.format_string("%.9e", F.col("x") + F.lit(0.0)))).collect()
+    parts = [(str(a), b) for a, b, _ in got]
+    for i, (_, _, text) in enumerate(got):
+        assert [p == parts[i] for p in parts] == [t == text for _, _, t in got]
+
+
+def test_short_amounts_are_not_formatted(spark):
+    """Amounts with two decimals cost a fraction of those that need the formatter."""
+    import time
+
+    def seconds(x):
+        h = M.row_hashes([("a", True, None), ("b", True, None)], rounded=True)
+        rows = spark.range(0, 1_500_000, 1, 2).select(x.alias("a"), (x + F.lit(1.0)).alias("b")).select(*h)
+        best = []
+        for _ in range(2):
+            start = time.time()
+            rows.write.format("noop").mode("overwrite").save()
+            best.append(time.time() - start)
+        return min(best)
+
+    assert seconds(F.col("id") / F.lit(4.0)) < 0.5 * seconds(F.col("id") / F.lit(3.0))
